@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import bpe, sharding
 
 QUERIES = {
     "op3_shard_virtual_slots": sharding.op3_shard_virtual_slots,
+    "op9_bpe_segment_tree": bpe.op9_bpe_segment_tree,
 }
 
 ORACLE_SQL: dict[str, str] = {}
