@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, sharding
+from . import bpe, decontaminate, sharding
 
 QUERIES = {
     "op3_shard_virtual_slots": sharding.op3_shard_virtual_slots,
     "op9_bpe_segment_tree": bpe.op9_bpe_segment_tree,
+    "op10_decontaminate_prefix_join": decontaminate.op10_decontaminate_prefix_join,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op10_decontaminate_prefix_join": decontaminate.ORACLE_SQL,
+}
