@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, language, sharding
+from . import bpe, decontaminate, language, quality, sharding
 
 QUERIES = {
     "op3_shard_virtual_slots": sharding.op3_shard_virtual_slots,
     "op6_language_ecoc": language.op6_language_ecoc,
+    "op7_quality_qda": quality.op7_quality_qda,
     "op9_bpe_segment_tree": bpe.op9_bpe_segment_tree,
     "op10_decontaminate_prefix_join": decontaminate.op10_decontaminate_prefix_join,
 }
