@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, language, quality, sharding
+from . import bpe, chat, decontaminate, language, quality, secret_scan, sharding
 
 QUERIES = {
+    "op2_secrets_crf": secret_scan.op2_secrets_crf,
     "op3_shard_virtual_slots": sharding.op3_shard_virtual_slots,
+    "op5_chat_parts": chat.op5_chat_parts,
     "op6_language_ecoc": language.op6_language_ecoc,
     "op7_quality_qda": quality.op7_quality_qda,
     "op9_bpe_segment_tree": bpe.op9_bpe_segment_tree,
@@ -13,5 +15,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op5_chat_parts": chat.ORACLE_SQL,
     "op10_decontaminate_prefix_join": decontaminate.ORACLE_SQL,
 }
