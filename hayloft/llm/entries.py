@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, language, quality, secret_scan, sharding
+from . import bitsliced, bpe, chat, decontaminate, language, quality, secret_scan, sharding
 
 QUERIES = {
     "op2_secrets_crf": secret_scan.op2_secrets_crf,
     "op3_shard_virtual_slots": sharding.op3_shard_virtual_slots,
+    "op4_topk_bitsliced": bitsliced.op4_topk_bitsliced,
     "op5_chat_parts": chat.op5_chat_parts,
     "op6_language_ecoc": language.op6_language_ecoc,
     "op7_quality_qda": quality.op7_quality_qda,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op4_topk_bitsliced": bitsliced.ORACLE_SQL,
     "op5_chat_parts": chat.ORACLE_SQL,
     "op10_decontaminate_prefix_join": decontaminate.ORACLE_SQL,
 }
