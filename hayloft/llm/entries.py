@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bitsliced, bpe, chat, decontaminate, language, quality, secret_scan, sharding
+from . import bitsliced, bpe, chat, decontaminate, language, quality, secret_scan, sharding, token_count
 
 QUERIES = {
     "op2_secrets_crf": secret_scan.op2_secrets_crf,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_chat_parts": chat.op5_chat_parts,
     "op6_language_ecoc": language.op6_language_ecoc,
     "op7_quality_qda": quality.op7_quality_qda,
+    "op8_token_count_scan": token_count.op8_token_count_scan,
     "op9_bpe_segment_tree": bpe.op9_bpe_segment_tree,
     "op10_decontaminate_prefix_join": decontaminate.op10_decontaminate_prefix_join,
 }
