@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bitsliced, bpe, chat, decontaminate, language, quality, secret_scan, sharding, token_count
+from . import bitsliced, bpe, chat, decontaminate, jaccard_join, language, quality, secret_scan, sharding, token_count
 
 QUERIES = {
+    "op1_jaccard_lsh_forest": jaccard_join.op1_jaccard_lsh_forest,
     "op2_secrets_crf": secret_scan.op2_secrets_crf,
     "op3_shard_virtual_slots": sharding.op3_shard_virtual_slots,
     "op4_topk_bitsliced": bitsliced.op4_topk_bitsliced,
