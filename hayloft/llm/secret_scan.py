@@ -382,6 +382,7 @@ def scan(docs: DataFrame, field: Field | None, text_col: str = "text") -> DataFr
 def redact(found: DataFrame, mark: str = "[SECRET]", text_col: str = "text") -> DataFrame:
     """Replaces the spans of every text by ``mark``; overlapping spans become one mark.  ``spans`` goes."""
     rest = found.drop("spans")
+    names = rest.columns
 
     def run(batches):
         for batch in batches:
@@ -394,10 +395,10 @@ def redact(found: DataFrame, mark: str = "[SECRET]", text_col: str = "text") ->
                             parts += [text[at : s["start"]], mark]
                         at = max(at, s["end"])
                     texts[r] = "".join([*parts, text[at:]])
-            kept = [batch.column(c) if c != text_col else pa.array(texts, pa.string()) for c in rest.columns]
-            yield pa.RecordBatch.from_arrays(kept, names=rest.columns)
+            kept = [batch.column(c) if c != text_col else pa.array(texts, pa.string()) for c in names]
+            yield pa.RecordBatch.from_arrays(kept, names=names)
 
-    return found.select(*rest.columns, "spans").mapInArrow(run, rest.schema)
+    return found.select(*names, "spans").mapInArrow(run, rest.schema)
 
 
 def op2_secrets_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
