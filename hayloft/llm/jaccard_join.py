@@ -192,6 +192,20 @@ def forest_roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return root
 
 
+def pair_roots(n: int, left: np.ndarray, right: np.ndarray, block: np.ndarray, inner: bool) -> np.ndarray:
+    """Roots to report for a block pair.
+
+    A block with itself reports each member's root.  Two different blocks report
+    only how the components of one meet those of the other, at one member each:
+    their own members are connected by the report of their own block.
+    """
+    if inner:
+        return forest_roots(n, left, right)
+    same = block[left] == block[right]
+    own = forest_roots(n, left[same], right[same])
+    return forest_roots(n, own[left[~same]], own[right[~same]])
+
+
 def _flush(rows: list[list[np.ndarray]], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in rows], names=names)
 
@@ -226,16 +240,13 @@ def candidate_edges(nodes: DataFrame, reps: DataFrame, threshold: float) -> Data
             rep = group.column("rep").to_numpy()
             sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(rep), -1)
             block = group.column("block").to_numpy()
-            inner = group.column("i")[0] == group.column("j")[0]
+            inner = group.column("i")[0].as_py() == group.column("j")[0].as_py()
             left, right = [], []
             for a in range(len(rep) - 1):
-                close = (sketch[a + 1 :] == sketch[a]).sum(axis=1) >= least
-                if not inner:
-                    close &= block[a + 1 :] != block[a]
-                near = np.flatnonzero(close) + a + 1
+                near = np.flatnonzero((sketch[a + 1 :] == sketch[a]).sum(axis=1) >= least) + a + 1
                 left.append(np.full(len(near), a))
                 right.append(near)
-            root = forest_roots(len(rep), np.concatenate(left), np.concatenate(right))
+            root = pair_roots(len(rep), np.concatenate(left), np.concatenate(right), block, inner)
             moved = np.flatnonzero(root != np.arange(len(rep)))
             if len(moved):
                 out[0].append(rep[moved])
@@ -344,11 +355,11 @@ def verified_links(sets: DataFrame, sizes: DataFrame, threshold: float) -> DataF
             either = n[:, None] + n[None, :] - both
             linked = both >= threshold * either - 1e-6
             np.fill_diagonal(linked, False)
-            if group.column("i")[0] != group.column("j")[0]:
+            inner = group.column("i")[0].as_py() == group.column("j")[0].as_py()
+            root = pair_roots(m, *np.nonzero(np.triu(linked)), block, inner)
+            if not inner:
                 linked &= block[:, None] != block[None, :]
-            left, right = np.nonzero(np.triu(linked))
-            root = forest_roots(m, left, right)
-            has = np.flatnonzero(linked.any(axis=1))
+            has = np.flatnonzero(linked.any(axis=1) | (root != np.arange(m)))
             if len(has):
                 for column, x in zip(out, (rep[has], (linked @ copies)[has].astype(np.int64), rep[root[has]], np.full(len(has), group.column("blocks")[0].as_py(), np.int64)), strict=True):
                     column.append(x)
