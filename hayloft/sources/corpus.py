@@ -15,6 +15,7 @@ from hayloft.functions import identity, paths
 from hayloft.operators.changes import case_collisions
 
 MAX_FILE_BYTES = 10 << 20
+# fixed values: names of ignore files, later ones over earlier ones in a folder
 IGNORE_FILES = (".gitignore", ".ggignore", ".smignore")
 #: Endings that are read as text; a parameter of ``scan``.
 TEXT_ENDINGS = tuple("c cc cpp cs css go h hpp htm html java js json jsx kt lua md mdx mermaid mmd php pl py rb rs sass scala scss sh sql svelte swift toml ts tsx txt vue xml yaml yml zig".split())
