@@ -155,6 +155,17 @@ def hash_of_words(parts: list[bytes]) -> np.ndarray:
     return out
 
 
+def small_batches(spark) -> None:
+    """Lowers the session's Arrow batch size, as whole texts are large rows.
+
+    Ten thousand texts at a time would take tens of megabytes on both sides of
+    every Python worker; a lower setting of the session is left as it is.
+    """
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def shared_folder(spark) -> str:
     """A new folder that driver and executors share: below ``spark.checkpoint.dir``.
 

@@ -29,8 +29,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from .blocks import small_batches
+
 NO_RANK = np.int64(1) << 60
-CACHE_PIECES = 250_000
+CACHE_PIECES = 150_000
 #: Leaves that one numpy step holds at most (or one long piece).
 STEP_LEAVES = 1 << 19
 #: White space in the sense of Unicode.
@@ -224,6 +226,7 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, text_col: s
     from pyspark.sql import types as T
 
     path = vocabulary or default_vocabulary()
+    small_batches(docs.sparkSession)
     own = ["token_ids", "n_tokens", "decoded"]
     docs = docs.drop(*own)
     schema = T.StructType([*docs.schema.fields, T.StructField("token_ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("decoded", T.StringType())])

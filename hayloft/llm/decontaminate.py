@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import Block, Words, blocks, hash_of_words, sequence_hash, words
+from .blocks import Block, Words, blocks, hash_of_words, sequence_hash, small_batches, words
 
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -280,6 +280,7 @@ def _by_join(docs: DataFrame, windows: DataFrame, window: int, text_col: str) ->
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, broadcast_windows: int = BROADCAST_WINDOWS, text_col: str = "text") -> DataFrame:
     """Columns of ``docs`` and n_words, n_hit (words inside benchmark windows), items (ids, sorted as strings)."""
+    small_batches(docs.sparkSession)
     windows = item_windows(benchmark.select("item_id", "text"), window)
     rows = windows.limit(broadcast_windows + 1).collect()
     if len(rows) > broadcast_windows:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import Block, blocks, mix, sequence_hash, words, written
+from .blocks import Block, blocks, mix, sequence_hash, small_batches, words, written
 from .components import components
 from .decontaminate import CAPITALS, SMALL, WORD_PATTERN
 
@@ -376,6 +376,7 @@ def verified_links(sets: DataFrame, sizes: DataFrame, threshold: float) -> DataF
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, class_id, n_links, n_shingles of every row."""
     spark = docs.sparkSession
+    small_batches(spark)
     signed = written(spark, document_signatures(docs, id_col, text_col), "signed")
     reps = written(spark, representatives(signed, id_col), "representatives")
     nodes = trie_nodes(reps, prefix_length(threshold, target))

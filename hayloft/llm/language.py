@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import LOWER, WORD, Block, blocks
+from .blocks import LOWER, WORD, Block, blocks, small_batches
 
 BUCKET_BITS = 14
 AMBIGUOUS = 0.15
@@ -119,6 +119,7 @@ def language_counts(training: DataFrame, languages: list[str], text_col: str = "
 def fit(training: DataFrame, text_col: str = "text", label_col: str = "lang", max_languages: int = 1000) -> Model:
     """Learns from the rows with a language; more than ``max_languages`` distinct values are refused."""
     training = training.where(F.col(label_col).isNotNull())
+    small_batches(training.sparkSession)
     found = training.select(label_col).distinct().limit(max_languages + 1).collect()
     if len(found) > max_languages:
         raise ValueError(f"more than {max_languages} distinct languages")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import LOWER, Block, blocks, range_hash, words, written
+from .blocks import LOWER, Block, blocks, range_hash, small_batches, words, written
 from .language import held_out
 
 NAMES = [
@@ -109,6 +109,7 @@ def statistics(block: Block) -> np.ndarray:
 def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and ``stats`` (array of double, in the order of NAMES) of every row."""
     kind = docs.schema[id_col].dataType
+    small_batches(docs.sparkSession)
     schema = T.StructType([T.StructField(id_col, kind), T.StructField("stats", T.ArrayType(T.DoubleType()))])
 
     def run(batches):

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import LOWER, Block, blocks, range_hash
+from .blocks import LOWER, Block, blocks, range_hash, small_batches
 
 KINDS = ("assign", "access", "hex", "field")
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
@@ -340,6 +340,7 @@ SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructF
 def scan(docs: DataFrame, field: Field | None, text_col: str = "text") -> DataFrame:
     """Columns of ``docs`` and ``spans``: array of (start, kind, end) in code points, by start, then kind."""
     rest = docs.drop("spans")
+    small_batches(docs.sparkSession)
     schema = T.StructType([*rest.schema.fields, T.StructField("spans", SPAN)])
     shared = docs.sparkSession.sparkContext.broadcast(field)  # a fixed number of weights
     arrow = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.string()), ("end", pa.int64())]))

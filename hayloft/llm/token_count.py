@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .blocks import shared_folder, string_buffers
+from .blocks import shared_folder, small_batches, string_buffers
 
 BLOCK_TOKENS = 1 << 18
 FILE_BYTES = 4 << 20
@@ -79,6 +79,7 @@ def write_token_files(docs: DataFrame, path: str, ranks: str | None = None, file
     one line break at the file's end.
     """
     ranks = ranks or default_ranks()
+    small_batches(docs.sparkSession)
 
     def run(batches):
         e, number, parts = encoder(ranks), None, []
