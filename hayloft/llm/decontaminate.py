@@ -266,7 +266,7 @@ def _by_join(docs: DataFrame, windows: DataFrame, window: int, text_col: str) ->
     start = F.col("at") - F.col("offset")
     joined = place.join(prefix, "shingle").where((start >= 0) & (start + F.size("words") <= F.size("near"))).where(F.slice("near", start + 1, F.size("words")) == F.col("words"))
     hits = joined.select("_row", (F.col("pos") - F.col("offset")).alias("start"), F.size("words").alias("n"), "items")
-    marked = hits.groupBy("_row", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("word")).agg(F.lit(1).alias("one")).groupBy("_row").agg(F.count("*").alias("n_hit"))
+    marked = hits.select("_row", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("word")).distinct().groupBy("_row").agg(F.count("*").alias("n_hit"))
     named = hits.select("_row", F.explode("items").alias("item")).distinct().groupBy("_row").agg(F.array_sort(F.collect_set("item")).alias("items"))
     return (
         numbered.withColumn("n_words", F.size(word_array(F.col(text_col))).cast("long"))

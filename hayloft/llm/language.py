@@ -72,7 +72,7 @@ def codewords(n: int, seed: int = 7) -> np.ndarray:
     for _ in range(300):
         code = rng.choice([-1.0, 1.0], (n, bits))
         code = code[:, np.abs(code.sum(axis=0)) < n]
-        gap = (code.shape[1] - (code @ code.T + 2 * code.shape[1] * np.eye(n)).max()) / 2
+        gap = (code.shape[1] - (code @ code.T - 2 * code.shape[1] * np.eye(n)).max()) / 2
         if gap > apart:
             best, apart = code, gap
     return best
