@@ -2,9 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tomllib
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+CASE = "case_id string, query_text string, mode string, k int, per_file int, expect_any array<string>, expect_all array<string>, expect_any_regex array<string>, expect_all_regex array<string>"
+
+
+def load_suite(spark: SparkSession, text: str, only: tuple[str, ...] = ()) -> DataFrame:
+    """Cases of a TOML suite (``[[case]]`` tables: id, query, expectations), all or the named ones."""
+    # fixed values: defaults of a case
+    rows = []
+    for c in tomllib.loads(text).get("case", []):
+        if not only or c["id"] in only:
+            rows.append((c["id"], c["query"], c.get("mode", "balanced"), c.get("k", 20), c.get("per_file", 3), c.get("expect_any_path_contains", []), c.get("expect_all_path_contains", []), c.get("expect_any_path_regex", []), c.get("expect_all_path_regex", [])))
+    missing = set(only) - {r[0] for r in rows}
+    if missing:
+        raise ValueError(f"no such cases: {', '.join(sorted(missing))}")
+    return spark.createDataFrame(rows, CASE)
+
 
 def matched(path: Column, expected: Column, is_regex: Column) -> Column:
     """Whether a path fits an expectation, by substring or pattern."""
@@ -14,15 +31,22 @@ def matched(path: Column, expected: Column, is_regex: Column) -> Column:
 def score_cases(cases: DataFrame, hits: DataFrame) -> DataFrame:
     """case_id, first_hit_rank, reciprocal_rank, any_ok, all_ok, missing, passed.
 
-    ``cases`` has case_id, mode, expect_any and expect_all (arrays of substrings);
+    ``cases`` has case_id, mode, expect_any and expect_all (arrays of substrings), and
+    may have expect_any_regex and expect_all_regex (patterns);
     ``hits`` has case_id, rank, path.  A case without hits still counts.
     """
-    wanted = cases.select("case_id", F.explode(F.array_distinct(F.concat("expect_any", "expect_all"))).alias("expected"))
-    found = hits.join(wanted, "case_id").where(F.contains("path", F.col("expected"))).groupBy("case_id", "expected").agg(F.min("rank").alias("rank"))
-    per = found.groupBy("case_id").agg(F.collect_set("expected").alias("found"), F.min("rank").alias("first_hit_rank"))
-    joined = cases.join(per, "case_id", "left").withColumn("found", F.coalesce("found", F.array().cast("array<string>")))
-    any_ok = (F.size("expect_any") == 0) | F.arrays_overlap("expect_any", "found")
-    missing = F.array_sort(F.array_except("expect_all", "found"))
+    nothing = F.array().cast("array<string>")
+    for name in ("expect_any_regex", "expect_all_regex"):
+        if name not in cases.columns:
+            cases = cases.withColumn(name, nothing)
+    tagged = lambda name, regex: F.transform(name, lambda x: F.struct(x.alias("expected"), F.lit(regex).alias("regex")))
+    cases = cases.withColumn("_any", F.concat(tagged("expect_any", False), tagged("expect_any_regex", True))).withColumn("_all", F.concat(tagged("expect_all", False), tagged("expect_all_regex", True)))
+    wanted = cases.select("case_id", F.explode(F.array_distinct(F.concat("_any", "_all"))).alias("e"))
+    found = hits.join(wanted, "case_id").where(matched(F.col("path"), F.col("e.expected"), F.col("e.regex"))).groupBy("case_id", "e").agg(F.min("rank").alias("rank"))
+    per = found.groupBy("case_id").agg(F.collect_set("e").alias("found"), F.min("rank").alias("first_hit_rank"))
+    joined = cases.join(per, "case_id", "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<expected:string,regex:boolean>>")))
+    any_ok = (F.size("_any") == 0) | F.arrays_overlap("_any", "found")
+    missing = F.array_sort(F.transform(F.array_except("_all", "found"), lambda e: e["expected"]))
     return joined.select(
         "case_id",
         "mode",

@@ -14,13 +14,14 @@ from hayloft.plans import snapshot
 from hayloft.plans.snapshot import Manifest, SnapshotError, Store
 
 
-def sync(store: Store, files: DataFrame, embed: Callable[[DataFrame], DataFrame] | None = None, strict: bool = False, owner: str = "sync", full: bool = True) -> tuple[Manifest | None, dict]:
+def sync(store: Store, files: DataFrame, embed: Callable[[DataFrame], DataFrame] | None = None, strict: bool = False, owner: str = "sync", full: bool = True, max_bytes: int | None = None) -> tuple[Manifest | None, dict]:
     """Brings the store in line with ``files`` (path_key, hash, size, text) and publishes a snapshot.
 
     Only added and changed files are chunked and embedded.  ``embed`` adds
     ``embedding`` and may add ``error``: rows with an error are left out and make
     the snapshot degraded, or fail the sync if ``strict``.  With ``full=False``
-    the files are a partial list and nothing is deleted.
+    the files are a partial list and nothing is deleted.  More than ``max_bytes``
+    of changed files are refused before anything is written.
     """
     epoch = store.acquire(owner)
     try:
@@ -36,6 +37,10 @@ def sync(store: Store, files: DataFrame, embed: Callable[[DataFrame], DataFrame]
         if not counts and parent is not None:
             return parent, counts
         made = files.join(found.where(F.col("action").isin("add", "modify")).select("path_key"), "path_key", "left_semi")
+        if max_bytes is not None:
+            total = made.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first().n
+            if total > max_bytes:
+                raise SnapshotError(f"{total} bytes changed, the budget is {max_bytes}")
         rows = chunking.chunk_table(made.select("path_key", "text"))
         rows = embed(rows) if embed else rows
         staged = store.path("staging", name)
@@ -127,6 +132,17 @@ def audit(store: Store) -> list[str]:
     return ["no snapshot"] if m is None else store.problems(m)
 
 
+def clone(store: Store, target: str) -> Store:
+    """A copy of a whole store under another folder, which must not exist."""
+    jvm = store.spark.sparkContext._jvm
+    conf = store.spark.sparkContext._jsc.hadoopConfiguration()
+    made = Store(store.spark, target, store.fingerprint)
+    if made.exists():
+        raise SnapshotError(f"{target} exists")
+    jvm.org.apache.hadoop.fs.FileUtil.copy(store.fs, store._path(store.root), made.fs, made._path(made.root), False, conf)
+    return made
+
+
 def repair_list(store: Store) -> DataFrame:
     """Paths whose current segment is missing: the ones to index again."""
     m = store.active()

@@ -140,10 +140,11 @@ def read_paths(spark: SparkSession, addresses: list[str], max_bytes: int) -> Dat
     return names.mapInArrow(run, "path string, modificationTime timestamp, length long, content binary")
 
 
-def scan(spark: SparkSession, root: str, endings: tuple[str, ...] = TEXT_ENDINGS, max_bytes: int = MAX_FILE_BYTES, hidden: bool = False) -> DataFrame:
+def scan(spark: SparkSession, root: str, endings: tuple[str, ...] = TEXT_ENDINGS, max_bytes: int = MAX_FILE_BYTES, hidden: bool = False, listed_only: DataFrame | None = None) -> DataFrame:
     """path_key, path_key_ci, size, mtime, hash, head_hash, text of the files below ``root`` that are neither ignored nor hidden.
 
-    Sizes are filtered in the reader, before contents are read.
+    Sizes are filtered in the reader, before contents are read.  ``listed_only``
+    (path_key), for example ``git_listing``, restricts the scan to a listing.
     """
     base = root.rstrip("/")
     read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).select("path", "modificationTime", "length", "content")
@@ -158,6 +159,8 @@ def scan(spark: SparkSession, root: str, endings: tuple[str, ...] = TEXT_ENDINGS
     kept = files.where(paths.extension(F.col("path_key")).isin(*endings))
     if not hidden:
         kept = kept.where(~F.col("path_key").rlike(r"(^|/)\."))
+    if listed_only is not None:
+        kept = kept.join(listed_only.select("path_key"), "path_key", "left_semi")
     out = ignored(kept, rule_table(spark, rules)).where(~F.col("ignored"))
     return out.select(
         "path_key",
@@ -170,6 +173,14 @@ def scan(spark: SparkSession, root: str, endings: tuple[str, ...] = TEXT_ENDINGS
     )
 
 
+def git_listing(spark: SparkSession, root: str) -> DataFrame:
+    """path_key of the tracked files of a work tree on the driver and of untracked ones that git does not ignore."""
+    import subprocess
+
+    out = subprocess.run(["git", "-C", root, "ls-files", "-z", "--cached", "--others", "--exclude-standard"], capture_output=True, check=True).stdout
+    return spark.createDataFrame([(p,) for p in sorted(set(out.decode("utf-8", "replace").split("\0")) - {""})], "path_key string")
+
+
 def check_collisions(files: DataFrame) -> None:
     """Raises if paths differ only in case, naming the first ones."""
     found = case_collisions(files).limit(20).collect()

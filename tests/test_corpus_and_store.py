@@ -81,6 +81,10 @@ def test_store_follows_a_model(spark, tmp_path):
     assert len(made.segments) == 1 and not made.tombstones and served(store) == model
     gone = sync.collect_garbage(store, newest=1, age_s=0)
     assert gone["segments"] and served(store) == model and sync.audit(store) == []
+    copy = sync.clone(store, f"file://{tmp_path}/copy")
+    assert served(copy) == model
+    with pytest.raises(SnapshotError):
+        sync.sync(store, files(spark, {**model, "new.rs": "fn new() {}"}), max_bytes=3)
     store.delete("active")
     assert store.active().snapshot_id == made.snapshot_id
 
@@ -107,3 +111,45 @@ def test_failures_leave_the_pointer(spark, tmp_path):
     assert store.acquire("two") == epoch + 1
     checks = {r.check: r.severity for r in sync.health(store, {"p95": 10, "off": 0}, {"p95": 20}).collect()}
     assert checks["snapshot"] == "ok" and checks["p95"] == "warn" and checks["off"] == "ok"
+
+
+def test_git_listing(spark, tmp_path):
+    import subprocess
+
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), *a], check=True, capture_output=True)
+    git("init", "-q")
+    (tmp_path / ".gitignore").write_text("out.rs\n")
+    for name in ("a.rs", "b.rs", "out.rs"):
+        (tmp_path / name).write_text("fn f() {}")
+    git("add", "a.rs")
+    listed = corpus.git_listing(spark, str(tmp_path))
+    assert {r.path_key for r in listed.collect()} == {".gitignore", "a.rs", "b.rs"}
+    got = corpus.scan(spark, str(tmp_path), listed_only=listed.where("path_key <> 'b.rs'"))
+    assert [r.path_key for r in got.collect()] == ["a.rs"]
+
+
+def test_suites(spark):
+    from hayloft.operators import evaluation
+
+    suite = """
+[[case]]
+id = "one"
+query = "q"
+expect_any_path_contains = ["a/", "zz"]
+expect_all_path_regex = ["b[0-9]"]
+[[case]]
+id = "two"
+query = "r"
+mode = "debug"
+expect_all_path_contains = ["c", "d"]
+"""
+    cases = evaluation.load_suite(spark, suite)
+    hits = spark.createDataFrame([("one", 1, "x"), ("one", 2, "a/b7"), ("two", 1, "c")], "case_id string, rank int, path string")
+    got = {r.case_id: r for r in evaluation.score_cases(cases, hits).collect()}
+    assert got["one"].passed and got["one"].first_hit_rank == 2 and got["one"].reciprocal_rank == 0.5
+    assert not got["two"].passed and list(got["two"].missing) == ["d"]
+    total = evaluation.summarise(evaluation.score_cases(cases, hits)).where("mode is null").first()
+    assert (total.total, total.passed, total.mrr) == (2, 1, 0.75)
+    assert evaluation.gate(0.5, 0.75, (0.6, 0.76)) == ["pass_rate 0.5000 < 0.5800"]
+    with pytest.raises(ValueError):
+        evaluation.load_suite(spark, suite, ("three",))
