@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_jaccard_lsh_forest": jaccard_join.ORACLE_SQL,
     "op4_topk_bitsliced": bitsliced.ORACLE_SQL,
     "op5_chat_parts": chat.ORACLE_SQL,
     "op10_decontaminate_prefix_join": decontaminate.ORACLE_SQL,

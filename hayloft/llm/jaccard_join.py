@@ -49,6 +49,8 @@ TARGET_RECALL = 0.9999
 BLOCK = 128
 #: Signatures that agree less than this far below the threshold are left out (over 5 standard deviations).
 SLACK = 0.2
+#: Members of a large node that agree with its leader in this share of min-hashes are tied to it.
+LEADER = 0.35
 FILTER_BITS = 24
 
 
@@ -144,6 +146,11 @@ def representatives(signed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
 
 
+def blocks_of(members: F.Column) -> F.Column:
+    """How many blocks a group is cut into: powers of two, so that the same rows share blocks in the nodes of most trees."""
+    return F.when(members <= BLOCK, 1).otherwise(F.pow(F.lit(2), F.ceil(F.log2(members / BLOCK)))).cast("int")
+
+
 def block_pairs(block, count) -> F.Column:
     """All unordered pairs (i, j) of blocks that ``block`` belongs to."""
     other = F.sequence(F.lit(0), count - 1)
@@ -220,14 +227,41 @@ def trie_nodes(reps: DataFrame, depth: int) -> DataFrame:
     members = reps.select("rep", F.explode(labels).alias("node"))
     shared = members.groupBy("node").agg(F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("rep").bitwiseAND(F.lit((1 << 40) - 1))).alias("all"), F.min("rep").alias("low")).where(F.col("members") > 1)
     chosen = shared.groupBy("members", "all", "low").agg(F.min("node").alias("node"))
-    return members.join(chosen.select("node", "members"), "node")
+    return members.join(chosen.select("node", "members", "low"), "node")
+
+
+def near_leaders(nodes: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """Rows of large nodes with ``agree``: in how many min-hashes a member agrees with its node's least representative."""
+    spark = nodes.sparkSession
+    large = nodes.where(F.col("members") > BLOCK).join(reps.select("rep", "sketch"), "rep")
+    both = large.join(reps.select(F.col("rep").alias("low"), F.col("sketch").alias("lead")), "low").select("node", "members", "low", "rep", "sketch", "lead")
+
+    def run(batches):
+        for batch in batches:
+            own, lead = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sketch", "lead"))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "members", "low", "rep", "sketch")), pa.array((own == lead).sum(axis=1), pa.int64())], names=["node", "members", "low", "rep", "sketch", "agree"])
+
+    return written(spark, both.mapInArrow(run, "node long, members long, low long, rep long, sketch binary, agree long"), "leaders")
 
 
 def candidate_edges(nodes: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    """Edges a, b between representatives of a node whose signatures may reach the threshold: a spanning forest per block pair."""
-    count = F.ceil(F.col("members") / BLOCK).cast("int")
+    """Edges a, b between representatives of a node whose signatures may reach the threshold.
+
+    In a large node every member is first compared with one leader and tied to
+    it if it is at all near.  Members as near to the leader as the threshold need
+    no further comparison there: whatever is within the threshold of them is
+    near the leader too (distances add up), and so already tied.  All other
+    members are compared pairwise, by pairs of blocks, each giving a spanning forest.
+    """
+    size = TREES * DEPTH
+    led = near_leaders(nodes, reps, threshold)
+    ties = led.where((F.col("agree") >= int(LEADER * size)) & (F.col("rep") != F.col("low"))).select(F.col("rep").alias("a"), F.col("low").alias("b"))
+    rest = led.where(F.col("agree") < int(threshold * size)).select("node", "rep", "sketch")
+    left = rest.join(rest.groupBy("node").agg(F.count(F.lit(1)).alias("members")), "node")
+    small = nodes.where(F.col("members") <= BLOCK).join(reps.select("rep", "sketch"), "rep").select("node", "rep", "sketch", "members")
+    count = blocks_of(F.col("members"))
     block = F.pmod(F.xxhash64("rep", F.lit(7)), count).cast("int")
-    own = nodes.select("node", "rep", block.alias("block"), count.alias("count")).join(reps.select("rep", "sketch"), "rep")
+    own = small.unionByName(left).select("node", "rep", "sketch", block.alias("block"), count.alias("count"))
     pairs = own.select("node", "rep", "sketch", "block", block_pairs(F.col("block"), F.col("count")).alias("p")).select("node", "p.i", "p.j", "rep", "sketch", "block")
     least = (threshold - SLACK) * TREES * DEPTH
 
@@ -258,7 +292,7 @@ def candidate_edges(nodes: DataFrame, reps: DataFrame, threshold: float) -> Data
         if held:
             yield _flush(out, ["a", "b"])
 
-    return pairs.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j").mapInArrow(run, "a long, b long")
+    return pairs.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j", "rep").mapInArrow(run, "a long, b long").unionByName(ties)
 
 
 def member_filter(members: DataFrame, column: str) -> np.ndarray:
@@ -312,7 +346,7 @@ def verified_links(sets: DataFrame, sizes: DataFrame, threshold: float) -> DataF
         F.array_except("lead", "shingles").alias("lacks"),
         F.array_except("shingles", "lead").alias("adds"),
     )
-    count = F.ceil(F.col("members") / BLOCK).cast("int")
+    count = blocks_of(F.col("members"))
     block = F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks")).cast("int")
     dealt = apart.join(sizes, ["cluster", "rep"]).withColumn("blocks", count).withColumn("block", block)
     pairs = dealt.select("*", block_pairs(F.col("block"), F.col("blocks")).alias("p")).select("cluster", "p.i", "p.j", "rep", "copies", "n", "n_lead", "lacks", "adds", "block", "blocks")
@@ -370,7 +404,7 @@ def verified_links(sets: DataFrame, sizes: DataFrame, threshold: float) -> DataF
         if held:
             yield _flush(out, names)
 
-    return pairs.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(run, "rep long, links long, root long, blocks long")
+    return pairs.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "rep").mapInArrow(run, "rep long, links long, root long, blocks long")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -420,3 +454,16 @@ def op1_jaccard_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs).drop("text_hash", "class")
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 10 * c >= 8 * (nx.n + ny.n - c)),
+r AS (SELECT doc_id AS x, doc_id AS root FROM d UNION SELECT l.y, r.root FROM r JOIN l ON l.x = r.x),
+k AS (SELECT x, min(root) AS class_id FROM r GROUP BY x), c AS (SELECT x, count(*) AS n_links FROM l GROUP BY x)
+SELECT d.doc_id, class_id, coalesce(n_links, 0) AS n_links, coalesce(n, 0) AS n_shingles
+FROM d JOIN k ON k.x = d.doc_id LEFT JOIN c ON c.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
