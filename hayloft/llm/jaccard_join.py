@@ -413,7 +413,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, target: float
     small_batches(spark)
     signed = written(spark, document_signatures(docs, id_col, text_col), "signed")
     reps = written(spark, representatives(signed, id_col), "representatives")
-    nodes = trie_nodes(reps, prefix_length(threshold, target))
+    nodes = written(spark, trie_nodes(reps, prefix_length(threshold, target)), "nodes")
     edges = written(spark, candidate_edges(nodes, reps, threshold), "candidates")
     clusters = components(spark, edges).select(F.col("node").alias("rep"), F.col("label").alias("cluster"))
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"))
