@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import Block, Words, blocks, hash_of_words, sequence_hash, small_batches, words
+from .blocks import Block, Words, blocks, hash_of_words, sequence_hash, small_batches, words, written
 
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -207,7 +207,8 @@ def _in_tasks(docs: DataFrame, w: Windows, text_col: str) -> DataFrame:
 def _by_join(docs: DataFrame, windows: DataFrame, window: int, text_col: str) -> DataFrame:
     """The same through a shuffle join, for benchmarks of any size."""
     spark = docs.sparkSession
-    numbered = docs.drop("n_words", "n_hit", "items").withColumn("_row", F.monotonically_increasing_id())
+    # numbered once: a second evaluation may split the table otherwise and number rows anew
+    numbered = written(spark, docs.drop("n_words", "n_hit", "items").withColumn("_row", F.monotonically_increasing_id()), "numbered")
 
     def shingle_rows(batches):
         for batch in batches:
@@ -219,8 +220,6 @@ def _by_join(docs: DataFrame, windows: DataFrame, window: int, text_col: str) ->
                 at += range(len(s))
             yield pa.RecordBatch.from_arrays([pa.array(index, pa.int64()), pa.array(hashes, pa.int64()), pa.array(at, pa.int32())], names=["window", "shingle", "offset"])
 
-    from .blocks import written
-
     windows = written(spark, windows.withColumn("window", F.monotonically_increasing_id()), "windows")
     shingles = written(spark, windows.select("window", "words").mapInArrow(shingle_rows, "window long, shingle long, offset int"), "shingles")
 

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .blocks import shared_folder, small_batches, string_buffers
 
@@ -71,34 +72,62 @@ def _runs(batches, file_bytes: int, text_col: str):
             yield number, batch, first, batch.num_rows
 
 
-def write_token_files(docs: DataFrame, path: str, ranks: str | None = None, file_bytes: int = FILE_BYTES, text_col: str = "text") -> None:
+def write_token_files(docs: DataFrame, path: str, ranks: str | None = None, file_bytes: int = FILE_BYTES, text_col: str = "text", id_col: str | None = None) -> None:
     """Encodes whole texts into flat files of 16-bit ids below ``path``, one per ``part=P/file=N`` folder.
 
-    P is the input partition and N counts its files; ``written_order`` names
-    each row's place.  Spark's text writer puts a row's bytes as they are, and
-    one line break at the file's end.
+    P is the input partition and N counts its files.  Spark's text writer puts
+    a row's bytes as they are, and one line break at the file's end.
+
+    With ``id_col``, those folders stand below ``kind=tokens``, and below
+    ``kind=order`` the same task writes each row's ordinal and id, which
+    ``saved_order`` reads.  Both come from one evaluation of ``docs``, so they
+    agree even if another job would split the table otherwise.
     """
     ranks = ranks or default_ranks()
     small_batches(docs.sparkSession)
+    id_type = docs.schema[id_col].dataType if id_col else T.LongType()
+    schema = T.StructType([T.StructField("file", T.IntegerType()), T.StructField("tokens", T.BinaryType()), T.StructField("ordinal", T.LongType()), T.StructField("id", id_type)])
 
     def run(batches):
         e, number, parts = encoder(ranks), None, []
+
+        def whole(ids: pa.DataType):
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([b"".join(parts)], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, ids)], names=schema.names)
+
+        ids = pa.int64()
         for n, batch, first, last in _runs(batches, file_bytes, text_col):
+            ids = batch.column(id_col).type if id_col else ids
             if number is not None and n != number:
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([b"".join(parts)], pa.binary())], names=["file", "tokens"])
+                yield whole(ids)
                 parts = []
-            number = n
-            for text in batch.column(text_col).slice(first, last - first).to_pylist():
+            number, k, before = n, last - first, len(parts)
+            for text in batch.column(text_col).slice(first, k).to_pylist():
                 parts.append(np.array([*e.encode_ordinary(text or ""), SEPARATOR], "<u2").tobytes())
+            if id_col:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, n), pa.int32()), pa.nulls(k, pa.binary()), pa.array(np.arange(before, before + k), pa.int64()), batch.column(id_col).slice(first, k)], names=schema.names)
         if parts:
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([b"".join(parts)], pa.binary())], names=["file", "tokens"])
+            yield whole(ids)
+
+    made = docs.select(*dict.fromkeys([text_col, *([id_col] if id_col else [])])).mapInArrow(run, schema)
+    tokens, place = F.col("tokens").cast("string"), F.to_json(F.struct("ordinal", "id"))
+    value, kind = F.when(F.col("tokens").isNull(), place).otherwise(tokens), F.when(F.col("tokens").isNull(), "order").otherwise("tokens")
+    rows = made.select(value.alias("value"), kind.alias("kind"), F.spark_partition_id().alias("part"), "file")
+    folders = ["kind", "part", "file"] if id_col else ["part", "file"]
+    rows.select("value", *folders).write.partitionBy(*folders).option("lineSep", "\n").text(path)
+
 
-    made = docs.select(text_col).mapInArrow(run, "file int, tokens binary")
-    made.select(F.col("tokens").cast("string").alias("value"), F.spark_partition_id().alias("part"), "file").write.partitionBy("part", "file").option("lineSep", "\n").text(path)
+def saved_order(spark: SparkSession, path: str, id_type: T.DataType, id_col: str = "doc_id") -> DataFrame:
+    """part, file, ordinal and id of every row, as ``write_token_files`` has written them beside the tokens."""
+    schema = T.StructType([T.StructField("ordinal", T.LongType()), T.StructField("id", id_type), T.StructField("kind", T.StringType()), T.StructField("part", T.IntegerType()), T.StructField("file", T.IntegerType())])
+    rows = spark.read.schema(schema).json(path).where(F.col("kind") == "order")
+    return rows.select("part", "file", "ordinal", F.col("id").alias(id_col))
 
 
 def written_order(docs: DataFrame, file_bytes: int = FILE_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """part, file, ordinal and id of every row, as ``write_token_files`` puts them."""
+    """part, file, ordinal and id of every row, as ``write_token_files`` puts them if it meets the same splits.
+
+    A second evaluation of ``docs``: only for tables whose splits are fixed.
+    """
 
     def run(batches):
         number, count = 0, 0
@@ -109,16 +138,14 @@ def written_order(docs: DataFrame, file_bytes: int = FILE_BYTES, id_col: str = "
             yield pa.RecordBatch.from_arrays([pa.array(np.full(k, n), pa.int32()), pa.array(np.arange(count, count + k), pa.int64()), batch.column(id_col).slice(first, k)], names=["file", "ordinal", id_col])
             count += k
 
-    from pyspark.sql import types as T
-
     schema = T.StructType([T.StructField("file", T.IntegerType()), T.StructField("ordinal", T.LongType()), docs.schema[id_col]])
     return docs.select(id_col, text_col).mapInArrow(run, schema).withColumn("part", F.spark_partition_id())
 
 
-def token_blocks(spark: SparkSession, path: str, block_tokens: int = BLOCK_TOKENS, width: int = 2) -> DataFrame:
-    """file path, block number and bytes of every block of the token files below ``path``."""
+def token_blocks(spark: SparkSession, path: str, block_tokens: int = BLOCK_TOKENS, width: int = 2, only: str = "") -> DataFrame:
+    """file path, block number and bytes of every block of the token files below ``path`` (of those whose path contains ``only``)."""
     size = block_tokens * width
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("length") >= width).select("path", "content", "length")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where((F.col("length") >= width) & F.contains("path", F.lit(only))).select("path", "content", "length")
     numbers = F.sequence(F.lit(0), F.floor((F.col("length") - 1) / size).cast("int"))
     return files.select("path", "content", F.explode(numbers).alias("block")).select("path", "block", F.substring("content", F.col("block") * size + 1, F.lit(size)).alias("bytes"))
 
@@ -163,20 +190,28 @@ def document_lengths(scanned: DataFrame) -> DataFrame:
     return whole.unionByName(unfinished)
 
 
-def count_tokens(spark: SparkSession, path: str, separator: int = SEPARATOR, block_tokens: int = BLOCK_TOKENS, width: int = 2) -> DataFrame:
-    """Documents and their token counts of all flat token files below ``path``."""
-    return document_lengths(scan_blocks(token_blocks(spark, path, block_tokens, width), separator, width))
+def count_tokens(spark: SparkSession, path: str, separator: int = SEPARATOR, block_tokens: int = BLOCK_TOKENS, width: int = 2, only: str = "") -> DataFrame:
+    """Documents and their token counts of all flat token files below ``path`` (of those whose path contains ``only``)."""
+    return document_lengths(scan_blocks(token_blocks(spark, path, block_tokens, width, only), separator, width))
 
 
-def op8_token_count_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token counts of every document, read from flat files made of the whole table."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    path = shared_folder(spark) + "/tokens"
-    write_token_files(docs, path)
-    found = count_tokens(spark, path)
+def placed_counts(order: DataFrame, found: DataFrame) -> DataFrame:
+    """Joins the counts of whole documents to ``saved_order``; a row without its counterpart is an error."""
     place = found.select(
         F.regexp_extract("path", r"part=(\d+)/file=(\d+)/", 1).cast("int").alias("part"),
         F.regexp_extract("path", r"part=(\d+)/file=(\d+)/", 2).cast("int").alias("file"),
         "ordinal", "first_token", "n_tokens",
     )
-    return written_order(docs).join(place, ["part", "file", "ordinal"]).select("doc_id", "n_tokens", "part", "file", "ordinal", "first_token")
+    both = order.withColumn("_placed", F.lit(True)).join(place, ["part", "file", "ordinal"], "full")
+    lost = F.col("_placed").isNull() | F.col("n_tokens").isNull()
+    return both.withColumn("n_tokens", F.when(lost, F.raise_error(F.lit("documents and token files do not agree")).cast("long")).otherwise(F.col("n_tokens"))).drop("_placed")
+
+
+def op8_token_count_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document, read from flat files made of the whole table."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    path = shared_folder(spark) + "/tokens"
+    write_token_files(docs, path, id_col="doc_id")
+    found = count_tokens(spark, path, only="/kind=tokens/")
+    counted = placed_counts(saved_order(spark, path, docs.schema["doc_id"].dataType), found)
+    return counted.select("doc_id", "n_tokens", "part", "file", "ordinal", "first_token")

@@ -54,3 +54,18 @@ def test_empty_tables_and_awkward_rows(spark, limit):
     assert D.decontaminate(h.empty(spark), some, broadcast_windows=limit).collect() == []
     got = {r.doc_id: r for r in D.decontaminate(h.awkward(spark), some, broadcast_windows=limit).collect()}
     assert got[5].n_hit == 6 and list(got[6]["items"]) == ["1"] and got[4].n_hit == 10 * len([k for k in range(0, 30_000, 977) if k + 10 <= 30_000]) and got[1].n_words == 0
+
+
+def test_join_holds_when_splits_change(spark, tmp_path):
+    docs, items = sample(5)
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/d")
+    table = spark.read.parquet(f"{tmp_path}/d")
+    got = D.decontaminate(table, spark.createDataFrame(items, "item_id long, text string"), broadcast_windows=0)
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "300")
+    try:
+        rows = got.collect()
+    finally:
+        spark.conf.set(key, before)
+    assert sorted((r.n_words, r.n_hit, list(r["items"])) for r in rows) == brute(docs, items)

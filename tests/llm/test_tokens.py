@@ -82,3 +82,32 @@ def test_awkward_token_files(spark, tmp_path):
     empty = f"file://{tmp_path}/e"
     token_count.write_token_files(h.empty(spark), empty)
     assert token_count.written_order(h.empty(spark)).collect() == []
+
+
+def test_counts_hold_when_splits_change(spark, tmp_path):
+    e = token_count.encoder(token_count.default_ranks())
+    docs = spark.read.parquet(f"{SF}/documents.parquet").repartition(3)
+    docs.write.option("parquet.block.size", 1 << 16).parquet(f"{tmp_path}/documents.parquet")
+    got = token_count.op8_token_count_scan(spark, str(tmp_path))
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "20k")
+    try:
+        rows = got.collect()
+    finally:
+        spark.conf.set(key, before)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert len(rows) == len(texts) and {r.doc_id: r.n_tokens for r in rows} == {k: len(e.encode_ordinary(t)) for k, t in texts.items()}
+
+
+def test_saved_order_of_awkward_rows(spark, tmp_path):
+    path, docs = f"file://{tmp_path}/t", h.awkward(spark).coalesce(1)
+    token_count.write_token_files(docs, path, file_bytes=64, id_col="doc_id")
+    order = token_count.saved_order(spark, path, docs.schema["doc_id"].dataType)
+    e = token_count.encoder(token_count.default_ranks())
+    got = token_count.placed_counts(order, token_count.count_tokens(spark, path, only="/kind=tokens/")).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == sorted((r[0] or 0, len(e.encode_ordinary(r[1] or ""))) for r in h.AWKWARD)
+    empty = f"file://{tmp_path}/e"
+    token_count.write_token_files(h.empty(spark), empty, id_col="doc_id")
+    order = token_count.saved_order(spark, empty, docs.schema["doc_id"].dataType)
+    assert token_count.placed_counts(order, token_count.count_tokens(spark, empty, only="/kind=tokens/")).collect() == []
