@@ -1,6 +1,6 @@
 """Sharding by fixed virtual slots.
 
-Records hash into a fixed number of virtual slots.  Bytes and rows are summed
+Records and their copies hash into a fixed number of virtual slots.  Bytes and rows are summed
 per slot, and a versioned table maps slots to shards.  Rebalancing edits that
 table: it moves whole slots, records never hash anew.
 
@@ -8,9 +8,10 @@ The law kept is ``bytes``: shard sizes near equal.  With thousands of slots
 for a few shards, giving the largest slots first to the lightest shard leaves
 differences of about one slot.
 
-Defined results: a null text has no bytes (size 1, checksum 0); a null id
-hashes by its text; repeated rows of one id share a slot and get neighbouring
-positions; an empty table gives no rows and a map with every slot on a shard;
+Defined results: a null text has no bytes (size 1, checksum 0); a slot follows
+from id, size, checksum and, among rows equal in these, a copy number, so
+that neither rows of one id nor copies of one text gather in a slot; an empty
+table gives no rows and a map with every slot on a shard;
 other columns are not looked at.
 """
 
@@ -25,6 +26,8 @@ from pyspark.sql import types as T
 from .blocks import shared_folder
 
 SLOTS = 1 << 14
+#: Copies of one row that are made in one piece.
+COPIES = 4096
 
 MAP_SCHEMA = T.StructType(
     [
@@ -39,16 +42,24 @@ MAP_SCHEMA = T.StructType(
 
 
 def with_slots(docs: DataFrame, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, size, text_crc32 and virtual slot of every row; the text itself is dropped."""
+    """id, size, text_crc32 and virtual slot of every row; the text itself is dropped.
+
+    Rows equal in id, size and checksum are the same row here.  They are counted
+    and made again with numbers, which the hash takes in: copies spread over all
+    slots, and a second evaluation gives the same rows.  Counts above ``COPIES``
+    are first dealt out in pieces of that many.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    crc = F.crc32(text.cast("binary"))
-    key = F.when(F.col(id_col).isNull(), F.xxhash64(crc)).otherwise(F.xxhash64(F.col(id_col)))
-    return docs.select(
-        F.col(id_col),
-        (F.octet_length(text) + 1).cast("long").alias("size"),
-        crc.cast("long").alias("text_crc32"),
-        F.pmod(key, F.lit(slots)).cast("int").alias("virtual_slot"),
-    )
+    size, crc = (F.octet_length(text) + 1).cast("long"), F.crc32(text.cast("binary")).cast("long")
+    key = [id_col, "size", "text_crc32"]
+    counted = docs.select(F.col(id_col), size.alias("size"), crc.alias("text_crc32")).groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    few = counted.where(F.col("_n") <= COPIES).select(*key, F.lit(0).cast("long").alias("_from"), F.col("_n").alias("_to"))
+    pieces = counted.where(F.col("_n") > COPIES).select(*key, "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(COPIES).cast("long"))).alias("_from"))
+    # a given number, as small rows that become many must not be put together
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    many = pieces.repartition(parts, *key, "_from").select(*key, "_from", F.least("_n", F.col("_from") + COPIES).alias("_to"))
+    rows = few.unionByName(many).select(*key, F.explode(F.sequence("_from", F.col("_to") - 1)).alias("_copy"))
+    return rows.select(*key, F.pmod(F.xxhash64(*key, "_copy"), F.lit(slots)).cast("int").alias("virtual_slot"))
 
 
 def slot_totals(slotted: DataFrame) -> DataFrame:

@@ -48,3 +48,21 @@ def test_rebalancing_edits_the_map(spark, tmp_path):
     S.save_map(spark, path, 2, grown, totals)
     assert [r.shard for r in S.load_map(spark, path).orderBy("virtual_slot").collect()] == grown
     assert [r.shard for r in S.load_map(spark, path, 1).orderBy("virtual_slot").collect()] == first
+
+
+def test_repeated_rows_spread(spark):
+    """A third of the rows on one id and text, a third without id on one text, a third on one id with own texts."""
+    n = 30000
+    key = F.col("id") % 3
+    text = F.when(key < 2, F.repeat(F.lit("copied "), 5)).otherwise(F.concat(F.lit("own text "), F.col("id").cast("string")))
+    docs = spark.range(n).select(F.when(key == 0, 7).when(key == 2, 8).cast("long").alias("doc_id"), text.alias("text"))
+    got = S.shard_documents(docs, shards=16).select("doc_id", "size", "shard", "slot", "virtual_slot")
+    rows = got.collect()
+    held, slots = {}, {}
+    for r in rows:
+        held[r.shard] = held.get(r.shard, 0) + r.size
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert len(rows) == n and sum(held.values()) == docs.agg(F.sum(F.octet_length("text") + 1)).first()[0]
+    assert len(held) == 16 and max(held.values()) - min(held.values()) <= 0.02 * sum(held.values()) / 16
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert sorted((r.doc_id or 0, r.virtual_slot) for r in rows) == sorted((r.doc_id or 0, r.virtual_slot) for r in S.with_slots(docs.repartition(5)).collect())
