@@ -25,9 +25,8 @@ def store_limit(limit: int, mode: str) -> int:
 
 def scored_pairs(queries: DataFrame, chunks: DataFrame, limit: int = BROADCAST_QUERIES) -> DataFrame:
     """Every chunk with every stated query and their inner product ``score``; queries have query_id and query_vector."""
-    if queries.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} queries at once; split the query table into blocks")
-    return chunks.join(F.broadcast(queries), F.lit(True)).withColumn("score", vectors.dot(F.col("query_vector"), F.col("embedding")))
+    few = queries.limit(limit + 1).count() <= limit
+    return chunks.join(F.broadcast(queries) if few else queries, F.lit(True)).withColumn("score", vectors.dot(F.col("query_vector"), F.col("embedding")))
 
 
 def top_k(pairs: DataFrame, k: int, by: list[str], order: list[Column], name: str = "branch_rank") -> DataFrame:

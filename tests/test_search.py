@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hayloft.config import Settings
-from hayloft.operators import ann, chunking, embedding, present
+from hayloft.operators import ann, chunking, embedding, present, retrieval
 from hayloft.plans import search
 from hayloft.sources import tables
 
@@ -72,3 +72,11 @@ def test_cells_find_what_exact_search_finds(spark, tmp_path):
     exact = index.search(q, 10, probes=len(index.centres))
     assert exact.count() == 10 * q.count()
     assert ann.recall(index.search(q, 10, probes=6), exact) >= 0.9
+
+
+def test_many_queries_give_the_same_pairs(spark):
+    vector = lambda x: F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: (x * k % 7).cast("double"))
+    queries = spark.range(5).select(F.col("id").alias("query_id"), vector(F.col("id")).alias("query_vector"))
+    chunks = spark.range(40).select(F.col("id").alias("row_id"), vector(F.col("id")).alias("embedding"))
+    pairs = lambda limit: sorted(map(tuple, retrieval.scored_pairs(queries, chunks, limit).select("query_id", "row_id", "score").collect()))
+    assert len(pairs(4)) == 200 and pairs(4) == pairs(5)
