@@ -317,18 +317,23 @@ def training_windows(texts: list[str], seed: int = 11, steps: int = 24, plants:
     return np.array(features), np.array(tags), np.array(mask)
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE_DOCUMENTS, text_col: str = "text") -> Field | None:
-    """Trains on about ``sample`` documents, drawn by a hash of their text; None without texts.
+def drawn_texts(docs: DataFrame, sample: int = SAMPLE_DOCUMENTS, text_col: str = "text") -> list[str]:
+    """The ``sample`` distinct texts with the least hashes, sorted; fewer only where there are fewer.
 
-    The number of documents is the documented bound; distinct texts are drawn
-    whole, wherever they stand.
+    Copies count once, wherever they stand, so the draw depends on the set of texts alone.
     """
-    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.length("text") > 0)
-    n = texts.count()
-    share = min(1.0, sample / max(n, 1))
-    drawn = texts.where(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000)).limit(2 * sample)
-    rows = {r.text for r in drawn.collect()}
-    rows = sorted(rows)
+    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.length("text") > 0).withColumn("hash", F.xxhash64("text", F.lit(5)))
+    least = [r["hash"] for r in texts.select("hash").distinct().orderBy("hash").limit(sample).collect()]
+    if not least:
+        return []
+    # whole texts travel only below the last hash that was drawn, and each once from a task
+    rows = texts.where(F.col("hash") <= least[-1]).distinct().orderBy("hash", "text").limit(sample).collect()
+    return sorted(r.text for r in rows)
+
+
+def fit(docs: DataFrame, sample: int = SAMPLE_DOCUMENTS, text_col: str = "text") -> Field | None:
+    """Trains on ``sample`` distinct texts (``drawn_texts``), the documented bound; None without texts."""
+    rows = drawn_texts(docs, sample, text_col)
     if not rows:
         return None
     return train(*training_windows(rows))

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from hayloft.llm import secret_scan as S
 from hayloft.llm.blocks import Block
@@ -76,3 +77,18 @@ def test_awkward_rows_and_redaction(spark):
     one = spark.createDataFrame([(1, "a token = abcdef1 b 0123456789abcdef01234567é"), (2, None)], "doc_id long, text string")
     got = {r.doc_id: r.text for r in S.redact(S.scan(one, None)).collect()}
     assert got == {1: "a [SECRET] b [SECRET]é", 2: None}
+
+
+def test_copies_do_not_fill_the_draw(spark, monkeypatch):
+    """A hot text within the draw takes one place, and the order of rows changes nothing."""
+    hashed = "pmod(xxhash64(text, 5), 1000000)"
+    own = spark.range(200).selectExpr("concat('own text number ', id) AS text")
+    hot = own.orderBy(F.expr(hashed)).first().text
+    docs = own.where(F.col("text") != hot).unionByName(spark.range(5000).select(F.lit(hot).alias("text")))
+    drawn = []
+    monkeypatch.setattr(S, "training_windows", lambda texts: (drawn.append(texts),))
+    monkeypatch.setattr(S, "train", lambda *a: None)
+    S.fit(docs.repartition(3), sample=50)
+    S.fit(docs.repartition(7), sample=50)
+    want = sorted(r.text for r in own.orderBy(F.expr("xxhash64(text, 5)")).limit(50).collect())
+    assert drawn == [want, want]
