@@ -1,11 +1,11 @@
-"""N-gram Jaccard join: a MinHash LSH forest with exact verification.
+"""N-gram Jaccard join: MinHash bands with exact verification.
 
 Documents are sets of shingles of five words.  Equal sets are one class and
 travel as one representative.  A signature of min-hashes is cut into trees;
-in each tree the representatives form a prefix trie over their labels.  Nodes
-deep in the trie match the most similar ones; matched prefixes are shortened
-level by level until the recall at the threshold reaches the target, and the
-nodes of that level give the candidates.
+of each, the first min-hashes are matched by equality, at one depth for all:
+the largest at which the recall at the threshold reaches the target by
+formula.  That is banding at a fixed depth, in place of a forest's descent;
+what matches in a tree forms a node, and nodes give the candidates.
 
 Within a node, candidates are compared by signature, which leaves out pairs
 far below the threshold, and the rest connects representatives to clusters.
