@@ -1,17 +1,27 @@
-"""N-gram Jaccard join: MinHash bands with exact verification.
+"""N-gram Jaccard join: a MinHash LSH forest with exact verification.
 
 Documents are sets of shingles of five words.  Equal sets are one class and
-travel as one representative.  A signature of min-hashes is cut into trees;
-of each, the first min-hashes are matched by equality, at one depth for all:
-the largest at which the recall at the threshold reaches the target by
-formula.  That is banding at a fixed depth, in place of a forest's descent;
-what matches in a tree forms a node, and nodes give the candidates.
+travel as one representative.  A signature of min-hashes is cut into trees, and
+a representative's label in a tree is its run of ``DEPTH`` min-hashes.
+
+The forest: all labels are sorted (by ranges, so that no task holds a tree or a
+group of equal labels), which lays every tree out as a prefix trie: a node is a
+stretch of labels with a common prefix.  Longest common prefixes with the
+neighbours and the lengths of the stretches tell, for each representative and
+tree, which nodes it shares and how crowded they are.  Matched prefixes are
+then shortened from ``DEPTH`` to ``LEAST_DEPTH`` in every tree, except that each
+representative leaves out its most crowded nodes while the others still find a
+partner at the threshold with the target recall (``TARGET_RECALL``): so dense
+regions are matched by long prefixes, sparse ones by short prefixes.  A node
+that one of its members asks for gives candidates among all its members.
 
 Within a node, candidates are compared by signature, which leaves out pairs
 far below the threshold, and the rest connects representatives to clusters.
-Clusters are then verified exactly: every pair of a cluster is decided on its
-full shingle sets.  Large nodes and clusters are dealt out as pairs of small
-blocks, so that no task holds a group, and tasks return counts per
+Clusters are then verified exactly on whole shingle sets.  Members of a large
+cluster are banded by their exact distance to its first set; as distances add
+up, two bands that both lie near it are linked as a whole and two that are far
+apart not at all, and only the other bands are compared, dealt out as pairs of
+small blocks, so that no task holds a group.  Tasks return counts per
 representative and a spanning forest, never the pairs.  Sets are sent as
 differences to the cluster's first set.
 
@@ -24,41 +34,43 @@ Defined results: a text of one to four words is one shingle of all its words;
 null and wordless texts have no shingles, link to nothing and are a class each
 (class_id is their own doc_id); repeated rows count as copies of each other; a
 null doc_id is carried as it is, and a class of null ids has a null class_id;
-other columns are not looked at.  Text identity rests on 64-bit hashes.
+other columns are not looked at.  Equality of sets rests on 128 bits of hash.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import Block, blocks, mix, sequence_hash, small_batches, words, written
-from .components import components
+from .blocks import Block, Scratch, blocks, mix, sequence_hash, small_batches, string_buffers, words
+from .components import components, split_join
 from .decontaminate import CAPITALS, SMALL, WORD_PATTERN
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
-TREES, DEPTH = 20, 6
+TREES, DEPTH, LEAST_DEPTH = 20, 6, 3
 TARGET_RECALL = 0.9999
-#: Rows of a block of candidates; tasks hold two.
+#: Bytes of one tree's label.
+LABEL = 2 * DEPTH
+#: Rows of a block of candidates; tasks hold two.  A node or cluster of more is crowded.
 BLOCK = 128
 #: Signatures that agree less than this far below the threshold are left out (over 5 standard deviations).
 SLACK = 0.2
 #: Members of a large node that agree with its leader in this share of min-hashes are tied to it.
 LEADER = 0.35
-FILTER_BITS = 24
+#: Width of a band of distances to a large cluster's first set.
+BAND = 0.02
 
 
-def prefix_length(threshold: float = THRESHOLD, target: float = TARGET_RECALL, trees: int = TREES, depth: int = DEPTH) -> int:
-    """Shortens the matched prefix until pairs at the threshold meet in some tree with the target recall."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < target:
-        depth -= 1
-    return depth
+def missed(depth: int, threshold: float) -> float:
+    """Log of the chance that a pair at the threshold doesn't share a tree's node at this depth."""
+    return math.log1p(-(threshold**depth))
 
 
 def shingles(block: Block, k: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -91,59 +103,75 @@ def shingle_sets(block: Block) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(row, np.arange(block.rows + 1))
 
 
+def set_keys(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of every row's set: sums over its members, differently mixed."""
+    n = np.diff(first).astype(np.uint64)
+    out = []
+    for seed in (np.uint64(0), np.uint64(0xC2B2AE3D27D4EB4F)):
+        total = np.concatenate([[np.uint64(0)], np.cumsum(mix(hashes ^ seed))])
+        out.append(mix((total[first[1:]] - total[first[:-1]]) ^ n).view(np.int64))
+    return out[0], out[1]
+
+
 def signatures(hashes: np.ndarray, first: np.ndarray, size: int = TREES * DEPTH, seed: int = 3) -> np.ndarray:
-    """Min-hashes (rows x size, 32 bits); rows without shingles get zeros."""
+    """Min-hashes (rows x size), each cut to 16 bits; rows without shingles get zeros."""
     rng = np.random.default_rng(seed)
     factor = rng.integers(0, 1 << 32, size, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
     flip = rng.integers(0, 1 << 32, size, dtype=np.uint64).astype(np.uint32)
     some = np.flatnonzero(np.diff(first))
-    out = np.zeros((len(first) - 1, size), np.uint32)
+    out = np.zeros((len(first) - 1, size), np.uint16)
     if len(some):
         short = (hashes >> np.uint64(32)).astype(np.uint32)
         for k in range(size):
-            out[some, k] = np.minimum.reduceat((short ^ flip[k]) * factor[k], first[some])
+            least = np.minimum.reduceat((short ^ flip[k]) * factor[k], first[some])
+            out[some, k] = (least * np.uint32(0x9E3779B1)) >> np.uint32(16)
     return out
 
 
 def document_signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each row: id, text_hash, set_hash, n (distinct shingles), signature, sketch (one byte a min-hash)."""
-    given = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    schema = T.StructType(
-        [
-            docs.schema[id_col],
-            T.StructField("text_hash", T.LongType()),
-            T.StructField("set_hash", T.LongType()),
-            T.StructField("n", T.LongType()),
-            T.StructField("signature", T.BinaryType()),
-            T.StructField("sketch", T.BinaryType()),
-        ]
-    )
+    """For each row: id, hashes of row, text and set, n (distinct shingles), signature (two bytes a min-hash)."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    given = docs.select(F.col(id_col).alias("id"), text.alias("text"))
+    given = given.select("id", "text", *row_keys(F.col("id"), F.col("text")), F.xxhash64("text").alias("text_hash"))
+    carried = ["id", "row_hash", "row_check", "text_hash"]
+    made = ["set_hash", "set_check", "n"]
+    schema = T.StructType([*(given.schema[c] for c in carried), *(T.StructField(c, T.LongType()) for c in made), T.StructField("signature", T.BinaryType())])
 
     def run(batches):
         for batch in batches:
             for block in blocks(batch.column("text")):
                 hashes, first = shingle_sets(block)
-                signature = signatures(hashes, first)
-                n = np.diff(first)
-                total = np.concatenate([[np.uint64(0)], np.cumsum(mix(hashes))])
-                set_hash = mix((total[first[1:]] - total[first[:-1]]) ^ n.astype(np.uint64))
-                sketch = ((signature * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
                 part = batch.slice(block.first, block.rows)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(id_col), part.column("text_hash"), pa.array(set_hash.view(np.int64)), pa.array(n, pa.int64()), pa.array([x.tobytes() for x in signature], pa.binary()), pa.array([x.tobytes() for x in sketch], pa.binary())],
-                    names=schema.names,
-                )
+                own = [*map(pa.array, set_keys(hashes, first)), pa.array(np.diff(first), pa.int64()), fixed(signatures(hashes, first))]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), *own], names=schema.names)
 
     return given.mapInArrow(run, schema)
 
 
-def representatives(signed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row per distinct shingle set: rep (its least text hash), copies, first_doc, signature, sketch."""
-    return (
-        signed.where(F.col("n") > 0)
-        .groupBy("set_hash", "n")
-        .agg(F.min("text_hash").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min(id_col).alias("first_doc"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch"))
-    )
+def row_keys(row_id: F.Column, text: F.Column) -> list[F.Column]:
+    """128 bits that stand for a row's id and text."""
+    return [F.xxhash64(text, row_id).alias("row_hash"), F.xxhash64(F.lit(7), text, row_id).alias("row_check")]
+
+
+def fixed(rows: np.ndarray) -> pa.Array:
+    """The rows of a matrix as binary values of one size."""
+    width = rows.shape[1] * rows.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((np.arange(len(rows) + 1) * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def matrix(column: pa.Array, width: int) -> np.ndarray:
+    """The rows of ``fixed`` again, as 16-bit numbers."""
+    return np.frombuffer(string_buffers(column)[0].tobytes(), np.uint16).reshape(-1, width)
+
+
+SET = ["set_hash", "set_check", "n"]
+
+
+def representatives(signed: DataFrame) -> DataFrame:
+    """One row per distinct shingle set: number (unique), a text hash, copies, first_doc, signature."""
+    sets = signed.where(F.col("n") > 0).groupBy(*SET)
+    found = sets.agg(F.min("text_hash").alias("text_hash"), F.count(F.lit(1)).alias("copies"), F.min("id").alias("first_doc"), F.first("signature").alias("signature"))
+    return found.withColumn("rep", F.monotonically_increasing_id())
 
 
 def blocks_of(members: F.Column) -> F.Column:
@@ -217,34 +245,116 @@ def _flush(rows: list[list[np.ndarray]], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in rows], names=names)
 
 
-def trie_nodes(reps: DataFrame, depth: int) -> DataFrame:
-    """rep, sketch and node for every node at this depth that holds two or more representatives.
+TRIE = "rep long, tree int, depth int, node long, size long, open boolean, head boolean"
+
 
-    Nodes of several trees with the same members are one.
+def trie_stretches(tree: np.ndarray, label: np.ndarray, crowded: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The nodes in a stretch of sorted labels, as (depth, rows, node hash, size here, open).
+
+    A node is open if it reaches the first or the last row, as it may go on
+    beyond.  A node whose parent is not crowded is left out, as the parent has all
+    its members; so are nodes of one row that aren't open.
     """
-    width = 4 * DEPTH
-    labels = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(t, F.col("signature").substr(t * width + 1, F.lit(4 * depth))))
-    members = reps.select("rep", F.explode(labels).alias("node"))
-    shared = members.groupBy("node").agg(F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("rep").bitwiseAND(F.lit((1 << 40) - 1))).alias("all"), F.min("rep").alias("low")).where(F.col("members") > 1)
-    chosen = shared.groupBy("members", "all", "low").agg(F.min("node").alias("node"))
-    return members.join(chosen.select("node", "members", "low"), "node")
+    n = len(tree)
+    same = np.cumprod(label[1:] == label[:-1], axis=1, dtype=np.uint8).sum(axis=1) * (tree[1:] == tree[:-1])
+    key = mix(tree.astype(np.uint64) + np.uint64(1))
+    parent = np.ones(n, bool)
+    for depth in range(1, DEPTH + 1):
+        key = mix(key ^ label[:, depth - 1].astype(np.uint64))
+        if depth < LEAST_DEPTH:
+            continue
+        run = np.concatenate([[0], np.cumsum(same < depth)])
+        size = np.bincount(run)[run]
+        open_ = (run == 0) | (run == run[-1])
+        rows = np.flatnonzero(parent & ((size > 1) | open_))
+        yield depth, rows, key[rows], size[rows], open_[rows]
+        parent = (size > crowded) | open_
 
 
-def near_leaders(nodes: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+def sorted_tries(reps: DataFrame, scratch: Scratch) -> DataFrame:
+    """rep, tree, depth, node and size: the nodes that a representative shares with another, by tree and depth."""
+    crowded = BLOCK
+    trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
+    labels = reps.select("rep", "signature", trees).select("tree", F.col("signature").substr(F.col("tree") * LABEL + 1, F.lit(LABEL)).alias("label"), "rep")
+
+    def run(batches):
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        whole = _joined(parts)
+        rep, tree = whole.column("rep").to_numpy(), whole.column("tree").to_numpy()
+        for depth, rows, node, size, open_ in trie_stretches(tree, matrix(whole.column("label"), DEPTH), crowded):
+            head = np.concatenate([[True], node[1:] != node[:-1]])[: len(rows)] & open_
+            columns = [rep[rows], tree[rows], np.full(len(rows), depth, np.int32), node.view(np.int64), size, open_, head]
+            for a in range(0, len(rows), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 50_000]) for c in columns], names=["rep", "tree", "depth", "node", "size", "open", "head"])
+
+    laid = scratch.write(labels.repartitionByRange("tree", "label", "rep").sortWithinPartitions("tree", "label", "rep").mapInArrow(run, TRIE), "trie")
+    # a partition has at most two open nodes at each depth: a few rows per partition, whatever the data
+    cut = laid.where("head").groupBy("node").agg(F.sum("size").alias("whole"))
+    closed = laid.where(~F.col("open"))
+    joined = laid.where("open").join(F.broadcast(cut), "node").withColumn("size", F.col("whole")).where(F.col("size") > 1)
+    columns = ["rep", "tree", "depth", "node", "size"]
+    return closed.select(*columns).unionByName(joined.select(*columns))
+
+
+def asked_nodes(tries: DataFrame, threshold: float, target: float) -> DataFrame:
+    """The crowded nodes (node, size) that some member needs.
+
+    Without any node left out a pair at the threshold is missed with chance
+    (1 - threshold^LEAST_DEPTH)^TREES.  A representative leaves out its most
+    crowded nodes, each adding to that chance what its depth had taken off, as
+    long as the recall stays at the target.
+    """
+    # what matching a tree at this depth takes off, beyond the next longer prefix
+    gain = {d: missed(d, threshold) - (missed(d + 1, threshold) if d < DEPTH else 0.0) for d in range(LEAST_DEPTH, DEPTH + 1)}
+    table = F.create_map(*(F.lit(x) for d, g in gain.items() for x in (d, g)))
+    crowded_first = Window.partitionBy("rep").orderBy(F.desc("size"), "depth", "tree", "node").rowsBetween(Window.unboundedPreceding, 0)
+    left = F.lit(TREES * missed(LEAST_DEPTH, threshold)) - F.sum(table[F.col("depth")]).over(crowded_first)
+    return tries.withColumn("left", left).where(F.col("left") > math.log(1 - target)).select("node", "size").distinct()
+
+
+def parts_of(size: F.Column) -> F.Column:
+    """How many parts the rows of a node of this size are dealt to in a join."""
+    return F.ceil(size / (64 * BLOCK)).cast("int")
+
+
+def node_members(tries: DataFrame, threshold: float, target: float) -> DataFrame:
+    """rep, node, size and low (the least member) for the members of every node that gives candidates.
+
+    Nodes with the same members are one.  Members and node meet by (node, size)
+    and a part, so that a large node's rows are dealt over tasks.
+    """
+    part = F.pmod(F.xxhash64("rep", F.lit(5)), parts_of(F.col("size"))).cast("int").alias("part")
+    every = F.explode(F.sequence(F.lit(0), parts_of(F.col("size")) - 1)).alias("part")
+    crowded = F.col("size") > BLOCK
+    asked = asked_nodes(tries.where(crowded), threshold, target).select("node", "size", every)
+    wide = tries.where(crowded).select("rep", "node", "size", part).join(asked, ["node", "size", "part"], "left_semi")
+    members = tries.where(~crowded).select("rep", "node", "size", part).unionByName(wide.select("rep", "node", "size", "part"))
+    nodes = members.groupBy("node", "size").agg(F.sum(F.xxhash64("rep").bitwiseAND(F.lit((1 << 40) - 1))).alias("all"), F.min("rep").alias("low"))
+    chosen = nodes.groupBy("size", "all", "low").agg(F.min("node").alias("node"))
+    return members.join(chosen.select("node", "size", "low", every), ["node", "size", "part"]).select("rep", "node", "size", "low")
+
+
+def near_leaders(nodes: DataFrame, reps: DataFrame, scratch: Scratch) -> DataFrame:
     """Rows of large nodes with ``agree``: in how many min-hashes a member agrees with its node's least representative."""
-    spark = nodes.sparkSession
-    large = nodes.where(F.col("members") > BLOCK).join(reps.select("rep", "sketch"), "rep")
-    both = large.join(reps.select(F.col("rep").alias("low"), F.col("sketch").alias("lead")), "low").select("node", "members", "low", "rep", "sketch", "lead")
+    crowded = nodes.where(F.col("size") > BLOCK)
+    part = F.pmod(F.xxhash64("rep", F.lit(5)), parts_of(F.col("size"))).cast("int").alias("part")
+    every = F.explode(F.sequence(F.lit(0), parts_of(F.col("size")) - 1)).alias("part")
+    lead = crowded.where(F.col("rep") == F.col("low")).select("node", "size", "low").join(reps.select(F.col("rep").alias("low"), F.col("signature").alias("lead")), "low")
+    large = crowded.select("rep", "node", "size", "low", part).join(reps.select("rep", "signature"), "rep")
+    both = large.join(lead.select("node", "size", "lead", every), ["node", "size", "part"]).select("node", "size", "low", "rep", "signature", "lead")
 
     def run(batches):
         for batch in batches:
-            own, lead = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sketch", "lead"))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "members", "low", "rep", "sketch")), pa.array((own == lead).sum(axis=1), pa.int64())], names=["node", "members", "low", "rep", "sketch", "agree"])
+            own, lead = (matrix(batch.column(c), TREES * DEPTH) for c in ("signature", "lead"))
+            kept = ("node", "size", "low", "rep", "signature")
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array((own == lead).sum(axis=1), pa.int64())], names=[*kept, "agree"])
 
-    return written(spark, both.mapInArrow(run, "node long, members long, low long, rep long, sketch binary, agree long"), "leaders")
+    return scratch.write(both.mapInArrow(run, "node long, size long, low long, rep long, signature binary, agree long"), "leaders")
 
 
-def candidate_edges(nodes: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+def candidate_edges(nodes: DataFrame, reps: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     """Edges a, b between representatives of a node whose signatures may reach the threshold.
 
     In a large node every member is first compared with one leader and tied to
@@ -254,16 +364,16 @@ def candidate_edges(nodes: DataFrame, reps: DataFrame, threshold: float) -> Data
     members are compared pairwise, by pairs of blocks, each giving a spanning forest.
     """
     size = TREES * DEPTH
-    led = near_leaders(nodes, reps, threshold)
+    led = near_leaders(nodes, reps, scratch)
     ties = led.where((F.col("agree") >= int(LEADER * size)) & (F.col("rep") != F.col("low"))).select(F.col("rep").alias("a"), F.col("low").alias("b"))
-    rest = led.where(F.col("agree") < int(threshold * size)).select("node", "rep", "sketch")
-    left = rest.join(rest.groupBy("node").agg(F.count(F.lit(1)).alias("members")), "node")
-    small = nodes.where(F.col("members") <= BLOCK).join(reps.select("rep", "sketch"), "rep").select("node", "rep", "sketch", "members")
-    count = blocks_of(F.col("members"))
+    rest = led.where(F.col("agree") < int(threshold * size)).select("node", "rep", "signature")
+    left = split_join(rest, rest.groupBy("node").agg(F.count(F.lit(1)).alias("size")), ["node"], "rep")
+    small = nodes.where(F.col("size") <= BLOCK).join(reps.select("rep", "signature"), "rep").select("node", "rep", "signature", "size")
+    count = blocks_of(F.col("size"))
     block = F.pmod(F.xxhash64("rep", F.lit(7)), count).cast("int")
-    own = small.unionByName(left).select("node", "rep", "sketch", block.alias("block"), count.alias("count"))
-    pairs = own.select("node", "rep", "sketch", "block", block_pairs(F.col("block"), F.col("count")).alias("p")).select("node", "p.i", "p.j", "rep", "sketch", "block")
-    least = (threshold - SLACK) * TREES * DEPTH
+    own = small.unionByName(left.select("node", "rep", "signature", "size")).select("node", "rep", "signature", block.alias("block"), count.alias("count"))
+    pairs = own.select("node", "rep", "signature", "block", block_pairs(F.col("block"), F.col("count")).alias("p")).select("node", "p.i", "p.j", "rep", "signature", "block")
+    least = (threshold - SLACK) * size
 
     def run(batches):
         out: list[list[np.ndarray]] = [[], []]
@@ -272,12 +382,12 @@ def candidate_edges(nodes: DataFrame, reps: DataFrame, threshold: float) -> Data
             if group.num_rows < 2:
                 continue
             rep = group.column("rep").to_numpy()
-            sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(rep), -1)
+            signature = matrix(group.column("signature"), size)
             block = group.column("block").to_numpy()
             inner = group.column("i")[0].as_py() == group.column("j")[0].as_py()
             left, right = [], []
             for a in range(len(rep) - 1):
-                near = np.flatnonzero((sketch[a + 1 :] == sketch[a]).sum(axis=1) >= least) + a + 1
+                near = np.flatnonzero((signature[a + 1 :] == signature[a]).sum(axis=1) >= least) + a + 1
                 left.append(np.full(len(near), a))
                 right.append(near)
             root = pair_roots(len(rep), np.concatenate(left), np.concatenate(right), block, inner)
@@ -295,31 +405,40 @@ def candidate_edges(nodes: DataFrame, reps: DataFrame, threshold: float) -> Data
     return pairs.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j", "rep").mapInArrow(run, "a long, b long").unionByName(ties)
 
 
-def member_filter(members: DataFrame, column: str) -> np.ndarray:
+def sieve_bits(members: int) -> int:
+    """Bits of a sieve with sixteen places a member, two megabytes to sixteen: beyond 8 million it lets more through, and loses nothing."""
+    return min(27, max(24, math.ceil(math.log2(16 * max(members, 1)))))
+
+
+def member_filter(members: DataFrame, column: str, width: int) -> np.ndarray:
     """A bitmap of fixed size over the hashes in ``column``: a first sieve, without false negatives."""
 
     def run(batches):
-        bits = np.zeros(1 << FILTER_BITS, bool)
+        bits = np.zeros(1 << width, bool)
         for batch in batches:
-            bits[(batch.column(column).to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
+            bits[(batch.column(column).to_numpy().view(np.uint64) >> np.uint64(64 - width)).astype(np.int64)] = True
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
 
-    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    out = np.zeros(1 << (width - 3), np.uint8)
     for r in members.select(column).repartition(8).mapInArrow(run, "bits binary").toLocalIterator():
         out |= np.frombuffer(r.bits, np.uint8)
     return out
 
 
-def cluster_sets(docs: DataFrame, clusters: DataFrame, text_col: str = "text") -> DataFrame:
-    """rep, cluster and the full sorted shingle set of every clustered representative, from the texts again."""
+def cluster_sets(docs: DataFrame, clustered: DataFrame, text_col: str = "text") -> DataFrame:
+    """rep, cluster, members, copies and the full sorted shingle set of every clustered representative, from the texts again.
+
+    ``clustered`` has those columns, the set's keys and the hash of a text that has the set.
+    """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(member_filter(clusters, "rep"))
+    width = sieve_bits(clustered.count())
+    shared = spark.sparkContext.broadcast(member_filter(clustered, "text_hash", width))
 
     def run(batches):
         member = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
-            h = batch.column("rep").to_numpy()
-            keep = np.flatnonzero(member[(h.view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
+            h = batch.column("text_hash").to_numpy()
+            keep = np.flatnonzero(member[(h.view(np.uint64) >> np.uint64(64 - width)).astype(np.int64)])
             # further copies in the same batch say nothing new
             keep = keep[np.sort(np.unique(h[keep], return_index=True)[1])] if len(keep) else keep
             if not len(keep):
@@ -328,29 +447,62 @@ def cluster_sets(docs: DataFrame, clusters: DataFrame, text_col: str = "text") -
             for block in blocks(part.column("text")):
                 hashes, first = shingle_sets(block)
                 sets = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(hashes.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("rep").slice(block.first, block.rows), sets], names=["rep", "shingles"])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, set_keys(hashes, first)), pa.array(np.diff(first), pa.int64()), sets], names=[*SET, "shingles"])
 
-    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).select(F.xxhash64("text").alias("rep"), "text")
-    sets = texts.mapInArrow(run, "rep long, shingles array<long>")
-    return sets.join(clusters, "rep").groupBy("rep", "cluster").agg(F.first("shingles").alias("shingles"))
+    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).select(F.xxhash64("text").alias("text_hash"), "text")
+    found = texts.mapInArrow(run, "set_hash long, set_check long, n long, shingles array<long>")
+    # copies are dropped where they are found, before anything is sent
+    once = found.groupBy(*SET).agg(F.first("shingles").alias("shingles"))
+    return once.join(clustered.drop("text_hash"), SET).select("rep", "cluster", "members", "copies", "shingles")
 
 
-def verified_links(sets: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
-    """For each block pair of a cluster and representative with links there: rep, links (documents), root, blocks."""
+def to_first_set(sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Sets as differences to their cluster's first set (that of the least representative), with the similarity to it."""
     lead = sets.where(F.col("rep") == F.col("cluster")).select("cluster", F.col("shingles").alias("lead"))
-    apart = sets.join(lead, "cluster").select(
-        "cluster",
-        "rep",
-        F.size("shingles").alias("n"),
-        F.size("lead").alias("n_lead"),
-        F.array_except("lead", "shingles").alias("lacks"),
-        F.array_except("shingles", "lead").alias("adds"),
-    )
-    count = blocks_of(F.col("members"))
-    block = F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks")).cast("int")
-    dealt = apart.join(sizes, ["cluster", "rep"]).withColumn("blocks", count).withColumn("block", block)
-    pairs = dealt.select("*", block_pairs(F.col("block"), F.col("blocks")).alias("p")).select("cluster", "p.i", "p.j", "rep", "copies", "n", "n_lead", "lacks", "adds", "block", "blocks")
-    names = ["rep", "links", "root", "blocks"]
+    apart = split_join(sets, lead, ["cluster"], "rep").select(
+        "cluster", "rep", "members", "copies", F.size("shingles").alias("n"), F.size("lead").alias("n_lead"),
+        F.array_except("lead", "shingles").alias("lacks"), F.array_except("shingles", "lead").alias("adds"),
+    )
+    return scratch.write(apart.withColumn("both", F.col("n_lead") - F.size("lacks")).withColumn("either", F.col("n_lead") + F.size("adds")), "differences")
+
+
+def banded(apart: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(rows with their blocks to compare, sure links) of the large clusters.
+
+    Rows: own block and the pairs (i, j) to compare, each numbered by band and
+    place in the band.  Sure links, one row each: members of bands that are linked
+    as a whole, and the tie to the cluster's first set.
+    """
+    reach = (1 - threshold) / BAND
+    wide = apart.where(F.col("members") > BLOCK).withColumn("band", F.floor((1 - F.col("both") / F.col("either")) / BAND).cast("int"))
+    bands = wide.groupBy("cluster", "band").agg(F.count(F.lit(1)).alias("rows"), F.sum("copies").alias("weight"))
+    # at most one entry per band: 1 / BAND of them
+    bands = bands.groupBy("cluster").agg(F.collect_list(F.struct("band", blocks_of(F.col("rows")).alias("blocks"), "weight")).alias("bands"))
+    placed = split_join(wide, bands, ["cluster"], "rep")
+    sure = lambda b: b["band"] + F.col("band") + 2 <= reach + 1e-9
+    open_ = lambda b: ~sure(b) & (F.abs(b["band"] - F.col("band")) - 1 <= reach + 1e-9)
+    weight = F.aggregate(F.filter("bands", sure), F.lit(0).cast("long"), lambda s, b: s + b["weight"])
+    own_sure = F.when(2 * F.col("band") + 2 <= reach + 1e-9, F.col("copies")).otherwise(0)
+    near = F.col("both") >= threshold * F.col("either") - 1e-6
+    ties = placed.select("rep", (weight - own_sure).alias("links"), F.when(near, F.col("cluster")).otherwise(F.col("rep")).alias("root")).where((F.col("links") > 0) | (F.col("root") != F.col("rep")))
+    number = lambda band, place: band.cast("long") * (1 << 32) + place
+    mine = F.filter("bands", lambda b: b["band"] == F.col("band"))[0]["blocks"]
+    block = number(F.col("band"), F.pmod(F.xxhash64("rep", F.lit(7)), mine))
+    others = F.flatten(F.transform(F.filter("bands", open_), lambda b: F.transform(F.sequence(F.lit(0), b["blocks"] - 1), lambda k: number(b["band"], k))))
+    rows = placed.withColumn("block", block).withColumn("others", others)
+    pair = F.explode(F.transform("others", lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j"))))
+    return rows.withColumn("p", pair), ties
+
+
+def verified_links(sets: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """rep, links (documents), root, large: what each comparison of blocks says of a representative."""
+    apart = to_first_set(sets, scratch)
+    small = apart.where(F.col("members") <= BLOCK).withColumn("block", F.lit(0).cast("long"))
+    small = small.withColumn("p", F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")))
+    compared, ties = banded(apart, threshold)
+    columns = ["cluster", "p", "rep", "copies", "n", "n_lead", "lacks", "adds", "block", (F.col("members") > BLOCK).alias("large")]
+    pairs = small.select(*columns).unionByName(compared.select(*columns)).select("cluster", "p.i", "p.j", "rep", "copies", "n", "n_lead", "lacks", "adds", "block", "large")
+    names = ["rep", "links", "root", "large"]
 
     def lists(group, name):
         c = group.column(name)
@@ -395,7 +547,7 @@ def verified_links(sets: DataFrame, sizes: DataFrame, threshold: float) -> DataF
                 linked &= block[:, None] != block[None, :]
             has = np.flatnonzero(linked.any(axis=1) | (root != np.arange(m)))
             if len(has):
-                for column, x in zip(out, (rep[has], (linked @ copies)[has].astype(np.int64), rep[root[has]], np.full(len(has), group.column("blocks")[0].as_py(), np.int64)), strict=True):
+                for column, x in zip(out, (rep[has], (linked @ copies)[has].astype(np.int64), rep[root[has]], np.full(len(has), group.column("large")[0].as_py())), strict=True):
                     column.append(x)
                 held += len(has)
             if held > 50_000:
@@ -404,36 +556,42 @@ def verified_links(sets: DataFrame, sizes: DataFrame, threshold: float) -> DataF
         if held:
             yield _flush(out, names)
 
-    return pairs.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "rep").mapInArrow(run, "rep long, links long, root long, blocks long")
+    found = pairs.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "rep").mapInArrow(run, "rep long, links long, root long, large boolean")
+    return found.unionByName(ties.withColumn("large", F.lit(True)))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash, class_id, n_links, n_shingles of every row."""
+    """id, row_hash, row_check, class_id, n_links, n_shingles, class of every row."""
     spark = docs.sparkSession
     small_batches(spark)
-    signed = written(spark, document_signatures(docs, id_col, text_col), "signed")
-    reps = written(spark, representatives(signed, id_col), "representatives")
-    nodes = written(spark, trie_nodes(reps, prefix_length(threshold, target)), "nodes")
-    edges = written(spark, candidate_edges(nodes, reps, threshold), "candidates")
+    scratch = Scratch(spark)
+    signed = scratch.write(document_signatures(docs, id_col, text_col), "signed")
+    reps = scratch.write(representatives(signed), "representatives")
+    nodes = scratch.write(node_members(sorted_tries(reps, scratch), threshold, target), "nodes")
+    edges = scratch.write(candidate_edges(nodes, reps, threshold, scratch), "candidates")
+    scratch.drop("trie", "nodes", "leaders")
     clusters = components(spark, edges).select(F.col("node").alias("rep"), F.col("label").alias("cluster"))
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"))
-    sizes = clusters.join(sizes, "cluster").join(reps.select("rep", "copies"), "rep")
-    sets = written(spark, cluster_sets(docs, clusters, text_col), "sets")
-    links = written(spark, verified_links(sets, sizes, threshold), "links")
-    several = links.where(F.col("blocks") > 1)
-    classes = links.where(F.col("blocks") == 1).select("rep", F.col("root").alias("class"))
+    clustered = scratch.write(split_join(clusters, sizes, ["cluster"], "rep").join(reps.select("rep", "copies", "text_hash", *SET), "rep"), "clustered")
+    sets = scratch.write(cluster_sets(docs, clustered, text_col), "sets")
+    links = scratch.write(verified_links(sets, threshold, scratch), "links")
+    scratch.drop("candidates", "clustered", "sets", "differences")
+    several = links.where("large")
+    classes = links.where(~F.col("large")).select("rep", F.col("root").alias("class"))
     if not several.isEmpty():
         # a block pair's root stands for its other members: edges connect the pairs of a cluster
         classes = classes.unionByName(components(spark, several.select(F.col("rep").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("rep"), F.col("label").alias("class")))
-    linked = links.groupBy("rep").agg(F.sum("links").alias("links")).join(classes, "rep")
-    known = written(spark, reps.select("set_hash", "n", "rep", "copies", "first_doc").join(linked, "rep", "left").withColumn("class", F.coalesce("class", "rep")), "known")
+    linked = links.groupBy("rep").agg(F.sum("links").alias("links")).join(classes, "rep", "left")
+    known = scratch.write(reps.select(*SET, "rep", "copies", "first_doc").join(linked, "rep", "left").withColumn("class", F.coalesce("class", "rep")), "known")
+    scratch.drop("representatives", "links")
     least = known.groupBy("class").agg(F.min("first_doc").alias("class_id"))
-    known = known.join(least, "class").select("set_hash", "n", "class", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    result = signed.select(id_col, "text_hash", "set_hash", "n").join(known, ["set_hash", "n"], "left")
+    known = split_join(known, least, ["class"], "rep").select(*SET, "class", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    result = split_join(signed.select("id", "row_hash", "row_check", *SET), known, SET, "row_check", "left")
     return result.select(
-        id_col,
-        "text_hash",
-        F.when(F.col("n") == 0, F.col(id_col)).otherwise(F.col("class_id")).alias("class_id"),
+        F.col("id").alias(id_col),
+        "row_hash",
+        "row_check",
+        F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.col("n").alias("n_shingles"),
         "class",
@@ -441,19 +599,21 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, target: float
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each class: that of the least id (then text hash); wordless rows stay.  Columns are those of ``docs``."""
+    """One row of each class: that of the least id (then row hash); wordless rows stay.  Columns are those of ``docs``."""
     found = near_duplicates(docs, threshold, id_col=id_col, text_col=text_col)
-    first = found.where(F.col("class").isNotNull()).groupBy("class").agg(F.min(F.struct(F.col(id_col).alias("id"), "text_hash")).alias("first")).select("first.*")
-    hashed = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    chosen = hashed.join(first, hashed[id_col].eqNullSafe(first.id) & (hashed["_hash"] == first.text_hash), "left_semi").dropDuplicates([id_col, "_hash"])
-    wordless = docs.where(~F.coalesce(F.translate(F.col(text_col), CAPITALS, SMALL), F.lit("")).rlike(WORD_PATTERN))
-    return chosen.select(*docs.columns).unionByName(wordless)
+    pick = F.min(F.struct(F.col(id_col).alias("id"), "row_hash", "row_check")).alias("first")
+    first = found.where(F.col("class").isNotNull()).groupBy("class").agg(pick).select("first.row_hash", "first.row_check")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    whole = docs.select(*row_keys(F.col(id_col), text), F.struct("*").alias("row"))
+    chosen = whole.join(first, ["row_hash", "row_check"], "left_semi").dropDuplicates(["row_hash", "row_check"])
+    wordless = docs.where(~F.translate(text, CAPITALS, SMALL).rlike(WORD_PATTERN))
+    return chosen.select("row.*").unionByName(wordless)
 
 
 def op1_jaccard_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return near_duplicates(docs).drop("text_hash", "class")
+    return near_duplicates(docs).drop("row_hash", "row_check", "class")
 
 
 ORACLE_SQL = r"""

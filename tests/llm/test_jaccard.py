@@ -89,10 +89,82 @@ def test_keep_one(spark):
     assert J.keep_one(h.empty(spark)).collect() == []
 
 
-def test_prefix_is_shortened_until_the_target():
-    assert J.prefix_length(0.8, 0.9999) == 4 and J.prefix_length(0.95, 0.99) == 6
-    depth = J.prefix_length()
-    assert 1 - (1 - J.THRESHOLD**depth) ** J.TREES >= J.TARGET_RECALL
+def forest_pairs(spark, rows, target=J.TARGET_RECALL):
+    """Pairs of ids that meet in a node of the forest, and the members of each node."""
+    scratch = J.Scratch(spark)
+    reps = scratch.write(J.representatives(J.document_signatures(spark.createDataFrame(rows, "doc_id long, text string"))), "reps")
+    members = J.node_members(J.sorted_tries(reps, scratch), J.THRESHOLD, target).join(reps.select("rep", "first_doc"), "rep")
+    nodes = [sorted(r.m) for r in members.groupBy("node", "size").agg(F.collect_set("first_doc").alias("m")).collect()]
+    return {(a, b) for m in nodes for i, a in enumerate(m) for b in m[i + 1 :]}, nodes
+
+
+def near_pairs(rows):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (h.words(t) for _, t in rows)]
+    return {(rows[i][0], rows[j][0]) for i in range(len(rows)) for j in range(i + 1, len(rows)) if sets[i] != sets[j] and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])}
+
+
+@pytest.mark.parametrize("block", [128, 4])
+def test_recall_of_the_forest(spark, monkeypatch, block):
+    """Candidates alone, before clusters: pairs near the threshold, in sparse and in crowded nodes."""
+    monkeypatch.setattr(J, "BLOCK", block)
+    rng = random.Random(block)
+    rows = []
+    for group in range(60):
+        base = [f"g{group}w{k}" for k in range(254)]
+        # one to three words of 250 differ from the base: similarities about 0.79 to 0.96
+        for copy in range(6):
+            text = list(base)
+            for at in rng.sample(range(5, 249), rng.choice([1, 2, 2, 3])):
+                text[at] = f"x{group}-{copy}-{at}"
+            rows.append((len(rows), " ".join(text)))
+    wanted = {(min(p), max(p)) for p in near_pairs(rows)}
+    met, nodes = forest_pairs(spark, rows)
+    assert len(wanted) > 300 and len(wanted & met) / len(wanted) >= 0.99
+    assert max(map(len, nodes)) <= 7
+
+
+def test_prefixes_are_shortened_until_the_target(spark, monkeypatch):
+    """A lower target leaves more of the crowded nodes out."""
+    monkeypatch.setattr(J, "BLOCK", 4)
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for k in range(60):
+        text = list(base)
+        for at in rng.sample(range(120), 2):
+            text[at] = f"x{k}-{at}"
+        rows.append((k, " ".join(text)))
+    size = {target: sum(len(m) for m in forest_pairs(spark, rows, target)[1]) for target in (0.5, 0.99, 0.999999)}
+    assert size[0.5] < size[0.99] <= size[0.999999]
+    whole = J.TREES * J.missed(J.LEAST_DEPTH, J.THRESHOLD)
+    assert whole < J.math.log(1 - J.TARGET_RECALL)
+
+
+def test_tries_do_not_depend_on_partitions(spark):
+    rows = corpus(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = []
+        for parts in ("1", "9"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            found.append(forest_pairs(spark, rows)[0])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert found[0] == found[1]
+
+
+def test_hot_keys_are_split(spark, monkeypatch):
+    from hayloft.llm import components as C
+
+    monkeypatch.setattr(C, "HOT_ROWS", 10)
+    left = spark.createDataFrame([(k, 0 if k % 3 else k) for k in range(100)], "row long, key long")
+    right = spark.createDataFrame([(k, f"v{k}") for k in range(60)], "key long, value string")
+    got = sorted(tuple(r) for r in C.split_join(left, right, ["key"], "row", "left").select("row", "key", "value").collect())
+    assert got == sorted((k, 0 if k % 3 else k, f"v{0 if k % 3 else k}" if k % 3 or k < 60 else None) for k in range(100))
+    rows = corpus(6)
+    got = J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: (r.class_id, r.n_links, r.n_shingles) for r in got.collect()} == brute(rows)
 
 
 def test_components(spark):
