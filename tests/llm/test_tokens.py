@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -75,13 +76,30 @@ def test_counts_of_all_documents(spark):
 def test_awkward_token_files(spark, tmp_path):
     path = f"file://{tmp_path}/t"
     docs = h.awkward(spark).withColumn("file", F.lit(5)).coalesce(1)
-    token_count.write_token_files(docs, path, file_bytes=64)
-    placed = token_count.written_order(docs, file_bytes=64).collect()
+    assert token_count.write_token_files(docs, path, file_bytes=64) == 2
     found = token_count.count_tokens(spark, path).collect()
-    assert len(placed) == len(found) == len(h.AWKWARD)
+    e = token_count.encoder(token_count.default_ranks())
+    assert sorted(r.n_tokens for r in found) == sorted(len(e.encode_ordinary(r[1] or "")) for r in h.AWKWARD)
     empty = f"file://{tmp_path}/e"
     token_count.write_token_files(h.empty(spark), empty)
-    assert token_count.written_order(h.empty(spark)).collect() == []
+    assert token_count.count_tokens(spark, empty).collect() == []
+
+
+@pytest.mark.parametrize("ranged", [True, False])
+def test_one_large_file_in_many_stretches(spark, tmp_path, monkeypatch, ranged):
+    """Wide ids, blocks dealt as byte ranges or from whole files, a prefix scan over several levels."""
+    monkeypatch.setattr(token_count, "STRETCH", 3)
+    if not ranged:
+        monkeypatch.setattr(token_count, "RANGED", {})
+    rng = np.random.default_rng(2)
+    lengths = [0, 0, *rng.integers(0, 90, 200).tolist(), 700, 0]
+    ids = np.concatenate([np.append(rng.integers(0, 50_000, n) + 70_000, token_count.SEPARATOR) for n in lengths] + [np.full(41, 99_999)])
+    (tmp_path / "a b=1").mkdir()
+    ids.astype("<u4").tofile(tmp_path / "a b=1" / "one.bin")
+    got = token_count.count_tokens(spark, f"file://{tmp_path}", block_tokens=64, width=4).orderBy("ordinal").collect()
+    assert [r.n_tokens for r in got] == [*lengths, 41] and [r.complete for r in got] == [True] * len(lengths) + [False]
+    assert [r.first_token for r in got] == np.cumsum([0, *(n + 1 for n in lengths)]).tolist()
+    assert token_count.token_width(1 << 16) == 2 and token_count.token_width((1 << 16) + 1) == 4
 
 
 def test_counts_hold_when_splits_change(spark, tmp_path):
