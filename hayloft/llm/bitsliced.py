@@ -11,11 +11,14 @@ Attributes are shifted to be non-negative; negative digits of weights
 use complemented bitmaps.  Both only add a constant to a query's scores, which is taken off at
 the end.
 
-Each index block meets each block of queries once, dealt out over tasks by
-(block, copy); the best rows of the blocks are merged per query.
+Each index block meets each pack of queries once, dealt out over tasks by
+(block, copy), where a copy of a block meets at most ``COPY_PACKS`` packs; the best
+rows of the blocks are merged per query.
 
 Defined results: vectors that are null, or hold null or non-finite components,
-take no part as query or candidate; shorter vectors count as padded by zeros;
+take no part as query or candidate, nor do those with a component so large
+(2**30 / sqrt(length) after scaling) that a score might not fit 64 bits;
+shorter vectors count as padded by zeros;
 a repeated id is another row (only the query's own row is left out); an empty
 table, or one without queries, gives no rows; other columns are not looked at.
 """
@@ -29,16 +32,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .blocks import written
+from .blocks import Scratch
 
 BLOCK_ROWS = 1 << 14
 QUERY_BLOCK = 64
+COPY_PACKS = 64
 SCALE = 64
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
     """row, vec_id and q = floor(scale * x) of the vectors that take part."""
     ok = F.col(vector_col).isNotNull() & F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    room = F.lit(float(1 << 30)) / F.sqrt(F.greatest(F.size(vector_col), F.lit(1)))
+    ok &= F.forall(vector_col, lambda x: F.abs(x.cast("double") * scale) < room)
     q = F.transform(vector_col, lambda x: F.floor(x.cast("double") * scale).cast("long"))
     return vectors.where(F.coalesce(ok, F.lit(False))).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("vec_id"), q.alias("q"))
 
@@ -174,34 +180,27 @@ def search_block(bitmaps: np.ndarray, low: np.ndarray, rows: np.ndarray, ids: np
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
-    out = np.zeros((len(column), dims), np.int64)
-    for k, v in enumerate(column):
-        x = v.as_py()
-        out[k, : len(x)] = x
+    """Rows of lists as a matrix, padded by zeros."""
+    values, length = column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
+    if (length == dims).all():
+        return values.reshape(-1, dims).astype(np.int64)
+    out = np.zeros((len(length), dims), np.int64)
+    out[np.arange(dims) < length[:, None]] = values
     return out
 
 
 def build_index(rows: DataFrame, blocks: int, dims: int) -> DataFrame:
-    """One row per block of about equal numbers of rows: bitmaps and the rows they stand for."""
+    """One row per block of about ``BLOCK_ROWS`` rows, numbered from 0 and chosen by a hash: bitmaps and the rows they stand for."""
 
-    def run(batches):
-        values, names, ids = [], [], []
-        for batch in batches:
-            values.append(_matrix(batch.column("q"), dims))
-            names.append(batch.column("row").to_numpy())
-            ids.append(batch.column("vec_id").to_numpy(zero_copy_only=False).astype(np.int64))
-        if not values or not sum(map(len, values)):
-            return
-        x, r, i = np.concatenate(values), np.concatenate(names), np.concatenate(ids)
-        for a in range(0, len(x), BLOCK_ROWS):
-            part = slice(a, a + BLOCK_ROWS)
-            bitmaps, low, digits = slices(x[part])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([bitmaps.tobytes()], pa.binary()), pa.array([low.tobytes()], pa.binary()), pa.array([digits], pa.int32()), pa.array([r[part].tobytes()], pa.binary()), pa.array([i[part].tobytes()], pa.binary())],
-                names=["bitmaps", "low", "digits", "rows", "ids"],
-            )
-
-    return rows.repartition(blocks).mapInArrow(run, "bitmaps binary, low binary, digits int, rows binary, ids binary")
+    def run(table: pa.Table) -> pa.Table:
+        whole = table.combine_chunks()
+        bitmaps, low, digits = slices(_matrix(whole.column("q").chunk(0), dims))
+        rows, ids = (whole.column(c).to_numpy().astype(np.int64) for c in ("row", "vec_id"))
+        binary = [pa.array([x.tobytes()], pa.binary()) for x in (bitmaps, low, rows, ids)]
+        return pa.table([whole.column("block").slice(0, 1), *binary, pa.array([digits], pa.int32())], names=["block", "bitmaps", "low", "rows", "ids", "digits"])
+
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
+    return dealt.groupBy("block").applyInArrow(run, "block long, bitmaps binary, low binary, rows binary, ids binary, digits int")
 
 
 def pack_queries(rows: DataFrame, dims: int, parts: int) -> DataFrame:
@@ -222,40 +221,33 @@ def pack_queries(rows: DataFrame, dims: int, parts: int) -> DataFrame:
 def top_k(vectors: DataFrame, is_query: F.Column, k: int = 20, scale: int = SCALE) -> DataFrame:
     """query_id, rank, vec_id, score of the k best rows for each row that ``is_query`` holds for."""
     spark = vectors.sparkSession
-    rows = written(spark, quantised(vectors.where(F.col("vec_id").isNotNull()), scale=scale), "quantised")
+    scratch = Scratch(spark)
+    rows = scratch.write(quantised(vectors.where(F.col("vec_id").isNotNull()), scale=scale), "quantised")
     facts = rows.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("q")), F.lit(0)).alias("dims"), F.count_if(is_query).alias("queries")).first()
     if not facts.dims or not facts.queries:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    dims, n_blocks = facts.dims, math.ceil(facts.n / BLOCK_ROWS)
-    copies = max(1, math.ceil(2 * spark.sparkContext.defaultParallelism / n_blocks))
-    index = written(spark, build_index(rows, n_blocks, dims), "index").withColumn("block", F.monotonically_increasing_id())
-    index = written(spark, index, "numbered")
-    packs = written(spark, pack_queries(rows.where(is_query), dims, max(1, min(facts.queries // QUERY_BLOCK, 1000))), "queries").withColumn("copy", F.pmod(F.xxhash64("query_rows"), F.lit(copies)).cast("int"))
+    dims, n_blocks, n_packs = facts.dims, math.ceil(facts.n / BLOCK_ROWS), math.ceil(facts.queries / QUERY_BLOCK)
+    copies = max(math.ceil(2 * spark.sparkContext.defaultParallelism / n_blocks), math.ceil(n_packs / COPY_PACKS))
+    index = scratch.write(build_index(rows, n_blocks, dims), "index")
+    packs = scratch.write(pack_queries(rows.where(is_query), dims, max(1, min(n_packs, 1000))), "queries")
     copied = index.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    # a query pack goes to every index block; block numbers are as few as the blocks
-    numbers = [r.block for r in index.select("block").collect()]
-    dealt = packs.withColumn("block", F.explode(F.array(*map(F.lit, numbers))))
-
-    def run(batches):
-        held, at = None, None
-        for batch in batches:
-            for r in range(batch.num_rows):
-                get = lambda c: batch.column(c)[r].as_py()  # noqa: B023, E731
-                if at != get("block"):
-                    at = get("block")
-                    low = np.frombuffer(get("low"), np.int64)
-                    bitmaps = np.frombuffer(get("bitmaps"), np.uint64).reshape(dims, get("digits"), -1)
-                    held = bitmaps, low, np.frombuffer(get("rows"), np.int64), np.frombuffer(get("ids"), np.int64)
-                q = np.frombuffer(get("queries"), np.int64).reshape(-1, dims)
-                query_rows, query_ids = np.frombuffer(get("query_rows"), np.int64), np.frombuffer(get("query_ids"), np.int64)
-                out: list[list[np.ndarray]] = [[], [], [], [], []]
-                for n, chosen, scores in search_block(*held, q, query_rows, k):
-                    same = np.ones(len(chosen), np.int64)
-                    for column, x in zip(out, (query_rows[n] * same, query_ids[n] * same, held[2][chosen], held[3][chosen], scores), strict=True):
-                        column.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["query_row", "query_id", "row", "vec_id", "score"])
-
-    found = copied.join(dealt, ["block", "copy"]).mapInArrow(run, "query_row long, query_id long, row long, vec_id long, score long")
+    dealt = packs.withColumn("copy", F.pmod(F.xxhash64("query_rows"), F.lit(copies)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
+
+    def run(block: pa.Table, packs: pa.Table) -> pa.Table:
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(5)]
+        if block.num_rows and packs.num_rows:
+            get = lambda table, c, r=0: np.frombuffer(table.column(c)[r].as_py(), np.int64)
+            low, rows, ids = (get(block, c) for c in ("low", "rows", "ids"))
+            bitmaps = get(block, "bitmaps").view(np.uint64).reshape(dims, block.column("digits")[0].as_py(), -1)
+            queries, query_rows, query_ids = (np.concatenate([get(packs, c, r) for r in range(packs.num_rows)]) for c in ("queries", "query_rows", "query_ids"))
+            for n, chosen, scores in search_block(bitmaps, low, rows, ids, queries.reshape(-1, dims), query_rows, k):
+                same = np.ones(len(chosen), np.int64)
+                for column, x in zip(out, (query_rows[n] * same, query_ids[n] * same, rows[chosen], ids[chosen], scores), strict=True):
+                    column.append(x)
+        return pa.table([pa.array(np.concatenate(c)) for c in out], names=["query_row", "query_id", "row", "vec_id", "score"])
+
+    # a group is one copy of a block and its share of the packs, both bounded
+    found = copied.groupBy("block", "copy").cogroup(dealt.groupBy("block", "copy")).applyInArrow(run, "query_row long, query_id long, row long, vec_id long, score long")
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

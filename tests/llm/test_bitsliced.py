@@ -35,3 +35,11 @@ def test_few_or_no_rows(spark):
     assert B.top_k(spark.createDataFrame([(1, [1.0])], schema), F.col("vec_id") % 20 == 0).collect() == []
     got = B.top_k(spark.createDataFrame([(0, [1.0]), (1, [-0.51]), (20, None)], schema), F.col("vec_id") % 20 == 0).collect()
     assert [tuple(r) for r in got] == [(0, 1, 1, -33 * 64)]
+
+
+def test_components_too_large_for_a_score(spark):
+    """Rows whose scores might not fit 64 bits take no part; just below, scores are exact."""
+    room = (1 << 30) / math.sqrt(4) / 64
+    rows = [(0, [room - 1, -room + 1, 0.0, 2.0]), (1, [room - 2, room - 3, 1.0, 0.0]), (2, [1.0, 2.0, 3.0, 4.0]), (3, [1e9, 0.0, 0.0, 0.0]), (20, [1e20, 0.0, 0.0, 0.0]), (40, [-1.5, 0.0, 1e300, 0.0])]
+    got = B.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0)
+    assert sorted(tuple(r) for r in got.collect()) == brute(rows[:3], 20)
