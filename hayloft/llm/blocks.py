@@ -2,8 +2,8 @@
 
 An Arrow string column is already one long byte buffer with row offsets.  The
 helpers here cut it into blocks of bounded size and find words and hashes for
-all rows of a block at once, so that a task's memory follows the block size
-(or the one longest text), never the partition.
+all rows of a block at once, so that a task's memory follows the block size,
+never the partition; a long text is a block of its own, and ``pieces`` cuts it.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 1 << 19
+#: A row of more bytes is worked on in pieces, where an operator can.
+PIECE_BYTES = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
@@ -135,6 +137,27 @@ def words(block: Block) -> Words:
     return Words(start, end, row, range_hash(low, start, end), first, low)
 
 
+def pieces(block: Block, overlap: int, size: int | None = None) -> Iterator[tuple[int, Words]]:
+    """The words of one long row in pieces: (number of the first word in the row, words).
+
+    Pieces have about ``size`` bytes and are cut between words; each begins
+    ``overlap`` words before the last one's end, so that runs of ``overlap`` + 1
+    words are whole in some piece.
+    """
+    data, n, at, number, seen = block.data, len(block.data), 0, 0, 0
+    size = size or PIECE_BYTES
+    while seen < n:
+        end = min(max(at + size, seen + 1), n)
+        while end < n and WORD[LOWER[data[end]]]:
+            stop = np.flatnonzero(~WORD[LOWER[data[end : end + size]]])
+            end = end + int(stop[0]) if len(stop) else min(end + size, n)
+        found = words(Block(0, 1, data[at:end], np.array([0, end - at])))
+        yield number, found
+        kept = max(len(found.start) - overlap, 0)
+        number += kept
+        at, seen = (at + int(found.start[kept]) if kept < len(found.start) else end), end
+
+
 def sequence_hash(hashes: np.ndarray, length: int) -> np.ndarray:
     """Hashes of every run of ``length`` consecutive items (runs may cross rows)."""
     n = len(hashes) - length + 1
@@ -207,6 +230,17 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def set_aside(docs, own: list[str]):
+    """``docs`` with columns named like one of ``own`` renamed, and the columns that give all of ``docs`` back."""
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    mark, clash = uuid.uuid4().hex, {c.lower() for c in own}
+    names = {c: f"{c}_{mark}" for c in docs.columns if c.lower() in clash}
+    return docs.withColumnsRenamed(names), [F.col(names.get(c, c)).alias(c) for c in docs.columns]
+
+
 def written(spark, frame, name: str):
     """``frame`` as a table in a new shared folder, read again: cuts the lineage."""
     return Scratch(spark).write(frame, name)

@@ -9,19 +9,25 @@ contain the window where that shingle stands.  Such places pass a positional
 and length bound (the window must fit between the document's first and last
 word) and are then verified word by word.
 
-Up to ``broadcast_windows`` distinct windows, counted first, the windows travel
-to the tasks and nothing of the corpus is shuffled.  Beyond, places of
-benchmark shingles are found through a bitmap of fixed size and joined to the
-windows by an ordinary shuffle join.
+While the distinct windows are at most ``broadcast_windows`` and ``BROADCAST_BYTES``,
+both counted first, they travel to the tasks and nothing of the corpus is
+shuffled.  Beyond, the same steps go through shuffle joins: document
+frequencies of the benchmark's shingles, then the prefix of each window, and
+only then the places of prefixes, found through a bitmap of fixed size, which
+are joined to the windows, hot shingles split.
+
+A text of more than a megabyte is worked on in overlapping pieces.
 
 Defined results: null and wordless texts have no words and no hits; null or
 wordless items have no windows; an item that repeats, or shares windows with
 another, counts once for each ``item_id``; repeated documents are judged each;
-an empty benchmark leaves every document clean.
+an empty benchmark leaves every document clean; columns of ``docs`` named like
+the results are replaced, all others come back as they were.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,11 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import Block, Words, blocks, hash_of_words, sequence_hash, small_batches, words, written
+from .blocks import PIECE_BYTES, Block, Scratch, Words, blocks, hash_of_words, pieces, sequence_hash, small_batches, words
+from .components import split_join
 
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_WINDOWS = 200_000
+BROADCAST_BYTES = 64 << 20
 BITMAP_BITS = 24
 
 
@@ -98,6 +106,14 @@ class Lookup:
         return maybe[hit], at[hit]
 
 
+def parts(block: Block, overlap: int) -> Iterator[tuple[int, Words]]:
+    """(number of the first word, words) of a block: one part, or the pieces of a long row."""
+    if block.rows == 1 and len(block.data) > PIECE_BYTES:
+        yield from pieces(block, overlap)
+    else:
+        yield 0, words(block)
+
+
 def shingle_frequencies(docs: DataFrame, vocabulary: np.ndarray, text_col: str = "text") -> dict[int, int]:
     """Document frequency over all documents of the given shingles.
 
@@ -111,11 +127,12 @@ def shingle_frequencies(docs: DataFrame, vocabulary: np.ndarray, text_col: str =
         total = np.zeros(len(lookup.values), np.int64)
         for batch in batches:
             for block in blocks(batch.column(text_col)):
-                found = words(block)
-                place, hashes = block_shingles(found)
-                hit, which = lookup.find(hashes)
-                seen = np.unique(found.row[place[hit]] * len(total) + which) if len(hit) else hit
-                np.add.at(total, seen % max(len(total), 1), 1)
+                seen = [np.zeros(0, np.int64)]
+                for _, found in parts(block, 1):
+                    place, hashes = block_shingles(found)
+                    hit, which = lookup.find(hashes)
+                    seen.append(np.unique(found.row[place[hit]] * len(total) + which))
+                np.add.at(total, np.unique(np.concatenate(seen)) % max(len(total), 1), 1)
         met = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(met, pa.int64()), pa.array(total[met], pa.int64())], names=["k", "n"])
 
@@ -144,8 +161,10 @@ def prepare(rows: list, docs: DataFrame, text_col: str = "text") -> Windows:
     return Windows([texts[k] for k in order], [np.array([number[i] for i in rows[k]["items"]]) for k in order], names, hashes[order], length[order], prefix[order], offset[order])
 
 
-def block_hits(found: Words, block: Block, w: Windows, lookup: Lookup) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, window) of every verified occurrence in a block."""
+def block_hits(found: Words, w: Windows, lookup: Lookup) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, window) of every verified occurrence among the words."""
+    if not len(found.hash):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     place, hashes = block_shingles(found)
     hit, which = lookup.find(hashes)
     # all windows with that prefix stand together in the sorted order
@@ -182,18 +201,23 @@ def _in_tasks(docs: DataFrame, w: Windows, text_col: str) -> DataFrame:
 
     def judge(batches):
         w = shared.value
-        lookup = Lookup(w.shingle)
+        lookup, width = Lookup(w.shingle), w.hashes.shape[1]
         for batch in batches:
             n_words, n_hit, items = [], [], []
             for block in blocks(batch.column(text_col)):
-                found = words(block)
-                start, window = block_hits(found, block, w, lookup)
-                hit = np.concatenate([[0], np.cumsum(covered(start, w.length[window], len(found.hash)))])
-                n_words.append(np.diff(found.first))
-                n_hit.append(hit[found.first[1:]] - hit[found.first[:-1]])
                 got: list[set] = [set() for _ in range(block.rows)]
-                for r, k in zip(found.row[start].tolist(), window.tolist(), strict=True):
-                    got[r].update(w.items[k].tolist())
+                starts, lengths = [], []
+                for number, found in parts(block, width - 1):
+                    start, window = block_hits(found, w, lookup)
+                    starts.append(number + start)
+                    lengths.append(w.length[window])
+                    total = number + len(found.hash)
+                    for r, k in zip(found.row[start].tolist(), window.tolist(), strict=True):
+                        got[r].update(w.items[k].tolist())
+                inside = np.concatenate([[0], np.cumsum(covered(np.concatenate(starts), np.concatenate(lengths), total))])
+                first = found.first if block.rows > 1 else np.array([0, total])
+                n_words.append(np.diff(first))
+                n_hit.append(inside[first[1:]] - inside[first[:-1]])
                 items += [sorted(w.names[i] for i in g) for g in got]
             if items:
                 yield pa.RecordBatch.from_arrays(
@@ -204,11 +228,30 @@ def _in_tasks(docs: DataFrame, w: Windows, text_col: str) -> DataFrame:
     return rest.mapInArrow(judge, schema)
 
 
+def sieve(hashes: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size over the column ``shingle``, without false negatives."""
+
+    def run(batches):
+        bits = np.zeros(1 << BITMAP_BITS, bool)
+        for batch in batches:
+            h = batch.column("shingle").to_numpy().view(np.uint64)
+            bits[(h >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+
+    out = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
+    for r in hashes.select("shingle").mapInArrow(run, "bits binary").toLocalIterator():
+        out |= np.frombuffer(r.bits, np.uint8)
+    return out
+
+
 def _by_join(docs: DataFrame, windows: DataFrame, window: int, text_col: str) -> DataFrame:
-    """The same through a shuffle join, for benchmarks of any size."""
+    """The same through shuffle joins, for benchmarks of any size."""
     spark = docs.sparkSession
+    scratch = Scratch(spark)
     # numbered once: a second evaluation may split the table otherwise and number rows anew
-    numbered = written(spark, docs.drop("n_words", "n_hit", "items").withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    docs = docs.drop("n_words", "n_hit", "items")
+    numbered = scratch.write(docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct("*").alias("doc")), "numbered")
+    texts = numbered.select("row", "text")
 
     def shingle_rows(batches):
         for batch in batches:
@@ -220,60 +263,59 @@ def _by_join(docs: DataFrame, windows: DataFrame, window: int, text_col: str) ->
                 at += range(len(s))
             yield pa.RecordBatch.from_arrays([pa.array(index, pa.int64()), pa.array(hashes, pa.int64()), pa.array(at, pa.int32())], names=["window", "shingle", "offset"])
 
-    windows = written(spark, windows.withColumn("window", F.monotonically_increasing_id()), "windows")
-    shingles = written(spark, windows.select("window", "words").mapInArrow(shingle_rows, "window long, shingle long, offset int"), "shingles")
+    windows = scratch.write(windows.withColumn("window", F.monotonically_increasing_id()), "windows")
+    shingles = scratch.write(windows.select("window", "words").mapInArrow(shingle_rows, "window long, shingle long, offset int"), "shingles")
+    every = spark.sparkContext.broadcast(sieve(shingles))
 
-    def bitmap(batches):
-        bits = np.zeros(1 << BITMAP_BITS, bool)
+    def frequencies(batches):
+        member = np.unpackbits(every.value).astype(bool)
         for batch in batches:
-            h = batch.column("shingle").to_numpy().view(np.uint64)
-            bits[(h >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
-
-    bits = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
-    for r in shingles.select("shingle").mapInArrow(bitmap, "bits binary").toLocalIterator():
-        bits |= np.frombuffer(r.bits, np.uint8)
-    shared = spark.sparkContext.broadcast(bits)
+            for block in blocks(batch.column("text")):
+                seen = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+                for _, found in parts(block, 1):
+                    place, hashes = block_shingles(found)
+                    maybe = member[(hashes >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)]
+                    seen[0].append(found.row[place[maybe]])
+                    seen[1].append(hashes[maybe])
+                once = np.unique(np.rec.fromarrays([np.concatenate(x) for x in seen], names="row,shingle"))
+                value, n = np.unique(once["shingle"], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n)], names=["shingle", "n"])
+
+    frequency = texts.select("text").mapInArrow(frequencies, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("df"))
+    known = split_join(shingles, frequency, ["shingle"], "window", "left")
+    prefix = known.groupBy("window").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "shingle", "offset")).alias("p"))
+    prefix = scratch.write(prefix.where(F.col("p.df") > 0).select("window", "p.shingle", "p.offset").join(windows, "window"), "prefixes")
+    rarest = spark.sparkContext.broadcast(sieve(prefix))
 
     def places(batches):
-        member = np.unpackbits(shared.value).astype(bool)
+        member = np.unpackbits(rarest.value).astype(bool)
         for batch in batches:
-            rows = batch.column("_row").to_numpy()
-            for block in blocks(batch.column(text_col)):
-                found = words(block)
-                place, hashes = block_shingles(found)
-                maybe = member[(hashes >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)]
-                place, hashes = place[maybe], hashes[maybe]
-                row = found.row[place]
-                low = np.maximum(found.first[row], place - window + 1)
-                high = np.minimum(found.first[row + 1], place + window)
-                near = [[found.text(k).decode() for k in range(a, b)] for a, b in zip(low.tolist(), high.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows[block.first + row], pa.int64()), pa.array(place - found.first[row], pa.int64()), pa.array(hashes.view(np.int64), pa.int64()), pa.array(near, pa.list_(pa.string())), pa.array(place - low, pa.int32())],
-                    names=["_row", "pos", "shingle", "near", "at"],
-                )
-
-    place = written(spark, numbered.select("_row", text_col).mapInArrow(places, "_row long, pos long, shingle long, near array<string>, at int"), "places")
-    frequency = place.groupBy("shingle").agg(F.approx_count_distinct("_row").alias("df"))
-    prefix = (
-        shingles.join(frequency, "shingle", "left")
-        .groupBy("window")
-        .agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "shingle", "offset")).alias("p"))
-        .select("window", "p.shingle", "p.offset")
-        .join(windows, "window")
-    )
-    start = F.col("at") - F.col("offset")
-    joined = place.join(prefix, "shingle").where((start >= 0) & (start + F.size("words") <= F.size("near"))).where(F.slice("near", start + 1, F.size("words")) == F.col("words"))
-    hits = joined.select("_row", (F.col("pos") - F.col("offset")).alias("start"), F.size("words").alias("n"), "items")
-    marked = hits.select("_row", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("word")).distinct().groupBy("_row").agg(F.count("*").alias("n_hit"))
-    named = hits.select("_row", F.explode("items").alias("item")).distinct().groupBy("_row").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    return (
-        numbered.withColumn("n_words", F.size(word_array(F.col(text_col))).cast("long"))
-        .join(marked, "_row", "left")
-        .join(named, "_row", "left")
-        .withColumn("n_hit", F.coalesce("n_hit", F.lit(0)).cast("long"))
-        .withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
-        .drop("_row")
+            rows = batch.column("row").to_numpy()
+            for block in blocks(batch.column("text")):
+                # twice the window, so that all words around a place are in its piece
+                for number, found in parts(block, 2 * window):
+                    place, hashes = block_shingles(found)
+                    maybe = member[(hashes >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)]
+                    place, hashes = place[maybe], hashes[maybe]
+                    row = found.row[place]
+                    low, high = np.maximum(found.first[row], place - window + 1), np.minimum(found.first[row + 1], place + window)
+                    near = [found.lowered[a:b].tobytes() for a, b in zip(found.start[low].tolist(), found.end[high - 1].tolist(), strict=True)]
+                    columns = [pa.array(rows[block.first + row]), pa.array(number + place - found.first[row]), pa.array(hashes.view(np.int64)), pa.array(near, pa.binary()).cast(pa.string()), pa.array(place - low, pa.int32())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["row", "pos", "shingle", "near", "at"])
+
+    place = scratch.write(texts.mapInArrow(places, "row long, pos long, shingle long, near string, at int"), "places")
+    start, near = F.col("at") - F.col("offset"), word_array(F.col("near"))
+    joined = split_join(place, prefix, ["shingle"], "row").withColumn("found", near).where((start >= 0) & (F.slice("found", F.greatest(start, F.lit(0)) + 1, F.size("words")) == F.col("words")))
+    hits = scratch.write(joined.select("row", (F.col("pos") - F.col("offset")).alias("start"), F.size("words").alias("n"), "items"), "hits")
+    marked = hits.select("row", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("word")).distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
+    named = hits.select("row", F.explode("items").alias("item")).distinct().groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    found = marked.join(named, "row")
+    scratch.drop("windows", "shingles", "prefixes", "places")
+    return numbered.join(found, "row", "left").select(
+        "doc.*",
+        F.size(word_array(F.col("text"))).cast("long").alias("n_words"),
+        F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
     )
 
 
@@ -281,10 +323,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, broad
     """Columns of ``docs`` and n_words, n_hit (words inside benchmark windows), items (ids, sorted as strings)."""
     small_batches(docs.sparkSession)
     windows = item_windows(benchmark.select("item_id", "text"), window)
-    rows = windows.limit(broadcast_windows + 1).collect()
-    if len(rows) > broadcast_windows:
+    size = F.sum(F.octet_length(F.array_join("words", " ")) + F.octet_length(F.array_join("items", " ")))
+    facts = windows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(size, F.lit(0)).alias("bytes")).first()
+    if facts.n > broadcast_windows or facts.bytes > BROADCAST_BYTES:
         return _by_join(docs, windows, window, text_col)
-    return _in_tasks(docs, prepare(rows, docs, text_col), text_col)
+    return _in_tasks(docs, prepare(windows.collect(), docs, text_col), text_col)
 
 
 def op10_decontaminate_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import Block, Scratch, blocks, mix, sequence_hash, small_batches, string_buffers, words
+from .blocks import PIECE_BYTES, Block, Scratch, blocks, mix, pieces, sequence_hash, small_batches, string_buffers, words
 from .components import components, split_join
 from .decontaminate import CAPITALS, SMALL, WORD_PATTERN
 
@@ -93,6 +93,14 @@ def shingles(block: Block, k: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarr
 
 def shingle_sets(block: Block) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of every row, sorted in each row, and where rows begin."""
+    if block.rows == 1 and len(block.data) > PIECE_BYTES:
+        each, total, found = [], 0, None
+        for number, found in pieces(block, SHINGLE_WORDS - 1):
+            total = number + len(found.hash)
+            each.append(np.unique(sequence_hash(found.hash, SHINGLE_WORDS)))
+        # a text of few, huge words: the last piece has them all
+        hashes = sequence_hash(found.hash, total) if 0 < total < SHINGLE_WORDS else np.unique(np.concatenate(each))
+        return hashes, np.array([0, len(hashes)])
     hashes, first = shingles(block)
     row = np.repeat(np.arange(block.rows), np.diff(first))
     order = np.lexsort((hashes, row))

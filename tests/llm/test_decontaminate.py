@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,9 +42,36 @@ def sample(seed):
 @pytest.mark.parametrize("limit", [10_000, 0])
 def test_same_as_brute_force(spark, limit):
     docs, items = sample(4)
-    table = spark.createDataFrame(docs, "doc_id long, text string").withColumn("items", F.lit("mine"))
+    table = spark.createDataFrame(docs, "doc_id long, text string").withColumn("items", F.lit("mine")).withColumn("_row", F.col("doc_id") + 1).withColumn("row", F.lit("r"))
     got = D.decontaminate(table, spark.createDataFrame(items, "item_id long, text string"), broadcast_windows=limit)
     assert sorted((r.n_words, r.n_hit, list(r["items"])) for r in got.collect()) == brute(docs, items)
+    assert got.columns == ["doc_id", "text", "_row", "row", "n_words", "n_hit", "items"]
+    assert {(r.row, r._row - r.doc_id) for r in got.collect()} == {("r", 1)}
+
+
+def test_pieces_of_long_texts(monkeypatch):
+    """Windows, shingles and words of long rows are the same in pieces of any size."""
+    from hayloft.llm import blocks as B
+    from hayloft.llm import jaccard_join as J
+
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["a", "bb", "é", "日本語", "x" * 40]) for _ in range(n)) + tail for n in (1, 3, 4, 5, 60, 300) for tail in ("", " ...")] + ["", "...", "w" * 500 + " " + "v" * 400]
+    for text in texts:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        block = B.Block(0, 1, raw, np.array([0, len(raw)]))
+        whole = B.words(block)
+        plain = J.shingle_sets(block)[0]
+        for size in (1, 7, 50, 10_000):
+            for overlap in (1, 4, 9):
+                out = {}
+                for number, found in B.pieces(block, overlap, size):
+                    for k, x in enumerate(found.hash.tolist()):
+                        assert out.setdefault(number + k, x) == x
+                assert list(out.values()) == whole.hash.tolist() and sorted(out) == list(range(len(out)))
+            monkeypatch.setattr(B, "PIECE_BYTES", size)
+            monkeypatch.setattr(J, "PIECE_BYTES", size)
+            assert J.shingle_sets(block)[0].tolist() == plain.tolist()
+            monkeypatch.undo()
 
 
 @pytest.mark.parametrize("limit", [10_000, 0])
