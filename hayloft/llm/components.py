@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .blocks import Scratch
 
 #: Left rows of one key that stay together in ``split_join``.
-HOT_ROWS = 100_000
+HOT_ROWS = 20_000
 #: The most keys that can count as hot at once, whatever the data.
 HOT_KEYS = 100_000
 

@@ -3,9 +3,15 @@
 Base patterns find assignments, access keys and long hex runs.  The field tags
 every token as begin, inside or outside of a secret from its shape, the words
 and marks before and after it, and features of its file, and adds the spans
-that the patterns don't cover.  It learns from a bounded sample of documents,
-tagged by the base patterns, with further kinds of secrets and of harmless look-alikes
-planted into copies of their lines.
+that the patterns don't cover.
+
+It learns from a bounded draw of documents (``SAMPLE_DOCUMENTS`` distinct texts),
+of which each gives a few short windows of tokens: at a random place, at a base
+span, at a token that merely looks unusual, and where a made-up value is planted
+into the text.  Planted values differ in alphabet, length, prefix, parts and
+surroundings; half of them are harmless look-alikes (dates, addresses, paths,
+numbers, names in code).  Windows are cut in Spark tasks, so whole texts never
+reach the driver, which trains on at most four windows a document.
 
 Viterbi decoding is exact and cheap: where a token's score for "outside" leads
 by more than any change of transitions could make up, the best path must go
@@ -13,7 +19,8 @@ through "outside", so only the short runs between such tokens are decoded.
 
 Defined results: a null text is empty and has no spans; offsets count code
 points of the whole text; repeated rows get the same spans; other columns are
-not inputs.  With nothing to learn from, only base spans are returned.
+not inputs, and one named like the result is replaced.  With nothing to learn
+from, only base spans are returned.
 """
 
 from __future__ import annotations
@@ -84,10 +91,11 @@ class Tokens:
     features: np.ndarray
 
 
-#: Numbers of the feature groups: shape, size, digits and changes, three neighbouring words, marks, file.
-_GROUPS = (256, 16, 64, 1 << WORD_BITS, 1 << WORD_BITS, 1 << WORD_BITS, 64, 64)
+#: Numbers of the feature groups: shape, size, digits and changes, three neighbouring words, marks, three of the file.
+_GROUPS = (256, 16, 64, 1 << WORD_BITS, 1 << WORD_BITS, 1 << WORD_BITS, 64, 64, 64, 64)
 _FIRST = np.concatenate([[0], np.cumsum(_GROUPS)])
 FEATURES = int(_FIRST[-1])
+FILE_GROUPS = 3
 
 
 def tokens(block: Block) -> Tokens:
@@ -145,9 +153,23 @@ def tokens(block: Block) -> Tokens:
     gap = sum(((t[start] - t[gap_start]) > 0) * 2**k for k, t in enumerate((sign, colon, quote, line)))
     after = np.minimum(end, n - 1)
     gap = gap + 16 * np.isin(data[after], [34, 39, 96]) + 32 * (data[after] == 61)
-    length = np.minimum(np.log2(np.diff(offsets) + 1).astype(np.int64), 15)
-    file = length * 4 + np.minimum(sign[offsets[1:]] - sign[offsets[:-1]], 3)
-    features = np.stack([shape, width, mixed, shifted(1), shifted(2), shifted(-1), gap, file[row]], axis=1) + _FIRST[:-1]
+
+    def per_file(total: np.ndarray) -> np.ndarray:
+        return total[offsets[1:]] - total[offsets[:-1]]
+
+    def share(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        """A share as one of eight steps, each twice the one before: 1/256 and less to over half."""
+        return np.clip(np.log2(np.maximum(part, 1e-9) / np.maximum(whole, 1)) + 8, 0, 7).astype(np.int64)
+
+    length = np.diff(offsets)
+    by_row = np.bincount(row, minlength=len(length)) if len(row) else np.zeros(len(length), np.int64)
+    code = count(np.isin(data, [ord(c) for c in "{}[]()<>;:=_/\\\"'`#$&|"]))
+    file = [
+        np.minimum(np.log2(length + 1).astype(np.int64), 15) * 4 + np.minimum(per_file(sign), 3),
+        share(per_file(code), length) * 8 + share(per_file(count(kind == 3)), length),
+        np.clip(length // np.maximum(by_row, 1) - 2, 0, 7) * 8 + share(np.bincount(row, weights=size > 15, minlength=len(length)), by_row),
+    ]
+    features = np.stack([shape, width, mixed, shifted(1), shifted(2), shifted(-1), gap, *(f[row] for f in file)], axis=1) + _FIRST[:-1]
     return Tokens(start, end, row, features)
 
 
@@ -191,7 +213,7 @@ class Field:
         return out
 
 
-def train(features: np.ndarray, tags: np.ndarray, mask: np.ndarray, epochs: int = 80, penalty: float = 2e-3, rate: float = 0.3) -> Field:
+def train(features: np.ndarray, tags: np.ndarray, mask: np.ndarray, epochs: int = 50, penalty: float = 2e-3, rate: float = 0.3) -> Field:
     """Maximum likelihood by forward-backward over padded sequences (sequences x steps), with Adagrad steps."""
     n, steps, _ = features.shape
     emission, transition = np.zeros((FEATURES, 3)), np.zeros((3, 3))
@@ -234,109 +256,156 @@ def train(features: np.ndarray, tags: np.ndarray, mask: np.ndarray, epochs: int
     return Field(emission, transition)
 
 
-def _draw(rng, alphabet: str, n: int) -> str:
-    return "".join(alphabet[i] for i in rng.integers(0, len(alphabet), n))
-
-
-def planted(rng) -> tuple[str, str, str, bool]:
-    """(before, value, after, is a secret) of a made-up line: secrets the patterns miss, and look-alikes."""
-    digits, small, big = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    every = digits + small + big
-    pick = int(rng.integers(0, 12))
-    n = int(rng.integers(20, 44))
-    if pick == 0:
-        return "bearer ", _draw(rng, every, n), "", True
-    if pick == 1:
-        return "", "ghp_" + _draw(rng, every, 36), "", True
-    if pick == 2:
-        return 'private key "', _draw(rng, every + "+/", n), '"', True
-    if pick == 3:
-        return "auth: ", _draw(rng, every + "-_", n), "", True
-    if pick == 4:
-        return "credential = ", _draw(rng, every, n), "", True
-    if pick == 5:
-        return "", "sk-" + _draw(rng, every, n), "", True
-    if pick == 6:
-        return "", _draw(rng, digits, 4) + "-" + _draw(rng, digits, 2) + "-" + _draw(rng, digits, 2), "", False
-    if pick == 7:
-        return "", _draw(rng, small, 6) + "." + _draw(rng, small, 8) + "/" + _draw(rng, small, 5) + _draw(rng, digits, 2), "", False
-    if pick == 8:
-        return "(", _draw(rng, digits, 3), ") " + _draw(rng, digits, 3) + "-" + _draw(rng, digits, 4), False
-    if pick == 9:
-        return "", _draw(rng, big, int(rng.integers(3, 30))), "!!", False
-    if pick == 10:
-        return "", _draw(rng, small, int(rng.integers(12, 40))), ",", False
-    return "", ".".join(_draw(rng, digits, 3) for _ in range(4)), "", False
-
-
-def training_windows(texts: list[str], seed: int = 11, steps: int = 24, plants: int = 1500) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token windows around secrets and at random places, with tags."""
-    rng = np.random.default_rng(seed)
-    whole, spans = [], []
-    for text in texts:
-        raw = text.encode()
-        whole.append(raw)
-        spans.append([(a, b) for a, _, b in base_spans(raw)])
-    for _ in range(plants if texts else 0):
-        raw = texts[int(rng.integers(0, len(texts)))]
-        at = raw.find(" ", int(rng.integers(0, max(len(raw), 1)))) + 1
-        before, value, after, secret = planted(rng)
-        head = (raw[max(0, at - 300) : at] + before).encode()
-        made = head + value.encode() + after.encode() + b" " + raw[at : at + 300].encode()
-        own = [(a, b) for a, _, b in base_spans(made)]
-        whole.append(made)
-        spans.append(own + ([(len(head), len(head) + len(value.encode()))] if secret else []))
-    features, tags, mask = [], [], []
-    for k, raw in enumerate(whole):
-        data = np.frombuffer(raw, np.uint8)
-        t = tokens(Block(0, 1, data, np.array([0, len(data)])))
-        n = len(t.start)
-        if not n:
-            continue
-        y = np.zeros(n, np.int64)
-        for a, b in sorted(spans[k]):
-            hit = np.flatnonzero((t.end > a) & (t.start < b))
-            # the keyword of an assignment isn't part of the secret
-            hit = hit[[not raw[t.start[i] : t.end[i]].lower() in KEYWORDS for i in hit]] if len(hit) else hit
-            fresh = hit[y[hit] == 0]
-            y[fresh] = INSIDE
-            if len(fresh):
-                y[fresh[0]] = BEGIN
-        centres = [*np.flatnonzero(y == BEGIN).tolist(), *rng.integers(0, n, 1 if k < len(texts) else 0).tolist()]
-        if k >= len(texts):
-            centres.append(int(np.searchsorted(t.start, min(300, len(raw) // 2))))
-        for c in centres:
-            a = max(0, min(c - steps // 2, n - steps))
-            b = min(n, a + steps)
-            f = np.zeros((steps, t.features.shape[1]), np.int64)
-            g, m = np.zeros(steps, np.int64), np.zeros(steps, bool)
-            f[: b - a], g[: b - a], m[: b - a] = t.features[a:b], y[a:b], True
-            features.append(f)
-            tags.append(g)
-            mask.append(m)
-    return np.array(features), np.array(tags), np.array(mask)
-
-
-def drawn_texts(docs: DataFrame, sample: int = SAMPLE_DOCUMENTS, text_col: str = "text") -> list[str]:
-    """The ``sample`` distinct texts with the least hashes, sorted; fewer only where there are fewer.
+DIGITS, SMALL, BIG = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+ALPHABETS = (DIGITS + SMALL + BIG, DIGITS + SMALL + BIG, DIGITS + SMALL + BIG + "-_", DIGITS + SMALL + BIG + "+/", BIG + "234567", DIGITS + SMALL, DIGITS + "ABCDEF", DIGITS + BIG)
+HINTS = ("key", "auth", "bearer", "credential", "private", "access", "signature", "session", "cookie", "login", "pass", "client")
+
+
+def _draw(rng, alphabet: str, low: int, high: int | None = None) -> str:
+    return "".join(alphabet[i] for i in rng.integers(0, len(alphabet), int(rng.integers(low, high)) if high else low))
+
+
+def _pick(rng, options):
+    return options[int(rng.integers(0, len(options)))]
+
+
+def planted_secret(rng) -> tuple[str, str, str]:
+    """(before, value, after): a random value, alone or with a random prefix or parts, in surroundings of many forms."""
+    alphabet = _pick(rng, ALPHABETS)
+    value = _draw(rng, alphabet, 18, 64)
+    form = rng.random()
+    if form < 0.3:
+        value = _draw(rng, SMALL, 2, 6) + _pick(rng, "_-") + value
+    elif form < 0.4:
+        value = ".".join(_draw(rng, alphabet, 12, 40) for _ in range(3))
+    hint = _pick(rng, HINTS)
+    hint = _pick(rng, (hint, hint.upper(), hint.capitalize(), _draw(rng, SMALL, 3, 8) + "_" + hint))
+    return _pick(rng, (("", value, ""), ("", value, "\n"), (hint + " ", value, ""), (hint + ": ", value, ""), (hint + " = ", value, ""), (hint + '="', value, '"'), ('"' + hint + '": "', value, '"'), ("'", value, "'"), ("--" + hint + "=", value, ""), ("(", value, ")")))
+
+
+def planted_harmless(rng) -> tuple[str, str, str]:
+    """(before, value, after): what looks unusual and isn't a secret."""
+    name = lambda: _draw(rng, SMALL, 3, 9)
+    number = lambda low, high=None: _draw(rng, DIGITS, low, high)
+    forms = (
+        lambda: f"{number(4)}-{number(2)}-{number(2)}",
+        lambda: f"{number(4)}-{number(2)}-{number(2)}T{number(2)}:{number(2)}:{number(2)}",
+        lambda: f"{name()}.{name()}{number(1, 4)}@{name()}{number(1)}.example.com",
+        lambda: f"{name()}.{name()}/{name()}{number(2)}/{name()}-{name()}.html",
+        lambda: f"{name()}/{name()}_{name()}/{name()}.{_draw(rng, SMALL, 2, 4)}",
+        lambda: number(9, 20),
+        lambda: _draw(rng, BIG, 3, 30),
+        lambda: _draw(rng, SMALL, 12, 40),
+        lambda: ".".join(number(1, 4) for _ in range(4)),
+        lambda: "".join(name().capitalize() for _ in range(int(rng.integers(2, 6)))),
+        lambda: "_".join(name() for _ in range(int(rng.integers(2, 6)))),
+        lambda: "-".join(name() for _ in range(int(rng.integers(2, 6)))),
+        lambda: "-".join(_draw(rng, DIGITS + "abcdef", n) for n in (8, 4, 4, 4, 12)),
+        lambda: _draw(rng, DIGITS + "abcdef", 6, 11),
+        lambda: f"v{number(1)}.{number(1, 3)}.{number(1, 3)}-{name()}{number(1)}",
+        lambda: f"{_draw(rng, BIG, 2, 4)}{number(3, 9)}",
+    )
+    return _pick(rng, (("", _pick(rng, forms)(), ""), ("(", _pick(rng, forms)(), ")"), (_pick(rng, HINTS) + " ", _pick(rng, forms)(), ","), (name() + ": ", _pick(rng, forms)(), "")))
+
+
+STEPS = 16
+
+
+def _tags(t: Tokens, raw: bytes, spans: list[tuple[int, int]]) -> np.ndarray:
+    y = np.zeros(len(t.start), np.int64)
+    for a, b in sorted(spans):
+        hit = np.flatnonzero((t.end > a) & (t.start < b))
+        # the keyword of an assignment isn't part of the secret
+        hit = hit[[raw[t.start[i] : t.end[i]].lower() not in KEYWORDS for i in hit]] if len(hit) else hit
+        fresh = hit[y[hit] == 0]
+        y[fresh] = INSIDE
+        if len(fresh):
+            y[fresh[0]] = BEGIN
+    return y
+
+
+def _whole(raw: bytes) -> Tokens:
+    data = np.frombuffer(raw, np.uint8)
+    return tokens(Block(0, 1, data, np.array([0, len(data)])))
+
+
+def text_windows(text: str, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Up to four windows of ``STEPS`` tokens of one text: (features, tags)."""
+    rng, raw = np.random.default_rng(seed & ((1 << 63) - 1)), text.encode()
+    t, spans = _whole(raw), [(a, b) for a, _, b in base_spans(raw)]
+    n = len(t.start)
+    if not n:
+        return []
+    y = _tags(t, raw, spans)
+
+    def window(t: Tokens, y: np.ndarray, centre: int) -> tuple[np.ndarray, np.ndarray]:
+        a = max(0, min(centre - STEPS // 2, len(y) - STEPS))
+        return t.features[a : a + STEPS], y[a : a + STEPS]
+
+    # shape 4 and 8 (digits, marks), or long: what a look at the token alone might take for a secret
+    shape = t.features[:, 0]
+    unusual = np.flatnonzero((y == OUT) & (((shape & 7) > 4) | (shape >= 128)))
+    out = [window(t, y, int(rng.integers(0, n)))]
+    begins = np.flatnonzero(y == BEGIN)
+    if len(begins):
+        out.append(window(t, y, int(_pick(rng, begins))))
+    if len(unusual):
+        out.append(window(t, y, int(_pick(rng, unusual))))
+    secret = rng.random() < 0.5
+    before, value, after = (planted_secret if secret else planted_harmless)(rng)
+    k = int(rng.integers(0, n))
+    left, right = raw[t.start[max(0, k - STEPS)] : t.start[k]], raw[t.start[k] : t.end[min(n - 1, k + STEPS)]]
+    head = left + before.encode()
+    made = head + value.encode() + after.encode() + b" " + right
+    u = _whole(made)
+    own = [(a, b) for a, _, b in base_spans(made)] + ([(len(head), len(head) + len(value))] if secret else [])
+    # the file is still the document, not the snippet
+    u.features[:, -FILE_GROUPS:] = t.features[k, -FILE_GROUPS:]
+    out.append(window(u, _tags(u, made, own), int(np.searchsorted(u.start, len(head)))))
+    return out
+
+
+def drawn_hashes(docs: DataFrame, sample: int = SAMPLE_DOCUMENTS, text_col: str = "text") -> tuple[DataFrame, int | None]:
+    """Texts with their hashes, and the last of the ``sample`` least distinct hashes (None without texts).
 
     Copies count once, wherever they stand, so the draw depends on the set of texts alone.
     """
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.length("text") > 0).withColumn("hash", F.xxhash64("text", F.lit(5)))
     least = [r["hash"] for r in texts.select("hash").distinct().orderBy("hash").limit(sample).collect()]
-    if not least:
-        return []
-    # whole texts travel only below the last hash that was drawn, and each once from a task
-    rows = texts.where(F.col("hash") <= least[-1]).distinct().orderBy("hash", "text").limit(sample).collect()
-    return sorted(r.text for r in rows)
+    return texts, least[-1] if least else None
+
+
+def training_windows(texts: DataFrame, last: int) -> DataFrame:
+    """hash, number, features and tags (binary) of the windows of the drawn texts, each text once."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for text, seed in dict(zip(batch.column("text").to_pylist(), batch.column("hash").to_pylist(), strict=True)).items():
+                rows += [{"hash": seed, "number": k, "features": f.astype(np.int32).tobytes(), "tags": y.astype(np.int8).tobytes()} for k, (f, y) in enumerate(text_windows(text, seed))]
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("hash", pa.int64()), ("number", pa.int32()), ("features", pa.binary()), ("tags", pa.binary())]))
+
+    small_batches(texts.sparkSession)
+    # whole texts travel only to the Python worker beside them; what is sent on is short
+    return texts.where(F.col("hash") <= last).mapInArrow(run, "hash long, number int, features binary, tags binary").distinct()
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE_DOCUMENTS, text_col: str = "text") -> Field | None:
-    """Trains on ``sample`` distinct texts (``drawn_texts``), the documented bound; None without texts."""
-    rows = drawn_texts(docs, sample, text_col)
+    """Trains on the windows of ``sample`` distinct texts (``drawn_hashes``), the documented bound; None without texts."""
+    texts, last = drawn_hashes(docs, sample, text_col)
+    if last is None:
+        return None
+    # at most four windows of under 700 bytes for each drawn text
+    rows = training_windows(texts, last).orderBy("hash", "number", "features", "tags").collect()
     if not rows:
         return None
-    return train(*training_windows(rows))
+    features = np.zeros((len(rows), STEPS, len(_GROUPS)), np.int64)
+    tags, mask = np.zeros((len(rows), STEPS), np.int64), np.zeros((len(rows), STEPS), bool)
+    for k, r in enumerate(rows):
+        y = np.frombuffer(r.tags, np.int8)
+        features[k, : len(y)] = np.frombuffer(r.features, np.int32).reshape(len(y), -1)
+        tags[k, : len(y)], mask[k, : len(y)] = y, True
+    return train(features, tags, mask)
 
 
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("end", T.LongType())]))
