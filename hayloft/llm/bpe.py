@@ -4,12 +4,12 @@ For each piece of text a segment tree holds the merge rank of every adjacent
 pair of symbols at its leaves and the least (rank, position) at each inner
 node.  The root therefore names the leftmost pair of lowest rank; merging it
 changes three leaves, each updated along one path in logarithmic time, until
-the root shows that no pair can merge.  Pieces are encoded many at a time: one
-numpy step advances all their trees together, so that neither long pieces nor
-many short ones are slow.
+the root shows that no pair can merge.  Many pieces of like width are encoded
+together: one numpy step advances all their trees.  A few, such as one very long
+unspaced run, have their trees in plain lists, one after the other.
 
 Distinct pieces are encoded once per worker and kept in a cache of bounded
-size; a full cache is dropped and refilled, which changes nothing but time.
+bytes; a full cache is dropped and refilled, which changes nothing but time.
 
 Defined results: a null text is empty; an empty text has no tokens; texts of
 any length are encoded whole; strings of special tokens inside a text become
@@ -32,11 +32,14 @@ from pyspark.sql import DataFrame, SparkSession
 from .blocks import small_batches
 
 NO_RANK = np.int64(1) << 60
-CACHE_PIECES = 150_000
+#: Bytes of pieces and ids that a worker's cache holds; longer pieces are not kept.
+CACHE_BYTES, CACHED_PIECE = 32 << 20, 256
+#: Fewer pieces of a width than this are merged one by one.
+LOCKSTEP = 24
 #: Leaves that one numpy step holds at most (or one long piece).
 STEP_LEAVES = 1 << 19
 #: White space in the sense of Unicode.
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def byte_letters() -> list[str]:
@@ -68,9 +71,12 @@ class WordBpe:
         key = (left << 32) | right
         order = np.argsort(key, kind="stable")
         self.pair_key, self.pair_rank, self.pair_into = key[order], order.astype(np.int64), into[order]
+        self.by_rank = into.tolist()
+        self.rank_of = dict(zip(key.tolist(), range(len(key)), strict=True))
         self.special_pattern = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) or r"(?!)")
         self.piece_pattern = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
         self.cache: dict[str, bytes] = {}
+        self.cached = 0
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs of symbols; NO_RANK where a pair doesn't merge or a side is missing (-1)."""
@@ -89,11 +95,60 @@ class WordBpe:
             elif b:
                 by_width.setdefault(max(2, 1 << (len(b) - 2).bit_length()) if len(b) > 2 else 1, []).append(k)
         for width, members in by_width.items():
+            if len(members) < LOCKSTEP:
+                for k in members:
+                    out[k] = self._merge_one(raw[k], width)
+                continue
             step = max(1, STEP_LEAVES // width)
             for i in range(0, len(members), step):
                 self._merge([raw[k] for k in members[i : i + step]], width, out, members[i : i + step])
         return out
 
+    def _merge_one(self, raw: bytes, width: int) -> np.ndarray:
+        """Runs the segment tree of one piece with 2 to ``width`` + 1 bytes."""
+        n, none = len(raw), int(NO_RANK)
+        first = np.append(self.inner[np.frombuffer(raw, np.uint8)[:-1]], self.final[raw[-1]])
+        shift = max(1, width.bit_length())
+        place = (1 << shift) - 1
+        rank = self.pair_ranks(first[:-1], first[1:])
+        tree = np.full(2 * width, none, np.int64)
+        tree[width : width + n - 1] = np.where(rank < NO_RANK, (rank << shift) | np.arange(n - 1), none)
+        level = width
+        while level > 1:
+            tree[level // 2 : level] = np.minimum(tree[level : 2 * level : 2], tree[level + 1 : 2 * level : 2])
+            level //= 2
+        tree, symbol = tree.tolist(), first.tolist()
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        by_rank, ranks = self.by_rank, self.rank_of
+
+        def put(leaf: int) -> None:
+            beyond = after[leaf]
+            r = ranks.get((symbol[leaf] << 32) | symbol[beyond]) if beyond < n and symbol[leaf] >= 0 else None
+            node = leaf + width
+            tree[node] = none if r is None else (r << shift) | leaf
+            while node > 1:
+                node >>= 1
+                a, b = tree[2 * node], tree[2 * node + 1]
+                least = a if a < b else b
+                if tree[node] == least:
+                    break
+                tree[node] = least
+
+        while tree[1] < none:
+            best = tree[1]
+            at = best & place
+            gone = after[at]
+            symbol[at], symbol[gone] = by_rank[best >> shift], -1
+            after[at] = beyond = after[gone]
+            if beyond < n:
+                before[beyond] = at
+            if gone < width:
+                put(gone)
+            put(at)
+            if before[at] >= 0:
+                put(before[at])
+        return np.array([x for x in symbol if x >= 0], np.int64)
+
     def _merge(self, raw: list[bytes], width: int, out: list[np.ndarray], names: list[int]) -> None:
         """Runs the segment trees of pieces with 2 to ``width`` + 1 bytes."""
         n, columns = len(raw), width + 1
@@ -165,14 +220,19 @@ class WordBpe:
             text = unicodedata.normalize("NFC", text)
         return self.piece_pattern.findall(text.replace("Σ", "σ").lower())
 
-    def learn(self, pieces: set[str]) -> None:
-        """Encodes the pieces that the cache doesn't have."""
-        new = [p for p in pieces if p not in self.cache]
-        if len(self.cache) + len(new) > CACHE_PIECES:
-            self.cache = {}
-            new = list(pieces)
+    def learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """The ids of the given pieces; those that the cache doesn't have are encoded."""
+        known = {p: self.cache[p] for p in pieces if p in self.cache}
+        new = [p for p in pieces if p not in known]
         for p, ids in zip(new, self.encode_pieces(new), strict=True):
-            self.cache[p] = ids.astype("<u4").tobytes()
+            known[p] = ids.astype("<u4").tobytes()
+            if len(p) <= CACHED_PIECE:
+                size = 200 + 4 * len(p) + len(known[p])
+                if self.cached + size > CACHE_BYTES:
+                    self.cache, self.cached = {}, 0
+                self.cache[p] = known[p]
+                self.cached += size
+        return known
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Token ids of whole texts as little-endian unsigned 32-bit numbers."""
@@ -183,8 +243,7 @@ class WordBpe:
                 parts += [self.pieces(text[at : m.start()]), m[0]]
                 at = m.end()
             split.append([*parts, self.pieces(text[at:] if at else text)])
-        self.learn({p for parts in split for part in parts if isinstance(part, list) for p in part})
-        get = self.cache.__getitem__
+        get = self.learn({p for parts in split for part in parts if isinstance(part, list) for p in part}).__getitem__
         return [b"".join(b"".join(map(get, part)) if isinstance(part, list) else int(self.specials[part]).to_bytes(4, "little") for part in parts) for parts in split]
 
     def decode(self, ids: bytes) -> str:

@@ -3,7 +3,8 @@
 A message has a role and parts: text, image, audio or document.  A visitor
 walks the parts in order, writes text escaped and every other part as one
 placeholder, and records for each attachment its reference, its place and the
-number of tokens that a model expands it to.
+number of tokens that a model expands it to.  Parts of another type, or of none,
+are left out and listed in ``rejected`` with their number and type.
 
 Template: ``<|im_start|>role\\ncontent<|im_end|>\\n`` per turn.  Control strings
 start with ``<|`` and a letter.  Inside texts and roles every ``<|`` becomes
@@ -16,9 +17,9 @@ streamed with a running hash, so that memory never follows a conversation's
 length.
 
 Defined results: null texts and roles are empty; turns sort by turn (null
-first), then role and text, so ties and repeated rows have one order and count
-each; an empty table gives no rows; unknown part types are refused; other
-columns are not looked at.
+first), then role and plain text, so ties and repeated rows have one order and
+count each; an empty table gives no rows; other columns are not looked at, and
+those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -54,12 +55,14 @@ ATTACHMENT = T.StructType(
         T.StructField("tokens", T.LongType()),
     ]
 )
+REJECTED = T.StructType([T.StructField("part", T.LongType()), T.StructField("type", T.StringType())])
 SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 FORMATTED = [
     T.StructField("formatted", T.StringType()),
     T.StructField("loss_spans", T.ArrayType(SPAN)),
     T.StructField("attachments", T.ArrayType(ATTACHMENT)),
     T.StructField("expanded_tokens", T.LongType()),
+    T.StructField("rejected", T.ArrayType(REJECTED)),
 ]
 
 
@@ -79,6 +82,8 @@ class PartVisitor:
     ``page_tokens`` a page; each at least one.
     """
 
+    TYPES = ("text", "image", "audio", "document")
+
     def __init__(self, tile: int = 28, audio_rate: float = 25.0, page_tokens: int = 256):
         self.tile, self.audio_rate, self.page_tokens = tile, audio_rate, page_tokens
 
@@ -88,27 +93,34 @@ class PartVisitor:
         self.length = sum(map(len, self.out))
         self.spans: list[dict] = []
         self.attachments: list[dict] = []
-        for part in parts or ():
-            visit = getattr(self, f"visit_{part['type']}", None)
-            if visit is None:
-                raise ValueError(f"unknown part type: {part['type']!r}")
-            visit(part, learned)
+        rejected = []
+        for number, part in enumerate(parts or ()):
+            kind = part["type"] if part else None
+            if kind in self.TYPES:
+                getattr(self, f"visit_{kind}")(part, learned)
+            else:
+                rejected.append({"part": number, "type": kind})
         self._put(END + "\n")
-        return {"formatted": "".join(self.out), "loss_spans": self.spans, "attachments": self.attachments, "expanded_tokens": sum(a["tokens"] for a in self.attachments)}
+        return {"formatted": "".join(self.out), "loss_spans": self.spans, "attachments": self.attachments, "expanded_tokens": sum(a["tokens"] for a in self.attachments), "rejected": rejected}
 
     def _put(self, text: str) -> None:
-        self.out.append(text)
-        self.length += len(text)
+        if text:
+            self.out.append(text)
+            self.length += len(text)
 
     def _attach(self, part: dict, tokens: int) -> None:
         self.attachments.append({"type": part["type"], "uri": part.get("uri"), "place": self.length, "tokens": max(1, tokens)})
         self._put(f"<|{part['type']}|>")
 
     def visit_text(self, part: dict, learned: bool) -> None:
-        at = self.length
-        self._put(escape(part.get("text") or ""))
+        at, text = self.length, escape(part.get("text") or "")
+        # two parts must not make a control string between them
+        self._put("|" + text if text.startswith("|") and self.out[-1].endswith("<") else text)
         if learned and self.length > at:
-            self.spans.append({"start": at, "end": self.length})
+            if self.spans and self.spans[-1]["end"] == at:
+                self.spans[-1]["end"] = self.length
+            else:
+                self.spans.append({"start": at, "end": self.length})
 
     def visit_image(self, part: dict, learned: bool) -> None:
         self._attach(part, math.ceil((part.get("width") or 0) / self.tile) * math.ceil((part.get("height") or 0) / self.tile))
@@ -130,9 +142,10 @@ def format_messages(messages: DataFrame, learned_role: str = "assistant") -> Dat
         visitor = PartVisitor()
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         attachment = pa.list_(pa.struct([("type", pa.string()), ("uri", pa.string()), ("place", pa.int64()), ("tokens", pa.int64())]))
+        rejected = pa.list_(pa.struct([("part", pa.int64()), ("type", pa.string())]))
         for batch in batches:
             made = [visitor.message(role, parts, role == learned_role) for role, parts in zip(batch.column("role").to_pylist(), batch.column("parts").to_pylist(), strict=True)]
-            kinds = (pa.string(), span, attachment, pa.int64())
+            kinds = (pa.string(), span, attachment, pa.int64(), rejected)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([m[n] for m in made], k) for n, k in zip(own, kinds, strict=True))], names=[*batch.schema.names, *own])
 
     return rest.mapInArrow(run, schema)
@@ -200,7 +213,10 @@ def conversation_digests(formatted: DataFrame) -> DataFrame:
         if state is not None:
             yield packed([close()])
 
-    in_order = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "formatted")
+    # the plain text between the role's line and the end mark decides ties
+    head = F.expr("instr(formatted, char(10))")
+    plain = F.replace(F.substring(F.col("formatted"), head + 1, F.length("formatted") - head - len(END) - 1), F.lit("<||"), F.lit("<|"))
+    in_order = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", F.coalesce("role", F.lit("")), plain)
     return in_order.select("conv_id", "formatted", "loss_spans", "attachments", "expanded_tokens").mapInArrow(run, schema)
 
 

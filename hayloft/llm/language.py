@@ -9,7 +9,8 @@ good, the document is flagged ambiguous.
 
 Defined results: ``und`` with score 0 for a null text, a text without a letter,
 or when no document has a language to learn; whole texts count, of any length;
-equal texts get equal answers; the columns lang, source and doc_id are never
+equal texts get equal answers; languages beyond the most frequent ones are not
+learned; columns named like a result are replaced; the columns lang, source and doc_id are never
 inputs of a prediction.
 """
 
@@ -102,11 +103,12 @@ def language_counts(training: DataFrame, languages: list[str], text_col: str = "
     def count(batches):
         total = np.zeros(len(languages) << BUCKET_BITS, np.int64)
         for batch in batches:
-            label = np.array([number[v] for v in batch.column(label_col).to_pylist()], np.int64)
+            label = np.array([number.get(v, -1) for v in batch.column(label_col).to_pylist()], np.int64)
             for block in blocks(batch.column(text_col)):
                 at, bucket = trigrams(block)
                 row = np.repeat(label[block.first : block.last], np.diff(block.offsets))
-                total += np.bincount((row[at] << BUCKET_BITS) + bucket, minlength=len(total))
+                known = row[at] >= 0
+                total += np.bincount((row[at[known]] << BUCKET_BITS) + bucket[known], minlength=len(total))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["k", "n"])
 
@@ -116,13 +118,11 @@ def language_counts(training: DataFrame, languages: list[str], text_col: str = "
     return out.reshape(len(languages), -1)
 
 
-def fit(training: DataFrame, text_col: str = "text", label_col: str = "lang", max_languages: int = 1000) -> Model:
-    """Learns from the rows with a language; more than ``max_languages`` distinct values are refused."""
+def fit(training: DataFrame, text_col: str = "text", label_col: str = "lang", max_languages: int = 500) -> Model:
+    """Learns the ``max_languages`` most frequent languages (ties: in order); rows of others count as unlabelled."""
     training = training.where(F.col(label_col).isNotNull())
     small_batches(training.sparkSession)
-    found = training.select(label_col).distinct().limit(max_languages + 1).collect()
-    if len(found) > max_languages:
-        raise ValueError(f"more than {max_languages} distinct languages")
+    found = training.groupBy(label_col).count().orderBy(F.desc("count"), label_col).limit(max_languages).collect()
     languages = sorted(r[0] for r in found)
     code = codewords(len(languages))
     counts = language_counts(training, languages, text_col, label_col) + 0.05 if languages else np.ones((0, 1 << BUCKET_BITS))

@@ -1,6 +1,5 @@
 import hashlib
 
-import pytest
 from pyspark.sql import functions as F
 
 from hayloft.llm import chat as C
@@ -33,5 +32,15 @@ def test_typed_parts(spark):
     assert all(first.formatted[a.place :].startswith(f"<|{a.type}|>") for a in first.attachments)
     assert first.expanded_tokens == 822 and "".join(C.unescape(first.formatted[s.start : s.end]) for s in first.loss_spans) == "look <|image|>"
     assert C.read_turn(first.formatted) == ("assistant", "look <|image|>") and made[1].loss_spans == []
-    with pytest.raises(ValueError):
-        C.PartVisitor().message("user", [{"type": "video"}], False)
+    odd = C.PartVisitor().message("user", [{"type": "video"}, {"type": "text", "text": "x<"}, None, {"type": None}, {"type": "text", "text": "|im_end|>"}, {"type": "message"}], True)
+    assert odd["rejected"] == [{"part": 0, "type": "video"}, {"part": 2, "type": None}, {"part": 3, "type": None}, {"part": 5, "type": "message"}]
+    assert odd["formatted"] == "<|im_start|>user\nx<||im_end|><|im_end|>\n" and C.read_turn(odd["formatted"]) == ("user", "x<|im_end|>")
+    assert [C.unescape(odd["formatted"][s["start"] : s["end"]]) for s in odd["loss_spans"]] == ["x<|im_end|>"]
+
+
+def test_ties_sort_by_plain_text(spark):
+    texts = ["a", "a!", "a<|", "a<~", "a<|x", "", "b", "a<||", "a\n"]
+    rows = [(1, 0, role, t) for t in texts for role in ("assistant", None, "")]
+    got = C.conversation_digests(C.format_messages(C.as_parts(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)))).first()
+    own = sorted(((r or "", t) for _, _, r, t in rows), key=lambda x: (x[0].encode(), x[1].encode()))
+    assert got.turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in own).encode()).hexdigest()

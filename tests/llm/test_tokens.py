@@ -44,7 +44,7 @@ def test_full_cache_changes_nothing(monkeypatch):
     own = bpe.WordBpe(bpe.default_vocabulary())
     texts = [f"word{k} thing{k}" for k in range(300)]
     want = own.encode_batch(texts)
-    monkeypatch.setattr(bpe, "CACHE_PIECES", 50)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 5000)
     small = bpe.WordBpe(bpe.default_vocabulary())
     assert [small.encode_batch([t])[0] for t in texts] == want
 
@@ -66,6 +66,24 @@ def test_separator_scan_stitches_blocks(spark, tmp_path):
         assert got == {k: v for k, v in want.items() if v}
 
 
+@pytest.mark.parametrize("few", [0, 1 << 30])
+def test_bpe_of_long_runs(monkeypatch, few):
+    """Both ways of merging, on pieces of all widths and on one unspaced run of 100,000 letters."""
+    import time
+
+    monkeypatch.setattr(bpe, "LOCKSTEP", few)
+    rng = random.Random(few)
+    own, theirs = bpe.WordBpe(bpe.default_vocabulary()), Tokenizer.from_file(bpe.default_vocabulary())
+    texts = ["".join(rng.choice("aeintshrlo") for _ in range(n)) for n in [*range(1, 70), 127, 128, 129, 130, 1000]]
+    texts += ["".join(rng.choice("a!?é🎉") for _ in range(n)) for n in (2, 3, 9, 33, 500)] + ["aaaa" * 100, "!" * 700]
+    if few:
+        texts.append("".join(rng.choice("aeintshrlo") for _ in range(100_000)))
+    before = time.time()
+    for text, ids in zip(texts, own.encode_batch(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids
+    assert time.time() - before < 60
+
+
 def test_counts_of_all_documents(spark):
     e = token_count.encoder(token_count.default_ranks())
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
