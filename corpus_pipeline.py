@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the one before kept,
 and returns a DataFrame that is written as Parquet and read again.  The first
-four return the columns of ``documents``.
+four return the columns of ``documents``, as they came: columns named like a
+stage's own are set aside.  ``run`` deletes what a stage wrote once the next
+one has been written.
 """
 
 from __future__ import annotations
@@ -11,13 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hayloft.llm import bpe, decontaminate, jaccard_join, language, secret_scan
-from hayloft.llm.blocks import shared_folder
+from hayloft.llm.blocks import Scratch, set_aside
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can't be told (no text or no letter) go."""
-    found = language.identify_languages(docs)
-    return found.where(F.col("lang_pred") != "und").select(*docs.columns)
+    docs, back = set_aside(docs, ["lang_pred", "score", "ambiguous"])
+    return language.identify_languages(docs).where(F.col("lang_pred") != "und").select(*back)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,14 +29,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
+    docs, back = set_aside(docs, ["n_words", "n_hit", "items"])
     found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(F.col("n_hit") == 0).select(*docs.columns)
+    return found.where(F.col("n_hit") == 0).select(*back)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; n_chars follows the new text."""
-    clean = secret_scan.redact(secret_scan.scan(docs, secret_scan.fit(docs)))
-    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """Secrets are replaced by a mark; n_chars follows a new text."""
+    docs, back = set_aside(docs, ["spans", "redacted"])
+    found = secret_scan.scan(docs, secret_scan.fit(docs))
+    clean = secret_scan.redact(found.withColumn("redacted", F.size("spans") > 0))
+    length = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return clean.withColumn("n_chars", F.when(F.col("redacted"), length).otherwise(F.col("n_chars"))).select(*back)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,10 +63,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole table of documents."""
-    folder = shared_folder(spark)
+    scratch, before = Scratch(spark), None
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        made = stage(spark, docs, sf_dir)
-        made.write.parquet(f"{folder}/{name}")
-        docs = spark.read.schema(made.schema).parquet(f"{folder}/{name}")
+        docs = scratch.write(stage(spark, docs, sf_dir), name)
+        if before:
+            scratch.drop(before)
+        before = name
     return docs
