@@ -122,7 +122,7 @@ def rebalance(mapping: list[int], totals: dict[int, tuple[int, int]], shards: in
 
 
 def save_map(spark: SparkSession, path: str, version: int, mapping: list[int], totals: dict[int, tuple[int, int]]) -> DataFrame:
-    """Appends one version of the map to the table at ``path`` and returns that version.
+    """Writes one version of the map to the table at ``path`` and returns it; a version that exists is an error.
 
     ``first_slot`` is where a virtual slot's rows begin among its shard's rows.
     The table has one row per slot and version, so its size is fixed by ``SLOTS``.
@@ -133,7 +133,8 @@ def save_map(spark: SparkSession, path: str, version: int, mapping: list[int], t
         size, n = totals.get(slot, (0, 0))
         rows.append((version, slot, shard, int(size), int(n), begins.get(shard, 0)))
         begins[shard] = begins.get(shard, 0) + n
-    spark.createDataFrame(rows, MAP_SCHEMA).coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+    # its own folder, so that of two writers of a version one fails and rows never double
+    spark.createDataFrame(rows, MAP_SCHEMA).drop("version").coalesce(1).write.mode("error").parquet(f"{path}/version={version}")
     return load_map(spark, path, version)
 
 
@@ -145,6 +146,14 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Data
     return table.where(F.col("version") == version)
 
 
+def newest_version(spark: SparkSession, path: str) -> int:
+    """The newest version of the map at ``path``; 0 where there is none."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in files.listStatus(top)] if files.exists(top) else []
+    return max([0, *(int(n.removeprefix("version=")) for n in names if n.startswith("version="))])
+
+
 def collected_totals(slotted: DataFrame) -> dict[int, tuple[int, int]]:
     """Totals on the driver: at most one small row for each virtual slot."""
     return {r.virtual_slot: (r.bytes, r.rows) for r in slot_totals(slotted).collect()}
@@ -163,12 +172,28 @@ def place(slotted: DataFrame, slot_map: DataFrame, id_col: str = "doc_id") -> Da
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, slots: int = SLOTS, path: str | None = None) -> DataFrame:
-    """Puts every row into a shard, writing version 1 of the slot map under ``path``."""
+    """Puts every row into a shard, writing a first map, as the next version, under ``path``."""
+    spark = docs.sparkSession
+    path = path or shared_folder(spark) + "/slot_map"
+    slotted = with_slots(docs, slots)
+    totals = collected_totals(slotted)
+    return place(slotted, save_map(spark, path, newest_version(spark, path) + 1, assign(totals, shards, slots), totals))
+
+
+def rebalance_documents(docs: DataFrame, path: str, shards: int, slots: int = SLOTS, tolerance: float = 0.01) -> DataFrame:
+    """Puts every row into a shard by the newest map under ``path``, edited for new sizes or another number of shards.
+
+    Only slots that must move do; the edited map is the next version.
+    """
     spark = docs.sparkSession
+    version = newest_version(spark, path)
+    if not version:
+        raise ValueError(f"no slot map at {path}")
+    # one row per virtual slot
+    mapping = [r.shard for r in load_map(spark, path, version).orderBy("virtual_slot").collect()]
     slotted = with_slots(docs, slots)
     totals = collected_totals(slotted)
-    slot_map = save_map(spark, path or shared_folder(spark) + "/slot_map", 1, assign(totals, shards, slots), totals)
-    return place(slotted, slot_map)
+    return place(slotted, save_map(spark, path, version + 1, rebalance(mapping, totals, shards, tolerance), totals))
 
 
 def op3_shard_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,12 @@
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from hayloft.llm import sharding as S
 
 from . import helpers as h
+from ..conftest import SF
 
 
 def test_placement(spark):
@@ -66,3 +68,32 @@ def test_repeated_rows_spread(spark):
     assert len(held) == 16 and max(held.values()) - min(held.values()) <= 0.02 * sum(held.values()) / 16
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
     assert sorted((r.doc_id or 0, r.virtual_slot) for r in rows) == sorted((r.doc_id or 0, r.virtual_slot) for r in S.with_slots(docs.repartition(5)).collect())
+
+
+def test_versions_are_made_and_rebalanced(spark, tmp_path):
+    """Sharding twice on one path makes versions 1 and 2; a rebalance to more shards version 3, moving rows only into new ones."""
+    path, docs = f"file://{tmp_path}/map", spark.read.parquet(f"{SF}/documents.parquet")
+    first = S.shard_documents(docs, 4, 256, path)
+    assert S.shard_documents(docs, 4, 256, path).count() == first.count() == docs.count()
+    assert S.newest_version(spark, path) == 2 and S.load_map(spark, path).count() == 256
+    with pytest.raises(Exception, match="(?i)exists"):
+        S.save_map(spark, path, 2, [0] * 256, {})
+    before = {r.doc_id: r.shard for r in first.collect()}
+    grown = S.rebalance_documents(docs, path, 5, 256, tolerance=0.2).collect()
+    moved = [r for r in grown if r.shard != before[r.doc_id]]
+    assert {r.version for r in grown} == {3} and moved and {r.shard for r in moved} == {4} and len(moved) < len(grown) / 3
+    with pytest.raises(ValueError):
+        S.rebalance_documents(docs, f"file://{tmp_path}/none", 5)
+
+
+def test_registered_query(spark):
+    import zlib
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = S.op3_shard_virtual_slots(spark, SF).collect()
+    assert {r.doc_id: (r.size, r.text_crc32) for r in rows} == {k: (len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for k, t in docs.items()}
+    sizes = [sum(r.size for r in rows if r.shard == k) for k in range(16)]
+    assert max(sizes) - min(sizes) <= 2 * max(r.size for r in rows) and {r.law for r in rows} == {"bytes"}
+    for k in range(16):
+        own = sorted(r.slot for r in rows if r.shard == k)
+        assert own == list(range(len(own)))
