@@ -14,6 +14,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
+from hayloft.sources.shared import Scratch, shared_folder, written  # noqa: F401  for the operators
+
 BLOCK_BYTES = 1 << 19
 #: A row of more bytes is worked on in pieces, where an operator can.
 PIECE_BYTES = 1 << 20
@@ -189,47 +191,6 @@ def small_batches(spark) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
-def shared_folder(spark) -> str:
-    """A new folder that driver and executors share: below ``spark.checkpoint.dir``.
-
-    Where a session on one machine names none (tests), a temporary folder is set
-    as the checkpoint folder; on a cluster it must be named.
-    """
-    import tempfile
-    import uuid
-
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if not top:
-        set_before = context._jsc.sc().getCheckpointDir()
-        if set_before.isDefined():
-            top = set_before.get()
-        elif context.master.startswith("local"):
-            top = "file://" + tempfile.mkdtemp(prefix="hayloft-")
-            context.setCheckpointDir(top)
-        else:
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-    return f"{top.rstrip('/')}/hayloft-{uuid.uuid4().hex}"
-
-
-class Scratch:
-    """A new folder in the shared space for tables that cut lineage."""
-
-    def __init__(self, spark):
-        self.spark, self.folder = spark, shared_folder(spark)
-
-    def write(self, frame, name: str):
-        """``frame`` as a table, read again."""
-        frame.write.parquet(f"{self.folder}/{name}")
-        return self.spark.read.schema(frame.schema).parquet(f"{self.folder}/{name}")
-
-    def drop(self, *names: str) -> None:
-        """Deletes tables that nothing reads any more."""
-        for name in names:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def set_aside(docs, own: list[str]):
     """``docs`` with columns named like one of ``own`` renamed, and the columns that give all of ``docs`` back."""
     import uuid
@@ -239,8 +200,3 @@ def set_aside(docs, own: list[str]):
     mark, clash = uuid.uuid4().hex, {c.lower() for c in own}
     names = {c: f"{c}_{mark}" for c in docs.columns if c.lower() in clash}
     return docs.withColumnsRenamed(names), [F.col(names.get(c, c)).alias(c) for c in docs.columns]
-
-
-def written(spark, frame, name: str):
-    """``frame`` as a table in a new shared folder, read again: cuts the lineage."""
-    return Scratch(spark).write(frame, name)
