@@ -16,7 +16,12 @@ RANKING_DOCS = ("md", "mdx", "txt", "json", "html", "htm", "css", "yaml", "yml",
 BUCKET_DOCS = ("md", "mdx", "markdown", "txt", "json", "html", "htm", "css", "yaml", "yml", "toml")
 PREFIX_DOCS = ("mmd", "mermaid", "md", "mdx", "markdown", "txt", "json", "yaml", "yml", "toml")
 MARKDOWN = ("md", "markdown", "mmd")
-LANGUAGES = {"py": "python", "rs": "rust", "ts": "typescript", "js": "javascript", "go": "go", "java": "java", "md": "markdown", "json": "json", "html": "html", "mmd": "mermaid", "mermaid": "mermaid"}
+# fixed values: language names by ending
+LANGUAGES = {
+    "bash": "bash", "c": "c", "cc": "cpp", "cpp": "cpp", "cs": "csharp", "css": "css", "cxx": "cpp", "go": "go", "h": "cpp", "hpp": "cpp", "htm": "html", "html": "html", "java": "java",
+    "js": "javascript", "json": "json", "jsx": "javascript", "kt": "kotlin", "md": "markdown", "mermaid": "mermaid", "mmd": "mermaid", "php": "php", "py": "python", "rb": "ruby", "rs": "rust",
+    "sass": "scss", "scala": "scala", "scss": "scss", "sh": "bash", "sql": "sql", "swift": "swift", "toml": "toml", "ts": "typescript", "tsx": "typescript", "xml": "xml", "yaml": "yaml", "yml": "yaml",
+}
 
 
 def extension(path: Column) -> Column:
@@ -64,6 +69,11 @@ def ranks_as_doc(path: Column) -> Column:
     return extension(path).isin(*RANKING_DOCS) | F.lower(path).contains("/docs/")
 
 
+def is_markdown(path: Column) -> Column:
+    """Whether a file is cut by its headings."""
+    return extension(path).isin(*MARKDOWN)
+
+
 def takes_prefix(path: Column) -> Column:
     return extension(path).isin(*PREFIX_DOCS)
 
@@ -97,3 +107,9 @@ def language(path: Column) -> Column:
 def is_shown_kind(kind: Column, anchors: bool = False) -> Column:
     """Leaves anchors out unless they are asked for."""
     return F.lit(True) if anchors else kind.isNull() | (kind != "anchor")
+
+
+def from_file_uri(uri: Column) -> Column:
+    """The path of a ``file:`` address, percent signs decoded; a plus sign is one."""
+    bare = F.regexp_replace(uri, "^file:(//[^/]*)?", "")
+    return F.url_decode(F.replace(bare, F.lit("+"), F.lit("%2B")))

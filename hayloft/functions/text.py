@@ -97,3 +97,19 @@ def tags(chunk_type: Column, is_test: Column, is_anchor: Column) -> Column:
 def embedding_text(text: Column, summary: Column, prefix: Column) -> Column:
     """What is embedded: a prefix for documents, a summary of diagrams if there is one, the text."""
     return F.concat(F.coalesce(prefix, F.lit("")), F.when(summary.isNotNull(), F.concat(F.lit("[diagram-summary]\n"), summary, F.lit("\n\n"))).otherwise(""), text)
+
+
+def chunk_header(breadcrumbs: Column, text: Column) -> Column:
+    """A chunk under the path of its headings."""
+    return F.concat(F.array_join(breadcrumbs, " > "), F.lit("\n---\n"), text)
+
+
+def byte_range(line_array: Column, first: Column, last: Column) -> Column:
+    """(start, end) in bytes of the lines from ``first`` to before ``last``, each with its line feed."""
+    size = lambda n: F.aggregate(F.slice(line_array, F.lit(1), n), F.lit(0).cast("long"), lambda s, x: s + F.octet_length(x) + 1)
+    return F.struct(size(first).alias("start"), size(last).alias("end"))
+
+
+def error_envelope(code: Column, message: Column) -> Column:
+    """The JSON that a failed query returns."""
+    return F.to_json(F.struct(F.struct(code.alias("code"), message.alias("message")).alias("error")))

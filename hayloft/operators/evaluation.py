@@ -7,6 +7,8 @@ import tomllib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hayloft.operators import lexical
+
 CASE = "case_id string, query_text string, mode string, k int, per_file int, expect_any array<string>, expect_all array<string>, expect_any_regex array<string>, expect_all_regex array<string>"
 
 
@@ -23,6 +25,24 @@ def load_suite(spark: SparkSession, text: str, only: tuple[str, ...] = ()) -> Da
     return spark.createDataFrame(rows, CASE)
 
 
+def holding_documents(docs: DataFrame, items: DataFrame, index: lexical.LexicalIndex) -> DataFrame:
+    """item_id, doc_id where a whole document holds all words of an item (item_id, text) in a row; case and marks don't count.
+
+    ``index`` has the postings of the items' words over ``docs``: only documents with
+    an item's rarest word are read and compared as a whole.
+    """
+    words = lambda c: lexical.terms(F.coalesce(c, F.lit("")))
+    wanted = items.select("item_id", words(F.col("text")).alias("item")).where(F.size("item") > 0)
+    found = index.rows.where(F.col("term") != "").select("term", F.col("row_id").alias("doc_id"))
+    common = found.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    each = wanted.select("item_id", F.explode(F.array_distinct("item")).alias("term")).join(common, "term", "left")
+    rarest = each.groupBy("item_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term")).alias("t")).where(F.col("t.n") > 0).select("item_id", "t.term")
+    pairs = found.join(rarest, "term").select("item_id", "doc_id")
+    cut = docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("w"))
+    padded = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
+    return pairs.join(wanted, "item_id").join(cut, "doc_id").where(F.contains(padded("w"), padded("item"))).select("item_id", "doc_id")
+
+
 def matched(path: Column, expected: Column, is_regex: Column) -> Column:
     """Whether a path fits an expectation, by substring or pattern."""
     return F.when(is_regex, F.regexp_like(path, expected)).otherwise(F.contains(path, expected))

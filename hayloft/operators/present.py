@@ -53,3 +53,9 @@ def evidence_packs(results: DataFrame, per_file: int = 5) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.round("best", 6).desc(), "path")
     everyone = Window.partitionBy("query_id")
     return packs.withColumn("file_rank", F.row_number().over(order)).withColumn("low_confidence", F.max("best_pct").over(everyone) < 55)
+
+
+def store_list(files: DataFrame) -> DataFrame:
+    """Stores (store, size, changed by file) with their number of files, bytes and last change, newest first."""
+    stores = files.groupBy("store").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"), F.max("changed").alias("newest"))
+    return stores.orderBy(F.desc("newest"), "store")

@@ -27,6 +27,12 @@ BUCKETS = ("code", "docs", "graph")
 DEFINITIONS = ("function", "class", "interface", "method", "typealias")
 
 
+def known_chunk_type(name: Column) -> Column:
+    """A stored chunk type: unknown ones are ``other``, none stays none."""
+    low = F.lower(name)
+    return F.when(low.isin(*DEFINITIONS, "block", "other"), low).when(name.isNotNull(), "other")
+
+
 def boosted(score: Column, path: Column, chunk_type: Column, mode: str = "balanced") -> Column:
     """The score times the mode's factors; a graph is not also a doc."""
     definition, test, doc, graph = WEIGHTS[mode]
@@ -88,22 +94,23 @@ def select_by_mode(results: DataFrame, by: list[str], limit: int, per_file: int,
     if mode == "balanced":
         return select_balanced(results, by, limit, per_file)
     q = quotas(limit, mode)
-    base = ranked(results, by, "_overall").withColumn("_bucket", paths.bucket(F.col("path"))).withColumn("_anchor", F.coalesce("is_anchor", F.lit(False)))
-    overall = F.col("_overall")
-    base = base.withColumn("_copy", F.row_number().over(Window.partitionBy(*by, "path", "start_line", "_anchor").orderBy(overall)))
+    anchor = F.coalesce("is_anchor", F.lit(False))
+    # one exchange by query and file serves all windows inside files
+    base = results.repartition(*by, "path").withColumn("_bucket", paths.bucket(F.col("path"))).withColumn("_anchor", anchor)
+    inside = lambda *more: Window.partitionBy(*by, "path", *more)
+    base = base.withColumn("_copy", F.row_number().over(inside("start_line", "_anchor").orderBy(*result_order())))
     base = base.withColumn("_plain", ~F.col("_anchor") & (F.col("_copy") == 1))
-    base = base.withColumn("_in_file", F.row_number().over(Window.partitionBy(*by, "path", "_plain").orderBy(overall)))
+    base = base.withColumn("_in_file", F.row_number().over(inside("_plain").orderBy(*result_order())))
     base = base.withColumn("_eligible", F.col("_plain") & (F.lit(per_file == 0) | (F.col("_in_file") <= per_file)))
-    base = base.withColumn("_in_bucket", F.row_number().over(Window.partitionBy(*by, "_bucket", "_eligible").orderBy(overall)))
+    # of rows that aren't eligible only the first of a key that no eligible row has can ever count
+    base = base.withColumn("_key", F.row_number().over(inside("start_line").orderBy(F.desc("_eligible"), *result_order()))).where(F.col("_eligible") | (F.col("_key") == 1))
+    # beyond the limit a bucket's rows can't come in: few rows of each file group go on
+    base = base.withColumn("_in_bucket", F.row_number().over(Window.partitionBy(*by, "_bucket", "_eligible").orderBy(*result_order()))).where(F.col("_in_bucket") <= limit)
     quota = F.when(F.col("_bucket") == "code", q["code"]).when(F.col("_bucket") == "docs", q["docs"]).otherwise(q["graph"])
-    phase = F.when(F.col("_eligible") & (F.col("_in_bucket") <= quota), 1).when(F.col("_eligible"), 2).otherwise(3)
-    base = base.withColumn("_phase", phase)
-    # in the last phase only keys not taken before count, each once
-    key = Window.partitionBy(*by, "path", "start_line").orderBy(F.col("_phase"), overall)
-    base = base.withColumn("_key", F.row_number().over(key)).where((F.col("_phase") < 3) | (F.col("_key") == 1))
-    order = Window.partitionBy(*by).orderBy(F.col("_phase"), F.when(F.col("_phase") == 1, paths.bucket_rank(F.col("_bucket"))).otherwise(0), overall)
+    base = base.withColumn("_phase", F.when(F.col("_eligible") & (F.col("_in_bucket") <= quota), 1).when(F.col("_eligible"), 2).otherwise(3))
+    order = Window.partitionBy(*by).orderBy(F.col("_phase"), F.when(F.col("_phase") == 1, paths.bucket_rank(F.col("_bucket"))).otherwise(0), *result_order())
     chosen = base.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
-    return chosen.withColumnRenamed("_bucket", "bucket").drop("_overall", "_copy", "_plain", "_in_file", "_eligible", "_in_bucket", "_phase", "_key", "_anchor")
+    return chosen.withColumnRenamed("_bucket", "bucket").drop("_copy", "_plain", "_in_file", "_eligible", "_in_bucket", "_phase", "_key", "_anchor")
 
 
 def keep_best(results: DataFrame, by: list[str]) -> DataFrame:
@@ -137,11 +144,12 @@ def match_percent(results: DataFrame, by: list[str], score: str = "score") -> Da
     s = F.col(score)
     finite = s.isNotNull() & ~F.isnan(s) & (F.abs(s) < float("inf"))
     good = F.when(finite, s)
-    w = Window.partitionBy(*by)
-    n, mean, std = F.count(good).over(w), F.avg(good).over(w), F.stddev_pop(good).over(w)
-    plain = (n < 2) | (std <= 1e-9)
-    value = F.when(plain, s * 100).otherwise(100 / (1 + F.exp(-(s - mean) / std)))
-    return results.withColumn("match_pct", F.when(finite, F.greatest(F.lit(0.0), F.least(F.lit(99.0), F.round(value))).cast("int")))
+    # sums by query, joined back: no query's results come together in one task
+    facts = results.groupBy(*by).agg(F.count(good).alias("_n"), F.avg(good).alias("_mean"), F.stddev_pop(good).alias("_std"))
+    plain = (F.col("_n") < 2) | (F.col("_std") <= 1e-9)
+    value = F.when(plain, s * 100).otherwise(100 / (1 + F.exp(-(s - F.col("_mean")) / F.col("_std"))))
+    percent = F.when(finite, F.greatest(F.lit(0.0), F.least(F.lit(99.0), F.round(value))).cast("int"))
+    return results.join(facts, by).withColumn("match_pct", percent).drop("_n", "_mean", "_std")
 
 
 def merge_adjacent(results: DataFrame, by: list[str], gap: int = 10) -> DataFrame:

@@ -1,8 +1,8 @@
 """Candidate retrieval: vectors by class, BM25, hybrid union, reranking.
 
-Query tables are stated and bounded; chunk tables are not.  A query table is
-broadcast only if it has at most ``BROADCAST_QUERIES`` rows, else the pairs
-come from a join that Spark plans itself.
+Query tables are stated; chunk tables are not.  A query table is broadcast only
+if it has at most ``BROADCAST_QUERIES`` rows, else queries and chunks meet in
+blocks, by an equi-join.
 """
 
 from __future__ import annotations
@@ -14,8 +14,6 @@ from hayloft.functions import paths, vectors
 
 BROADCAST_QUERIES = 4096
 RERANK_DEPTH = 50
-# fixed values: the usual BM25 parameters
-K1, B = 1.2, 0.75
 
 
 def store_limit(limit: int, mode: str) -> int:
@@ -23,10 +21,22 @@ def store_limit(limit: int, mode: str) -> int:
     return limit * (2 if mode == "balanced" else 10)
 
 
+def every_pair(queries: DataFrame, rows: DataFrame, key: str, limit: int = BROADCAST_QUERIES) -> DataFrame:
+    """Every row with every stated query; ``key`` is a column that spreads the rows."""
+    n = queries.count()
+    if n <= limit:
+        return rows.join(F.broadcast(queries), F.lit(True))
+    # blocks of about ``limit`` queries, each with every part of the rows
+    blocks, parts = -(-n // limit), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    numbers = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
+    dealt = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("_part", numbers(parts))
+    spread = rows.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts))).withColumn("_block", numbers(blocks))
+    return spread.join(dealt, ["_block", "_part"]).drop("_block", "_part")
+
+
 def scored_pairs(queries: DataFrame, chunks: DataFrame, limit: int = BROADCAST_QUERIES) -> DataFrame:
     """Every chunk with every stated query and their inner product ``score``; queries have query_id and query_vector."""
-    few = queries.limit(limit + 1).count() <= limit
-    return chunks.join(F.broadcast(queries) if few else queries, F.lit(True)).withColumn("score", vectors.dot(F.col("query_vector"), F.col("embedding")))
+    return every_pair(queries, chunks, "embedding", limit).withColumn("score", vectors.dot(F.col("query_vector"), F.col("embedding")))
 
 
 def top_k(pairs: DataFrame, k: int, by: list[str], order: list[Column], name: str = "branch_rank") -> DataFrame:
@@ -39,37 +49,6 @@ def class_top_k(pairs: DataFrame, k: int) -> DataFrame:
     return top_k(classed, k, ["query_id", "class"], [F.desc("score"), F.asc("path"), F.asc("row_id")])
 
 
-def terms(text: Column) -> Column:
-    """Lower-cased runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
-
-
-def postings(docs: DataFrame, id_col: str, text_col: str, vocabulary: DataFrame | None = None) -> DataFrame:
-    """term, id, tf, dl; restricted to the terms of ``vocabulary`` before anything is shuffled."""
-    split = docs.select(F.col(id_col).alias("row_id"), terms(F.col(text_col)).alias("t"))
-    each = split.select("row_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
-    if vocabulary is not None:
-        each = each.join(vocabulary, "term", "left_semi")
-    return each.groupBy("term", "row_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def bm25(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """query_id, row_id, score, lexical_rank: the best ``k`` documents of each query by BM25.
-
-    ``queries`` has query_id and query_text; each distinct term counts once.
-    """
-    wanted = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query_text")))).alias("term"))
-    facts = docs.select(F.size(terms(F.col(text_col))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean"))
-    found = postings(docs, id_col, text_col, wanted.select("term").distinct())
-    frequency = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    # one row of totals
-    weighted = found.join(frequency, "term").join(F.broadcast(facts), F.lit(True))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
-    scores = wanted.join(weighted.select("term", "row_id", part.alias("part")), "term").groupBy("query_id", "row_id").agg(F.round(F.sum("part"), 6).alias("score"))
-    return top_k(scores, k, ["query_id"], [F.desc("score"), F.asc("row_id")], "lexical_rank")
-
-
 def hybrid_union(dense: DataFrame, lexical: DataFrame) -> DataFrame:
     """All branches, code, doc, graph, then lexical, first one wins for each path and line."""
     from hayloft.operators.ranking import first_seen
@@ -79,11 +58,17 @@ def hybrid_union(dense: DataFrame, lexical: DataFrame) -> DataFrame:
     return first_seen(both, ["query_id"])
 
 
-def rerank(candidates: DataFrame, by: list[str], depth: int = RERANK_DEPTH, limit: int | None = None) -> DataFrame:
-    """The first ``depth`` by dense score take their ``maxsim`` as score; all are then ordered anew."""
+def rerank(candidates: DataFrame, by: list[str], max_sim: Column, depth: int = RERANK_DEPTH, limit: int | None = None) -> DataFrame:
+    """The first ``depth`` by dense score take ``max_sim`` as score; all are then ordered anew.
+
+    ``max_sim`` is computed for those alone.  With a limit, rows that can't come
+    among it (beyond ``depth`` + ``limit``) are dropped before they are sent on.
+    """
     first = Window.partitionBy(*by).orderBy(F.desc("score"), "path", "row_id")
-    out = candidates.withColumn("dense_rank", F.row_number().over(first)).withColumn("dense_score", F.col("score"))
-    out = out.withColumn("score", F.when(F.col("dense_rank") <= depth, F.col("maxsim")).otherwise(F.col("score")))
+    out = candidates.withColumn("dense_rank", F.row_number().over(first))
+    if limit:
+        out = out.where(F.col("dense_rank") <= depth + limit)
+    out = out.withColumn("dense_score", F.col("score")).withColumn("score", F.when(F.col("dense_rank") <= depth, max_sim).otherwise(F.col("score")))
     again = Window.partitionBy(*by).orderBy(F.round("score", 6).desc(), "path", "row_id")
     out = out.withColumn("rank", F.row_number().over(again))
     return out.where(F.col("rank") <= limit) if limit else out

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hayloft.functions import identity, paths, text, vectors
-from hayloft.operators import changes, chunking, diagrams, evaluation, ranking, retrieval
+from hayloft.operators import changes, chunking, diagrams, embedding, evaluation, lexical, present, ranking, retrieval
+from hayloft.plans import sync
 from hayloft.sources import tables as t
+from hayloft.streaming import watch
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -24,7 +26,7 @@ _CHUNKS = _DOCS + """, chunks AS (SELECT CAST(doc_id AS VARCHAR) AS row_id, doc_
   CAST(doc_id % 30 + 1 AS INTEGER) AS num_lines, CASE doc_id % 5 WHEN 0 THEN 'function' WHEN 1 THEN 'class' ELSE 'other' END AS chunk_type,
   doc_id % 11 = 0 AS is_anchor, CAST(embedding AS DOUBLE[]) AS embedding
   FROM docs JOIN embeddings ON vec_id = doc_id % (SELECT count(*) FROM embeddings)),
-queries AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS query_vector FROM embeddings WHERE vec_id < 8),
+queries AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS query_vector FROM embeddings WHERE vec_id % 100 = 0),
 pairs AS (SELECT query_id, chunks.*, list_sum(list_transform(list_zip(query_vector, embedding), lambda z: z[1] * z[2])) AS score FROM chunks, queries)"""
 _WORDS = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 
@@ -53,11 +55,10 @@ def _boosted(spark: SparkSession, d: str, mode: str) -> DataFrame:
     return rows.withColumn("secondary_score", F.lit(None).cast("double")).drop("embedding", "query_vector")
 
 
-@registered("WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, list_sum(list_transform(list_zip(v, CAST(embedding AS DOUBLE[])), lambda z: z[1] * z[2])) AS score FROM embeddings, q) SELECT vec_id, round(score, 6) AS score FROM s ORDER BY round(score, 6) DESC, vec_id LIMIT 20")
+@registered("WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id, round(list_sum(list_transform(list_zip(v, CAST(embedding AS DOUBLE[])), lambda z: z[1] * z[2])), 6) AS score FROM embeddings, q) SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 20")
 def knn_exact_topk(spark: SparkSession, d: str) -> DataFrame:
-    q = t.query_vectors(spark, d, 1)
-    pairs = retrieval.scored_pairs(q, t.table(spark, d, "embeddings")).select("vec_id", F.round("score", 6).alias("score"))
-    return pairs.orderBy(F.desc("score"), "vec_id").limit(20)
+    pairs = retrieval.scored_pairs(t.query_vectors(spark, d), t.table(spark, d, "embeddings")).select("query_id", "vec_id", F.round("score", 6).alias("score"))
+    return retrieval.top_k(pairs, 20, ["query_id"], [F.desc("score"), F.asc("vec_id")], "rank")
 
 
 @registered(f"WITH {_CHUNKS}, r AS (SELECT query_id, doc_id, CASE WHEN doc_id % 8 IN (2, 7) THEN 'graph' WHEN doc_id % 8 IN (1, 3) THEN 'doc' ELSE 'code' END AS class, round(score, 6) AS score, path, row_id FROM pairs) SELECT query_id, class, CAST(row_number() OVER (PARTITION BY query_id, class ORDER BY score DESC, path, row_id) AS INTEGER) AS branch_rank, doc_id, score FROM r QUALIFY branch_rank <= 20")
@@ -146,8 +147,7 @@ def line_windows(spark: SparkSession, d: str) -> DataFrame:
 
 @registered("WITH n AS (SELECT conv_id, turn, text, lag(text) OVER w AS p, lead(text) OVER w AS x FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) SELECT conv_id, turn, sha256(coalesce(p, '') || text || coalesce(x, '')) AS content_sha, CAST(greatest(CAST(turn AS INTEGER) * 3 - CASE WHEN coalesce(p, '') = '' THEN 0 ELSE len(string_split(p, chr(10))) - CASE WHEN ends_with(p, chr(10)) THEN 1 ELSE 0 END END, 0) AS INTEGER) AS start_line, CAST(2 AS INTEGER) AS num_lines FROM n")
 def neighbour_context(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    rows = t.table(spark, d, "conversations").withColumn("context_prev", F.lag("text").over(w)).withColumn("context_next", F.lead("text").over(w))
+    rows = chunking.with_neighbours(t.table(spark, d, "conversations"), "conv_id", "turn")
     rows = rows.withColumn("start_line", F.col("turn").cast("int") * 3).withColumn("end_line", F.col("start_line") + 2)
     return retrieval.shown_columns(rows).select("conv_id", "turn", F.sha2(F.col("content").cast("binary"), 256).alias("content_sha"), F.col("start_line").cast("int"), F.col("num_lines").cast("int"))
 
@@ -160,15 +160,16 @@ def anchor_preamble(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.size("preamble").alias("preamble_lines"), F.sha2(F.array_join("preamble", "\n").cast("binary"), 256).alias("preamble_sha"))
 
 
-@registered(f"""WITH r AS (SELECT source, doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INTEGER) AS rank, text FROM documents),
-c AS (SELECT source, doc_id, rank, (SELECT max(i) FROM unnest(range(0, least(length(text), 600) + 1)) u(i) WHERE strlen(left(text, i)) <= 600) AS keep, text FROM r),
+# a page of results: forty documents that follow each other
+@registered(f"""WITH r AS (SELECT doc_id // 40 AS page, doc_id, CAST(row_number() OVER (PARTITION BY doc_id // 40 ORDER BY doc_id) AS INTEGER) AS rank, text FROM documents),
+c AS (SELECT page, doc_id, rank, (SELECT max(i) FROM unnest(range(0, least(length(text), 600) + 1)) u(i) WHERE strlen(left(text, i)) <= 600) AS keep, text FROM r),
 k AS (SELECT *, strlen(left(text, keep)) AS bytes FROM c),
-m AS (SELECT *, greatest(8000 - coalesce(sum(bytes) OVER (PARTITION BY source ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS rest, sum(bytes) OVER (PARTITION BY source) AS total FROM k)
-SELECT source, doc_id, rank, CAST(strlen(left(text, CASE WHEN total > 8000 AND bytes > rest THEN (SELECT max(i) FROM unnest(range(0, keep + 1)) u(i) WHERE strlen(left(text, i)) <= rest) ELSE keep END)) AS BIGINT) AS bytes FROM m""")
+m AS (SELECT *, greatest(8000 - coalesce(sum(bytes) OVER (PARTITION BY page ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS rest, sum(bytes) OVER (PARTITION BY page) AS total FROM k)
+SELECT page, doc_id, rank, CAST(strlen(left(text, CASE WHEN total > 8000 AND bytes > rest THEN (SELECT max(i) FROM unnest(range(0, keep + 1)) u(i) WHERE strlen(left(text, i)) <= rest) ELSE keep END)) AS BIGINT) AS bytes FROM m""")
 def snippet_caps(spark: SparkSession, d: str) -> DataFrame:
-    rows = t.table(spark, d, "documents").select("source", "doc_id", F.col("text").alias("content"))
-    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
-    return ranking.byte_budget(rows, ["source"], 600, 8000).select("source", "doc_id", "rank", F.octet_length("content").cast("long").alias("bytes"))
+    rows = t.table(spark, d, "documents").select(F.floor(F.col("doc_id") / 40).alias("page"), "doc_id", F.left("text", F.lit(600)).alias("content"))
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("page").orderBy("doc_id")))
+    return ranking.byte_budget(rows, ["page"], 600, 8000).select("page", "doc_id", "rank", F.octet_length("content").cast("long").alias("bytes"))
 
 
 @registered(f"WITH {_CHUNKS}, m AS (SELECT query_id, doc_id, score, avg(score) OVER w AS mean, stddev_pop(score) OVER w AS std FROM pairs WINDOW w AS (PARTITION BY query_id)) SELECT query_id, doc_id, CAST(greatest(0, least(99, round(100 / (1 + exp(-(score - mean) / std))))) AS INTEGER) AS match_pct FROM m")
@@ -200,30 +201,39 @@ def _token_groups(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"].cast("array<double>")).alias("tokens"))
 
 
-_TOKENS = "tok AS (SELECT vec_id // 8 AS doc, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), qt AS (SELECT vec_id, v FROM tok WHERE doc = 0)"
+def _token_pairs(groups: DataFrame) -> DataFrame:
+    """Every group with the stated queries: the groups whose number is divisible by 100, each a bounded matrix."""
+    query = groups.where(F.col("doc") % 100 == 0).select(F.col("doc").alias("query_id"), F.col("tokens").alias("query"))
+    return retrieval.every_pair(query, groups, "doc")
 
 
-@registered(f"WITH {_TOKENS}, m AS (SELECT tok.doc, qt.vec_id, max(list_sum(list_transform(list_zip(qt.v, tok.v), lambda z: z[1] * z[2]))) AS best FROM tok, qt GROUP BY 1, 2) SELECT doc, round(sum(best), 6) AS maxsim FROM m GROUP BY doc")
+_TOKENS = "tok AS (SELECT vec_id // 8 AS doc, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), qt AS (SELECT doc AS query_id, vec_id, v FROM tok WHERE doc % 100 = 0)"
+
+
+@registered(f"WITH {_TOKENS}, m AS (SELECT query_id, tok.doc, qt.vec_id, max(list_sum(list_transform(list_zip(qt.v, tok.v), lambda z: z[1] * z[2]))) AS best FROM tok, qt GROUP BY 1, 2, 3) SELECT query_id, doc, round(sum(best), 6) AS maxsim FROM m GROUP BY 1, 2")
 def maxsim_float(spark: SparkSession, d: str) -> DataFrame:
-    groups = _token_groups(spark, d)
-    query = groups.where(F.col("doc") == 0).select(F.col("tokens").alias("query"))
-    return groups.join(F.broadcast(query), F.lit(True)).select("doc", F.round(vectors.max_sim(F.col("query"), F.col("tokens")), 6).alias("maxsim"))
+    return _token_pairs(_token_groups(spark, d)).select("query_id", "doc", F.round(vectors.max_sim(F.col("query"), F.col("tokens")), 6).alias("maxsim"))
 
 
-@registered(f"WITH {_TOKENS}, sc AS (SELECT doc, max(list_max(list_transform(v, lambda x: abs(x)))) / 127 AS scale FROM tok GROUP BY doc), q AS (SELECT tok.doc, list_transform(v, lambda x: CAST(trunc(x / scale) AS DOUBLE)) AS q, scale FROM tok JOIN sc ON tok.doc = sc.doc), m AS (SELECT q.doc, any_value(scale) AS scale, qt.vec_id, max(list_sum(list_transform(list_zip(qt.v, q.q), lambda z: z[1] * z[2]))) AS best FROM q, qt GROUP BY 1, 3) SELECT doc, round(sum(best) * any_value(scale), 6) AS maxsim FROM m GROUP BY doc")
+@registered(f"WITH {_TOKENS}, sc AS (SELECT doc, max(list_max(list_transform(v, lambda x: abs(x)))) / 127 AS scale FROM tok GROUP BY doc), q AS (SELECT tok.doc, list_transform(v, lambda x: CAST(trunc(x / scale) AS DOUBLE)) AS q, scale FROM tok JOIN sc ON tok.doc = sc.doc), m AS (SELECT query_id, q.doc, any_value(scale) AS scale, qt.vec_id, max(list_sum(list_transform(list_zip(qt.v, q.q), lambda z: z[1] * z[2]))) AS best FROM q, qt GROUP BY 1, 2, 4) SELECT query_id, doc, round(sum(best) * any_value(scale), 6) AS maxsim FROM m GROUP BY 1, 2")
 def maxsim_quantized(spark: SparkSession, d: str) -> DataFrame:
     groups = _token_groups(spark, d)
-    query = groups.where(F.col("doc") == 0).select(F.col("tokens").alias("query"))
     scale = vectors.quantisation_scale(F.flatten("tokens"))
     rows = groups.withColumn("scale", scale).withColumn("q", F.transform("tokens", lambda r: F.transform(r, lambda x: F.greatest(F.lit(-127.0), F.least(F.lit(127.0), x / F.col("scale"))).cast("int").cast("tinyint"))))
-    return rows.join(F.broadcast(query), F.lit(True)).select("doc", F.round(vectors.max_sim_quantised(F.col("query"), F.col("q"), F.col("scale")), 6).alias("maxsim"))
+    return _token_pairs(rows).select("query_id", "doc", F.round(vectors.max_sim_quantised(F.col("query"), F.col("q"), F.col("scale")), 6).alias("maxsim"))
+
+
+_MATRIX = "list_transform(range(0, 8), lambda i: list_slice({}, i * 8 + 1, i * 8 + 8))"
 
 
-@registered(f"WITH {_CHUNKS}, dr AS (SELECT query_id, doc_id, path, row_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path, row_id) AS dense_rank FROM pairs), s AS (SELECT *, CASE WHEN dense_rank <= 50 THEN 2 * score + (doc_id % 10) / 100.0 ELSE score END AS new FROM dr) SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(new, 6) DESC, path, row_id) AS INTEGER) AS rank, round(new, 6) AS score FROM s QUALIFY rank <= 60")
+# the token matrix of a chunk or query: its vector in eight parts
+@registered(f"""WITH {_CHUNKS}, dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path, row_id) AS dense_rank FROM (SELECT query_id, doc_id, path, row_id, score, embedding, query_vector FROM pairs JOIN queries USING (query_id)) QUALIFY dense_rank <= 110),
+s AS (SELECT *, CASE WHEN dense_rank <= 50 THEN list_sum(list_transform({_MATRIX.format('query_vector')}, lambda a: list_max(list_transform({_MATRIX.format('embedding')}, lambda b: list_sum(list_transform(list_zip(a, b), lambda z: z[1] * z[2])))))) ELSE score END AS new FROM dr)
+SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(new, 6) DESC, path, row_id) AS INTEGER) AS rank, round(new, 6) AS score FROM s QUALIFY rank <= 60""")
 def rerank_top50(spark: SparkSession, d: str) -> DataFrame:
-    rows = _pairs(spark, d).drop("embedding", "query_vector")
-    rows = rows.withColumn("maxsim", 2 * F.col("score") + (F.col("doc_id") % 10) / F.lit(100.0))
-    return retrieval.rerank(rows, ["query_id"], limit=60).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+    parts = lambda v: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice(v, i * 8 + 1, F.lit(8)))
+    late = vectors.max_sim(parts(F.col("query_vector")), parts(F.col("embedding")))
+    return retrieval.rerank(_pairs(spark, d), ["query_id"], late, limit=60).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
 _BM25 = f"""qt AS (SELECT DISTINCT item_id AS query_id, unnest({_WORDS.format('text')}) AS term FROM benchmark),
@@ -236,21 +246,21 @@ bm AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) *
 @registered(f"WITH {_BM25} SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS lexical_rank, doc_id, round(score, 4) AS score FROM bm QUALIFY lexical_rank <= 10")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     queries = t.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
-    found = retrieval.bm25(t.table(spark, d, "documents").select("doc_id", "text"), queries, 10)
+    found = lexical.bm25(t.table(spark, d, "documents").select("doc_id", "text"), queries, 10)
     return found.select("query_id", "lexical_rank", F.col("row_id").alias("doc_id"), F.round("score", 4).alias("score"))
 
 
 @registered(f"""WITH {_CHUNKS}, {_BM25}, dense AS (SELECT query_id, doc_id, path, start_line, CASE WHEN doc_id % 8 IN (2, 7) THEN 2 WHEN doc_id % 8 IN (1, 3) THEN 1 ELSE 0 END AS branch, score, row_id FROM pairs),
 dr AS (SELECT query_id, doc_id, path, start_line, branch, row_number() OVER (PARTITION BY query_id, branch ORDER BY score DESC, path, row_id) AS branch_rank FROM dense QUALIFY branch_rank <= 20),
-lx AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS branch_rank FROM bm WHERE query_id < 8 QUALIFY branch_rank <= 20),
+lx AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS branch_rank FROM bm WHERE query_id % 100 = 0 QUALIFY branch_rank <= 20),
 u AS (SELECT * FROM dr UNION ALL SELECT lx.query_id, lx.doc_id, path, start_line, 3, branch_rank FROM lx JOIN chunks ON chunks.doc_id = lx.doc_id)
 SELECT query_id, doc_id, CAST(branch AS INTEGER) AS branch, CAST(branch_rank AS INTEGER) AS branch_rank FROM u QUALIFY row_number() OVER (PARTITION BY query_id, path, start_line ORDER BY branch, branch_rank) = 1""")
 def hybrid_union_dedup(spark: SparkSession, d: str) -> DataFrame:
     dense = retrieval.class_top_k(_pairs(spark, d), 20).select("query_id", "doc_id", "path", "start_line", "class", "branch_rank")
-    queries = t.table(spark, d, "benchmark").where(F.col("item_id") < 8).select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
-    found = retrieval.bm25(t.table(spark, d, "documents").select("doc_id", "text"), queries, 20)
-    lexical = found.select("query_id", F.col("row_id").alias("doc_id"), F.col("lexical_rank").alias("branch_rank")).join(t.chunk_rows(spark, d).select("doc_id", "path", "start_line"), "doc_id")
-    return retrieval.hybrid_union(dense, lexical).select("query_id", "doc_id", "branch", "branch_rank")
+    queries = t.table(spark, d, "benchmark").where(F.col("item_id") % 100 == 0).select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+    found = lexical.bm25(t.table(spark, d, "documents").select("doc_id", "text"), queries, 20)
+    words = found.select("query_id", F.col("row_id").alias("doc_id"), F.col("lexical_rank").alias("branch_rank")).join(t.chunk_rows(spark, d).select("doc_id", "path", "start_line"), "doc_id")
+    return retrieval.hybrid_union(dense, words).select("query_id", "doc_id", "branch", "branch_rank")
 
 
 # a file here is a source and language; its documents are the chunks
@@ -290,29 +300,24 @@ def merge_adjacent(spark: SparkSession, d: str) -> DataFrame:
 
 @registered(f"WITH {_VERSIONS} SELECT segment, count(*) AS rows, count(DISTINCT path_key) AS paths, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM versions GROUP BY segment")
 def segment_union(spark: SparkSession, d: str) -> DataFrame:
-    rows = t.versions(spark, d)
-    parts = [rows.where(F.col("segment") == f"seg_{k}") for k in range(5)]
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    return union.groupBy("segment").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("path_key").alias("paths"), F.sum(F.octet_length("text")).alias("bytes"))
+    return changes.segment_counts(t.versions(spark, d))
 
 
 @registered("""WITH s AS (SELECT o_custkey, o_orderkey, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r, max(o_orderdate) OVER (PARTITION BY o_custkey) AS newest FROM orders)
-SELECT o_custkey AS store, o_orderkey AS snapshot, CAST(r AS INTEGER) AS age_rank, r <= 5 OR epoch(newest) - epoch(o_orderdate) <= 2592000 OR o_orderkey % 50 = 0 AS retain FROM s""")
+SELECT o_custkey AS store, o_orderkey AS snapshot, CAST(r AS INTEGER) AS age_rank, r <= 5 OR epoch(newest) - epoch(o_orderdate) <= 2592000 OR o_orderkey % 50 = 0 OR r = 7 AS retain FROM s""")
 def gc_retention(spark: SparkSession, d: str) -> DataFrame:
+    """A customer stands for a store, its orders for snapshots; the seventh is the active one, every fiftieth is pinned."""
     w = Window.partitionBy("o_custkey")
-    rank = F.row_number().over(w.orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")))
-    rows = t.table(spark, d, "orders").withColumn("age_rank", rank).withColumn("newest", F.max("o_orderdate").over(w))
-    young = F.unix_timestamp("newest") - F.unix_timestamp("o_orderdate") <= 2592000
-    return rows.select(F.col("o_custkey").alias("store"), F.col("o_orderkey").alias("snapshot"), "age_rank", ((F.col("age_rank") <= 5) | young | (F.col("o_orderkey") % 50 == 0)).alias("retain"))
+    order = F.row_number().over(w.orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")))
+    rows = t.table(spark, d, "orders").select(F.col("o_custkey").alias("store"), F.col("o_orderkey").alias("snapshot_id"), F.col("o_orderdate").alias("created_at"), F.max("o_orderdate").over(w).alias("newest"), (order == 7).alias("active"))
+    pinned = t.table(spark, d, "orders").where(F.col("o_orderkey") % 50 == 0).select(F.col("o_orderkey").alias("snapshot_id"))
+    kept = changes.retained(rows, 5, 2592000, F.col("newest"), pinned, by=("store",))
+    return kept.select("store", F.col("snapshot_id").alias("snapshot"), "age_rank", "retain")
 
 
 @registered(f"WITH {_VERSIONS}, g AS (SELECT segment, count(*) AS rows, CAST(sum(strlen(text)) AS BIGINT) AS size FROM versions GROUP BY segment) SELECT CAST(sum(rows) AS BIGINT) AS rows, CAST(sum(size) AS BIGINT) AS size_bytes, count(*) AS segments, (SELECT count(*) FROM docs WHERE doc_id % 7 = 0) AS tombstones FROM g")
 def manifest_totals(spark: SparkSession, d: str) -> DataFrame:
-    per = t.versions(spark, d).groupBy("segment").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("text")).alias("size"))
-    total = per.agg(F.sum("rows").alias("rows"), F.sum("size").alias("size_bytes"), F.count(F.lit(1)).alias("segments"))
-    return total.crossJoin(t.tombstones(spark, d).agg(F.count(F.lit(1)).alias("tombstones")))  # one row each
+    return changes.manifest_totals(changes.segment_counts(t.versions(spark, d)), t.tombstones(spark, d))
 
 
 @registered("SELECT DISTINCT event_type AS code, CASE WHEN user_id % 3 = 0 THEN NULL ELSE 'u' || user_id END AS path_key FROM events")
@@ -321,30 +326,43 @@ def limit_dedup(spark: SparkSession, d: str) -> DataFrame:
     return ranking.distinct_diagnostics(rows)
 
 
+_HELD = "regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')"
+
+
 def _cases(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Benchmark items as cases: the documents that hold the item's first 40 characters are expected, BM25 gives the hits."""
+    """Benchmark items as cases: the whole documents that hold the item's whole text are expected, BM25 gives the hits.
+
+    Any of them must be among the hits; for items with an even id also the one of
+    least id.  Texts are compared as runs of words.
+    """
     items = t.table(spark, d, "benchmark")
-    docs = t.documents(spark, d)
+    docs = t.table(spark, d, "documents").select("doc_id", "text")
     queries = items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
-    hits = retrieval.bm25(docs.select("doc_id", "text"), queries, 10).select(F.col("query_id").alias("case_id"), F.col("lexical_rank").alias("rank"), F.concat(F.lit("d"), F.col("row_id").cast("string"), F.lit(".")).alias("path"))
+    name = lambda c: F.concat(F.lit("d"), c.cast("string"), F.lit("."))
+    index = lexical.build_index(docs, vocabulary=lexical.vocabulary_of(queries))
+    hits = index.search(queries, 10).select(F.col("query_id").alias("case_id"), F.col("lexical_rank").alias("rank"), name(F.col("row_id")).alias("path"))
     mode = F.element_at(F.array(F.lit("balanced"), F.lit("debug"), F.lit("planning")), (F.col("item_id") % 3 + 1).cast("int"))
-    wanted = hits.where(F.col("rank") % 4 == 3).groupBy("case_id").agg(F.array_sort(F.collect_set("path")).alias("expect"))
-    cases = items.select(F.col("item_id").alias("case_id"), mode.alias("mode")).join(wanted, "case_id", "left")
+    holding = evaluation.holding_documents(docs, items, index)
+    wanted = holding.groupBy("item_id").agg(F.array_sort(F.collect_set(name(F.col("doc_id")))).alias("expect"), name(F.min("doc_id")).alias("least"))
     nothing = F.array().cast("array<string>")
-    cases = cases.select("case_id", "mode", F.coalesce("expect", nothing).alias("expect_any"), F.when(F.col("case_id") % 2 == 0, F.array(F.concat(F.lit("d"), F.col("case_id").cast("string"), F.lit(".")))).otherwise(nothing).alias("expect_all"))
-    return cases, hits
-
-
-_CASES = f"""{_BM25}, hits AS (SELECT query_id AS case_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, 'd' || doc_id || '.' AS path FROM bm QUALIFY rank <= 10),
-cases AS (SELECT item_id AS case_id, ['balanced', 'debug', 'planning'][item_id % 3 + 1] AS mode FROM benchmark),
-anyhit AS (SELECT case_id, min(rank) AS r FROM hits WHERE rank % 4 = 3 GROUP BY 1), allhit AS (SELECT case_id, min(rank) AS r FROM hits WHERE case_id % 2 = 0 AND path = 'd' || case_id || '.' GROUP BY 1),
-scored AS (SELECT c.case_id, mode, CAST(least(a.r, b.r) AS INTEGER) AS first_hit_rank, a.r IS NOT NULL OR NOT EXISTS (SELECT 1 FROM hits h WHERE h.case_id = c.case_id AND h.rank % 4 = 3) AS any_ok, c.case_id % 2 <> 0 OR b.r IS NOT NULL AS all_ok
+    cases = items.select("item_id", mode.alias("mode")).join(wanted, "item_id", "left")
+    least = F.when((F.col("item_id") % 2 == 0) & F.col("least").isNotNull(), F.array("least")).otherwise(nothing)
+    return cases.select(F.col("item_id").alias("case_id"), "mode", F.coalesce("expect", nothing).alias("expect_any"), least.alias("expect_all")), hits
+
+
+_CASES = f"""{_BM25}, hits AS (SELECT query_id AS case_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id FROM bm QUALIFY rank <= 10),
+bw AS (SELECT item_id, ' ' || trim({_HELD.format('text')}) || ' ' AS w FROM benchmark), dt AS (SELECT doc_id, ' ' || trim({_HELD.format('text')}) || ' ' AS w FROM documents),
+holding AS (SELECT item_id, doc_id FROM bw, dt WHERE length(bw.w) > 2 AND contains(dt.w, bw.w)), least AS (SELECT item_id, min(doc_id) AS least FROM holding GROUP BY 1),
+cases AS (SELECT b.item_id AS case_id, ['balanced', 'debug', 'planning'][b.item_id % 3 + 1] AS mode, least FROM benchmark b LEFT JOIN least l ON l.item_id = b.item_id),
+anyhit AS (SELECT case_id, min(rank) AS r FROM hits JOIN holding ON item_id = case_id AND holding.doc_id = hits.doc_id GROUP BY 1),
+allhit AS (SELECT hits.case_id, min(rank) AS r FROM hits JOIN cases ON cases.case_id = hits.case_id AND least = doc_id WHERE hits.case_id % 2 = 0 GROUP BY 1),
+scored AS (SELECT c.case_id, mode, CAST(least(a.r, b.r) AS INTEGER) AS first_hit_rank, a.r IS NOT NULL OR least IS NULL AS any_ok, c.case_id % 2 <> 0 OR least IS NULL OR b.r IS NOT NULL AS all_ok
   FROM cases c LEFT JOIN anyhit a ON a.case_id = c.case_id LEFT JOIN allhit b ON b.case_id = c.case_id)"""
 
 
-@registered(f"WITH {_CASES} SELECT case_id, mode, first_hit_rank, round(coalesce(1.0 / first_hit_rank, 0), 6) AS reciprocal_rank, any_ok, all_ok, any_ok AND all_ok AS passed FROM scored")
+@registered(f"WITH {_CASES} SELECT case_id, mode, coalesce(first_hit_rank, 0) AS first_hit_rank, round(coalesce(1.0 / first_hit_rank, 0), 6) AS reciprocal_rank, any_ok, all_ok, any_ok AND all_ok AS passed FROM scored")
 def eval_case_scores(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.score_cases(*_cases(spark, d)).select("case_id", "mode", "first_hit_rank", F.round("reciprocal_rank", 6).alias("reciprocal_rank"), "any_ok", "all_ok", "passed")
+    return evaluation.score_cases(*_cases(spark, d)).select("case_id", "mode", F.coalesce("first_hit_rank", F.lit(0)).alias("first_hit_rank"), F.round("reciprocal_rank", 6).alias("reciprocal_rank"), "any_ok", "all_ok", "passed")
 
 
 @registered(f"WITH {_CASES} SELECT mode, count(*) AS total, count(*) FILTER (any_ok AND all_ok) AS passed, round(avg(CASE WHEN any_ok AND all_ok THEN 1.0 ELSE 0.0 END), 6) AS pass_rate, round(avg(coalesce(1.0 / first_hit_rank, 0)), 6) AS mrr, round(avg(first_hit_rank), 6) AS mean_hit_rank FROM scored GROUP BY ROLLUP (mode)")
@@ -355,25 +373,27 @@ def eval_summary(spark: SparkSession, d: str) -> DataFrame:
 _ISLANDS = "e AS (SELECT user_id, ts, event_type, event_id, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 5 MINUTE OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS n FROM events), g AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e)"
 
 
+def _bursts(spark: SparkSession, d: str) -> DataFrame:
+    """A user stands for a path, the kind of event (with its id) for the action."""
+    events = t.table(spark, d, "events").select(F.col("user_id").alias("path_key"), F.struct("event_id", "event_type").alias("action"), "ts", "event_id")
+    return watch.coalesced(events, "5 minutes", ties=("event_id",))
+
+
 @registered(f"WITH {_ISLANDS} SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) + 300000000 AS end_us, count(*) AS events FROM g GROUP BY user_id, s")
 def debounce_sessions(spark: SparkSession, d: str) -> DataFrame:
-    sessions = t.table(spark, d, "events").groupBy("user_id", F.session_window("ts", "5 minutes").alias("w")).agg(F.count(F.lit(1)).alias("events"))
-    return sessions.select("user_id", F.unix_micros(F.col("w.start").cast("timestamp")).alias("start_us"), F.unix_micros(F.col("w.end").cast("timestamp")).alias("end_us"), "events")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    return _bursts(spark, d).select(F.col("path_key").alias("user_id"), micros("started").alias("start_us"), (micros("ts") + 300_000_000).alias("end_us"), F.col("n").alias("events"))
 
 
 @registered(f"WITH {_ISLANDS}, k AS (SELECT user_id, s, event_type, event_id, row_number() OVER (PARTITION BY user_id, s ORDER BY ts DESC, event_id DESC) AS r FROM g) SELECT user_id, event_id, event_type AS action FROM k WHERE r = 1")
 def last_action_wins(spark: SparkSession, d: str) -> DataFrame:
-    sessions = t.table(spark, d, "events").groupBy("user_id", F.session_window("ts", "5 minutes")).agg(F.max_by(F.struct("event_id", "event_type"), F.struct("ts", "event_id")).alias("e"))
-    return sessions.select("user_id", "e.event_id", F.col("e.event_type").alias("action"))
+    return _bursts(spark, d).select(F.col("path_key").alias("user_id"), "action.event_id", F.col("action.event_type").alias("action"))
 
 
 @registered("""WITH w AS (SELECT event_id, user_id, count(*) OVER f AS n, list_sort(list(value) OVER f) AS v FROM events WINDOW f AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 199 PRECEDING AND CURRENT ROW))
 SELECT event_id, v[CAST(floor((n - 1) * 0.5 + 0.5) AS BIGINT) + 1] AS p50, v[CAST(floor((n - 1) * 0.95 + 0.5) AS BIGINT) + 1] AS p95 FROM w""")
 def rolling_latency(spark: SparkSession, d: str) -> DataFrame:
-    frame = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-199, 0)
-    rows = t.table(spark, d, "events").select("event_id", F.array_sort(F.collect_list("value").over(frame)).alias("v"))
-    at = lambda p: F.element_at("v", (F.floor((F.size("v") - 1) * F.lit(p) + 0.5) + 1).cast("int"))
-    return rows.select("event_id", at(0.5).alias("p50"), at(0.95).alias("p95"))
+    return watch.running_percentiles(t.table(spark, d, "events"), "user_id", ["ts", "event_id"]).select("event_id", "p50", "p95")
 
 
 @registered(r"""SELECT page_id, CAST(length(s) AS BIGINT) AS kept, sha256(s) AS sha FROM (SELECT page_id, regexp_replace(regexp_replace(replace(html, '<', chr(27) || '[31m<') || chr(7), '\x1b\[[0-9;?]*[ -/]*[@-~]', '', 'g'), '[\x00-\x08\x0b-\x1f\x7f]', '', 'g') AS s FROM pages)""")
@@ -383,12 +403,13 @@ def sanitize_output(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("page_id", F.length("s").cast("long").alias("kept"), F.sha2(F.col("s").cast("binary"), 256).alias("sha"))
 
 
-@registered(f"""WITH w AS (SELECT doc_id, list_distinct(list_filter(list_transform({_LINES}, lambda x: regexp_extract(x, '^([A-Za-z]+)', 1)), lambda x: x <> '')) AS names FROM documents)
-SELECT doc_id, array_to_string(list_sort(names), ',') AS imports, array_to_string(list_sort(list_transform(names, lambda x: x || '_fn')), ',') AS exports FROM w WHERE len(names) <= 40""")
+@registered(f"""WITH l AS (SELECT doc_id, list_filter(list_transform({_LINES}, lambda x: regexp_extract(x, '^([A-Za-z]+)', 1)), lambda x: x <> '') AS l FROM documents),
+w AS (SELECT doc_id, list_slice(list_filter(l, lambda x, i: list_position(l, x) = i), 1, 100) AS names FROM l)
+SELECT doc_id, array_to_string(list_sort(names), ',') AS imports, array_to_string(list_sort(list_transform(names, lambda x: x || '_fn')), ',') AS exports FROM w""")
 def imports_exports(spark: SparkSession, d: str) -> DataFrame:
-    """Import and export lines made of each line's first word, read back by the extractors."""
-    words = F.filter(F.transform(text.lines(F.col("text")), lambda x: F.regexp_extract(x, "^([A-Za-z]+)", 1)), lambda x: x != "")
-    rows = t.table(spark, d, "documents").select("doc_id", F.array_distinct(words).alias("names")).where(F.size("names") <= 40)
+    """Import and export lines made of each line's first word, read back by the extractors, which read 200 lines: 100 names."""
+    words = F.filter(F.transform(text.lines(F.coalesce("text", F.lit(""))), lambda x: F.regexp_extract(x, "^([A-Za-z]+)", 1)), lambda x: x != "")
+    rows = t.table(spark, d, "documents").select("doc_id", F.array_distinct(words).alias("names"))
     code = F.flatten(F.transform("names", lambda x: F.array(F.concat(F.lit('import { a } from "'), x, F.lit('"')), F.concat(F.lit("export function "), x, F.lit("_fn() {")))))
     return rows.select("doc_id", F.array_join(chunking.imports_of(code), ",").alias("imports"), F.array_join(chunking.exports_of(code), ",").alias("exports"))
 
@@ -418,8 +439,7 @@ def mermaid_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @registered("SELECT source AS store, count(*) AS files, CAST(sum(strlen(text)) AS BIGINT) AS bytes, max(doc_id) AS newest FROM documents GROUP BY source")
 def store_inventory(spark: SparkSession, d: str) -> DataFrame:
-    stores = t.table(spark, d, "documents").groupBy(F.col("source").alias("store")).agg(F.count(F.lit(1)).alias("files"), F.sum(F.octet_length("text")).alias("bytes"), F.max("doc_id").alias("newest"))
-    return stores.orderBy(F.desc("newest"))
+    return present.store_list(t.table(spark, d, "documents").select(F.col("source").alias("store"), F.octet_length("text").alias("size"), F.col("doc_id").alias("changed")))
 
 
 @registered("SELECT doc_id, list_sum(v) AS total, v[1] AS first, CAST(len(v) AS INTEGER) AS dim FROM (SELECT doc_id, list_transform(range(0, 16), lambda i: CASE WHEN i = 0 THEN CAST(strlen(text) AS DOUBLE) ELSE 0.0 END) AS v FROM documents)")
@@ -434,3 +454,200 @@ def exit_codes(spark: SparkSession, d: str) -> DataFrame:
     head = F.element_at(F.array(*map(F.lit, ("Busy: ", "deadline timeout ", "query cancelled ", "invalid scope ", "incompatible: ", ""))), (F.col("event_id") % 6 + 1).cast("int"))
     rows = t.table(spark, d, "events").select("event_id", text.error_code(F.concat(head, F.col("event_type"))).alias("code"))
     return rows.select("event_id", "code", text.exit_status(F.col("code")).alias("status"))
+
+
+_ENDS = "CASE doc_id % 8 WHEN 0 THEN '{}' WHEN 1 THEN '{}' WHEN 2 THEN '{}' WHEN 3 THEN '{}' WHEN 4 THEN '{}' WHEN 5 THEN '{}' WHEN 6 THEN '{}' ELSE '{}' END"
+
+
+@registered(f"""WITH {_DOCS} SELECT doc_id, {_ENDS.format('py', 'md', 'mmd', 'json', 'ts', 'html', 'rs', 'mermaid')} AS ending, {_ENDS.format('code', 'doc', 'graph', 'doc', 'code', 'code', 'code', 'graph')} AS class, {_BUCKET} AS bucket,
+  {_ENDS.format('python', 'markdown', 'mermaid', 'json', 'typescript', 'html', 'rust', 'mermaid')} AS language, doc_id % 8 IN (1, 2, 3, 7) AS prefixed, doc_id % 8 IN (1, 2) AS by_heading, doc_id % 8 = 4 AS test, doc_id % 8 IN (1, 3, 5) AS ranks_doc, doc_id % 8 IN (2, 7) AS ranks_graph FROM docs""")
+def path_classes(spark: SparkSession, d: str) -> DataFrame:
+    p = F.col("path")
+    return t.documents(spark, d).select(
+        "doc_id", paths.extension(p).alias("ending"), paths.retrieval_class(p).alias("class"), paths.bucket(p).alias("bucket"), paths.language(p).alias("language"), paths.takes_prefix(p).alias("prefixed"),
+        paths.is_markdown(p).alias("by_heading"), paths.is_test(p).alias("test"), paths.ranks_as_doc(p).alias("ranks_doc"), paths.ranks_as_graph(p).alias("ranks_graph"),
+    )
+
+
+_HEAD = "array_to_string(list_slice(l, 1, {}), chr(10))"
+
+
+@registered(f"""WITH s AS (SELECT doc_id, CASE WHEN length(text) = 0 THEN [] ELSE {_LINES} END AS l, text FROM documents)
+SELECT doc_id, sha256(CASE WHEN len(l) > 3 OR length({_HEAD.format(3)}) > 80 THEN left({_HEAD.format(3)}, 80) || '...' ELSE {_HEAD.format(3)} END) AS preview_sha, sha256({_HEAD.format(8)}) AS short_sha, sha256({_HEAD.format(24)}) AS long_sha, contains(lower(text), 'the ') AS has_the,
+  sha256(array_to_string(list_slice(list_filter(l, lambda x: NOT regexp_matches(trim(x, ' '), '^[\\[\\](){{}};,]*$')), 1, 16), chr(10))) AS agent_sha FROM s""")
+def previews(spark: SparkSession, d: str) -> DataFrame:
+    body, sha = F.col("text"), lambda c: F.sha2(c.cast("binary"), 256)
+    return t.table(spark, d, "documents").select(
+        "doc_id", sha(text.preview(body, 3, 80)).alias("preview_sha"), sha(text.snippet(body, "short")).alias("short_sha"), sha(text.snippet(body, "long")).alias("long_sha"),
+        text.contains_ignoring_case(body, F.lit("THE ")).alias("has_the"), sha(present.agent_lines(body)).alias("agent_sha"),
+    )
+
+
+@registered("""WITH n AS (SELECT event_id, CAST(2 * (event_id * event_id * event_id % 3000000000) + 1 AS BIGINT) AS n, CAST(event_id * 37 AS BIGINT) AS age FROM events)
+SELECT event_id, CASE WHEN n >= 1073741824 THEN printf('%.1f GB', n / 1073741824.0) WHEN n >= 1048576 THEN printf('%.1f MB', n / 1048576.0) WHEN n >= 1024 THEN printf('%.1f KB', n / 1024.0) ELSE n || ' B' END AS size,
+  CASE WHEN age < 60 THEN 'just now' WHEN age < 3600 THEN (age // 60) || 'm ago' WHEN age < 86400 THEN (age // 3600) || 'h ago' ELSE (age // 86400) || 'd ago' END AS age FROM n""")
+def human_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes and ages from event ids; sizes are odd, so that no decimal lies half way."""
+    n = (2 * (F.col("event_id") * F.col("event_id") * F.col("event_id") % 3_000_000_000) + 1).cast("long")
+    return t.table(spark, d, "events").select("event_id", text.human_size(n).alias("size"), text.age((F.col("event_id") * 37).cast("long")).alias("age"))
+
+
+@registered(f"""WITH {_DOCS} SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE path END AS cleaned, source || ' é+' || doc_id AS decoded, source || '-' || lang AS slug FROM docs""")
+def path_repairs(spark: SparkSession, d: str) -> DataFrame:
+    dirty = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("../"), "path")).otherwise(F.concat(F.lit("./"), F.replace("path", F.lit("/"), F.lit("\\"))))
+    uri = F.concat(F.lit("file:///"), F.replace(F.url_encode(F.concat("source", F.lit(" é+"), F.col("doc_id").cast("string"))), F.lit("+"), F.lit("%20")))
+    remote = F.concat(F.lit("git@host.example:"), "source", F.lit("/"), "lang", F.when(F.col("doc_id") % 2 == 0, ".git").otherwise("/"))
+    return t.documents(spark, d).select("doc_id", paths.normalised(dirty).alias("cleaned"), F.ltrim(paths.from_file_uri(uri), F.lit("/")).alias("decoded"), text.repository_slug(remote).alias("slug"))
+
+
+@registered("SELECT doc_id, sha256(unhex(left(hex(encode(text)), 8192))) AS head_hash, left(sha256(text), 12) AS short FROM documents")
+def file_hashes(spark: SparkSession, d: str) -> DataFrame:
+    return t.table(spark, d, "documents").select("doc_id", identity.head_hash(F.col("text").cast("binary")).alias("head_hash"), identity.short(identity.chunk_hash(F.col("text"))).alias("short"))
+
+
+@registered("WITH m AS (SELECT vec_id // 8 AS doc, i, avg(CAST(embedding[i] AS DOUBLE)) AS a FROM embeddings, range(1, 65) r(i) GROUP BY 1, 2), f AS (SELECT vec_id // 8 AS doc, CAST(embedding[1] AS DOUBLE) AS first FROM embeddings WHERE vec_id % 8 = 0) SELECT m.doc, round(sqrt(sum(a * a)), 6) AS mean_norm, round(any_value(first), 6) AS first FROM m JOIN f ON f.doc = m.doc GROUP BY m.doc")
+def vector_pools(spark: SparkSession, d: str) -> DataFrame:
+    groups = _token_groups(spark, d)
+    mean = vectors.mean_pool(F.col("tokens"))
+    return groups.select("doc", F.round(F.sqrt(vectors.dot(mean, mean)), 6).alias("mean_norm"), F.round(F.element_at(vectors.first_pool(F.col("tokens")), 1), 6).alias("first"))
+
+
+@registered(f"WITH q AS (SELECT vec_id, embedding, {_ABS} / 127 AS scale FROM embeddings), z AS (SELECT vec_id, scale, list_transform(embedding, lambda x: CAST(trunc(CAST(x AS DOUBLE) / scale) AS BIGINT)) AS q FROM q), r AS (SELECT vec_id, scale, list_filter(list_transform(range(0, 8), lambda i: list_slice(q, i * 8 + 1, i * 8 + 8)), lambda v: len(list_filter(v, lambda x: x <> 0)) > 0) AS rows FROM z) SELECT vec_id, CAST(len(rows) AS INTEGER) AS live, round(list_sum(list_transform(flatten(rows), lambda x: x * scale)), 6) + 0.0 AS total FROM r")
+def dequantised_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Each vector as eight tokens of eight components, quantised and read back, with an infinite tail that becomes nothing."""
+    v = vectors.finite(F.concat("embedding", F.array(F.lit(float("inf")).cast("float"))))
+    rows = t.table(spark, d, "embeddings").select("vec_id", vectors.quantisation_scale(v).alias("scale"), vectors.quantised(v).alias("q"))
+    rows = rows.withColumn("rows", vectors.dequantised(F.col("q"), F.col("scale"), 8))
+    return rows.select("vec_id", F.size("rows").alias("live"), (F.round(F.aggregate(F.flatten("rows"), F.lit(0.0), lambda s, x: s + x), 6) + 0.0).alias("total"))
+
+
+@registered(f"WITH {_CHUNKS}, f AS (SELECT query_id, doc_id, source || '/' || lang AS file, CAST(start_line % 3 AS INTEGER) AS line, round(p.score, 6) AS score, row_id, num_lines FROM pairs p JOIN documents USING (doc_id)) SELECT query_id, file AS path, line AS start_line, doc_id FROM f QUALIFY row_number() OVER (PARTITION BY query_id, file, line ORDER BY score DESC, row_id, num_lines) = 1")
+def keep_best_results(spark: SparkSession, d: str) -> DataFrame:
+    rows = _pairs(spark, d).withColumn("secondary_score", F.lit(None).cast("double")).withColumn("start_line", F.col("start_line") % 3)
+    return ranking.keep_best(rows.withColumn("path", F.regexp_replace("path", "/[^/]*$", "")), ["query_id"]).select("query_id", "path", "start_line", "doc_id")
+
+
+_BEST = f"{_CHUNKS}, best AS (SELECT query_id, doc_id, path, start_line, num_lines, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, path, start_line, row_id, num_lines) AS INTEGER) AS rank FROM pairs QUALIFY rank <= 30)"
+
+
+def _best(spark: SparkSession, d: str) -> DataFrame:
+    rows = _pairs(spark, d).withColumn("secondary_score", F.lit(None).cast("double"))
+    return ranking.ranked(rows, ["query_id"]).where(F.col("rank") <= 30)
+
+
+@registered(f"WITH {_BEST} SELECT query_id, doc_id, {_BUCKET} AS section, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CASE {_BUCKET} WHEN 'code' THEN 0 WHEN 'docs' THEN 1 ELSE 2 END, rank) AS INTEGER) AS number FROM best")
+def result_sections(spark: SparkSession, d: str) -> DataFrame:
+    return present.sections(_best(spark, d)).select("query_id", "doc_id", "section", "number")
+
+
+@registered(f"WITH {_BEST} SELECT query_id, regexp_replace(path, '/[^/]*$', '') AS path, min(rank) AS rank, min(n) AS files, true AS named FROM best JOIN (SELECT query_id, count(DISTINCT regexp_replace(path, '/[^/]*$', '')) AS n FROM best GROUP BY 1) USING (query_id) GROUP BY 1, 2")
+def compact_paths(spark: SparkSession, d: str) -> DataFrame:
+    rows = _best(spark, d).withColumn("path", F.regexp_replace("path", "/[^/]*$", ""))
+    names = present.compact_by_name(rows).withColumn("named", F.lit(True))
+    return present.compact(rows).join(present.file_count(rows), "query_id").join(names, ["query_id", "path"]).select("query_id", "path", "rank", "files", "named")
+
+
+@registered(f"WITH {_BEST}, s AS (SELECT query_id, rank, best.path, start_line, CAST(start_line + num_lines AS INTEGER) AS end_line, CASE WHEN length(text) = 0 THEN [] ELSE {_LINES} END AS l FROM best JOIN docs USING (doc_id)) SELECT query_id, rank, path, start_line, end_line, sha256(regexp_replace({_HEAD.format(12)}, '[\\x00-\\x08\\x0b-\\x1f\\x7f]', '', 'g')) AS snippet_sha FROM s")
+def output_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = _best(spark, d).join(t.table(spark, d, "documents").select("doc_id", F.col("text").alias("content")), "doc_id").withColumn("match_pct", F.lit(None).cast("int"))
+    return present.output_rows(rows).select("query_id", "rank", "path", "start_line", "end_line", F.sha2(F.col("snippet").cast("binary"), 256).alias("snippet_sha"))
+
+
+@registered(f"WITH {_DOCS}, parent AS (SELECT path AS path_key, segment, doc_id FROM docs WHERE doc_id % 3 <> 0) SELECT path_key, segment FROM parent WHERE doc_id % 7 <> 0 AND doc_id % 5 <> 0 UNION ALL SELECT path, 'seg_9' FROM docs WHERE doc_id % 5 = 0")
+def segment_index_merge(spark: SparkSession, d: str) -> DataFrame:
+    docs = t.documents(spark, d).withColumnRenamed("path", "path_key")
+    added = docs.where(F.col("doc_id") % 5 == 0).select("path_key", F.lit("seg_9").alias("segment"))
+    return changes.merge_segment_index(docs.where(F.col("doc_id") % 3 != 0).select("path_key", "segment"), docs.where(F.col("doc_id") % 7 == 0), added)
+
+
+@registered("SELECT 's' || s_suppkey AS name FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_orderkey % 1499 = 0)")
+def unreferenced_artifacts(spark: SparkSession, d: str) -> DataFrame:
+    """Orders stand for manifests, their suppliers for segments."""
+    name = lambda c: F.concat(F.lit("s"), F.col(c).cast("string"))
+    manifests = t.table(spark, d, "lineitem").where(F.col("l_orderkey") % 1499 == 0).groupBy("l_orderkey").agg(F.collect_list(name("l_suppkey")).alias("segments"))
+    return changes.unreferenced(t.table(spark, d, "supplier").select(name("s_suppkey").alias("name")), manifests)
+
+
+@registered(f"""WITH {_DOCS}, k AS (SELECT *, min(path) OVER h AS least FROM docs WINDOW h AS (PARTITION BY text)), u AS (SELECT path, text, doc_id FROM k WHERE path = least),
+stored AS (SELECT path, text FROM u), now AS (SELECT CASE WHEN doc_id % 4 = 1 THEN 'moved/' || path ELSE path END AS path, text, doc_id FROM u WHERE doc_id % 9 <> 0)
+SELECT path AS path_key, CASE WHEN doc_id % 4 = 1 THEN 'rename' ELSE 'same' END AS action, CASE WHEN doc_id % 4 = 1 THEN substr(path, 7) END AS old_path FROM now
+UNION ALL SELECT path, 'rename_from', NULL FROM u WHERE doc_id % 9 <> 0 AND doc_id % 4 = 1 UNION ALL SELECT path, 'delete', NULL FROM u WHERE doc_id % 9 = 0""")
+def renames(spark: SparkSession, d: str) -> DataFrame:
+    """One file of each distinct text; every fourth has moved, every ninth is gone."""
+    one = t.documents(spark, d).groupBy("text").agg(F.min_by(F.struct("path", "doc_id"), "path").alias("u")).select("u.path", "u.doc_id", identity.chunk_hash(F.col("text")).alias("hash"))
+    stored = one.select(F.col("path").alias("path_key"), "hash")
+    moved = F.when(F.col("doc_id") % 4 == 1, F.concat(F.lit("moved/"), "path")).otherwise(F.col("path"))
+    now = one.where(F.col("doc_id") % 9 != 0).select(moved.alias("path_key"), "hash")
+    return changes.with_renames(changes.detect_changes(now, stored), now, stored)
+
+
+@registered("""WITH m AS (SELECT conv_id, role, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS r FROM conversations)
+SELECT conv_id, '[diagram-summary]' || chr(10) || 'Mermaid sequence messages: ' || string_agg(role || ' -> bot: turn ' || turn, '; ' ORDER BY r) || chr(10) || chr(10) || 'text' AS stored FROM m WHERE r <= 48 GROUP BY 1""")
+def sequence_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations drawn as sequence diagrams, in fences inside a quote, summarised for embedding."""
+    line = F.concat("role", F.lit("->>bot: turn "), F.col("turn").cast("string"))
+    charts = t.table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", line.alias("line")))).alias("m"))
+    body = F.concat(F.lit("> ```mermaid\n> sequenceDiagram\n> "), F.array_join(F.transform("m", lambda x: x["line"]), "\n> "), F.lit("\n> ```\n"))
+    summary = charts.select("conv_id", diagrams.diagram_summary(body, F.lit(False)).alias("s"))
+    return summary.select("conv_id", text.embedding_text(F.lit("text"), F.col("s"), F.lit(None).cast("string")).alias("stored"))
+
+
+@registered("SELECT vec_id, CASE WHEN vec_id % 7 = 0 OR vec_id % 11 = 0 THEN 'bad embedding' END AS error FROM embeddings")
+def embedding_failures(spark: SparkSession, d: str) -> DataFrame:
+    """Every seventh vector is one component short, every eleventh has none that is a number."""
+    v = F.when(F.col("vec_id") % 7 == 0, F.slice("embedding", 1, 63)).when(F.col("vec_id") % 11 == 0, F.transform("embedding", lambda x: x * float("nan"))).otherwise(F.col("embedding"))
+    return embedding.failed(t.table(spark, d, "embeddings").select("vec_id", v.alias("embedding")), 64).select("vec_id", "error")
+
+
+@registered("SELECT doc_id, CAST(strlen(text) AS DOUBLE) AS first, CAST(8 AS INTEGER) AS dim FROM documents")
+def embed_once(spark: SparkSession, d: str) -> DataFrame:
+    """Each distinct text is embedded once; a third of them are in the cache already."""
+    rows = t.table(spark, d, "documents").select("doc_id", identity.chunk_hash(F.col("text")).alias("chunk_id"), "text")
+    embedder = embedding.LengthEmbedder(8)
+    cache = embedder.embed(rows.where(F.col("doc_id") % 3 == 0).dropDuplicates(["chunk_id"])).select("chunk_id", "embedding")
+    out = embedding.embed_new(rows, cache, embedder)
+    return out.select("doc_id", F.element_at("embedding", 1).cast("double").alias("first"), F.size("embedding").alias("dim"))
+
+
+@registered("""SELECT doc_id, sha256(source || ' > ' || lang || chr(10) || '---' || chr(10) || text) AS header_sha, CASE doc_id % 4 WHEN 0 THEN 'function' WHEN 1 THEN 'other' WHEN 2 THEN NULL ELSE 'class' END AS chunk_type,
+  CASE doc_id % 4 WHEN 0 THEN 'Definition' WHEN 3 THEN 'Definition' ELSE '' END || CASE WHEN doc_id % 8 = 4 THEN '+Test' ELSE '' END || CASE WHEN doc_id % 11 = 0 THEN '+Anchor' ELSE '' END AS tags FROM documents""")
+def chunk_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Header, parsed type and tags; the tags are written one after another with a plus sign before all but Definition."""
+    kind = ranking.known_chunk_type(F.element_at(F.array(F.lit("Function"), F.lit("mystery"), F.lit(None), F.lit("class")), (F.col("doc_id") % 4 + 1).cast("int")))
+    tags = F.array_join(F.transform(text.tags(kind, paths.is_test(F.col("path")), F.col("doc_id") % 11 == 0), lambda x: F.when(x == "Definition", x).otherwise(F.concat(F.lit("+"), x))), "")
+    header = text.chunk_header(F.array("source", "lang"), F.col("text"))
+    return t.documents(spark, d).select("doc_id", F.sha2(header.cast("binary"), 256).alias("header_sha"), kind.alias("chunk_type"), tags.alias("tags"))
+
+
+@registered("SELECT c_custkey AS store FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 3 = 0)")
+def orphan_stores(spark: SparkSession, d: str) -> DataFrame:
+    """Customers stand for store folders, orders for the metadata that knows them."""
+    return changes.orphans(t.table(spark, d, "customer").select(F.col("c_custkey").alias("store")), t.table(spark, d, "orders").where(F.col("o_orderkey") % 3 == 0).select(F.col("o_custkey").alias("store")))
+
+
+@registered(f"WITH {_DOCS} SELECT source AS dir, count(*) AS files, CAST(sum(strlen(text)) AS BIGINT) AS bytes, CAST(sum(CAST('0x' || left(sha256(encode(path) || '\\x00'::BLOB || encode(sha256(text))), 12) AS BIGINT)) AS VARCHAR) AS digest FROM docs GROUP BY source")
+def directory_digest(spark: SparkSession, d: str) -> DataFrame:
+    files = t.documents(spark, d).select(F.col("source").alias("dir"), F.col("path").alias("name"), F.octet_length("text").alias("size"), identity.chunk_hash(F.col("text")).alias("hash"))
+    return changes.directory_digests(files)
+
+
+@registered(f"WITH l AS (SELECT doc_id, {_LINES} AS l FROM documents WHERE length(text) > 0) SELECT doc_id, CAST(coalesce(list_sum(list_transform(list_slice(l, 1, 1), lambda x: strlen(x) + 1)), 0) AS BIGINT) AS start, CAST(coalesce(list_sum(list_transform(list_slice(l, 1, 5), lambda x: strlen(x) + 1)), 0) AS BIGINT) AS \"end\" FROM l")
+def byte_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """The bytes of the second to the fifth line."""
+    rows = t.table(spark, d, "documents").where(F.length("text") > 0)
+    return rows.select("doc_id", text.byte_range(text.lines(F.col("text")), F.lit(1), F.lit(5)).alias("r")).select("doc_id", "r.start", "r.end")
+
+
+@registered("""SELECT event_id, '{"error":{"code":"' || CASE event_id % 3 WHEN 0 THEN 'busy' WHEN 1 THEN 'timeout' ELSE 'internal' END || '","message":"' || CASE event_id % 3 WHEN 0 THEN 'busy: \\"' WHEN 1 THEN 'timeout: \\"' ELSE 'lost: \\"' END || event_type || '\\""}}' AS envelope,
+  CASE WHEN user_id % 5 = 0 THEN 'ok' WHEN user_id % 7 = 0 OR value > user_id % 5 * 100 THEN 'warn' ELSE 'ok' END AS severity FROM events""")
+def error_envelopes(spark: SparkSession, d: str) -> DataFrame:
+    head = F.element_at(F.array(F.lit("busy"), F.lit("timeout"), F.lit("lost")), (F.col("event_id") % 3 + 1).cast("int"))
+    message = F.concat(head, F.lit(': "'), "event_type", F.lit('"'))
+    value = F.when(F.col("user_id") % 7 != 0, F.col("value"))
+    return t.table(spark, d, "events").select("event_id", text.error_envelope(text.error_code(message), message).alias("envelope"), sync.budget_severity(value, F.col("user_id") % 5 * 100).alias("severity"))
+
+
+@registered(f"WITH dw AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS total FROM (SELECT doc_id, unnest(w) AS term FROM dw) GROUP BY term")
+def postings_index(spark: SparkSession, d: str) -> DataFrame:
+    """The stored index of all words of all documents, read back as term statistics."""
+    return lexical.build_index(t.table(spark, d, "documents").select("doc_id", "text")).term_statistics().select("term", "df", "total")

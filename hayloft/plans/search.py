@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hayloft.config import Settings
 from hayloft.functions import paths, vectors
-from hayloft.operators import present, ranking, retrieval
+from hayloft.operators import lexical, present, ranking, retrieval
 
 
 def search(chunks: DataFrame, queries: DataFrame, settings: Settings = Settings(), scope: str | None = None, anchors: bool = False) -> DataFrame:
@@ -24,12 +24,12 @@ def search(chunks: DataFrame, queries: DataFrame, settings: Settings = Settings(
     tokens = [c for c in ("query_tokens",) if c in queries.columns and "tokens" in chunks.columns]
     columns = ["row_id", "path", "start_line", "end_line", "chunk_type", "kind", "text", "context_prev", "context_next", *(["tokens"] if tokens else [])]
     dense = retrieval.class_top_k(retrieval.scored_pairs(queries.select("query_id", "query_vector", *tokens), shown), depth)
-    found = retrieval.bm25(shown.select("row_id", "text"), queries, depth, "row_id").select("query_id", "row_id", F.col("lexical_rank").alias("branch_rank"), F.col("score").alias("secondary_score"))
+    found = lexical.bm25(shown.select("row_id", "text"), queries, depth, "row_id").select("query_id", "row_id", F.col("lexical_rank").alias("branch_rank"), F.col("score").alias("secondary_score"))
     # lexical matches are scored by vector as well: their own score stays as the second one
-    lexical = found.join(shown, "row_id").join(F.broadcast(queries.select("query_id", "query_vector", *tokens)), "query_id").withColumn("score", vectors.dot(F.col("query_vector"), F.col("embedding")))
-    both = retrieval.hybrid_union(dense.select("query_id", "class", "branch_rank", "score", *tokens, *columns), lexical.select("query_id", "branch_rank", "score", "secondary_score", *tokens, *columns))
+    by_words = found.join(shown, "row_id").join(F.broadcast(queries.select("query_id", "query_vector", *tokens)), "query_id").withColumn("score", vectors.dot(F.col("query_vector"), F.col("embedding")))
+    both = retrieval.hybrid_union(dense.select("query_id", "class", "branch_rank", "score", *tokens, *columns), by_words.select("query_id", "branch_rank", "score", "secondary_score", *tokens, *columns))
     if s.rerank and tokens:
-        both = retrieval.rerank(both.withColumn("maxsim", vectors.max_sim(F.col("query_tokens"), F.col("tokens"))), ["query_id"], s.rerank_depth).drop("rank", "dense_rank", "dense_score", "maxsim")
+        both = retrieval.rerank(both, ["query_id"], vectors.max_sim(F.col("query_tokens"), F.col("tokens")), s.rerank_depth).drop("rank", "dense_rank", "dense_score")
     cap = Window.partitionBy("query_id").orderBy(F.desc("score"), "path", "row_id")
     capped = both.withColumn("_n", F.row_number().over(cap)).where(F.col("_n") <= s.max_candidates).drop("_n")
     rows = retrieval.shown_columns(capped).withColumn("score", ranking.boosted(F.col("score"), F.col("path"), F.col("chunk_type"), s.mode)).withColumn("is_anchor", F.col("kind") == "anchor")

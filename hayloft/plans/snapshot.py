@@ -15,6 +15,7 @@ import uuid
 from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,15 +80,34 @@ class Store:
             stream.close()
 
     def write_text(self, text: str, *parts: str) -> None:
-        """Writes beside the target, then renames over it."""
+        """Writes beside the target, then renames over it in one step: readers see the old text or the new."""
         target = self.path(*parts)
         side = f"{target}.{uuid.uuid4().hex}"
         stream = self.fs.create(self._path(side))
         stream.write(bytearray(text.encode()))
         stream.close()
-        self.fs.delete(self._path(target), False)
-        if not self.fs.rename(self._path(side), self._path(target)):
-            raise SnapshotError(f"could not replace {target}")
+        jvm, gateway = self.spark.sparkContext._jvm, self.spark.sparkContext._gateway
+        kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        over = gateway.new_array(kind, 1)
+        over[0] = kind.OVERWRITE
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(target).toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        context.rename(self._path(side), self._path(target), over)
+
+    def write_new(self, text: str, *parts: str) -> bool:
+        """Writes a file that must not exist yet; False if it does."""
+        try:
+            stream = self.fs.create(self._path(self.path(*parts)), False)
+        except Py4JJavaError:
+            if self.exists(*parts):
+                return False
+            raise
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        return True
+
+    def changed(self, *parts: str) -> float:
+        """When a file or folder was last changed, in seconds."""
+        return self.fs.getFileStatus(self._path(self.path(*parts))).getModificationTime() / 1000
 
     # manifests and pointer
 
@@ -127,9 +147,14 @@ class Store:
         if sum(x["count"] for x in m.tombstones) > MAX_TOMBSTONES:
             out.append("too many tombstones")
         out += [f"segment {s['name']} is missing" for s in m.segments if not self.exists("segments", s["name"])]
+        out += [f"tombstones {x['name']} are missing" for x in m.tombstones if not self.exists("tombstones", x["name"])]
+        out += [f"{kind} {name} is missing" for kind, name in (("index", m.index), ("files", m.files)) if name and not self.exists(kind, name)]
         if not out and m.segments:
             rows = {r.segment: r.n for r in self.segments(m).groupBy("segment").agg(F.count(F.lit(1)).alias("n")).collect()}
             out += [f"segment {s['name']} has {rows.get(s['name'], 0)} rows, not {s['rows']}" for s in m.segments if rows.get(s["name"], 0) != s["rows"]]
+        if not out and m.tombstones:
+            n, wanted = self.tombstone_rows(m).count(), sum(x["count"] for x in m.tombstones)
+            out += [f"{n} tombstones, not {wanted}"] if n != wanted else []
         return out
 
     def publish(self, m: Manifest) -> Manifest:
@@ -150,11 +175,7 @@ class Store:
         """All rows of a manifest's segments, with ``segment``."""
         if not m.segments:
             raise SnapshotError("no segments")
-        parts = [self.spark.read.parquet(self.path("segments", s["name"])).withColumn("segment", F.lit(s["name"])) for s in m.segments]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p, allowMissingColumns=True)
-        return out
+        return changes.union_segments([self.spark.read.parquet(self.path("segments", s["name"])).withColumn("segment", F.lit(s["name"])) for s in m.segments])
 
     def tombstone_rows(self, m: Manifest) -> DataFrame:
         schema = "path_key string, reason string"
@@ -176,24 +197,40 @@ class Store:
             raise SnapshotError("no snapshot")
         return changes.visible(self.segments(m), self.tombstone_rows(m), self.index_rows(m))
 
-    # lease
+    # lease: one file per epoch, each made by whoever comes first
+
+    def _lease(self) -> tuple[int, dict]:
+        """The newest epoch and its holder; 0 and nobody before the first."""
+        epochs = [int(n) for n in self.names("lease") if n.isdigit()]
+        if not epochs:
+            return 0, {"owner": "", "beat": 0, "ttl": 0}
+        return max(epochs), json.loads(self.read_text("lease", str(max(epochs))) or "{}") or {"owner": "", "beat": self.changed("lease", str(max(epochs))), "ttl": 60}
 
     def acquire(self, owner: str, ttl_s: float = 60.0) -> int:
-        """Takes the writer lease and returns its epoch; a live lease of another owner is refused, a stale one taken over."""
-        now, epoch = time.time(), 0
-        if self.exists("lease"):
-            held = json.loads(self.read_text("lease"))
-            epoch = held["epoch"]
-            if held["owner"] != owner and now - held["beat"] <= held["ttl"]:
-                raise SnapshotError(f"lease held by {held['owner']}")
-        self.write_text(json.dumps({"owner": owner, "epoch": epoch + 1, "beat": now, "ttl": ttl_s}), "lease")
+        """Takes the writer lease and returns its epoch; a live lease of another owner is refused, a stale one taken over.
+
+        The next epoch's file is made only where there is none, so of two takers one is refused.
+        """
+        now, (epoch, held) = time.time(), self._lease()
+        if held["owner"] != owner and now - held["beat"] <= held["ttl"]:
+            raise SnapshotError(f"lease held by {held['owner']}")
+        if not self.write_new(json.dumps({"owner": owner, "beat": now, "ttl": ttl_s}), "lease", str(epoch + 1)):
+            raise SnapshotError("another writer took the lease")
+        for old in range(max(1, epoch - 3), epoch):
+            self.delete("lease", str(old))
         return epoch + 1
 
     def holds(self, owner: str, epoch: int) -> bool:
-        held = json.loads(self.read_text("lease")) if self.exists("lease") else {}
-        return held.get("owner") == owner and held.get("epoch") == epoch
+        newest, held = self._lease()
+        return newest == epoch and held["owner"] == owner
+
+    def beat(self, owner: str, epoch: int, ttl_s: float = 60.0) -> None:
+        """Keeps the lease alive; an error if it was lost."""
+        if not self.holds(owner, epoch):
+            raise SnapshotError("the lease was lost")
+        self.write_text(json.dumps({"owner": owner, "beat": time.time(), "ttl": ttl_s}), "lease", str(epoch))
 
     def release(self, owner: str, epoch: int) -> None:
         """The file stays, as it remembers the epoch."""
         if self.holds(owner, epoch):
-            self.write_text(json.dumps({"owner": "", "epoch": epoch, "beat": 0, "ttl": 0}), "lease")
+            self.write_text(json.dumps({"owner": "", "beat": 0, "ttl": 0}), "lease", str(epoch))

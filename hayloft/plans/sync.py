@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hayloft.operators import changes, chunking
@@ -36,7 +36,11 @@ def sync(store: Store, files: DataFrame, embed: Callable[[DataFrame], DataFrame]
         counts = {r.action: r["count"] for r in found.groupBy("action").count().collect()}
         if not counts and parent is not None:
             return parent, counts
-        made = files.join(found.where(F.col("action").isin("add", "modify")).select("path_key"), "path_key", "left_semi")
+        # changed files are read once more, here; all that follows sees the same contents
+        changed = files.join(found.where(F.col("action").isin("add", "modify")).select("path_key"), "path_key", "left_semi")
+        changed.select("path_key", "hash", F.col("size").cast("long").alias("size"), "text").write.parquet(store.path("staging", f"{name}_files"))
+        made = store.spark.read.parquet(store.path("staging", f"{name}_files"))
+        store.beat(owner, epoch)
         if max_bytes is not None:
             total = made.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first().n
             if total > max_bytes:
@@ -45,12 +49,16 @@ def sync(store: Store, files: DataFrame, embed: Callable[[DataFrame], DataFrame]
         rows = embed(rows) if embed else rows
         staged = store.path("staging", name)
         rows.write.parquet(staged)
+        store.beat(owner, epoch)
         rows, errors = store.spark.read.parquet(staged), []
         if "error" in rows.columns:
             bad = rows.where(F.col("error").isNotNull()).groupBy("path_key").agg(F.min("error").alias("message"))
-            errors = [{"path_key": r.path_key, "message": r.message} for r in bad.orderBy("path_key").limit(1000).collect()]
+            # all of them go to a table; the manifest names it
+            bad.write.json(store.path("errors", name))
+            n_bad = store.spark.read.schema("path_key string, message string").json(store.path("errors", name)).count()
+            errors = [{"name": name, "count": n_bad}] if n_bad else []
             if errors and strict:
-                raise SnapshotError(f"{len(errors)} files failed, first {errors[0]}")
+                raise SnapshotError(f"{n_bad} files failed: {store.path('errors', name)}")
             failed = bad.select("path_key")
             rows = rows.join(failed, "path_key", "left_anti").drop("error")
         else:
@@ -76,7 +84,8 @@ def sync(store: Store, files: DataFrame, embed: Callable[[DataFrame], DataFrame]
         m.index = m.files = name
         m.degraded, m.errors = bool(errors), errors
         m = store.publish(m)
-        store.delete("staging", name)
+        for part in (name, f"{name}_files"):
+            store.delete("staging", part)
         return m, counts
     finally:
         store.release(owner, epoch)
@@ -86,8 +95,27 @@ def compaction_due(m: Manifest) -> bool:
     return len(m.segments) >= snapshot.COMPACT_SEGMENTS or sum(x["count"] for x in m.tombstones) >= snapshot.COMPACT_TOMBSTONES
 
 
-def compact(store: Store, owner: str = "compact") -> Manifest:
-    """Rewrites the live view, files changed in place included, as one segment without tombstones."""
+def sync_and_compact(store: Store, files: DataFrame, **more) -> tuple[Manifest | None, dict]:
+    """``sync``, and a compaction if the store has come near its limits."""
+    m, counts = sync(store, files, **more)
+    return (compact(store), counts) if m and compaction_due(m) else (m, counts)
+
+
+def compact(store: Store, owner: str = "compact", tries: int = 2) -> Manifest:
+    """Rewrites the live view, files changed in place included, as one segment without tombstones; once more if the base changed."""
+    try:
+        return _compact(store, owner)
+    except BaseChanged:
+        if tries <= 1:
+            raise
+        return compact(store, owner, tries - 1)
+
+
+class BaseChanged(SnapshotError):
+    """Another snapshot was published meanwhile."""
+
+
+def _compact(store: Store, owner: str) -> Manifest:
     epoch = store.acquire(owner)
     try:
         base = store.active()
@@ -99,7 +127,7 @@ def compact(store: Store, owner: str = "compact") -> Manifest:
         rows.select("path_key").distinct().withColumn("segment", F.lit(name)).write.parquet(store.path("index", name))
         now = store.active()
         if now is None or now.snapshot_id != base.snapshot_id:
-            raise SnapshotError("the base snapshot changed")
+            raise BaseChanged("the base snapshot changed")
         m = store.new_manifest(base, lease_epoch=epoch)
         m.segments, m.index, m.files = [{"name": name, "rows": rows.count()}], name, base.files
         m.degraded, m.errors = base.degraded, base.errors
@@ -108,22 +136,30 @@ def compact(store: Store, owner: str = "compact") -> Manifest:
         store.release(owner, epoch)
 
 
-def collect_garbage(store: Store, newest: int = 5, age_s: int = 600, pinned: tuple[str, ...] = (), dry_run: bool = False, now: datetime | None = None) -> dict[str, list[str]]:
-    """Deletes snapshots beyond retention and the artifacts that no kept manifest refers to."""
-    manifests, active = store.manifests(), store.active()
-    now = now or datetime.now(UTC)
-    keep = {m.snapshot_id for m in manifests[:newest]} | set(pinned) | ({active.snapshot_id} if active else set())
-    keep |= {m.snapshot_id for m in manifests if (now - datetime.fromisoformat(m.created_at)).total_seconds() <= age_s}
-    kept = [m for m in manifests if m.snapshot_id in keep]
-    used = {"segments": {s["name"] for m in kept for s in m.segments}, "tombstones": {x["name"] for m in kept for x in m.tombstones}, "index": {m.index for m in kept}, "files": {m.files for m in kept}}
-    gone = {kind: [n for n in store.names(kind) if n not in names] for kind, names in used.items()}
-    gone["manifests"] = [f"{m.snapshot_id}.json" for m in manifests if m.snapshot_id not in keep]
-    gone["changes"], gone["staging"] = store.names("changes"), store.names("staging")
-    if not dry_run:
-        for kind, names in gone.items():
-            for n in names:
-                store.delete(kind, n)
-    return gone
+def collect_garbage(store: Store, newest: int = 5, age_s: int = 600, pinned: tuple[str, ...] = (), dry_run: bool = False, now: datetime | None = None, safety_s: float = 180.0, owner: str = "garbage") -> dict[str, list[str]]:
+    """Deletes snapshots beyond retention and the artifacts that no kept manifest refers to.
+
+    Runs under the writer lease, so no sync is under way, and spares whatever was
+    changed in the last ``safety_s`` seconds.
+    """
+    epoch = store.acquire(owner)
+    try:
+        manifests, active = store.manifests(), store.active()
+        now = now or datetime.now(UTC)
+        keep = {m.snapshot_id for m in manifests[:newest]} | set(pinned) | ({active.snapshot_id} if active else set())
+        keep |= {m.snapshot_id for m in manifests if (now - datetime.fromisoformat(m.created_at)).total_seconds() <= age_s}
+        kept = [m for m in manifests if m.snapshot_id in keep]
+        used = {"segments": {s["name"] for m in kept for s in m.segments}, "tombstones": {x["name"] for m in kept for x in m.tombstones}, "index": {m.index for m in kept}, "files": {m.files for m in kept}}
+        used |= {"errors": {e["name"] for m in kept for e in m.errors}, "manifests": {f"{m.snapshot_id}.json" for m in manifests if m.snapshot_id in keep}, "changes": set(), "staging": set()}
+        gone = {kind: [n for n in store.names(kind) if n not in names and now.timestamp() - store.changed(kind, n) >= safety_s] for kind, names in used.items()}
+        if not dry_run:
+            store.beat(owner, epoch)
+            for kind, names in gone.items():
+                for n in names:
+                    store.delete(kind, n)
+        return gone
+    finally:
+        store.release(owner, epoch)
 
 
 def audit(store: Store) -> list[str]:
@@ -159,7 +195,12 @@ def health(store: Store, budgets: dict[str, float] | None = None, observed: dict
     rows.append(("integrity", "fail" if m and store.problems(m) else "ok", "; ".join(store.problems(m)) if m else ""))
     rows.append(("degraded", "warn" if m and m.degraded else "ok", ""))
     rows.append(("compaction", "warn" if m and compaction_due(m) else "ok", ""))
-    for name, budget in (budgets or {}).items():
-        value = (observed or {}).get(name)
-        rows.append((name, "ok" if budget == 0 else "warn" if value is None or value > budget else "ok", "" if value is None else f"{value:g} of {budget:g}"))
-    return store.spark.createDataFrame(rows, "check string, severity string, detail string")
+    checks = store.spark.createDataFrame(rows, "check string, severity string, detail string")
+    measured = [(name, float(budget), None if (observed or {}).get(name) is None else float(observed[name])) for name, budget in (budgets or {}).items()]
+    compared = store.spark.createDataFrame(measured, "check string, budget double, value double")
+    return checks.unionByName(compared.select("check", budget_severity(F.col("value"), F.col("budget")).alias("severity"), F.concat_ws(" of ", "value", "budget").alias("detail")))
+
+
+def budget_severity(value: Column, budget: Column) -> Column:
+    """ok or warn: a budget of 0 is off, a missing measure or one over budget warns."""
+    return F.when(budget == 0, "ok").when(value.isNull() | (value > budget), "warn").otherwise("ok")

@@ -7,7 +7,7 @@ import re
 from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,9 +17,20 @@ from hayloft.operators.changes import case_collisions
 MAX_FILE_BYTES = 10 << 20
 # fixed values: names of ignore files, later ones over earlier ones in a folder
 IGNORE_FILES = (".gitignore", ".ggignore", ".smignore")
-#: Endings that are read as text; a parameter of ``scan``.
-TEXT_ENDINGS = tuple("c cc cpp cs css go h hpp htm html java js json jsx kt lua md mdx mermaid mmd php pl py rb rs sass scala scss sh sql svelte swift toml ts tsx txt vue xml yaml yml zig".split())
-DEFAULT_IGNORES = ("node_modules/", "target/", "dist/", "build/", "__pycache__/", ".git/", "vendor/", "*.min.js", "*.lock", "*.log")
+# fixed values: endings and names of files that are read; parameters of ``scan``
+TEXT_ENDINGS = (
+    "bash", "bzl", "c", "c++", "cc", "cjs", "clj", "cljc", "cljs", "cmake", "cpp", "cr", "cs", "css", "cts", "cxx", "dart", "diff", "dockerfile", "edn", "el", "env", "ex", "exs",
+    "f03", "f08", "f90", "f95", "gitignore", "go", "gql", "gradle", "graphql", "h", "h++", "hcl", "hpp", "hs", "htm", "html", "hxx", "java", "jl", "js", "json", "jsx", "kt", "kts",
+    "lhs", "lua", "m", "makefile", "markdown", "md", "mermaid", "mjs", "mk", "ml", "mli", "mm", "mmd", "mts", "nim", "odin", "patch", "php", "proto", "py", "pyi", "r", "rb", "rs",
+    "sc", "scala", "sh", "sql", "star", "sv", "svelte", "svh", "swift", "tf", "tfvars", "toml", "ts", "tsx", "txt", "v", "vue", "xml", "xsd", "xsl", "xslt", "yaml", "yml", "zig", "zsh",
+)
+TEXT_NAMES = ("dockerfile", "makefile")
+# fixed values: patterns that are ignored unless told otherwise
+DEFAULT_IGNORES = (
+    "**/Datasets/**", "**/node_modules/**", "**/dist/**", "**/build/**", "**/out/**", "**/target/**", "**/__pycache__/**", "**/.git/**", "**/.venv/**", "**/venv/**",
+    "*.lock", "*.bin", "*.ipynb", "*.pyc", "*.onnx", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "bun.lockb", "composer.lock", "Cargo.lock", "Gemfile.lock",
+    "*.min.js", "*.min.css", "*.map", "**/coverage/**", "**/.nyc_output/**", "**/.pytest_cache/**",
+)
 
 RULE = T.StructType(
     [
@@ -140,6 +151,12 @@ def read_paths(spark: SparkSession, addresses: list[str], max_bytes: int) -> Dat
     return names.mapInArrow(run, "path string, modificationTime timestamp, length long, content binary")
 
 
+def is_text_file(path: Column, endings: tuple[str, ...] = TEXT_ENDINGS) -> Column:
+    """Whether a path is read: by its ending or, without one, by its name; in any case."""
+    name = F.lower(F.element_at(F.split(path, "/"), -1))
+    return paths.extension(path).isin(*endings) | name.isin(*TEXT_NAMES)
+
+
 def scan(spark: SparkSession, root: str, endings: tuple[str, ...] = TEXT_ENDINGS, max_bytes: int = MAX_FILE_BYTES, hidden: bool = False, listed_only: DataFrame | None = None) -> DataFrame:
     """path_key, path_key_ci, size, mtime, hash, head_hash, text of the files below ``root`` that are neither ignored nor hidden.
 
@@ -156,7 +173,7 @@ def scan(spark: SparkSession, root: str, endings: tuple[str, ...] = TEXT_ENDINGS
     path = F.url_decode(F.replace(F.regexp_replace("path", r"^[a-z]+:(//[^/]*)?(?=/)", ""), F.lit("+"), F.lit("%2B")))
     files = listed.withColumn("path_key", paths.normalised(F.substr(path, F.lit(len(top) + 2)))).where(F.col("path_key").isNotNull())
     rules = [(f[len(top) + 1 :].rpartition("/")[0], body) for f, body in rule_files]
-    kept = files.where(paths.extension(F.col("path_key")).isin(*endings))
+    kept = files.where(is_text_file(F.col("path_key"), endings))
     if not hidden:
         kept = kept.where(~F.col("path_key").rlike(r"(^|/)\."))
     if listed_only is not None:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hayloft.operators import changes
+
 # fixed values: endings by doc_id % 8
 ENDINGS = (".py", ".md", ".mmd", ".json", ".test.ts", ".html", ".rs", ".mermaid")
 
@@ -31,7 +33,7 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path_key, segment, text, doc_id of all stored rows, second versions included."""
     first = documents(spark, sf_dir).select(F.col("path").alias("path_key"), "segment", "text", "doc_id")
     second = first.where(F.col("doc_id") % 14 == 0).select("path_key", F.lit("seg_4").alias("segment"), F.concat("text", F.lit(" (changed)")).alias("text"), "doc_id")
-    return first.unionByName(second)
+    return changes.union_segments([first, second])
 
 
 def tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +64,6 @@ def chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk.join(vectors.select("vec_id", "embedding"), "vec_id").drop("vec_id")
 
 
-def query_vectors(spark: SparkSession, sf_dir: str, n: int = 8) -> DataFrame:
-    """The first ``n`` vectors as stated queries."""
-    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whose id is divisible by 100, as stated queries."""
+    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))

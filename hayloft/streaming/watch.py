@@ -10,18 +10,23 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-DEBOUNCE, QUIET, LATE = "300 milliseconds", "500 milliseconds", "1 minute"
+DEBOUNCE, LATE = "300 milliseconds", "1 minute"
 
 
-def coalesced(events: DataFrame, gap: str = DEBOUNCE, late: str = LATE) -> DataFrame:
-    """path_key, action, ts, n: the last action of each path in each burst.  Works on streams and tables."""
+def coalesced(events: DataFrame, gap: str = DEBOUNCE, late: str = LATE, ties: tuple[str, ...] = ()) -> DataFrame:
+    """path_key, action, started, ts, n: the last action of each path in each burst, and when it began and ended.
+
+    Works on streams and tables.  Of events at the same time the one with the
+    largest ``ties`` columns is the last.
+    """
     source = events.withWatermark("ts", late) if events.isStreaming else events
     burst = source.groupBy("path_key", F.session_window("ts", gap).alias("burst"))
-    return burst.agg(F.max_by("action", "ts").alias("action"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("n")).select("path_key", "action", F.col("last_ts").alias("ts"), "n")
+    last = F.max_by("action", F.struct("ts", *ties) if ties else F.col("ts"))
+    return burst.agg(last.alias("action"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("n")).select("path_key", "action", F.col("burst.start").alias("started"), F.col("last_ts").alias("ts"), "n")
 
 
 def change_list(batch: DataFrame) -> DataFrame:
@@ -42,10 +47,26 @@ def watch(events: DataFrame, on_changes: Callable[[DataFrame, int], None], check
     return coalesced(events, gap).writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start()
 
 
+#: How many latest values the percentiles are of.
+KEPT = 200
+
+
+def nearest_rank(ordered: Column, p: float) -> Column:
+    """The nearest-rank percentile of a sorted array; null of an empty one."""
+    return F.get(ordered, F.floor((F.size(ordered) - 1) * F.lit(p) + 0.5).cast("int"))
+
+
+def running_percentiles(events: DataFrame, by: str, order: list[str], keep: int = KEPT) -> DataFrame:
+    """Each event with p50 and p95 of its own and the ``keep`` - 1 values before it, by key: the table form."""
+    frame = Window.partitionBy(by).orderBy(*order).rowsBetween(1 - keep, 0)
+    latest = events.withColumn("_v", F.array_sort(F.collect_list("value").over(frame)))
+    return latest.withColumn("p50", nearest_rank(F.col("_v"), 0.5)).withColumn("p95", nearest_rank(F.col("_v"), 0.95)).drop("_v")
+
+
 class RollingPercentiles(StatefulProcessor):
     """Nearest-rank p50 and p95 of the last 200 values of a key, after each micro-batch."""
 
-    KEEP = 200
+    KEEP = KEPT
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._last = handle.getValueState("last", "values array<double>")

@@ -79,7 +79,9 @@ def test_store_follows_a_model(spark, tmp_path):
     assert counts == {} and again.snapshot_id == store.active().snapshot_id
     made = sync.compact(store)
     assert len(made.segments) == 1 and not made.tombstones and served(store) == model
-    gone = sync.collect_garbage(store, newest=1, age_s=0)
+    spared = sync.collect_garbage(store, newest=1, age_s=0)
+    assert not any(spared.values())  # all is younger than the safety age
+    gone = sync.collect_garbage(store, newest=1, age_s=0, safety_s=0)
     assert gone["segments"] and served(store) == model and sync.audit(store) == []
     copy = sync.clone(store, f"file://{tmp_path}/copy")
     assert served(copy) == model
@@ -109,10 +111,66 @@ def test_failures_leave_the_pointer(spark, tmp_path):
         store.acquire("two")
     store.release("one", epoch)
     assert store.acquire("two") == epoch + 1
+    with pytest.raises(SnapshotError):
+        store.beat("one", epoch)
+    with pytest.raises(SnapshotError):
+        sync.collect_garbage(store)  # a writer is at work
+    assert not store.write_new("{}", "lease", str(epoch + 1)) and store.holds("two", epoch + 1)
+    store.release("two", epoch + 1)
     checks = {r.check: r.severity for r in sync.health(store, {"p95": 10, "off": 0}, {"p95": 20}).collect()}
     assert checks["snapshot"] == "ok" and checks["p95"] == "warn" and checks["off"] == "ok"
 
 
+def test_a_sync_that_only_deletes_is_verified(spark, tmp_path, monkeypatch):
+    store = Store(spark, f"file://{tmp_path}/store")
+    first, _ = sync.sync(store, files(spark, {"a.rs": "fn a() {}", "b.rs": "fn b() {}"}))
+    old = store.publish
+    monkeypatch.setattr(store, "publish", lambda m: (store.delete("tombstones", m.tombstones[-1]["name"]), old(m))[1])
+    with pytest.raises(SnapshotError, match="missing"):
+        sync.sync(store, files(spark, {"a.rs": "fn a() {}"}))
+    assert store.active().snapshot_id == first.snapshot_id
+
+
+def test_compaction_when_due(spark, tmp_path, monkeypatch):
+    from hayloft.plans import snapshot
+
+    monkeypatch.setattr(snapshot, "COMPACT_SEGMENTS", 2)
+    store = Store(spark, f"file://{tmp_path}/store")
+    sync.sync_and_compact(store, files(spark, {"a.rs": "fn a() {}"}))
+    m, _ = sync.sync_and_compact(store, files(spark, {"a.rs": "fn a() {}", "b.rs": "fn b() {}"}))
+    assert len(m.segments) == 1 and not m.tombstones and set(served(store)) == {"a.rs", "b.rs"}
+
+
+def test_imports_and_exports(spark):
+    lines = [
+        'import { a, b } from "mod-a"', "import x from './x.js'", "import 'side'", "import * as fs", "import os.path", "use std::io;", "  use crate ;", "const y = require( 'req' )", "let import_from = 1",
+        "import {", "from 'late'", 'await import("dyn")', "use a as b;", 'import type T from "t"',
+    ]
+    wanted = ["a as b", "crate", "fs", "mod-a", "./x.js", "os", "req", "side", "std", "t"]
+    given = [
+        "export class A {", "export default function f() {}", "export default class {", "export { p, q as r }", "export const k = 1", "export async function no() {}", "module.exports = {}", "export * from 'm'",
+        "export enum E {}", "exported = 1", "export default 5",
+    ]
+    row = spark.createDataFrame([(lines, given)], "i array<string>, e array<string>").select(chunking.imports_of(F.col("i")).alias("i"), chunking.exports_of(F.col("e")).alias("e")).first()
+    assert list(row.i) == sorted(wanted)
+    assert list(row.e) == sorted(["A", "f", "default", "p", "q as r", "k", "module.exports", "E"])
+
+
+def test_braces_in_strings_and_comments(spark):
+    text = "function f() {\n  let s = '}'; // }\n  /* } */ return `}`;\n}\nfunction g() {\n}\n"
+    assert [(a, b, n) for a, b, _, n in chunking.brace_definitions(text)] == [(0, 4, "f"), (4, 6, "g")]
+    body = "```\n~~~\n# no\n```\n# yes\n~~~\n```\n# no\n~~~\n# also\n"
+    got = chunking.markdown_sections(spark.createDataFrame([("p", body)], "path string, text string")).where("level > 0").orderBy("start_line").collect()
+    assert [(r.start_line, r.title) for r in got] == [(4, "yes"), (9, "also")] and [x[3] for x in chunking.markdown(body) if x[3]] == ["yes", "also"]
+
+
+def test_files_that_are_read_or_ignored(spark):
+    names = ["a.dart", "b.proto", "Makefile", "x/Dockerfile", "c.R", "d.exe", "vendor/v.rs", "out/o.rs", "p/out/o.rs", ".venv/a.py", "app.log", "Cargo.lock", "x/app.min.js", "coverage/c.js", "ok.clj"]
+    files = spark.createDataFrame([(n,) for n in names], "path_key string").where(corpus.is_text_file(F.col("path_key")))
+    kept = corpus.ignored(files, corpus.rule_table(spark, [])).where("not ignored")
+    assert sorted(r.path_key for r in kept.collect()) == ["Makefile", "a.dart", "b.proto", "c.R", "ok.clj", "vendor/v.rs", "x/Dockerfile"]
+
+
 def test_git_listing(spark, tmp_path):
     import subprocess
 
