@@ -20,18 +20,18 @@ HOT_ROWS = 20_000
 HOT_KEYS = 100_000
 
 
-def split_join(left: DataFrame, right: DataFrame, keys: list[str], spread: str, how: str = "inner") -> DataFrame:
+def split_join(left: DataFrame, right: DataFrame, keys: list[str], spread: str, how: str = "inner", hot_rows: int | None = None) -> DataFrame:
     """``left`` joined to ``right``, which has few rows a key, where a key of ``left`` may be hot.
 
-    A key with more than ``HOT_ROWS`` left rows (more than a ``HOT_KEYS``-th of all rows,
+    A key with more than ``hot_rows`` (``HOT_ROWS``) left rows (more than a ``HOT_KEYS``-th of all rows,
     if that is larger) is cut into parts by a hash of column ``spread``, and its
     right rows are given to each part.  Thus at most ``HOT_KEYS`` small rows are
     broadcast.  ``left`` should be a written table, as it is counted first.
     """
-    rows = left.count()
-    if rows <= HOT_ROWS:
+    rows, hot_rows = left.count(), hot_rows or HOT_ROWS
+    if rows <= hot_rows:
         return left.join(right, keys, how)
-    least = max(HOT_ROWS, rows // HOT_KEYS)
+    least = max(hot_rows, rows // HOT_KEYS)
     hot = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > least)
     hot = F.broadcast(hot.select(*keys, F.ceil(F.col("_rows") / least).cast("int").alias("_parts")))
     parts = F.coalesce("_parts", F.lit(1))

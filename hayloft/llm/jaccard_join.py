@@ -467,7 +467,7 @@ def cluster_sets(docs: DataFrame, clustered: DataFrame, text_col: str = "text")
 def to_first_set(sets: DataFrame, scratch: Scratch) -> DataFrame:
     """Sets as differences to their cluster's first set (that of the least representative), with the similarity to it."""
     lead = sets.where(F.col("rep") == F.col("cluster")).select("cluster", F.col("shingles").alias("lead"))
-    apart = split_join(sets, lead, ["cluster"], "rep").select(
+    apart = split_join(sets, lead, ["cluster"], "rep", hot_rows=2 * BLOCK).select(
         "cluster", "rep", "members", "copies", F.size("shingles").alias("n"), F.size("lead").alias("n_lead"),
         F.array_except("lead", "shingles").alias("lacks"), F.array_except("shingles", "lead").alias("adds"),
     )
@@ -486,7 +486,7 @@ def banded(apart: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     bands = wide.groupBy("cluster", "band").agg(F.count(F.lit(1)).alias("rows"), F.sum("copies").alias("weight"))
     # at most one entry per band: 1 / BAND of them
     bands = bands.groupBy("cluster").agg(F.collect_list(F.struct("band", blocks_of(F.col("rows")).alias("blocks"), "weight")).alias("bands"))
-    placed = split_join(wide, bands, ["cluster"], "rep")
+    placed = split_join(wide, bands, ["cluster"], "rep", hot_rows=2 * BLOCK)
     sure = lambda b: b["band"] + F.col("band") + 2 <= reach + 1e-9
     open_ = lambda b: ~sure(b) & (F.abs(b["band"] - F.col("band")) - 1 <= reach + 1e-9)
     weight = F.aggregate(F.filter("bands", sure), F.lit(0).cast("long"), lambda s, b: s + b["weight"])
