@@ -81,14 +81,24 @@ def exit_status(code: Column) -> Column:
     return F.when(code == "busy", 10).when(code == "timeout", 11).when(code == "cancelled", 12).when(code == "incompatible", 13).otherwise(1)
 
 
+# fixed values: lines of a snippet by mode
+SNIPPET_LINES = {"full": None, "long": 24, "default": 12, "short": 8, "none": 0}
+
+
 def snippet(text: Column, mode: str = "default") -> Column:
     """The first lines of a hit: none, 8, 12, 24 or all of them."""
-    budget = {"full": None, "long": 24, "default": 12, "short": 8, "none": 0}[mode]
+    budget = SNIPPET_LINES[mode]
     if budget is None:
         return text
     return F.array_join(F.slice(lines(text), 1, budget), "\n") if budget else F.lit("")
 
 
+def lines_left_out(text: Column, mode: str = "default") -> Column:
+    """How many lines a snippet leaves out: the remainder that a reader is told of."""
+    budget = SNIPPET_LINES[mode]
+    return F.lit(0) if budget is None else F.greatest(F.size(lines(text)) - budget, F.lit(0))
+
+
 def tags(chunk_type: Column, is_test: Column, is_anchor: Column) -> Column:
     definition = chunk_type.isin("function", "class", "method", "interface", "typealias")
     return F.array_compact(F.array(F.when(definition, F.lit("Definition")), F.when(is_test, F.lit("Test")), F.when(is_anchor, F.lit("Anchor"))))

@@ -6,6 +6,10 @@ query block is too much.  Every row is in the index; only the fit samples.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
@@ -15,10 +19,14 @@ from hayloft.functions import vectors
 
 #: Below this many rows an index does not pay.
 LEAST_ROWS = 1000
+#: So many centres go to every task.
+MOST_CELLS = 1 << 14
 
 
 def cells_for(rows: int) -> int:
-    return max(8, min(64, rows // 100))
+    """8 to 64 cells of a hundred rows; beyond a million rows a sixteenth of their root, so that cells don't grow with the table."""
+    # fixed values: least and usual most cells, rows of a cell
+    return max(8, min(64, rows // 100), min(MOST_CELLS, math.isqrt(rows) // 16))
 
 
 class CellIndex:
@@ -42,10 +50,20 @@ class CellIndex:
         return out
 
     def nearest(self, v: F.Column, n: int) -> F.Column:
-        """Numbers of the n cells whose centres are nearest."""
-        half = [sum(x * x for x in c) / 2 for c in self.centres]
-        scored = F.array(*(F.struct((F.lit(h) - vectors.dot(v, F.array(*map(F.lit, c)))).alias("d"), F.lit(k).alias("cell")) for k, (c, h) in enumerate(zip(self.centres, half, strict=True))))
-        return F.transform(F.slice(F.array_sort(scored), 1, n), lambda x: x["cell"])
+        """Numbers of the n cells whose centres are nearest (ties: lower number); shorter vectors count as padded by zeros."""
+        centres = np.array(self.centres, np.float64)
+        half = (centres**2).sum(axis=1) / 2
+
+        @F.pandas_udf("array<int>")
+        def run(vectors: pd.Series) -> pd.Series:
+            rows = np.zeros((len(vectors), centres.shape[1]))
+            for k, x in enumerate(vectors):
+                if x is not None:
+                    rows[k, : len(x)] = x
+            order = np.argsort(half - rows @ centres.T, axis=1, kind="stable")[:, :n]
+            return pd.Series(list(order.astype(np.int32)))
+
+        return run(v)
 
     def search(self, queries: DataFrame, k: int, probes: int = 8) -> DataFrame:
         """query_id, vec_id, score, rank of the k best rows in the probed cells, for query_id and query_vector."""

@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hayloft.functions import paths
-from hayloft.functions.text import lines, sanitised, snippet
+from hayloft.functions.text import lines, lines_left_out, sanitised, snippet
 
 
 def output_rows(results: DataFrame, mode: str = "default") -> DataFrame:
-    """query_id, rank, path, start_line, end_line, score, match_pct, snippet: sanitised, lines counted from 0."""
-    return results.select("query_id", "rank", sanitised(F.col("path")).alias("path"), "start_line", (F.col("start_line") + F.col("num_lines")).alias("end_line"), "score", "match_pct", sanitised(snippet(F.col("content"), mode)).alias("snippet"))
+    """query_id, rank, path, start_line, end_line, score, match_pct, snippet, more_lines: sanitised, lines counted from 0."""
+    return results.select("query_id", "rank", sanitised(F.col("path")).alias("path"), "start_line", (F.col("start_line") + F.col("num_lines")).alias("end_line"), "score", "match_pct", sanitised(snippet(F.col("content"), mode)).alias("snippet"), lines_left_out(F.col("content"), mode).alias("more_lines"))
 
 
 def sections(results: DataFrame) -> DataFrame:

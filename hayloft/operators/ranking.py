@@ -113,6 +113,17 @@ def select_by_mode(results: DataFrame, by: list[str], limit: int, per_file: int,
     return chosen.withColumnRenamed("_bucket", "bucket").drop("_copy", "_plain", "_in_file", "_eligible", "_in_bucket", "_phase", "_key", "_anchor")
 
 
+def candidate_cap(results: DataFrame, by: list[str], limit: int) -> DataFrame:
+    """The first ``limit`` candidates of each query by score."""
+    first = Window.partitionBy(*by).orderBy(F.desc("score"), "path", "row_id")
+    return results.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= limit).drop("_n")
+
+
+def limits_hit(results: DataFrame, by: list[str], limit: int, code: str = "max_candidates") -> DataFrame:
+    """by, code, limit, observed for the queries that have more candidates than a cap lets through."""
+    return results.groupBy(*by).agg(F.count(F.lit(1)).alias("observed")).where(F.col("observed") > limit).select(*by, F.lit(code).alias("code"), F.lit(limit).cast("long").alias("limit"), "observed")
+
+
 def keep_best(results: DataFrame, by: list[str]) -> DataFrame:
     """The best row of each path and line."""
     w = Window.partitionBy(*by, "path", "start_line").orderBy(*result_order())

@@ -547,10 +547,10 @@ def compact_paths(spark: SparkSession, d: str) -> DataFrame:
     return present.compact(rows).join(present.file_count(rows), "query_id").join(names, ["query_id", "path"]).select("query_id", "path", "rank", "files", "named")
 
 
-@registered(f"WITH {_BEST}, s AS (SELECT query_id, rank, best.path, start_line, CAST(start_line + num_lines AS INTEGER) AS end_line, CASE WHEN length(text) = 0 THEN [] ELSE {_LINES} END AS l FROM best JOIN docs USING (doc_id)) SELECT query_id, rank, path, start_line, end_line, sha256(regexp_replace({_HEAD.format(12)}, '[\\x00-\\x08\\x0b-\\x1f\\x7f]', '', 'g')) AS snippet_sha FROM s")
+@registered(f"WITH {_BEST}, s AS (SELECT query_id, rank, best.path, start_line, CAST(start_line + num_lines AS INTEGER) AS end_line, CASE WHEN length(text) = 0 THEN [] ELSE {_LINES} END AS l FROM best JOIN docs USING (doc_id)) SELECT query_id, rank, path, start_line, end_line, sha256(regexp_replace({_HEAD.format(12)}, '[\\x00-\\x08\\x0b-\\x1f\\x7f]', '', 'g')) AS snippet_sha, CAST(greatest(len(l) - 12, 0) AS INTEGER) AS more_lines FROM s")
 def output_rows(spark: SparkSession, d: str) -> DataFrame:
     rows = _best(spark, d).join(t.table(spark, d, "documents").select("doc_id", F.col("text").alias("content")), "doc_id").withColumn("match_pct", F.lit(None).cast("int"))
-    return present.output_rows(rows).select("query_id", "rank", "path", "start_line", "end_line", F.sha2(F.col("snippet").cast("binary"), 256).alias("snippet_sha"))
+    return present.output_rows(rows).select("query_id", "rank", "path", "start_line", "end_line", F.sha2(F.col("snippet").cast("binary"), 256).alias("snippet_sha"), "more_lines")
 
 
 @registered(f"WITH {_DOCS}, parent AS (SELECT path AS path_key, segment, doc_id FROM docs WHERE doc_id % 3 <> 0) SELECT path_key, segment FROM parent WHERE doc_id % 7 <> 0 AND doc_id % 5 <> 0 UNION ALL SELECT path, 'seg_9' FROM docs WHERE doc_id % 5 = 0")
@@ -651,3 +651,23 @@ def error_envelopes(spark: SparkSession, d: str) -> DataFrame:
 def postings_index(spark: SparkSession, d: str) -> DataFrame:
     """The stored index of all words of all documents, read back as term statistics."""
     return lexical.build_index(t.table(spark, d, "documents").select("doc_id", "text")).term_statistics().select("term", "df", "total")
+
+
+@registered(f"WITH {_CHUNKS}, n AS (SELECT query_id, {_BUCKET} AS bucket, count(*) AS observed FROM pairs GROUP BY 1, 2), k AS (SELECT query_id, doc_id, {_BUCKET} AS bucket, score FROM pairs QUALIFY row_number() OVER (PARTITION BY query_id, {_BUCKET} ORDER BY score DESC, path, row_id) <= 60) SELECT k.query_id, k.bucket, count(*) AS kept, max(CASE WHEN observed > 60 THEN observed ELSE 0 END) AS observed, round(min(score), 6) AS least FROM k JOIN n ON n.query_id = k.query_id AND n.bucket = k.bucket GROUP BY 1, 2")
+def candidate_limits(spark: SparkSession, d: str) -> DataFrame:
+    """Sixty candidates of each query and bucket, and what the cap held back."""
+    rows = _pairs(spark, d).withColumn("bucket", paths.bucket(F.col("path"))).select("query_id", "bucket", "score", "path", "row_id")
+    by = ["query_id", "bucket"]
+    kept = ranking.candidate_cap(rows, by, 60).groupBy(*by).agg(F.count(F.lit(1)).alias("kept"), F.round(F.min("score"), 6).alias("least"))
+    return kept.join(ranking.limits_hit(rows, by, 60), by, "left").select(*by, "kept", F.coalesce("observed", F.lit(0)).alias("observed"), "least")
+
+
+@registered("SELECT CAST(ceil(strlen(text) / 32.0) AS BIGINT) AS bucket, count(*) AS texts FROM documents GROUP BY 1")
+def length_buckets(spark: SparkSession, d: str) -> DataFrame:
+    return t.table(spark, d, "documents").groupBy(vectors.length_bucket(F.octet_length("text")).alias("bucket")).agg(F.count(F.lit(1)).alias("texts"))
+
+
+@registered("SELECT event_id, CASE WHEN user_id % 9 = 0 THEN 100 ELSE CAST(least(event_id % 50 * 100 // (user_id % 9 * 5), 100) AS INTEGER) END AS percent FROM events")
+def sync_progress(spark: SparkSession, d: str) -> DataFrame:
+    """Event ids stand for files done, user ids for files in all."""
+    return t.table(spark, d, "events").select("event_id", sync.progress_percent(F.col("event_id") % 50, F.col("user_id") % 9 * 5).alias("percent"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hayloft.config import Settings
@@ -30,8 +30,7 @@ def search(chunks: DataFrame, queries: DataFrame, settings: Settings = Settings(
     both = retrieval.hybrid_union(dense.select("query_id", "class", "branch_rank", "score", *tokens, *columns), by_words.select("query_id", "branch_rank", "score", "secondary_score", *tokens, *columns))
     if s.rerank and tokens:
         both = retrieval.rerank(both, ["query_id"], vectors.max_sim(F.col("query_tokens"), F.col("tokens")), s.rerank_depth).drop("rank", "dense_rank", "dense_score")
-    cap = Window.partitionBy("query_id").orderBy(F.desc("score"), "path", "row_id")
-    capped = both.withColumn("_n", F.row_number().over(cap)).where(F.col("_n") <= s.max_candidates).drop("_n")
+    capped = ranking.candidate_cap(both, ["query_id"], s.max_candidates)
     rows = retrieval.shown_columns(capped).withColumn("score", ranking.boosted(F.col("score"), F.col("path"), F.col("chunk_type"), s.mode)).withColumn("is_anchor", F.col("kind") == "anchor")
     chosen = ranking.select_by_mode(rows, ["query_id"], s.limit, s.per_file, s.mode)
     cut = ranking.byte_budget(chosen, ["query_id"], s.max_snippet_bytes, s.max_total_snippet_bytes)

@@ -204,3 +204,8 @@ def health(store: Store, budgets: dict[str, float] | None = None, observed: dict
 def budget_severity(value: Column, budget: Column) -> Column:
     """ok or warn: a budget of 0 is off, a missing measure or one over budget warns."""
     return F.when(budget == 0, "ok").when(value.isNull() | (value > budget), "warn").otherwise("ok")
+
+
+def progress_percent(processed: Column, total: Column) -> Column:
+    """How far a sync is, in whole percent; 100 where there is nothing to do."""
+    return F.when(total == 0, 100).otherwise(F.least(F.floor(processed * 100 / total), F.lit(100))).cast("int")
