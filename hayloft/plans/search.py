@@ -26,7 +26,7 @@ def search(chunks: DataFrame, queries: DataFrame, settings: Settings = Settings(
     dense = retrieval.class_top_k(retrieval.scored_pairs(queries.select("query_id", "query_vector", *tokens), shown), depth)
     found = lexical.bm25(shown.select("row_id", "text"), queries, depth, "row_id").select("query_id", "row_id", F.col("lexical_rank").alias("branch_rank"), F.col("score").alias("secondary_score"))
     # lexical matches are scored by vector as well: their own score stays as the second one
-    by_words = found.join(shown, "row_id").join(F.broadcast(queries.select("query_id", "query_vector", *tokens)), "query_id").withColumn("score", vectors.dot(F.col("query_vector"), F.col("embedding")))
+    by_words = found.join(shown, "row_id").join(queries.select("query_id", "query_vector", *tokens), "query_id").withColumn("score", vectors.dot(F.col("query_vector"), F.col("embedding")))
     both = retrieval.hybrid_union(dense.select("query_id", "class", "branch_rank", "score", *tokens, *columns), by_words.select("query_id", "branch_rank", "score", "secondary_score", *tokens, *columns))
     if s.rerank and tokens:
         both = retrieval.rerank(both, ["query_id"], vectors.max_sim(F.col("query_tokens"), F.col("tokens")), s.rerank_depth).drop("rank", "dense_rank", "dense_score")
