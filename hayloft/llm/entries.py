@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bitsliced, bpe, chat, decontaminate, jaccard_join, language, quality, secret_scan, sharding, token_count
+from . import bitsliced, bpe, chat, decontaminate, divergence, jaccard_join, language, quality, secret_scan, sharding, spelling, token_count
 
 QUERIES = {
     "op1_jaccard_lsh_forest": jaccard_join.op1_jaccard_lsh_forest,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_token_count_scan": token_count.op8_token_count_scan,
     "op9_bpe_segment_tree": bpe.op9_bpe_segment_tree,
     "op10_decontaminate_prefix_join": decontaminate.op10_decontaminate_prefix_join,
+    "op11_divergence_runs": divergence.op11_divergence_runs,
+    "op13_spelling_tiles": spelling.op13_spelling_tiles,
 }
 
 ORACLE_SQL = {
@@ -22,4 +24,6 @@ ORACLE_SQL = {
     "op4_topk_bitsliced": bitsliced.ORACLE_SQL,
     "op5_chat_parts": chat.ORACLE_SQL,
     "op10_decontaminate_prefix_join": decontaminate.ORACLE_SQL,
+    "op11_divergence_runs": divergence.ORACLE_SQL,
+    "op13_spelling_tiles": spelling.ORACLE_SQL,
 }
