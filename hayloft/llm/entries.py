@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bitsliced, bpe, chat, decontaminate, divergence, jaccard_join, language, quality, secret_scan, sharding, spelling, token_count
+from . import bitsliced, bpe, chat, decontaminate, divergence, imatch, jaccard_join, language, quality, secret_scan, sharding, spelling, token_count
 
 QUERIES = {
     "op1_jaccard_lsh_forest": jaccard_join.op1_jaccard_lsh_forest,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_bpe_segment_tree": bpe.op9_bpe_segment_tree,
     "op10_decontaminate_prefix_join": decontaminate.op10_decontaminate_prefix_join,
     "op11_divergence_runs": divergence.op11_divergence_runs,
+    "op12_imatch_subsets": imatch.op12_imatch_subsets,
     "op13_spelling_tiles": spelling.op13_spelling_tiles,
 }
 
