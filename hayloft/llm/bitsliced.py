@@ -16,9 +16,11 @@ Each index block meets each pack of queries once, dealt out over tasks by
 rows of the blocks are merged per query.
 
 Defined results: vectors that are null, or hold null or non-finite components,
-take no part as query or candidate, nor do those with a component so large
-(2**30 / sqrt(length) after scaling) that a score might not fit 64 bits;
-shorter vectors count as padded by zeros;
+take no part as query or candidate, nor do those with a component of 2**61 and
+more after scaling, with which only zeros give a score of 64 bits;
+sums may have any number of digits, and a chosen score beyond 64 bits is an error;
+shorter vectors count as padded by zeros; rows with a null id are candidates,
+and come last among equal scores;
 a repeated id is another row (only the query's own row is left out); an empty
 table, or one without queries, gives no rows; other columns are not looked at.
 """
@@ -38,15 +40,19 @@ BLOCK_ROWS = 1 << 14
 QUERY_BLOCK = 64
 COPY_PACKS = 64
 SCALE = 64
+#: Components are below this after scaling.
+LARGEST = 1 << 61
+#: Stands for a null id inside the index; the row numbers of such rows begin at NULL_ROWS, above all others.
+NULL_ID, NULL_ROWS = (1 << 63) - 1, 1 << 62
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
     """row, vec_id and q = floor(scale * x) of the vectors that take part."""
     ok = F.col(vector_col).isNotNull() & F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    room = F.lit(float(1 << 30)) / F.sqrt(F.greatest(F.size(vector_col), F.lit(1)))
-    ok &= F.forall(vector_col, lambda x: F.abs(x.cast("double") * scale) < room)
+    ok &= F.forall(vector_col, lambda x: F.abs(x.cast("double") * scale) < float(LARGEST))
     q = F.transform(vector_col, lambda x: F.floor(x.cast("double") * scale).cast("long"))
-    return vectors.where(F.coalesce(ok, F.lit(False))).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("vec_id"), q.alias("q"))
+    row = F.monotonically_increasing_id() + F.when(F.col(id_col).isNull(), F.lit(NULL_ROWS)).otherwise(F.lit(0))
+    return vectors.where(F.coalesce(ok, F.lit(False))).select(row.alias("row"), F.col(id_col).alias("vec_id"), q.alias("q"))
 
 
 def slices(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -107,12 +113,19 @@ def signed_digits(query: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def dims_bits(a: np.ndarray, b: np.ndarray) -> int:
+    """Bits that the inner product of two integer vectors has at most."""
+    return sum(int(np.abs(x).max(initial=0)).bit_length() for x in (a, b)) + len(a).bit_length()
+
+
 def score_slices(bitmaps: np.ndarray, inverse: np.ndarray, low: np.ndarray, query: np.ndarray) -> tuple[list[np.ndarray], int]:
     """(digit bitmaps of sums, constant): score = sum + constant."""
     digits = bitmaps.shape[1]
     weights = signed_digits(query)
     columns: list[list[np.ndarray]] = [[] for _ in range(digits + len(weights))]
-    constant = int((query * low).sum())
+    # more than 62 bits can only come about where the product of the largest ones has them
+    wide = dims_bits(query, low) > 62
+    constant = int((query.astype(object) * low.astype(object)).sum()) if wide else int((query * low).sum())
     for b, (plus, minus) in enumerate(weights):
         constant -= len(minus) * ((1 << digits) - 1) << b
         for d in range(digits):
@@ -148,10 +161,12 @@ def members(bitmap: np.ndarray) -> np.ndarray:
 
 
 def values_at(sums: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(rows), np.int64)
+    """Sums of rows: 64-bit integers, or Python's where there are more digits."""
+    kind = np.int64 if len(sums) <= 62 else object
+    out = np.zeros(len(rows), kind)
     for p, digit in enumerate(sums):
         if digit is not None:
-            out += ((digit[rows >> 6] >> (rows & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64) << p
+            out += ((digit[rows >> 6] >> (rows & 63).astype(np.uint64)) & np.uint64(1)).astype(kind) * (1 << p)
     return out
 
 
@@ -176,7 +191,14 @@ def search_block(bitmaps: np.ndarray, low: np.ndarray, rows: np.ndarray, ids: np
         if len(ties):
             ties = ties[np.lexsort((rows[ties], ids[ties]))][: k - len(chosen)]
         chosen = np.concatenate([chosen, ties])
-        yield n, chosen, values_at(sums, chosen) + constant
+        values = values_at(sums, chosen)
+        if values.dtype == object or abs(constant) >= 1 << 62:
+            exact = [int(v) + constant for v in values]
+            if any(abs(v) >= 1 << 63 for v in exact):
+                raise OverflowError("a score among the best leaves 64 bits")
+            yield n, chosen, np.array(exact, np.int64)
+        else:
+            yield n, chosen, values + constant
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
@@ -189,13 +211,17 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return out
 
 
+def _ids(column) -> np.ndarray:
+    return column.cast(pa.int64()).fill_null(NULL_ID).to_numpy().astype(np.int64)
+
+
 def build_index(rows: DataFrame, blocks: int, dims: int) -> DataFrame:
     """One row per block of about ``BLOCK_ROWS`` rows, numbered from 0 and chosen by a hash: bitmaps and the rows they stand for."""
 
     def run(table: pa.Table) -> pa.Table:
         whole = table.combine_chunks()
         bitmaps, low, digits = slices(_matrix(whole.column("q").chunk(0), dims))
-        rows, ids = (whole.column(c).to_numpy().astype(np.int64) for c in ("row", "vec_id"))
+        rows, ids = whole.column("row").to_numpy().astype(np.int64), _ids(whole.column("vec_id"))
         binary = [pa.array([x.tobytes()], pa.binary()) for x in (bitmaps, low, rows, ids)]
         return pa.table([whole.column("block").slice(0, 1), *binary, pa.array([digits], pa.int32())], names=["block", "bitmaps", "low", "rows", "ids", "digits"])
 
@@ -211,7 +237,7 @@ def pack_queries(rows: DataFrame, dims: int, parts: int) -> DataFrame:
             for a in range(0, batch.num_rows, QUERY_BLOCK):
                 part = batch.slice(a, QUERY_BLOCK)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([_matrix(part.column("q"), dims).tobytes()], pa.binary()), pa.array([part.column("row").to_numpy().tobytes()], pa.binary()), pa.array([part.column("vec_id").to_numpy(zero_copy_only=False).astype(np.int64).tobytes()], pa.binary())],
+                    [pa.array([_matrix(part.column("q"), dims).tobytes()], pa.binary()), pa.array([part.column("row").to_numpy().tobytes()], pa.binary()), pa.array([_ids(part.column("vec_id")).tobytes()], pa.binary())],
                     names=["queries", "query_rows", "query_ids"],
                 )
 
@@ -222,7 +248,7 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = 20, scale: int = SCAL
     """query_id, rank, vec_id, score of the k best rows for each row that ``is_query`` holds for."""
     spark = vectors.sparkSession
     scratch = Scratch(spark)
-    rows = scratch.write(quantised(vectors.where(F.col("vec_id").isNotNull()), scale=scale), "quantised")
+    rows = scratch.write(quantised(vectors, scale=scale), "quantised")
     facts = rows.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("q")), F.lit(0)).alias("dims"), F.count_if(is_query).alias("queries")).first()
     if not facts.dims or not facts.queries:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -249,7 +275,9 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = 20, scale: int = SCAL
     # a group is one copy of a block and its share of the packs, both bounded
     found = copied.groupBy("block", "copy").cogroup(dealt.groupBy("block", "copy")).applyInArrow(run, "query_row long, query_id long, row long, vec_id long, score long")
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    known = lambda c, row: F.when(F.col(row) < NULL_ROWS, F.col(c)).alias(c)
+    return best.select(known("query_id", "query_row"), "rank", known("vec_id", "row"), "score")
 
 
 def op4_topk_bitsliced(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -192,11 +192,12 @@ def small_batches(spark) -> None:
 
 
 def set_aside(docs, own: list[str]):
-    """``docs`` with columns named like one of ``own`` renamed, and the columns that give all of ``docs`` back."""
+    """``docs`` with columns named like one of ``own``, or not by a plain word, renamed, and the columns that give all of ``docs`` back."""
+    import re
     import uuid
 
     from pyspark.sql import functions as F
 
     mark, clash = uuid.uuid4().hex, {c.lower() for c in own}
-    names = {c: f"{c}_{mark}" for c in docs.columns if c.lower() in clash}
+    names = {c: f"c{k}_{mark}" for k, c in enumerate(docs.columns) if c.lower() in clash or not re.fullmatch(r"\w+", c)}
     return docs.withColumnsRenamed(names), [F.col(names.get(c, c)).alias(c) for c in docs.columns]

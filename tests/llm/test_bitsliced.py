@@ -37,9 +37,18 @@ def test_few_or_no_rows(spark):
     assert [tuple(r) for r in got] == [(0, 1, 1, -33 * 64)]
 
 
-def test_components_too_large_for_a_score(spark):
-    """Rows whose scores might not fit 64 bits take no part; just below, scores are exact."""
-    room = (1 << 30) / math.sqrt(4) / 64
-    rows = [(0, [room - 1, -room + 1, 0.0, 2.0]), (1, [room - 2, room - 3, 1.0, 0.0]), (2, [1.0, 2.0, 3.0, 4.0]), (3, [1e9, 0.0, 0.0, 0.0]), (20, [1e20, 0.0, 0.0, 0.0]), (40, [-1.5, 0.0, 1e300, 0.0])]
-    got = B.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0)
-    assert sorted(tuple(r) for r in got.collect()) == brute(rows[:3], 20)
+def test_large_components(spark):
+    """Scores of any size are exact while they fit 64 bits; one that is chosen and does not is an error."""
+    big = float(1 << 40)
+    rows = [(0, [0.25, -0.5, 0.0, 1.0]), (1, [big, 3.0, 1.0, 0.0]), (2, [1.0, -big, 3.0, 4.0]), (3, [-big, big, big, -big]), (4, [-1.5, 0.0, 2.0**54, 0.0]), (5, [1.0, 2.0, 3.0, 4.0]), (6, [0.0, 0.0, 1e300, 0.0])]
+    docs = lambda r: spark.createDataFrame(r, "vec_id long, embedding array<double>")
+    got = B.top_k(docs(rows), F.col("vec_id") % 20 == 0)
+    assert sorted(tuple(r) for r in got.collect()) == brute(rows[:6], 20)
+    with pytest.raises(Exception, match="leaves 64 bits"):
+        B.top_k(docs([(0, [big]), (1, [big])]), F.col("vec_id") % 20 == 0).collect()
+
+
+def test_null_ids_are_candidates(spark):
+    rows = [(0, [1.0]), (None, [3.0]), (1, [2.0]), (None, [2.0]), (20, None), (7, [2.0])]
+    got = B.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
+    assert [tuple(r) for r in got] == [(0, 1, None, 12288), (0, 2, 1, 8192), (0, 3, 7, 8192), (0, 4, None, 8192)]

@@ -35,7 +35,7 @@ def test_stages_match_brute_force(spark):
 def test_awkward_rows_and_columns(spark, tmp_path):
     docs = h.awkward(spark)
     # columns named like the stages' own, of other types
-    for k, name in enumerate(["spans", "_hash", "hash", "row", "_row", "row_hash", "id", "score", "Items", "n_words", "n_hit", "lang_pred", "class", "rep", "token_ids", "kind"]):
+    for k, name in enumerate(["spans", "_hash", "hash", "row", "_row", "row_hash", "id", "score", "Items", "n_words", "n_hit", "lang_pred", "class", "rep", "token_ids", "kind", "meta.src", "a`b", "two words"]):
         docs = docs.withColumn(name, F.lit("mine") if k % 2 else F.coalesce(F.col("doc_id"), F.lit(0)) * 100 + k)
     given = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
@@ -45,6 +45,7 @@ def test_awkward_rows_and_columns(spark, tmp_path):
         docs = spark.read.parquet(f"{tmp_path}/{name}")
     assert {r.doc_id for r in docs.collect()} == {4, 5, 8, 10, None}
     assert docs.exceptAll(given).isEmpty()
+    assert corpus_pipeline.encode(spark, docs, SF).count() == 5
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, h.empty(spark), SF).collect() == [], name
 
@@ -53,5 +54,5 @@ def test_op_queries_are_registered():
     import __spark_entry__ as e
 
     names = list(e.queries())
-    assert "pipeline" in names and all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11))
+    assert "pipeline" in names and all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14))
     assert language.AMBIGUOUS > 0 and contamination([], []) == []
