@@ -45,7 +45,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with a check that decoding them gives the tokens back."""
-    encoded = bpe.encode_documents(docs)
+    encoded = bpe.encode_documents(docs.select("doc_id", "text", "lang", "source", "n_chars"))
     return encoded.select("doc_id", "lang", "source", "n_chars", "n_tokens", "token_ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
