@@ -36,7 +36,7 @@ from .terms import Tally, letters, runs
 
 LEAST_DOCUMENTS, SCALE, TOP_TERMS = 10, 1_000_000_000, 10
 #: Cells (terms x sources) of a block, its most terms, and the sources of a band.
-CELLS, BLOCK_TERMS, BAND = 1 << 18, 4096, 256
+CELLS, BLOCK_TERMS, BAND = 1 << 18, 1024, 256
 
 
 def count_terms(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
