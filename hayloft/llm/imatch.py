@@ -19,7 +19,7 @@ documents differ, this share nears the Jaccard likeness of their kept terms.
 The edited text of a document takes its second half from the next one by id.  Rows
 are dealt by ranges of (id, hash of the text), found from a sample of keys, and
 sorted; the least row of each range is also sent to the range before, so each
-document meets the next one in a task.  One shuffle of the texts does it.  Rows
+document meets the next one in a task.  One shuffle of the texts, packed one by one, does it.  Rows
 equal in both are told apart by the task that read them, so that they may fill
 several ranges.
 
@@ -39,6 +39,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,8 +50,8 @@ from .terms import Tally
 COMMON, RARE = 20, 20_000
 LEXICON_TERMS = 4_000_000
 SUBSETS, LEVELS, ENOUGH = 32, 5, 24
-#: Keys sampled for each range.
-SAMPLE = 64
+#: Ranges for each partition of the shuffle, and keys sampled for each range.
+RANGES, SAMPLE = 8, 16
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _DRAWS = np.arange(1, SUBSETS + 1, dtype=np.uint64) * _STEP
@@ -196,7 +197,7 @@ def edited(text: str, following: str) -> str:
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """bucket, ahead, id, text: rows in ranges of ids, sorted, each range ended by the row that follows its last.
+    """bucket, ahead, id, packed (the text): rows in ranges of ids, sorted, each range ended by the row that follows its last.
 
     Only the ends of ranges and a sample of keys, as many as there are ranges
     (and ``SAMPLE`` times as many), come to the driver.
@@ -204,17 +205,18 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     spark = docs.sparkSession
     scratch = Scratch(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges_wanted = RANGES * parts
     text = F.coalesce(F.col(text_col), F.lit(""))
     given = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.spark_partition_id().alias("task"), text.alias("text"))
     keys = scratch.write(given.select("id", "h", "task"), "keys")
     total = keys.count()
-    share = max(1, total // (SAMPLE * parts))
+    share = max(1, total // (SAMPLE * ranges_wanted))
     sample = keys.where(F.pmod(F.xxhash64("id", "h", "task", F.lit(3)), F.lit(share)) == 0).groupBy("id", "h", "task").count().collect()
     order = lambda id, *more: (id is not None, 0 if id is None else id, *more)  # noqa: E731  null ids first
     ranked = sorted((order(r.id, r.h, r.task), r["count"]) for r in sample)
     weight, seen, bounds = sum(n for _, n in ranked), 0, []
     for key, n in ranked:
-        if seen >= weight * (len(bounds) + 1) / parts:
+        if seen >= weight * (len(bounds) + 1) / ranges_wanted:
             bounds.append(key)
         seen += n
     ends = spark.sparkContext.broadcast(bounds)
@@ -235,21 +237,24 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     def deal(batches):
         first, earlier = firsts.value
+        pack = zstandard.ZstdCompressor(level=3, write_content_size=True).compress
         for batch in batches:
             ids, hashes, tasks = (batch.column(c).to_pylist() for c in ("id", "h", "task"))
             found = [bisect.bisect_right(ends.value, order(*k)) for k in zip(ids, hashes, tasks, strict=True)]
             again = [k for k, b in enumerate(found) if first.get(b) == (ids[k], hashes[k])]
             rows = pa.array([*range(len(found)), *again])
+            packed = pa.array([pack(x.encode()) for x in batch.column("text").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([*found, *(earlier[found[k]] for k in again)], pa.int32()),
                     pa.array([False] * len(found) + [True] * len(again)),
-                    *(batch.column(c).take(rows) for c in ("id", "h", "text")),
+                    *(batch.column(c).take(rows) for c in ("id", "h")),
+                    packed.take(rows),
                 ],
-                names=["bucket", "ahead", "id", "h", "text"],
+                names=["bucket", "ahead", "id", "h", "packed"],
             )
 
-    out = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("ahead", T.BooleanType()), id_field, T.StructField("h", T.LongType()), T.StructField("text", T.StringType())])
+    out = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("ahead", T.BooleanType()), id_field, T.StructField("h", T.LongType()), T.StructField("packed", T.BinaryType())])
     return given.mapInArrow(deal, out).repartition(parts, "bucket").sortWithinPartitions("bucket", "ahead", "id", "h").drop("h")
 
 
@@ -263,15 +268,17 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def task(batches):
         last = None
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             table = pa.Table.from_batches([batch] if last is None else [last, batch]).combine_chunks()
-            bucket, ahead, texts = (table.column(c).to_pylist() for c in ("bucket", "ahead", "text"))
+            bucket, ahead = (table.column(c).to_pylist() for c in ("bucket", "ahead"))
+            texts = [unpack(x).decode() for x in table.column("packed").to_pylist()]
             own = [k for k in range(len(table) - 1) if not ahead[k]]
             if any(bucket[k] != bucket[k + 1] for k in own):
                 raise RuntimeError("a range of documents lacks the document that follows")
             if own:
                 own_at = np.array(own)
-                every = prints(table.column("text").combine_chunks(), shared.value)
+                every = prints(pa.array(texts, pa.large_string()), shared.value)
                 changed = [edited(texts[k], texts[k + 1]) for k in own]
                 after = prints(pa.array(changed, pa.large_string()), shared.value)
                 mine = every.take(own_at)
