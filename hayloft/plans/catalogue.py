@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hayloft.functions import identity, paths, text, vectors
-from hayloft.operators import changes, chunking, diagrams, embedding, evaluation, lexical, present, ranking, retrieval
+from hayloft.operators import blockmax, changes, chunking, diagrams, embedding, evaluation, lexical, present, ranking, retrieval
 from hayloft.plans import sync
 from hayloft.sources import tables as t
 from hayloft.streaming import watch
@@ -82,19 +82,17 @@ def bucket_counts(spark: SparkSession, d: str) -> DataFrame:
 _MODES = " UNION ALL ".join(f"SELECT '{m}' AS mode, query_id, doc_id, round(score * {_boost_sql(m)}, 6) AS score FROM pairs" for m in ranking.WEIGHTS)
 
 
-@registered(f"WITH {_CHUNKS}, b AS ({_MODES}) SELECT mode, query_id, doc_id, score FROM b QUALIFY row_number() OVER (PARTITION BY mode, query_id ORDER BY score DESC, doc_id) <= 10")
+@registered(f"WITH {_CHUNKS}, b AS ({_MODES}) SELECT mode, query_id, doc_id, score FROM b")
 def structural_boost_modes(spark: SparkSession, d: str) -> DataFrame:
     pairs = _pairs(spark, d)
     each = F.array(*(F.struct(F.lit(m).alias("mode"), F.round(ranking.boosted(F.col("score"), F.col("path"), F.col("chunk_type"), m), 6).alias("score")) for m in ranking.WEIGHTS))
-    rows = pairs.select("query_id", "doc_id", F.inline(each))
-    w = Window.partitionBy("mode", "query_id").orderBy(F.desc("score"), "doc_id")
-    return rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= 10).drop("n")
+    return pairs.select("query_id", "doc_id", F.inline(each))
 
 
-@registered(f"WITH {_CHUNKS}, r AS (SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, path, start_line, row_id, num_lines) AS INTEGER) AS rank FROM pairs) SELECT * FROM r WHERE rank <= 50")
+@registered(f"WITH {_CHUNKS}, r AS (SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, path, start_line, row_id, num_lines) AS INTEGER) AS rank FROM pairs) SELECT * FROM r")
 def deterministic_order(spark: SparkSession, d: str) -> DataFrame:
     rows = _pairs(spark, d).withColumn("secondary_score", F.lit(None).cast("double"))
-    return ranking.ranked(rows, ["query_id"]).where(F.col("rank") <= 50).select("query_id", "doc_id", "rank")
+    return ranking.ranked(rows, ["query_id"]).select("query_id", "doc_id", "rank")
 
 
 @registered(f"WITH {_VERSIONS} SELECT path_key, segment, strlen(text) AS bytes FROM visible")
@@ -250,6 +248,14 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return found.select("query_id", "lexical_rank", F.col("row_id").alias("doc_id"), F.round("score", 4).alias("score"))
 
 
+@registered(f"WITH {_BM25} SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS lexical_rank, doc_id, round(score, 4) AS score FROM bm QUALIFY lexical_rank <= 10")
+def bm25_pruned_topk(spark: SparkSession, d: str) -> DataFrame:
+    """``bm25_topk`` over stored blocks, with thresholds and skipped blocks whatever the number of postings."""
+    queries = t.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+    found = blockmax.stored(t.table(spark, d, "documents").select("doc_id", "text")).search(queries, 10, plain=0)
+    return found.select("query_id", "lexical_rank", F.col("row_id").alias("doc_id"), F.round("score", 4).alias("score"))
+
+
 @registered(f"""WITH {_CHUNKS}, {_BM25}, dense AS (SELECT query_id, doc_id, path, start_line, CASE WHEN doc_id % 8 IN (2, 7) THEN 2 WHEN doc_id % 8 IN (1, 3) THEN 1 ELSE 0 END AS branch, score, row_id FROM pairs),
 dr AS (SELECT query_id, doc_id, path, start_line, branch, row_number() OVER (PARTITION BY query_id, branch ORDER BY score DESC, path, row_id) AS branch_rank FROM dense QUALIFY branch_rank <= 20),
 lx AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS branch_rank FROM bm WHERE query_id % 100 = 0 QUALIFY branch_rank <= 20),

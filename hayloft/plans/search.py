@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from hayloft.config import Settings
 from hayloft.functions import paths, vectors
-from hayloft.operators import lexical, present, ranking, retrieval
+from hayloft.operators import blockmax, lexical, present, ranking, retrieval
 
 
-def search(chunks: DataFrame, queries: DataFrame, settings: Settings = Settings(), scope: str | None = None, anchors: bool = False) -> DataFrame:
+def search(chunks: DataFrame, queries: DataFrame, settings: Settings = Settings(), scope: str | None = None, anchors: bool = False, index: blockmax.BlockIndex | None = None) -> DataFrame:
     """Ranked results of each query over live chunk rows.
 
+    ``index`` holds stored posting blocks of the chunks (of hidden ones too); without one, texts are cut anew.
+
     ``queries`` has query_id, query_text, query_vector, and may have
     query_tokens (token matrix) if chunks have tokens; both then rerank the
     first results.  Rows are filtered before any top-k, so hidden rows can't
@@ -24,7 +26,8 @@ def search(chunks: DataFrame, queries: DataFrame, settings: Settings = Settings(
     tokens = [c for c in ("query_tokens",) if c in queries.columns and "tokens" in chunks.columns]
     columns = ["row_id", "path", "start_line", "end_line", "chunk_type", "kind", "text", "context_prev", "context_next", *(["tokens"] if tokens else [])]
     dense = retrieval.class_top_k(retrieval.scored_pairs(queries.select("query_id", "query_vector", *tokens), shown), depth)
-    found = lexical.bm25(shown.select("row_id", "text"), queries, depth, "row_id").select("query_id", "row_id", F.col("lexical_rank").alias("branch_rank"), F.col("score").alias("secondary_score"))
+    words = index.search(queries, depth, shown.select("row_id")) if index else lexical.bm25(shown.select("row_id", "text"), queries, depth, "row_id")
+    found = words.select("query_id", "row_id", F.col("lexical_rank").alias("branch_rank"), F.col("score").alias("secondary_score"))
     # lexical matches are scored by vector as well: their own score stays as the second one
     by_words = found.join(shown, "row_id").join(queries.select("query_id", "query_vector", *tokens), "query_id").withColumn("score", vectors.dot(F.col("query_vector"), F.col("embedding")))
     both = retrieval.hybrid_union(dense.select("query_id", "class", "branch_rank", "score", *tokens, *columns), by_words.select("query_id", "branch_rank", "score", "secondary_score", *tokens, *columns))

@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from hayloft.operators import evaluation, lexical
+from hayloft.operators import blockmax, evaluation, lexical
 
 
 def brute(docs, queries, k):
@@ -58,3 +58,39 @@ def test_documents_that_hold_an_item(spark):
     got = sorted((r.item_id, r.doc_id) for r in evaluation.holding_documents(d, i, index).collect())
     assert got == [(10, 1), (10, 6), (11, 1), (11, 2), (11, 3), (11, 6)]
     assert d.where(F.col("doc_id") < 0).count() == 0
+
+
+def test_pruned_search_equals_scoring_everything(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(blockmax, "BLOCK", 4)
+    monkeypatch.setattr(blockmax, "HEAD", 2)
+    docs, queries = sample()
+    d, q = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(queries, "query_id long, query_text string")
+    made = blockmax.build_blocks(d, f"file://{tmp_path}/b")
+    assert made.blocks.groupBy("term").count().where("count > 3").count() and made.blocks.where("size(postings) > 30").isEmpty()
+    rows = lambda found: sorted((r.query_id, r.lexical_rank, r.row_id) for r in found.collect())
+    for k in (1, 3, 7):
+        want = sorted(brute(docs, queries, k))
+        opened = blockmax.BlockIndex(spark, f"file://{tmp_path}/b")
+        assert rows(made.search(q, k)) == rows(opened.search(q, k, plain=0)) == want
+    monkeypatch.setattr(blockmax, "PUSHED", 2)  # joins instead of conditions
+    assert rows(made.search(q, 3, plain=0)) == sorted(brute(docs, queries, 3))
+    # only allowed rows count, for thresholds as well; their statistics are still those of all rows
+    allowed = [i for i, _ in docs if i % 3]
+    every = [r for r in sorted(brute(docs, queries, len(docs))) if r[2] in allowed]
+    want = [(query, n, i) for query in {r[0] for r in every} for n, (_, _, i) in enumerate([r for r in every if r[0] == query][:4], 1)]
+    assert rows(made.search(q, 4, spark.createDataFrame([(i,) for i in allowed], "row_id long"), plain=0)) == sorted(want)
+    none = blockmax.build_blocks(spark.createDataFrame([], "doc_id long, text string"), f"file://{tmp_path}/none")
+    assert none.search(q, 3).collect() == none.search(q, 3, plain=-1).collect() == []
+
+
+def test_pruned_search_reads_few_blocks(spark, monkeypatch):
+    monkeypatch.setattr(blockmax, "BLOCK", 16)
+    rng = random.Random(9)
+    # a rare word decides, a common one is in every row
+    docs = [(k, " ".join(["common"] * rng.randint(1, 9) + [f"r{k % 150}"] * rng.randint(1, 4) + [f"f{j}" for j in range(rng.randint(0, 20))])) for k in range(1500)]
+    queries = [(k, f"common r{k} f0") for k in range(20)]
+    d, q = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(queries, "query_id long, query_text string")
+    index = blockmax.build_blocks(d)
+    told = index.explain(q, 5).collect()
+    assert len(told) == 20 and all(r.blocks_read < 0.2 * r.blocks and r.postings_read < 0.2 * r.postings and r.rows_looked_up < 100 for r in told)
+    assert sorted((r.query_id, r.lexical_rank, r.row_id) for r in index.search(q, 5, plain=0).collect()) == sorted(brute(docs, queries, 5))
