@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hayloft.functions import identity, paths, text, vectors
-from hayloft.operators import blockmax, changes, chunking, diagrams, embedding, evaluation, lexical, present, ranking, retrieval
+from hayloft.operators import blockmax, changes, chunking, definitions, diagrams, embedding, evaluation, lexical, present, ranking, retrieval
 from hayloft.plans import sync
 from hayloft.sources import tables as t
 from hayloft.streaming import watch
@@ -677,3 +677,39 @@ def length_buckets(spark: SparkSession, d: str) -> DataFrame:
 def sync_progress(spark: SparkSession, d: str) -> DataFrame:
     """Event ids stand for files done, user ids for files in all."""
     return t.table(spark, d, "events").select("event_id", sync.progress_percent(F.col("event_id") % 50, F.col("user_id") % 9 * 5).alias("percent"))
+
+
+# the generated files line by line, and the spans of their definitions by arithmetic
+_CODE = r"""f AS (SELECT doc_id, CAST(doc_id % 4 + 1 AS INTEGER) AS n, CAST(doc_id % 3 AS INTEGER) AS kind, CAST(doc_id AS VARCHAR) AS id, regexp_replace(left(coalesce(text, ''), 30), '[^A-Za-z]', ' ', 'g') AS w FROM documents),
+code AS (SELECT doc_id, n, kind, id, CASE kind
+  WHEN 0 THEN ['// ' || w || ' it''s { "', 'import { x } from "m{";', 'export class C' || id || ' {']
+    || flatten(list_transform(range(n), lambda j: ['  async m' || j || '(a, b = "}") {', '    const s = `{${a}`;', '    if (a) { return ''{''; }', '  }']))
+    || ['}', 'export const f' || id || ' = (x) => {', '  return x;', '};', 'console.log("' || w || ' {");']
+  WHEN 1 THEN ['// ' || w || ' it''s {', 'pub struct S' || id || '<''a> { x: &''a str }', 'impl<''a> S' || id || '<''a> {']
+    || flatten(list_transform(range(n), lambda j: ['    pub fn m' || j || '(&self) -> char {', '        let c = ''{'';', '        c', '    }']))
+    || ['}', 'fn f' || id || '() -> &''static str {', '    r#"}"' || w || '"#', '}', 'use std::fmt;']
+  ELSE ['# ' || w || ' (', 'import os', 'class C' || id || '(object):']
+    || flatten(list_transform(range(n), lambda j: ['    @property', '    def m' || j || '(self, a=")"):', '        \"\"\"' || w, 'def no(): \"\"\"']))
+    || ['def f' || id || '(', '        a,', '    ):', '    return a', 'print("' || w || '")'] END AS l FROM f),
+outer_type AS (SELECT *, CASE kind WHEN 1 THEN 'Symbol: S' ELSE 'Class: C' END || id AS own FROM code),
+spans AS (
+  SELECT doc_id, l, 0 AS a, CASE kind WHEN 1 THEN 1 ELSE 2 END AS b, 'block' AS type, '' AS label, '' AS crumb, 0 AS depth FROM outer_type
+  UNION ALL SELECT doc_id, l, 1, 2, 'class', own, own, 1 FROM outer_type WHERE kind = 1
+  UNION ALL SELECT doc_id, l, 2, CASE kind WHEN 2 THEN 3 ELSE 4 END + 4 * n, 'class', own, own, 1 FROM outer_type
+  UNION ALL SELECT doc_id, l, 3 + 4 * j, 7 + 4 * j, 'function', m || j, own || ' > ' || m || j, 2
+    FROM (SELECT *, CASE kind WHEN 1 THEN 'Function: m' ELSE 'Method: m' END AS m, unnest(range(n)) AS j FROM outer_type)
+  UNION ALL SELECT doc_id, l, CASE kind WHEN 2 THEN 3 ELSE 4 END + 4 * n, 7 + 4 * n, 'function', 'Function: f' || id, 'Function: f' || id, 1 FROM outer_type
+  UNION ALL SELECT doc_id, l, 7 + 4 * n, 8 + 4 * n, 'block', '', '', 0 FROM outer_type)""".replace('\\"', '"')
+
+
+@registered(f"WITH {_CODE} SELECT doc_id, CAST(a AS INTEGER) AS start_line, CAST(b AS INTEGER) AS end_line, type AS chunk_type, label, crumb AS breadcrumb, CAST(depth AS INTEGER) AS depth FROM spans")
+def definition_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Definitions of a source file of each document, at any depth, and the gaps between."""
+    return definitions.definition_rows(t.source_files(spark, d)).drop("path")
+
+
+@registered(f"WITH {_CODE} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY a, b) AS BIGINT) AS ordinal, CAST(a AS INTEGER) AS start_line, CAST(b AS INTEGER) AS end_line, type AS chunk_type, crumb AS label, sha256(array_to_string(l[a + 1:b], chr(10))) AS chunk_hash FROM spans")
+def code_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks of the same files by the table function, from SQL."""
+    chunking.register(spark)
+    return spark.sql("SELECT doc_id, c.ordinal, c.start_line, c.end_line, c.chunk_type, c.label, sha2(c.chunk, 256) AS chunk_hash FROM {files} f, LATERAL chunks_of(path, text) c", files=t.source_files(spark, d))

@@ -15,6 +15,23 @@ from hayloft.operators import changes
 # fixed values: endings by doc_id % 8
 ENDINGS = (".py", ".md", ".mmd", ".json", ".test.ts", ".html", ".rs", ".mermaid")
 
+# heads, methods and tails of generated files: W, ID and J are filled in
+SCRIPT_FILE = (
+    """// W it's { "\nimport { x } from "m{";\nexport class CID {""",
+    """  async mJ(a, b = "}") {\n    const s = `{${a}`;\n    if (a) { return '{'; }\n  }""",
+    """}\nexport const fID = (x) => {\n  return x;\n};\nconsole.log("W {");""",
+)
+RUST_FILE = (
+    """// W it's {\npub struct SID<'a> { x: &'a str }\nimpl<'a> SID<'a> {""",
+    """    pub fn mJ(&self) -> char {\n        let c = '{';\n        c\n    }""",
+    """}\nfn fID() -> &'static str {\n    r#"}"W"#\n}\nuse std::fmt;""",
+)
+PYTHON_FILE = (
+    """# W (\nimport os\nclass CID(object):""",
+    """    @property\n    def mJ(self, a=")"):\n        \"\"\"W\ndef no(): \"\"\"""",
+    """def fID(\n        a,\n    ):\n    return a\nprint("W")""",
+)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -67,3 +84,28 @@ def chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector whose id is divisible by 100, as stated queries."""
     return table(spark, sf_dir, "embeddings").where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+
+
+def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source file of each document: doc_id, path, text.
+
+    By id a script, Rust or Python, with a type of 1 to 4 methods and a function.
+    Words of the document stand in comments and strings, among braces and quotes
+    that must not count.
+    """
+    n, name = (F.col("doc_id") % 4 + 1).cast("int"), F.col("doc_id").cast("string")
+    said = F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 30), "[^A-Za-z]", " ")
+
+    def put(template: str, j=None):
+        """``template`` with W for the words, ID for the id and J for a method's number."""
+        made = F.replace(F.replace(F.lit(template), F.lit("W"), said), F.lit("ID"), name)
+        return made if j is None else F.replace(made, F.lit("J"), j.cast("string"))
+
+    def file(head: str, method: str, tail: str):
+        methods = F.transform(F.sequence(F.lit(0), n - 1), lambda j: put(method, j))
+        return F.concat_ws("\n", put(head), F.array_join(methods, "\n"), put(tail))
+
+    kind = F.col("doc_id") % 3
+    text = F.when(kind == 0, file(*SCRIPT_FILE)).when(kind == 1, file(*RUST_FILE)).otherwise(file(*PYTHON_FILE))
+    ending = F.when(kind == 0, ".ts").when(kind == 1, ".rs").otherwise(".py")
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("src/f"), name, ending).alias("path"), text.alias("text"))
