@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hayloft.functions import identity, paths, text, vectors
-from hayloft.operators import blockmax, changes, chunking, definitions, diagrams, embedding, evaluation, lexical, present, ranking, retrieval
+from hayloft.operators import ann, blockmax, changes, chunking, definitions, diagrams, embedding, evaluation, lexical, present, ranking, retrieval
 from hayloft.plans import sync
 from hayloft.sources import tables as t
 from hayloft.streaming import watch
@@ -61,6 +61,12 @@ def knn_exact_topk(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.top_k(pairs, 20, ["query_id"], [F.desc("score"), F.asc("vec_id")], "rank")
 
 
+@registered("WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id, round(list_sum(list_transform(list_zip(v, CAST(embedding AS DOUBLE[])), lambda z: z[1] * z[2])), 6) AS score FROM embeddings, q) SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 20")
+def knn_product_topk(spark: SparkSession, d: str) -> DataFrame:
+    """``knn_exact_topk`` over product codes: bounds from one byte for two components, then exact scores of a shortlist."""
+    return ann.ProductIndex.build(t.table(spark, d, "embeddings")).search(t.query_vectors(spark, d), 20)
+
+
 @registered(f"WITH {_CHUNKS}, r AS (SELECT query_id, doc_id, CASE WHEN doc_id % 8 IN (2, 7) THEN 'graph' WHEN doc_id % 8 IN (1, 3) THEN 'doc' ELSE 'code' END AS class, round(score, 6) AS score, path, row_id FROM pairs) SELECT query_id, class, CAST(row_number() OVER (PARTITION BY query_id, class ORDER BY score DESC, path, row_id) AS INTEGER) AS branch_rank, doc_id, score FROM r QUALIFY branch_rank <= 20")
 def knn_per_class_topk(spark: SparkSession, d: str) -> DataFrame:
     pairs = _pairs(spark, d).withColumn("score", F.round("score", 6))
