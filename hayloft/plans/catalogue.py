@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hayloft.functions import identity, paths, text, vectors
 from hayloft.operators import ann, blockmax, changes, chunking, definitions, diagrams, embedding, evaluation, lexical, present, ranking, retrieval
 from hayloft.plans import sync
+from hayloft.sources import corpus
 from hayloft.sources import tables as t
 from hayloft.streaming import watch
 
@@ -719,3 +720,15 @@ def code_chunks(spark: SparkSession, d: str) -> DataFrame:
     """The chunks of the same files by the table function, from SQL."""
     chunking.register(spark)
     return spark.sql("SELECT doc_id, c.ordinal, c.start_line, c.end_line, c.chunk_type, c.label, sha2(c.chunk, 256) AS chunk_hash FROM {files} f, LATERAL chunks_of(path, text) c", files=t.source_files(spark, d))
+
+
+# rules of the root and of one folder; the last that matches a path or a folder above it decides
+_RULES = [("", "*.html\nsrc3/\n/src4/de/**\n!src4/de/*.md\n**/fr/*.rs"), ("src5", "*.py\n!*0.py")]
+
+
+@registered(f"""WITH {_DOCS} SELECT doc_id, path, source = 'src3' OR CASE WHEN source = 'src5' AND path LIKE '%0.py' THEN FALSE WHEN source = 'src5' AND path LIKE '%.py' THEN TRUE
+  WHEN lang = 'fr' AND path LIKE '%.rs' THEN TRUE WHEN path LIKE 'src4/de/%.md' THEN FALSE WHEN path LIKE 'src4/de/%' THEN TRUE ELSE path LIKE '%.html' END AS ignored FROM docs""")
+def ignored_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Ignore rules of two folders over the path of every document."""
+    files = t.documents(spark, d).select("doc_id", "path", F.col("path").alias("path_key"))
+    return corpus.ignored(files, corpus.rule_table(spark, _RULES, ())).select("doc_id", "path", "ignored")

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from hayloft.functions import identity, paths
 from hayloft.operators.changes import case_collisions
+from hayloft.sources.ignore import ignored
 
 MAX_FILE_BYTES = 10 << 20
 # fixed values: names of ignore files, later ones over earlier ones in a folder
@@ -84,22 +85,6 @@ def parse_rules(text: str, base_dir: str = "", first: int = 0) -> list[tuple]:
     return out
 
 
-def ignored(files: DataFrame, rules: DataFrame, max_rules: int = 10_000) -> DataFrame:
-    """Adds ``ignored``: for each path and folder above it the last matching rule decides; a blocked folder blocks all below.
-
-    The rule table is small by nature (its size is checked) and broadcast.
-    """
-    if rules.limit(max_rules + 1).count() > max_rules:
-        raise ValueError(f"more than {max_rules} ignore rules")
-    parts = F.split("path_key", "/")
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.array_join(F.slice(parts, F.lit(1), i), "/").alias("p"), (i < F.size(parts)).alias("is_dir")))
-    steps = files.select("path_key", F.explode(prefixes).alias("s")).select("path_key", "s.p", "s.is_dir").distinct()
-    hits = steps.join(F.broadcast(rules), (F.col("is_dir") | ~F.col("dir_only")) & F.expr("p rlike regex"))
-    verdict = hits.groupBy("path_key", "p").agg(F.max_by(~F.col("negated"), "rule_order").alias("blocked"))
-    blocked = verdict.groupBy("path_key").agg(F.bool_or("blocked").alias("ignored"))
-    return files.join(blocked, "path_key", "left").withColumn("ignored", F.coalesce("ignored", F.lit(False)))
-
-
 def rule_table(spark: SparkSession, listed: list[tuple[str, str]], defaults: tuple[str, ...] = DEFAULT_IGNORES) -> DataFrame:
     """Rules of the defaults and of ignore files given as (folder, text), outer folders first."""
     rows = parse_rules("\n".join(defaults))
