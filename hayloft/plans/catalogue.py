@@ -732,3 +732,19 @@ def ignored_paths(spark: SparkSession, d: str) -> DataFrame:
     """Ignore rules of two folders over the path of every document."""
     files = t.documents(spark, d).select("doc_id", "path", F.col("path").alias("path_key"))
     return corpus.ignored(files, corpus.rule_table(spark, _RULES, ())).select("doc_id", "path", "ignored")
+
+
+def _refusing(texts: list[str]):
+    """An embedder of byte lengths that a batch with a length divisible by 97 breaks."""
+    sizes = [len(x.encode()) for x in texts]
+    if any(n % 97 == 0 for n in sizes):
+        raise ValueError("refused")
+    return [[float(n), 0.0] for n in sizes]
+
+
+@registered("SELECT doc_id, CASE WHEN strlen(text) % 97 <> 0 THEN CAST(strlen(text) AS DOUBLE) END AS first, CASE WHEN strlen(text) % 97 = 0 THEN 'ValueError: refused' END AS error FROM documents")
+def isolated_failures(spark: SparkSession, d: str) -> DataFrame:
+    """Batches of texts that an embedder fails on are halved until the texts at fault stand alone."""
+    rows = t.table(spark, d, "documents").select("doc_id", "text")
+    out = embedding.BatchEmbedder(_refusing, 2, batch=128, retries=1, backoff_ms=0).embed(rows)
+    return out.select("doc_id", F.element_at("embedding", 1).cast("double").alias("first"), "error")

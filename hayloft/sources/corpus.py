@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import time
 from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
@@ -93,8 +94,8 @@ def rule_table(spark: SparkSession, listed: list[tuple[str, str]], defaults: tup
     return spark.createDataFrame(rows, RULE)
 
 
-def unlisted(spark: SparkSession, root: str) -> tuple[list[str], list[tuple[str, str]]]:
-    """What Spark's file listing leaves out: addresses of files whose name starts with ``_``, and (path, text) of ignore files.
+def unlisted(spark: SparkSession, root: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, str]]]:
+    """What Spark's file listing leaves out: address, time (ms) and size of files whose name starts with ``_``, and (path, text) of ignore files.
 
     One walk over the names on the driver; contents are read of ignore files only.
     """
@@ -104,14 +105,15 @@ def unlisted(spark: SparkSession, root: str) -> tuple[list[str], list[tuple[str,
     found, rules = [], []
     walk = fs.listFiles(top, True)
     while walk.hasNext():
-        path = walk.next().getPath()
+        status = walk.next()
+        path = status.getPath()
         name = path.getName()
         if name in IGNORE_FILES:
             stream = fs.open(path)
             rules.append((path.toUri().getPath(), bytes(stream.readAllBytes()).decode("utf-8", "replace")))
             stream.close()
         elif "/_" in path.toUri().getPath():
-            found.append(path.toString())
+            found.append((path.toString(), status.getModificationTime(), status.getLen()))
     return found, rules
 
 
@@ -142,6 +144,90 @@ def is_text_file(path: Column, endings: tuple[str, ...] = TEXT_ENDINGS) -> Colum
     return paths.extension(path).isin(*endings) | name.isin(*TEXT_NAMES)
 
 
+def _kept(listed: DataFrame, base: str, rule_files: list[tuple[str, str]], endings: tuple[str, ...], hidden: bool, listed_only: DataFrame | None) -> DataFrame:
+    """Listed files (path) with their path_key, those that are read and not ignored."""
+    top = unquote(urlparse(base).path) if "://" in base else os.path.abspath(base)
+    path = F.url_decode(F.replace(F.regexp_replace("path", r"^[a-z]+:(//[^/]*)?(?=/)", ""), F.lit("+"), F.lit("%2B")))
+    files = listed.withColumn("path_key", paths.normalised(F.substr(path, F.lit(len(top) + 2)))).where(F.col("path_key").isNotNull())
+    rules = [(f[len(top) + 1 :].rpartition("/")[0], body) for f, body in rule_files]
+    kept = files.where(is_text_file(F.col("path_key"), endings))
+    if not hidden:
+        kept = kept.where(~F.col("path_key").rlike(r"(^|/)\."))
+    if listed_only is not None:
+        kept = kept.join(listed_only.select("path_key"), "path_key", "left_semi")
+    return ignored(kept, rule_table(listed.sparkSession, rules)).where(~F.col("ignored"))
+
+
+def stable_read(read, stat, attempts: int = 3, wait: float = 0.05):
+    """(content, what ``stat`` says of it), or (None, ...) for a file that changes during each attempt; ``stat`` gives (size, time)."""
+    for k in range(attempts):
+        before = stat()
+        content = read()
+        after = stat()
+        if before == after and len(content) == after[0]:
+            return content, after
+        if k + 1 < attempts:
+            time.sleep(wait * 2**k)
+    return None, after
+
+
+def read_stable(files: DataFrame, max_bytes: int) -> DataFrame:
+    """path_key, size, mtime, content of files (path, path_key), read in tasks; content is null where a file kept changing."""
+
+    def run(batches):
+        from pyarrow import fs as arrow_fs
+
+        for batch in batches:
+            rows = []
+            for address, key in zip(batch.column("path").to_pylist(), batch.column("path_key").to_pylist(), strict=True):
+                scheme, _, rest = address.partition(":")
+                system, path = (arrow_fs.LocalFileSystem(), unquote("/" + rest.lstrip("/"))) if scheme == "file" else arrow_fs.FileSystem.from_uri(address)
+
+                def stat(system=system, path=path):
+                    info = system.get_file_info(path)
+                    return info.size, info.mtime
+
+                def read(system=system, path=path):
+                    with system.open_input_stream(path) as f:
+                        return f.read(max_bytes + 1)
+
+                content, (size, mtime) = stable_read(read, stat)
+                rows.append({"path_key": key, "size": size, "mtime": mtime, "content": content})
+                if sum(len(r["content"] or b"") for r in rows) > 1 << 24:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    rows = []
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    schema = pa.schema([("path_key", pa.string()), ("size", pa.int64()), ("mtime", pa.timestamp("us", "UTC")), ("content", pa.binary())])
+    return files.select("path", "path_key").mapInArrow(run, "path_key string, size long, mtime timestamp, content binary")
+
+
+def changes_since(spark: SparkSession, root: str, known: DataFrame, endings: tuple[str, ...] = TEXT_ENDINGS, max_bytes: int = MAX_FILE_BYTES, hidden: bool = False) -> DataFrame:
+    """path_key, action, size, mtime, hash, text of the files that differ from ``known`` (path_key, size, mtime, hash).
+
+    First sizes and times of all files are listed, and files that have kept both
+    are done with: they are never opened.  Only the others are read, each as a whole
+    or not at all (``unstable``).  Actions: add, modify, touch (new time, same
+    content), unstable, delete.
+    """
+    base = root.rstrip("/")
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).select("path", "modificationTime", "length")
+    marked, rule_files = unlisted(spark, base)
+    if marked:
+        more = spark.createDataFrame(marked, "path string, ms long, length long")
+        listed = listed.unionByName(more.select("path", F.timestamp_millis("ms").alias("modificationTime"), "length"))
+    there = _kept(listed.where(F.col("length") <= max_bytes), base, rule_files, endings, hidden, None).select("path", "path_key", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+    before = known.select("path_key", F.col("size").alias("_size"), F.col("mtime").alias("_mtime"), F.col("hash").alias("_hash"))
+    # the file system's times are whole milliseconds
+    same = (there.path_key == before.path_key) & (F.col("size") == F.col("_size")) & (F.date_trunc("MILLISECOND", "mtime") == F.date_trunc("MILLISECOND", "_mtime"))
+    fresh = read_stable(there.join(before, same, "left_anti"), max_bytes).withColumn("hash", F.sha2("content", 256))
+    action = F.when(F.col("hash").isNull(), "unstable").when(F.col("_hash").isNull(), "add").when(F.col("hash") == F.col("_hash"), "touch").otherwise("modify")
+    text = F.decode(F.make_valid_utf8(F.col("content").cast("string")).cast("binary"), "utf-8")
+    changed = fresh.join(before.select("path_key", "_hash"), "path_key", "left").select("path_key", action.alias("action"), "size", "mtime", "hash", text.alias("text"))
+    gone = before.join(there.select("path_key"), "path_key", "left_anti").select("path_key", F.lit("delete").alias("action"))
+    return changed.unionByName(gone, allowMissingColumns=True)
+
+
 def scan(spark: SparkSession, root: str, endings: tuple[str, ...] = TEXT_ENDINGS, max_bytes: int = MAX_FILE_BYTES, hidden: bool = False, listed_only: DataFrame | None = None) -> DataFrame:
     """path_key, path_key_ci, size, mtime, hash, head_hash, text of the files below ``root`` that are neither ignored nor hidden.
 
@@ -153,17 +239,8 @@ def scan(spark: SparkSession, root: str, endings: tuple[str, ...] = TEXT_ENDINGS
     marked, rule_files = unlisted(spark, base)
     listed = read.where(F.col("length") <= max_bytes)
     if marked:
-        listed = listed.unionByName(read_paths(spark, marked, max_bytes))
-    top = unquote(urlparse(base).path) if "://" in base else os.path.abspath(base)
-    path = F.url_decode(F.replace(F.regexp_replace("path", r"^[a-z]+:(//[^/]*)?(?=/)", ""), F.lit("+"), F.lit("%2B")))
-    files = listed.withColumn("path_key", paths.normalised(F.substr(path, F.lit(len(top) + 2)))).where(F.col("path_key").isNotNull())
-    rules = [(f[len(top) + 1 :].rpartition("/")[0], body) for f, body in rule_files]
-    kept = files.where(is_text_file(F.col("path_key"), endings))
-    if not hidden:
-        kept = kept.where(~F.col("path_key").rlike(r"(^|/)\."))
-    if listed_only is not None:
-        kept = kept.join(listed_only.select("path_key"), "path_key", "left_semi")
-    out = ignored(kept, rule_table(spark, rules)).where(~F.col("ignored"))
+        listed = listed.unionByName(read_paths(spark, [m[0] for m in marked], max_bytes))
+    out = _kept(listed, base, rule_files, endings, hidden, listed_only)
     return out.select(
         "path_key",
         F.lower("path_key").alias("path_key_ci"),
