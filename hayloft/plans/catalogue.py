@@ -427,17 +427,25 @@ def imports_exports(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.array_join(chunking.imports_of(code), ",").alias("imports"), F.array_join(chunking.exports_of(code), ",").alias("exports"))
 
 
+_OVER = "OVER (PARTITION BY doc_id ORDER BY line ROWS UNBOUNDED PRECEDING)"
+_CRUMB = "CASE WHEN own{k} > coalesce(greatest({higher}), -1) THEN 'Heading{k}: ' || title{k} END"
+_CRUMBS = ", ".join(_CRUMB.format(k=k, higher=", ".join(f"own{j}" for j in range(1, k)) or "NULL") for k in (1, 2, 3))
+_OWN = ", ".join(f"last_value(CASE WHEN level = {k} THEN line END IGNORE NULLS) {_OVER} AS own{k}, last_value(CASE WHEN level = {k} THEN title END IGNORE NULLS) {_OVER} AS title{k}" for k in (1, 2, 3))
 _MD = f"""l AS (SELECT doc_id, unnest({_LINES}) AS v, unnest(range(0, len({_LINES}))) AS line FROM documents WHERE length(text) > 0),
-m AS (SELECT doc_id, line, CASE WHEN line % 5 = 2 AND v <> '' THEN repeat('#', CAST(1 + (line // 5) % 3 AS INTEGER)) || ' ' || trim(v) ELSE v END AS v, CASE WHEN line % 5 = 2 AND trim(v) <> '' THEN 1 + (line // 5) % 3 END AS level FROM l),
-s AS (SELECT *, sum(CASE WHEN level IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line ROWS UNBOUNDED PRECEDING) AS sec FROM m)"""
+f AS (SELECT *, line % 11 = 6 AS mark, sum(CAST(line % 11 = 6 AS INTEGER)) {_OVER} % 2 = 1 AS fenced FROM l),
+m AS (SELECT doc_id, line, CASE WHEN mark THEN '```' WHEN line % 5 = 2 AND v <> '' THEN repeat('#', CAST(1 + (line // 5) % 3 AS INTEGER)) || ' ' || trim(v) ELSE v END AS v,
+  CASE WHEN line % 5 = 2 AND trim(v) <> '' AND NOT mark AND NOT fenced THEN 1 + (line // 5) % 3 END AS level, trim(v) AS title FROM f),
+s AS (SELECT *, sum(CASE WHEN level IS NULL THEN 0 ELSE 1 END) {_OVER} AS sec, {_OWN} FROM m),
+b AS (SELECT *, concat_ws(' > ', {_CRUMBS}) AS crumbs FROM s)"""
 
 
-@registered(f"WITH {_MD} SELECT doc_id, CAST(min(line) AS INTEGER) AS start_line, CAST(max(line) + 1 AS INTEGER) AS end_line, CAST(coalesce(max(level), 0) AS INTEGER) AS level, sha256(string_agg(v, chr(10) ORDER BY line)) AS content_sha FROM s GROUP BY doc_id, sec HAVING trim(regexp_replace(string_agg(v, chr(10) ORDER BY line), '\\s+', ' ', 'g')) <> ''")
+@registered(f"WITH {_MD} SELECT doc_id, CAST(min(line) AS INTEGER) AS start_line, CAST(max(line) + 1 AS INTEGER) AS end_line, CAST(coalesce(max(level), 0) AS INTEGER) AS level, arg_min(crumbs, line) AS breadcrumbs, sha256(string_agg(v, chr(10) ORDER BY line)) AS content_sha FROM b GROUP BY doc_id, sec HAVING trim(regexp_replace(string_agg(v, chr(10) ORDER BY line), '\\s+', ' ', 'g')) <> ''")
 def markdown_sections(spark: SparkSession, d: str) -> DataFrame:
-    """Every fifth line of a document made a heading, cut into sections."""
-    made = F.transform(text.lines(F.col("text")), lambda x, i: F.when((i % 5 == 2) & (x != ""), F.concat(F.repeat(F.lit("#"), (F.floor(i / 5) % 3 + 1).cast("int")), F.lit(" "), F.trim(x))).otherwise(x))
+    """Every fifth line of a document made a heading, every eleventh a fence, cut into sections."""
+    made = F.transform(text.lines(F.col("text")), lambda x, i: F.when(i % 11 == 6, "```").when((i % 5 == 2) & (x != ""), F.concat(F.repeat(F.lit("#"), (F.floor(i / 5) % 3 + 1).cast("int")), F.lit(" "), F.trim(x))).otherwise(x))
     rows = t.table(spark, d, "documents").select("doc_id", F.array_join(made, "\n").alias("text"))
-    return chunking.markdown_sections(rows, key="doc_id").select("doc_id", "start_line", "end_line", F.col("level").cast("int").alias("level"), F.sha2(F.col("content").cast("binary"), 256).alias("content_sha"))
+    out = chunking.markdown_sections(rows, key="doc_id")
+    return out.select("doc_id", "start_line", "end_line", "level", F.array_join("breadcrumbs", " > ").alias("breadcrumbs"), F.sha2(F.col("content").cast("binary"), 256).alias("content_sha"))
 
 
 @registered("""WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS r FROM lineitem)
