@@ -352,7 +352,7 @@ def _cases(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     docs = t.table(spark, d, "documents").select("doc_id", "text")
     queries = items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
     name = lambda c: F.concat(F.lit("d"), c.cast("string"), F.lit("."))
-    index = lexical.build_index(docs, vocabulary=lexical.vocabulary_of(queries))
+    index = lexical.word_table(docs, queries)
     hits = index.search(queries, 10).select(F.col("query_id").alias("case_id"), F.col("lexical_rank").alias("rank"), name(F.col("row_id")).alias("path"))
     mode = F.element_at(F.array(F.lit("balanced"), F.lit("debug"), F.lit("planning")), (F.col("item_id") % 3 + 1).cast("int"))
     holding = evaluation.holding_documents(docs, items, index)

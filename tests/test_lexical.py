@@ -40,9 +40,13 @@ def test_whole_and_made_for_queries(spark, tmp_path, monkeypatch):
     stored = lexical.build_index(d, f"file://{tmp_path}/i")
     opened = lexical.LexicalIndex(spark, f"file://{tmp_path}/i")
     monkeypatch.setattr(lexical, "BROADCAST_TERMS", 3)
+    monkeypatch.setattr(lexical, "QUERY_TERMS", 3)
     joined = lexical.bm25(d, q, 7)
     monkeypatch.undo()
-    for found in (stored.search(q, 7), opened.search(q, 7), lexical.bm25(d, q, 7), joined):
+    assert isinstance(lexical.word_table(d, q), lexical.WordTable)
+    monkeypatch.setattr(lexical, "SCORED_CELLS", 40)
+    few_at_a_time = lexical.bm25(d, q.select(F.concat(F.lit("q"), "query_id").alias("query_id"), "query_text"), 7).withColumn("query_id", F.substring("query_id", 2, 9).cast("long"))
+    for found in (stored.search(q, 7), opened.search(q, 7), lexical.bm25(d, q, 7), joined, few_at_a_time):
         assert sorted((r.query_id, r.lexical_rank, r.row_id) for r in found.collect()) == sorted(want)
     stats = {r.term: (r.df, r.total) for r in stored.term_statistics().collect()}
     assert stats["w1"] == (sum("w1" in re.split(r"[\W_]+", t or "") for _, t in docs), sum(re.split(r"[\W_]+", t or "").count("w1") for _, t in docs)) and "" not in stats
