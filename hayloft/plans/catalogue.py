@@ -32,8 +32,13 @@ pairs AS (SELECT query_id, chunks.*, list_sum(list_transform(list_zip(query_vect
 _WORDS = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 
 
+# the oracle's own numbers: factors of definitions, tests, docs and graphs, and the places of code, docs and graphs among 20, by mode
+_SQL_FACTORS = {"balanced": (1.25, 0.85, 0.5, 1.0), "discovery": (1.15, 0.9, 1.0, 1.05), "implementation": (1.25, 0.85, 0.65, 0.9), "planning": (1.1, 0.9, 1.15, 1.1), "debug": (1.2, 0.95, 0.85, 0.95)}
+_SQL_PLACES = {"balanced": (8, 6, 6), "discovery": (6, 8, 6), "implementation": (11, 5, 4), "planning": (5, 11, 4), "debug": (14, 4, 2)}
+
+
 def _boost_sql(mode: str) -> str:
-    definition, test, doc, graph = ranking.WEIGHTS[mode]
+    definition, test, doc, graph = _SQL_FACTORS[mode]
     return f"(CASE WHEN chunk_type IN ('function', 'class') THEN {definition} ELSE 1.0 END * CASE WHEN doc_id % 8 = 4 THEN {test} ELSE 1.0 END * CASE WHEN doc_id % 8 IN (2, 7) THEN {graph} WHEN doc_id % 8 IN (1, 3, 5) THEN {doc} ELSE 1.0 END)"
 
 
@@ -86,7 +91,7 @@ def bucket_counts(spark: SparkSession, d: str) -> DataFrame:
     return ranking.mix_counts(t.documents(spark, d).withColumn("is_anchor", F.col("doc_id") % 11 == 0), ["source"])
 
 
-_MODES = " UNION ALL ".join(f"SELECT '{m}' AS mode, query_id, doc_id, round(score * {_boost_sql(m)}, 6) AS score FROM pairs" for m in ranking.WEIGHTS)
+_MODES = " UNION ALL ".join(f"SELECT '{m}' AS mode, query_id, doc_id, round(score * {_boost_sql(m)}, 6) AS score FROM pairs" for m in _SQL_FACTORS)
 
 
 @registered(f"WITH {_CHUNKS}, b AS ({_MODES}) SELECT mode, query_id, doc_id, score FROM b")
@@ -285,10 +290,10 @@ def per_file_cap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mode_query(mode: str) -> None:
-    q = ranking.quotas(20, mode)
+    code, docs, graph = _SQL_PLACES[mode]
     sql = f"""WITH {_CHUNKS}, r AS (SELECT query_id, doc_id, path, start_line, is_anchor, {_BUCKET} AS bucket, row_number() OVER (PARTITION BY query_id ORDER BY round(score * {_boost_sql(mode)}, 6) DESC, path, start_line, row_id, num_lines) AS o FROM pairs),
 e AS (SELECT *, NOT is_anchor AS ok FROM r), b AS (SELECT *, CASE WHEN ok THEN row_number() OVER (PARTITION BY query_id, bucket, ok ORDER BY o) END AS nb FROM e),
-p AS (SELECT *, CASE WHEN ok AND nb <= CASE bucket WHEN 'code' THEN {q['code']} WHEN 'docs' THEN {q['docs']} ELSE {q['graph']} END THEN 1 WHEN ok THEN 2 ELSE 3 END AS phase FROM b)
+p AS (SELECT *, CASE WHEN ok AND nb <= CASE bucket WHEN 'code' THEN {code} WHEN 'docs' THEN {docs} ELSE {graph} END THEN 1 WHEN ok THEN 2 ELSE 3 END AS phase FROM b)
 SELECT query_id, doc_id, bucket, CAST(row_number() OVER (PARTITION BY query_id ORDER BY phase, CASE WHEN phase > 1 THEN 0 WHEN bucket = 'code' THEN 0 WHEN bucket = 'docs' THEN 1 ELSE 2 END, o) AS INTEGER) AS rank FROM p QUALIFY rank <= 20"""
 
     def query(spark: SparkSession, d: str) -> DataFrame:
