@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hayloft.functions import identity, paths, text, vectors
-from hayloft.operators import ann, blockmax, changes, chunking, definitions, diagrams, embedding, evaluation, lexical, present, ranking, retrieval
+from hayloft.operators import ann, blockmax, changes, chunking, definitions, diagrams, embedding, evaluation, graph, lexical, packs, present, ranking, retrieval
 from hayloft.plans import sync
 from hayloft.sources import corpus
 from hayloft.sources import tables as t
@@ -761,3 +761,92 @@ def isolated_failures(spark: SparkSession, d: str) -> DataFrame:
     rows = t.table(spark, d, "documents").select("doc_id", "text")
     out = embedding.BatchEmbedder(_refusing, 2, batch=128, retries=1, backoff_ms=0).embed(rows)
     return out.select("doc_id", F.element_at("embedding", 1).cast("double").alias("first"), "error")
+
+
+# a pack by plain greedy, a step of every query at a time: files are a source and language, aspects the query's words (1 each) and the kind of file (5)
+_PACKS = f"""{_DOCS}, {_BM25},
+c AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM bm QUALIFY place <= 30),
+a AS (SELECT c.query_id, c.doc_id, any_value(place) AS place, -any_value(place) AS score, any_value(source || '/' || lang) AS file, any_value(least(strlen(text), 1500)) AS size,
+  list(qt.term) || ['kind:' || any_value({_BUCKET.replace('doc_id', 'docs.doc_id')})] AS aspects
+  FROM c JOIN docs ON docs.doc_id = c.doc_id JOIN qt ON qt.query_id = c.query_id JOIN tf ON tf.doc_id = c.doc_id AND tf.term = qt.term GROUP BY 1, 2),
+g AS (SELECT query_id, 0 AS step, CAST(NULL AS BIGINT) AS doc_id, CAST(0 AS BIGINT) AS gain, CAST([] AS BIGINT[]) AS ids, CAST([] AS VARCHAR[]) AS files, CAST([] AS VARCHAR[]) AS covered, CAST(9000 AS BIGINT) AS budget FROM (SELECT DISTINCT query_id FROM a)
+  UNION ALL SELECT query_id, step, doc_id, gain, list_append(ids, doc_id), list_append(files, file), covered || aspects, budget - size FROM (
+    SELECT g.query_id, g.step + 1 AS step, a.doc_id, a.file, a.size, a.aspects, ids, files, covered, budget, place,
+      CAST(list_sum([0] || list_transform(list_filter(a.aspects, lambda x: NOT list_contains(covered, x)), lambda x: CASE WHEN starts_with(x, 'kind:') THEN 5 ELSE 1 END)) AS BIGINT) AS gain
+    FROM g JOIN a ON a.query_id = g.query_id WHERE NOT list_contains(ids, a.doc_id) AND a.size <= budget AND len(list_filter(files, lambda x: x = a.file)) < 3 AND (list_contains(files, a.file) OR len(list_distinct(files)) < 5))
+    QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY gain DESC, place) = 1)"""
+
+
+@registered(f"""WITH RECURSIVE {_PACKS},
+fin AS (SELECT query_id, arg_max(ids, step) AS ids, arg_max(files, step) AS files, arg_max(budget, step) AS budget FROM g GROUP BY query_id),
+hit AS (SELECT a.query_id, bool_or(NOT list_contains(files, file) AND len(list_distinct(files)) >= 5) AS f, bool_or(len(list_filter(files, lambda x: x = file)) >= 3) AS p, bool_or(size > budget) AS t
+  FROM a JOIN fin ON fin.query_id = a.query_id WHERE NOT list_contains(ids, a.doc_id) GROUP BY 1),
+best AS (SELECT g.query_id, g.doc_id, g.step, g.gain, a.file, a.score, max(a.score) OVER (PARTITION BY g.query_id, a.file) AS best FROM g JOIN a ON a.query_id = g.query_id AND a.doc_id = g.doc_id)
+SELECT b.query_id, doc_id, CAST(step AS INTEGER) AS step, gain, CASE WHEN gain > 0 THEN 'coverage' ELSE 'semantic_match' END AS reason, CAST(dense_rank() OVER (PARTITION BY b.query_id ORDER BY best DESC, file) AS INTEGER) AS file_rank,
+  CAST(row_number() OVER (PARTITION BY b.query_id, file ORDER BY doc_id) AS INTEGER) AS ordinal,
+  concat_ws(',', CASE WHEN f THEN 'max_files' END, CASE WHEN p THEN 'max_per_file' END, CASE WHEN t THEN 'max_total_bytes' END) AS limits_hit FROM best b LEFT JOIN hit ON hit.query_id = b.query_id""")
+def covering_packs(spark: SparkSession, d: str) -> DataFrame:
+    """Packs of the thirty best matches of every benchmark item that cover its words and kinds of files within budgets."""
+    queries = t.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+    found = lexical.bm25(t.table(spark, d, "documents").select("doc_id", "text"), queries, 30).select("query_id", F.col("row_id").alias("doc_id"), "lexical_rank")
+    rows = found.join(t.documents(spark, d), "doc_id").join(queries, "query_id")
+    words = F.transform(F.array_intersect(lexical.terms(F.col("text")), lexical.terms(F.col("query_text"))), lambda x: F.struct(x.alias("aspect"), F.lit(1).alias("weight")))
+    kind = F.array(F.struct(F.concat(F.lit("kind:"), paths.bucket(F.col("path"))).alias("aspect"), F.lit(5).alias("weight")))
+    # ranks stand for scores
+    rows = rows.select(
+        "query_id",
+        F.concat_ws("/", "source", "lang").alias("path"),
+        F.col("doc_id").alias("start_line"),
+        F.col("doc_id").alias("row_id"),
+        (-F.col("lexical_rank")).cast("double").alias("score"),
+        F.least(F.octet_length("text"), F.lit(1500)).alias("size"),
+        F.map_from_entries(F.concat(words, kind)).alias("aspects"),
+    )
+    out = packs.covering_packs(rows, packs.Budget(total_bytes=9000, files=5, per_file=3, candidates=30))
+    return out.select("query_id", F.col("row_id").alias("doc_id"), "step", "gain", "reason", "file_rank", "ordinal", F.array_join("limits_hit", ",").alias("limits_hit"))
+
+
+@registered(f"WITH {_BM25}, c AS (SELECT query_id, score FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 30), s AS (SELECT query_id, CASE WHEN stddev_pop(score) > 1e-9 THEN (max(score) - avg(score)) / stddev_pop(score) ELSE 0 END AS z FROM c GROUP BY 1) SELECT query_id, round(z, 4) AS separation, round(z, 4) < 1.0 AS low_confidence FROM s")
+def match_confidence(spark: SparkSession, d: str) -> DataFrame:
+    """How far the best of thirty matches of every benchmark item stands out."""
+    queries = t.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+    found = lexical.bm25(t.table(spark, d, "documents").select("doc_id", "text"), queries, 30)
+    return packs.confidence(found.select("query_id", "row_id", F.col("row_id").alias("path"), F.round("score", 6).alias("score")), 30)
+
+
+def _import_files(spark: SparkSession, d: str) -> DataFrame:
+    """A file of each document: it gives out its id and imports that of half its number, its first word and, a third of all, the first file; every tenth gives out its first word."""
+    word = F.lower(F.regexp_extract(F.coalesce("text", F.lit("")), "^([A-Za-z]+)", 1))
+    brings = lambda name: F.concat(F.lit('import { x } from "'), name, F.lit('"'))
+    gives = lambda name: F.concat(F.lit("export const "), name, F.lit(" = 1"))
+    own = F.concat(F.lit("m"), F.col("doc_id").cast("string"))
+    half = F.concat(F.lit("m"), F.floor(F.col("doc_id") / 2).cast("string"))
+    body = F.concat_ws("\n", brings(half), F.when(word != "", brings(word)), F.when(F.col("doc_id") % 3 == 0, brings(F.lit("m0"))), gives(own), F.when((word != "") & (F.col("doc_id") % 10 == 0), gives(word)))
+    return t.documents(spark, d).select("doc_id", "path", body.alias("text"))
+
+
+_LINKS = f"""{_DOCS}, w AS (SELECT doc_id, path, lower(regexp_extract(coalesce(text, ''), '^([A-Za-z]+)', 1)) AS word FROM docs),
+brings AS (SELECT path, 'm' || (doc_id // 2) AS name FROM w UNION SELECT path, word FROM w WHERE word <> '' UNION SELECT path, 'm0' FROM w WHERE doc_id % 3 = 0),
+gives AS (SELECT path, 'm' || doc_id AS name FROM w UNION SELECT path, word FROM w WHERE word <> '' AND doc_id % 10 = 0),
+link AS (SELECT DISTINCT b.path AS source, g.path AS target, name FROM brings b JOIN gives g USING (name))"""
+
+
+@registered(f"""WITH RECURSIVE {_LINKS}, either AS (SELECT source AS a, target AS b FROM link UNION SELECT target, source FROM link),
+r AS (SELECT path, path AS root, 0 AS hops FROM docs WHERE doc_id % 100 = 7 UNION SELECT b, root, hops + 1 FROM r JOIN either ON a = path WHERE hops < 2)
+SELECT path, CAST(min(hops) AS INTEGER) AS hops, arg_min(root, (hops, root)) AS root FROM r GROUP BY path""")
+def context_reach(spark: SparkSession, d: str) -> DataFrame:
+    """What lies within two imports, either way, of the stated files, whose ids end in 07."""
+    edges = graph.edges_of(_import_files(spark, d))
+    return graph.reach(edges, t.documents(spark, d).where(F.col("doc_id") % 100 == 7).select("path"), 2)
+
+
+@registered(f"""WITH {_LINKS}, {_BM25}, p AS (SELECT query_id, path FROM bm JOIN docs USING (doc_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 20)
+SELECT p.query_id, source, target, name, CASE WHEN count(*) OVER (PARTITION BY p.query_id) > 50 THEN 'max_edges' ELSE '' END AS limits_hit FROM link JOIN p ON p.path = source JOIN p q ON q.path = target AND q.query_id = p.query_id
+WHERE source <> target QUALIFY row_number() OVER (PARTITION BY p.query_id ORDER BY source, target, name) <= 50""")
+def context_graph(spark: SparkSession, d: str) -> DataFrame:
+    """The imports among the twenty best matches of every benchmark item."""
+    queries = t.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+    found = lexical.bm25(t.table(spark, d, "documents").select("doc_id", "text"), queries, 20).select("query_id", F.col("row_id").alias("doc_id"))
+    best = found.join(t.documents(spark, d).select("doc_id", "path"), "doc_id")
+    out = graph.pack_graph(best, graph.edges_of(_import_files(spark, d)), 50)
+    return out.withColumn("limits_hit", F.array_join("limits_hit", ","))
