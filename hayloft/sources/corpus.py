@@ -172,7 +172,7 @@ def stable_read(read, stat, attempts: int = 3, wait: float = 0.05):
 
 
 def read_stable(files: DataFrame, max_bytes: int) -> DataFrame:
-    """path_key, size, mtime, content of files (path, path_key), read in tasks; content is null where a file kept changing."""
+    """path_key, size, mtime, content of files (path, path_key), read in tasks; content is null where a file kept changing or has gone."""
 
     def run(batches):
         from pyarrow import fs as arrow_fs
@@ -181,7 +181,10 @@ def read_stable(files: DataFrame, max_bytes: int) -> DataFrame:
             rows = []
             for address, key in zip(batch.column("path").to_pylist(), batch.column("path_key").to_pylist(), strict=True):
                 scheme, _, rest = address.partition(":")
-                system, path = (arrow_fs.LocalFileSystem(), unquote("/" + rest.lstrip("/"))) if scheme == "file" else arrow_fs.FileSystem.from_uri(address)
+                if address.startswith("/"):
+                    system, path = arrow_fs.LocalFileSystem(), address
+                else:
+                    system, path = (arrow_fs.LocalFileSystem(), unquote("/" + rest.lstrip("/"))) if scheme == "file" else arrow_fs.FileSystem.from_uri(address)
 
                 def stat(system=system, path=path):
                     info = system.get_file_info(path)
@@ -191,7 +194,10 @@ def read_stable(files: DataFrame, max_bytes: int) -> DataFrame:
                     with system.open_input_stream(path) as f:
                         return f.read(max_bytes + 1)
 
-                content, (size, mtime) = stable_read(read, stat)
+                try:
+                    content, (size, mtime) = stable_read(read, stat)
+                except FileNotFoundError:
+                    content, size, mtime = None, None, None
                 rows.append({"path_key": key, "size": size, "mtime": mtime, "content": content})
                 if sum(len(r["content"] or b"") for r in rows) > 1 << 24:
                     yield pa.RecordBatch.from_pylist(rows, schema)

@@ -47,6 +47,76 @@ def watch(events: DataFrame, on_changes: Callable[[DataFrame, int], None], check
     return coalesced(events, gap).writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start()
 
 
+#: When a whole sync makes good what events missed: at the latest, and after quiet.
+FULL_MS, IDLE_MS = 300_000, 120_000
+
+
+class Reconcile(StatefulProcessor):
+    """Says when a root is due for a whole sync, by one timer for each root.
+
+    Events are ``change`` (work is pending), ``synced`` (the pending work is done)
+    and anything else (a sign of life).  Due: ``FULL_MS`` after the last whole
+    sync, or ``IDLE_MS`` after the last event if the last whole sync is as long ago; the
+    first event starts both clocks.  While work is pending nothing is due; a timer that
+    ran out meanwhile is taken up as soon as ``synced`` comes.
+    """
+
+    def __init__(self, processing_time: bool, full_ms: int = FULL_MS, idle_ms: int = IDLE_MS):
+        self._processing, self._full, self._idle = processing_time, full_ms, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._state = handle.getValueState("clock", "whole long, event long, pending boolean")
+
+    def _now(self, timerValues) -> int:  # noqa: N803
+        return timerValues.getCurrentProcessingTimeInMs() if self._processing else timerValues.getCurrentWatermarkInMs()
+
+    def _due(self, whole: int, event: int) -> int:
+        return min(whole + self._full, max(event, whole) + self._idle)
+
+    def _set(self, at: int) -> None:
+        for old in list(self._handle.listTimers()):
+            self._handle.deleteTimer(old)
+        self._handle.registerTimer(at)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        arrived = pd.concat(list(rows)).sort_values(["ts", "event"], kind="stable")
+        # a watermark lags behind the events of its own batch
+        now = self._now(timerValues) if self._processing else max(self._now(timerValues), int(arrived.ms.max()))
+        seen = now if self._processing else int(arrived.ms.max())
+        whole, _, pending = self._state.get() if self._state.exists() else (seen, seen, False)
+        for event in arrived.event:
+            pending = True if event == "change" else False if event == "synced" else pending
+        self._state.update((whole, seen, pending))
+        # a time that has passed runs out with the next batch
+        self._set(max(self._due(whole, seen), now + 1))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        whole, event, pending = self._state.get()
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        if pending:
+            return  # the next event sets a timer again
+        reason = "full" if at >= whole + self._full else "idle"
+        self._state.update((at, event, False))
+        self._set(self._due(at, event))
+        yield pd.DataFrame({"root": [key[0]], "due_ms": [at], "reason": [reason]})
+
+    def close(self) -> None:
+        pass
+
+
+def reconciles(events: DataFrame, full_ms: int = FULL_MS, idle_ms: int = IDLE_MS, processing_time: bool = True, late: str = "0 seconds") -> DataFrame:
+    """root, due_ms, reason (full, idle): whole syncs that fall due, from a stream of root, event, ts.
+
+    Timers run by the clock of the machine, or with ``processing_time`` off by the watermark of ``ts``.
+    """
+    rows = events.select("root", "event", "ts", F.unix_millis("ts").alias("ms"))
+    rows = rows if processing_time else rows.withWatermark("ts", late)
+    mode = "ProcessingTime" if processing_time else "EventTime"
+    return rows.groupBy("root").transformWithStateInPandas(Reconcile(processing_time, full_ms, idle_ms), "root string, due_ms long, reason string", "Append", mode)
+
+
 #: How many latest values the percentiles are of.
 KEPT = 200
 
