@@ -83,7 +83,7 @@ class Reconcile(StatefulProcessor):
         arrived = pd.concat(list(rows)).sort_values(["ts", "event"], kind="stable")
         # a watermark lags behind the events of its own batch
         now = self._now(timerValues) if self._processing else max(self._now(timerValues), int(arrived.ms.max()))
-        seen = now if self._processing else int(arrived.ms.max())
+        seen = now
         whole, _, pending = self._state.get() if self._state.exists() else (seen, seen, False)
         for event in arrived.event:
             pending = True if event == "change" else False if event == "synced" else pending
