@@ -97,9 +97,10 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 30), "[^A-Za-z]", " ")
 
     def put(template: str, j=None):
-        """``template`` with W for the words, ID for the id and J for a method's number."""
-        made = F.replace(F.replace(F.lit(template), F.lit("W"), said), F.lit("ID"), name)
-        return made if j is None else F.replace(made, F.lit("J"), j.cast("string"))
+        """``template`` with ID for the id, J for a method's number and W for the words, which come last as they may hold ID, J or W."""
+        made = F.replace(F.lit(template), F.lit("ID"), name)
+        made = made if j is None else F.replace(made, F.lit("J"), j.cast("string"))
+        return F.replace(made, F.lit("W"), said)
 
     def file(head: str, method: str, tail: str):
         methods = F.transform(F.sequence(F.lit(0), n - 1), lambda j: put(method, j))
