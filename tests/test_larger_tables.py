@@ -1,8 +1,23 @@
 """Queries on rows that the given small tables lack: large ids, awkward words, many ties."""
 
+from hayloft.plans import catalogue
 from hayloft.sources import tables as t
 
 
+def test_sizes_of_large_ids(spark, tmp_path):
+    ids = [0, 1, 99_999, 2_097_152, 5_999_999, 3_000_000_001, 10**12 + 7]
+    spark.createDataFrame([(i,) for i in ids], "event_id long").write.parquet(f"{tmp_path}/events.parquet")
+
+    def said(n):
+        for power, unit in ((3, "GB"), (2, "MB"), (1, "KB")):
+            if n >= 1024**power:
+                return f"{n / 1024**power:.1f} {unit}"
+        return f"{n} B"
+
+    got = {r.event_id: r["size"] for r in catalogue.human_sizes(spark, str(tmp_path)).collect()}
+    assert got == {i: said(2 * (i**3 % 3_000_000_000) + 1) for i in ids}
+
+
 def test_words_like_places_of_the_template(spark, tmp_path):
     spark.createDataFrame([(k, "ID John W WIDJ and more of it") for k in range(3)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = [r.text for r in t.source_files(spark, str(tmp_path)).orderBy("doc_id").collect()]
