@@ -1,5 +1,6 @@
 """Queries on rows that the given small tables lack: large ids, awkward words, many ties."""
 
+from hayloft.operators import ranking
 from hayloft.plans import catalogue
 from hayloft.sources import tables as t
 
@@ -25,3 +26,9 @@ def test_words_like_places_of_the_template(spark, tmp_path):
     assert got[0].startswith(f"// {words} it's {{ ") and got[0].endswith(f'console.log("{words} {{");')
     assert f'r#"}}"{words}"#' in got[1] and f'"""{words}\ndef no(): """' in got[2]
     assert "class C0 " in got[0] and "async m0(" in got[0] and "struct S1<" in got[1] and "def m2(" in got[2]
+
+
+def test_tied_pieces_stay_together(spark):
+    rows = spark.createDataFrame([(1, "f", 12, 8, "b"), (1, "f", 12, 8, "a"), (1, "f", 12, 9, "c"), (1, "f", 36, 1, "d")], "q long, path string, start_line int, num_lines int, content string")
+    got = [(r.start_line, r.num_lines, r.pieces) for r in ranking.merge_adjacent(rows, ["q"], gap=4).orderBy("start_line").collect()]
+    assert got == [(12, 9, 3), (36, 1, 1)]
