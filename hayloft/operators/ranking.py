@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from hayloft.functions import paths
 from hayloft.functions.text import utf8_cut
+from hayloft.operators.pairs import Cut
 
 # fixed values: factors for definitions, tests, docs and graphs by mode
 WEIGHTS = {
@@ -33,15 +34,21 @@ def known_chunk_type(name: Column) -> Column:
     return F.when(low.isin(*DEFINITIONS, "block", "other"), low).when(name.isNotNull(), "other")
 
 
-def boosted(score: Column, path: Column, chunk_type: Column, mode: str = "balanced") -> Column:
-    """The score times the mode's factors; a graph is not also a doc."""
+def factors(path: Column, chunk_type: Column, mode: str = "balanced") -> list[Column]:
+    """The mode's factors of a row; a graph is not also a doc."""
     definition, test, doc, graph = WEIGHTS[mode]
-    return (
-        score
-        * F.when(chunk_type.isin(*DEFINITIONS), definition).otherwise(1.0)
-        * F.when(paths.is_test(path), test).otherwise(1.0)
-        * F.when(paths.ranks_as_graph(path), graph).when(paths.ranks_as_doc(path), doc).otherwise(1.0)
-    )
+    return [
+        F.when(chunk_type.isin(*DEFINITIONS), definition).otherwise(1.0),
+        F.when(paths.is_test(path), test).otherwise(1.0),
+        F.when(paths.ranks_as_graph(path), graph).when(paths.ranks_as_doc(path), doc).otherwise(1.0),
+    ]
+
+
+def boosted(score: Column, path: Column, chunk_type: Column, mode: str = "balanced") -> Column:
+    """The score times the mode's factors."""
+    for factor in factors(path, chunk_type, mode):
+        score = score * factor
+    return score
 
 
 def result_order() -> list[Column]:
@@ -60,6 +67,16 @@ def ranked(results: DataFrame, by: list[str], name: str = "rank") -> DataFrame:
     return results.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*result_order())))
 
 
+def with_place(rows: DataFrame) -> DataFrame:
+    """``place``, a number that rises with what decides between equal scores; pairs carry it instead of these columns."""
+    return rows.orderBy(*result_order()[2:]).withColumn("place", F.monotonically_increasing_id())
+
+
+def ranked_by_place(pairs: DataFrame, by: list[str], name: str = "rank") -> DataFrame:
+    """``ranked`` for rounded scores without secondary ones, and rows numbered ``with_place``."""
+    return pairs.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "place")))
+
+
 def quotas(limit: int, mode: str) -> dict[str, int]:
     """Places for each bucket: a minimum each, the rest by share with largest remainders."""
     least = {"code": int(limit >= 1), "docs": int(limit >= 2), "graph": int(limit >= 3 and mode != "debug")}
@@ -113,6 +130,14 @@ def select_by_mode(results: DataFrame, by: list[str], limit: int, per_file: int,
     return chosen.withColumnRenamed("_bucket", "bucket").drop("_copy", "_plain", "_in_file", "_eligible", "_in_bucket", "_phase", "_key", "_anchor")
 
 
+def mode_cuts(limit: int) -> list[Cut]:
+    """What ``select_by_mode`` with one row of a file can choose: the best ``limit`` files of each bucket by their best
+    row that is no anchor and, as less than ``limit`` of them are eligible where others count, the best places.
+    Rows need ``bucket``.
+    """
+    return [Cut(limit, ("bucket", "is_anchor"), ("path",)), Cut(2 * limit, ("bucket",), ("path", "start_line"))]
+
+
 def candidate_cap(results: DataFrame, by: list[str], limit: int) -> DataFrame:
     """The first ``limit`` candidates of each query by score."""
     first = Window.partitionBy(*by).orderBy(F.desc("score"), "path", "row_id")
@@ -147,16 +172,18 @@ def byte_budget(results: DataFrame, by: list[str], per_result: int, total: int,
     return cut.withColumn("_left", left).withColumn("_over", over).withColumn(content, F.when(F.col("_over"), utf8_cut(F.col(content), F.col("_left"))).otherwise(F.col(content))).drop("_left", "_over")
 
 
-def match_percent(results: DataFrame, by: list[str], score: str = "score") -> DataFrame:
+def match_percent(results: DataFrame, by: list[str], score: str = "score", stated: bool = False) -> DataFrame:
     """``match_pct``: the logistic of the standard score in its query, as 0 to 99; null if the score is not finite.
 
-    With fewer than two finite scores, or no spread, the score itself times 100.
+    With fewer than two finite scores, or no spread, the score itself times 100.  With ``stated`` queries
+    the sums, one row for each, go to the results, which stay where they are.
     """
     s = F.col(score)
     finite = s.isNotNull() & ~F.isnan(s) & (F.abs(s) < float("inf"))
     good = F.when(finite, s)
     # sums by query, joined back: no query's results come together in one task
     facts = results.groupBy(*by).agg(F.count(good).alias("_n"), F.avg(good).alias("_mean"), F.stddev_pop(good).alias("_std"))
+    facts = F.broadcast(facts) if stated else facts
     plain = (F.col("_n") < 2) | (F.col("_std") <= 1e-9)
     value = F.when(plain, s * 100).otherwise(100 / (1 + F.exp(-(s - F.col("_mean")) / F.col("_std"))))
     percent = F.when(finite, F.greatest(F.lit(0.0), F.least(F.lit(99.0), F.round(value))).cast("int"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hayloft.functions import identity, paths, text, vectors
-from hayloft.operators import ann, blockmax, changes, chunking, definitions, diagrams, embedding, evaluation, graph, lexical, packs, present, ranking, retrieval
+from hayloft.operators import ann, blockmax, changes, chunking, definitions, diagrams, embedding, evaluation, graph, lexical, packs, pairs, present, ranking, retrieval
 from hayloft.plans import sync
 from hayloft.sources import corpus
 from hayloft.sources import tables as t
@@ -61,6 +61,27 @@ def _boosted(spark: SparkSession, d: str, mode: str) -> DataFrame:
     return rows.withColumn("secondary_score", F.lit(None).cast("double")).drop("embedding", "query_vector")
 
 
+# what decides between equal scores
+_PLACE = ["path", "start_line", "row_id", "num_lines"]
+
+
+def _matches(spark: SparkSession, d: str, chunks: DataFrame, cuts: list[pairs.Cut], **more) -> DataFrame:
+    """Chunks with the stated queries for which they can be among the best, in the order of results."""
+    found = pairs.best_pairs(t.query_vectors(spark, d), chunks, cuts, _PLACE, **more)
+    return found.withColumn("secondary_score", F.lit(None).cast("double"))
+
+
+def _nearest(spark: SparkSession, d: str, chunks: DataFrame, cut: pairs.Cut, **more) -> DataFrame:
+    """The same in the order of retrieval: whole scores, path, row_id."""
+    return pairs.best_pairs(t.query_vectors(spark, d), chunks, [cut], ["path", "row_id"], digits=False, **more)
+
+
+def _with_factors(chunks: DataFrame, mode: str) -> tuple[DataFrame, tuple[str, ...]]:
+    """The mode's factors of every chunk, and the names of their columns."""
+    columns = {f"{mode}_{k}": c for k, c in enumerate(ranking.factors(F.col("path"), F.col("chunk_type"), mode))}
+    return chunks.withColumns(columns), tuple(columns)
+
+
 @registered("WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id, round(list_sum(list_transform(list_zip(v, CAST(embedding AS DOUBLE[])), lambda z: z[1] * z[2])), 6) AS score FROM embeddings, q) SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 20")
 def knn_exact_topk(spark: SparkSession, d: str) -> DataFrame:
     pairs = retrieval.scored_pairs(t.query_vectors(spark, d), t.table(spark, d, "embeddings")).select("query_id", "vec_id", F.round("score", 6).alias("score"))
@@ -684,10 +705,11 @@ def postings_index(spark: SparkSession, d: str) -> DataFrame:
 @registered(f"WITH {_CHUNKS}, n AS (SELECT query_id, {_BUCKET} AS bucket, count(*) AS observed FROM pairs GROUP BY 1, 2), k AS (SELECT query_id, doc_id, {_BUCKET} AS bucket, score FROM pairs QUALIFY row_number() OVER (PARTITION BY query_id, {_BUCKET} ORDER BY score DESC, path, row_id) <= 60) SELECT k.query_id, k.bucket, count(*) AS kept, max(CASE WHEN observed > 60 THEN observed ELSE 0 END) AS observed, round(min(score), 6) AS least FROM k JOIN n ON n.query_id = k.query_id AND n.bucket = k.bucket GROUP BY 1, 2")
 def candidate_limits(spark: SparkSession, d: str) -> DataFrame:
     """Sixty candidates of each query and bucket, and what the cap held back."""
-    rows = _pairs(spark, d).withColumn("bucket", paths.bucket(F.col("path"))).select("query_id", "bucket", "score", "path", "row_id")
     by = ["query_id", "bucket"]
-    kept = ranking.candidate_cap(rows, by, 60).groupBy(*by).agg(F.count(F.lit(1)).alias("kept"), F.round(F.min("score"), 6).alias("least"))
-    return kept.join(ranking.limits_hit(rows, by, 60), by, "left").select(*by, "kept", F.coalesce("observed", F.lit(0)).alias("observed"), "least")
+    chunks = t.chunk_rows(spark, d).select("doc_id", "path", "row_id", paths.bucket(F.col("path")).alias("bucket"), "embedding")
+    kept = ranking.candidate_cap(_nearest(spark, d, chunks, pairs.Cut(60, ("bucket",))), by, 60).groupBy(*by).agg(F.count(F.lit(1)).alias("kept"), F.round(F.min("score"), 6).alias("least"))
+    # every query meets every chunk, so a bucket holds back as much from each
+    return kept.join(ranking.limits_hit(chunks, ["bucket"], 60), "bucket", "left").select(*by, "kept", F.coalesce("observed", F.lit(0)).alias("observed"), "least")
 
 
 @registered("SELECT CAST(ceil(strlen(text) / 32.0) AS BIGINT) AS bucket, count(*) AS texts FROM documents GROUP BY 1")
