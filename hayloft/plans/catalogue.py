@@ -580,8 +580,7 @@ _BEST = f"{_CHUNKS}, best AS (SELECT query_id, doc_id, path, start_line, num_lin
 
 
 def _best(spark: SparkSession, d: str) -> DataFrame:
-    rows = _pairs(spark, d).withColumn("secondary_score", F.lit(None).cast("double"))
-    return ranking.ranked(rows, ["query_id"]).where(F.col("rank") <= 30)
+    return ranking.ranked(_matches(spark, d, t.chunk_rows(spark, d), [pairs.Cut(30)]), ["query_id"]).where(F.col("rank") <= 30)
 
 
 @registered(f"WITH {_BEST} SELECT query_id, doc_id, {_BUCKET} AS section, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CASE {_BUCKET} WHEN 'code' THEN 0 WHEN 'docs' THEN 1 ELSE 2 END, rank) AS INTEGER) AS number FROM best")
