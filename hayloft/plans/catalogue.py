@@ -573,8 +573,8 @@ def dequantised_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 @registered(f"WITH {_CHUNKS}, f AS (SELECT query_id, doc_id, source || '/' || lang AS file, CAST(start_line % 3 AS INTEGER) AS line, round(p.score, 6) AS score, row_id, num_lines FROM pairs p JOIN documents USING (doc_id)) SELECT query_id, file AS path, line AS start_line, doc_id FROM f QUALIFY row_number() OVER (PARTITION BY query_id, file, line ORDER BY score DESC, row_id, num_lines) = 1")
 def keep_best_results(spark: SparkSession, d: str) -> DataFrame:
-    rows = _pairs(spark, d).withColumn("secondary_score", F.lit(None).cast("double")).withColumn("start_line", F.col("start_line") % 3)
-    return ranking.keep_best(rows.withColumn("path", F.regexp_replace("path", "/[^/]*$", "")), ["query_id"]).select("query_id", "path", "start_line", "doc_id")
+    chunks = t.chunk_rows(spark, d).withColumn("start_line", F.col("start_line") % 3).withColumn("path", F.regexp_replace("path", "/[^/]*$", ""))
+    return ranking.keep_best(_matches(spark, d, chunks, [pairs.Cut(1, ("path", "start_line"))]), ["query_id"]).select("query_id", "path", "start_line", "doc_id")
 
 
 _BEST = f"{_CHUNKS}, best AS (SELECT query_id, doc_id, path, start_line, num_lines, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, path, start_line, row_id, num_lines) AS INTEGER) AS rank FROM pairs QUALIFY rank <= 30)"
