@@ -96,8 +96,9 @@ def knn_product_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @registered(f"WITH {_CHUNKS}, r AS (SELECT query_id, doc_id, CASE WHEN doc_id % 8 IN (2, 7) THEN 'graph' WHEN doc_id % 8 IN (1, 3) THEN 'doc' ELSE 'code' END AS class, round(score, 6) AS score, path, row_id FROM pairs) SELECT query_id, class, CAST(row_number() OVER (PARTITION BY query_id, class ORDER BY score DESC, path, row_id) AS INTEGER) AS branch_rank, doc_id, score FROM r QUALIFY branch_rank <= 20")
 def knn_per_class_topk(spark: SparkSession, d: str) -> DataFrame:
-    pairs = _pairs(spark, d).withColumn("score", F.round("score", 6))
-    return retrieval.class_top_k(pairs, 20).select("query_id", "class", "branch_rank", "doc_id", "score")
+    chunks = t.chunk_rows(spark, d).select("doc_id", "path", "row_id", paths.retrieval_class(F.col("path")).alias("class"), "embedding")
+    found = pairs.best_pairs(t.query_vectors(spark, d), chunks, [pairs.Cut(20, ("class",))], ["path", "row_id"])
+    return retrieval.class_top_k(found.withColumn("score", F.round("score", 6)), 20).select("query_id", "class", "branch_rank", "doc_id", "score")
 
 
 @registered(f"WITH {_DOCS} SELECT doc_id, path, starts_with(path, 'src1/') AS in_scope, starts_with(path, 'src1') AS in_prefix FROM docs WHERE doc_id % 11 <> 0 AND starts_with(path, 'src1')")
