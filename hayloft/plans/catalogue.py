@@ -321,7 +321,9 @@ p AS (SELECT *, CASE WHEN ok AND nb <= CASE bucket WHEN 'code' THEN {code} WHEN
 SELECT query_id, doc_id, bucket, CAST(row_number() OVER (PARTITION BY query_id ORDER BY phase, CASE WHEN phase > 1 THEN 0 WHEN bucket = 'code' THEN 0 WHEN bucket = 'docs' THEN 1 ELSE 2 END, o) AS INTEGER) AS rank FROM p QUALIFY rank <= 20"""
 
     def query(spark: SparkSession, d: str) -> DataFrame:
-        return ranking.select_by_mode(_boosted(spark, d, mode), ["query_id"], 20, 1, mode).select("query_id", "doc_id", "bucket", "rank")
+        chunks, weights = _with_factors(t.chunk_rows(spark, d).withColumn("bucket", paths.bucket(F.col("path"))), mode)
+        found = _matches(spark, d, chunks, ranking.mode_cuts(20), weights=weights).drop("bucket")
+        return ranking.select_by_mode(found, ["query_id"], 20, 1, mode).select("query_id", "doc_id", "bucket", "rank")
 
     query.__name__ = f"mode_selection_{mode}"
     registered(sql)(query)
