@@ -308,8 +308,8 @@ def hybrid_union_dedup(spark: SparkSession, d: str) -> DataFrame:
 # a file here is a source and language; its documents are the chunks
 @registered(f"WITH {_CHUNKS}, f AS (SELECT query_id, doc_id, source || '/' || lang AS file, round(p.score, 6) AS score, start_line, row_id, num_lines FROM pairs p JOIN documents USING (doc_id)), c AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY query_id, file ORDER BY score DESC, start_line, row_id, num_lines) <= 2) SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file, start_line, row_id, num_lines) AS INTEGER) AS rank FROM c QUALIFY rank <= 30")
 def per_file_cap(spark: SparkSession, d: str) -> DataFrame:
-    rows = _pairs(spark, d).withColumn("secondary_score", F.lit(None).cast("double"))
-    rows = rows.withColumn("path", F.regexp_replace("path", "/[^/]*$", ""))
+    chunks = t.chunk_rows(spark, d).withColumn("path", F.regexp_replace("path", "/[^/]*$", ""))
+    rows = _matches(spark, d, chunks, [pairs.Cut(2, ("path",))])
     return ranking.select_balanced(rows, ["query_id"], 30, 2).select("query_id", "doc_id", "rank")
 
 
