@@ -298,7 +298,8 @@ lx AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER B
 u AS (SELECT * FROM dr UNION ALL SELECT lx.query_id, lx.doc_id, path, start_line, 3, branch_rank FROM lx JOIN chunks ON chunks.doc_id = lx.doc_id)
 SELECT query_id, doc_id, CAST(branch AS INTEGER) AS branch, CAST(branch_rank AS INTEGER) AS branch_rank FROM u QUALIFY row_number() OVER (PARTITION BY query_id, path, start_line ORDER BY branch, branch_rank) = 1""")
 def hybrid_union_dedup(spark: SparkSession, d: str) -> DataFrame:
-    dense = retrieval.class_top_k(_pairs(spark, d), 20).select("query_id", "doc_id", "path", "start_line", "class", "branch_rank")
+    chunks = t.chunk_rows(spark, d).select("doc_id", "path", "row_id", "start_line", paths.retrieval_class(F.col("path")).alias("class"), "embedding")
+    dense = retrieval.class_top_k(_nearest(spark, d, chunks, pairs.Cut(20, ("class",))), 20).select("query_id", "doc_id", "path", "start_line", "class", "branch_rank")
     queries = t.table(spark, d, "benchmark").where(F.col("item_id") % 100 == 0).select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
     found = lexical.bm25(t.table(spark, d, "documents").select("doc_id", "text"), queries, 20)
     words = found.select("query_id", F.col("row_id").alias("doc_id"), F.col("lexical_rank").alias("branch_rank")).join(t.chunk_rows(spark, d).select("doc_id", "path", "start_line"), "doc_id")
