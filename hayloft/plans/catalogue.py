@@ -118,9 +118,12 @@ _MODES = " UNION ALL ".join(f"SELECT '{m}' AS mode, query_id, doc_id, round(scor
 
 @registered(f"WITH {_CHUNKS}, b AS ({_MODES}) SELECT mode, query_id, doc_id, score FROM b")
 def structural_boost_modes(spark: SparkSession, d: str) -> DataFrame:
-    pairs = _pairs(spark, d)
-    each = F.array(*(F.struct(F.lit(m).alias("mode"), F.round(ranking.boosted(F.col("score"), F.col("path"), F.col("chunk_type"), m), 6).alias("score")) for m in ranking.WEIGHTS))
-    return pairs.select("query_id", "doc_id", F.inline(each))
+    chunks, weights = t.chunk_rows(spark, d).select("doc_id", "path", "chunk_type", "embedding"), {}
+    for m in ranking.WEIGHTS:
+        chunks, weights[m] = _with_factors(chunks, m)
+    scores = pairs.every_score(t.query_vectors(spark, d), chunks.drop("path", "chunk_type"), weights, digits=True)
+    each = F.array(*(F.struct(F.lit(m).alias("mode"), F.col(m).alias("score")) for m in weights))
+    return scores.select("query_id", "doc_id", F.inline(each))
 
 
 @registered(f"WITH {_CHUNKS}, r AS (SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, path, start_line, row_id, num_lines) AS INTEGER) AS rank FROM pairs) SELECT * FROM r")
