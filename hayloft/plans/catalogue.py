@@ -270,7 +270,11 @@ SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY
 def rerank_top50(spark: SparkSession, d: str) -> DataFrame:
     parts = lambda v: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice(v, i * 8 + 1, F.lit(8)))
     late = vectors.max_sim(parts(F.col("query_vector")), parts(F.col("embedding")))
-    return retrieval.rerank(_pairs(spark, d), ["query_id"], late, limit=60).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+    # the fifty that are reranked, and sixty more that may pass them
+    depth = retrieval.RERANK_DEPTH + 60
+    found = _nearest(spark, d, t.chunk_rows(spark, d).select("doc_id", "path", "row_id", "embedding"), pairs.Cut(depth), keep_vector=True)
+    first = ranking.candidate_cap(found, ["query_id"], depth).join(t.query_vectors(spark, d), "query_id")
+    return retrieval.rerank(first, ["query_id"], late, limit=60).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
 _BM25 = f"""qt AS (SELECT DISTINCT item_id AS query_id, unnest({_WORDS.format('text')}) AS term FROM benchmark),
