@@ -52,15 +52,6 @@ def registered(sql: str | None = None):
     return add
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.scored_pairs(t.query_vectors(spark, d), t.chunk_rows(spark, d))
-
-
-def _boosted(spark: SparkSession, d: str, mode: str) -> DataFrame:
-    rows = _pairs(spark, d).withColumn("score", ranking.boosted(F.col("score"), F.col("path"), F.col("chunk_type"), mode))
-    return rows.withColumn("secondary_score", F.lit(None).cast("double")).drop("embedding", "query_vector")
-
-
 # what decides between equal scores
 _PLACE = ["path", "start_line", "row_id", "num_lines"]
 
@@ -84,8 +75,8 @@ def _with_factors(chunks: DataFrame, mode: str) -> tuple[DataFrame, tuple[str, .
 
 @registered("WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id, round(list_sum(list_transform(list_zip(v, CAST(embedding AS DOUBLE[])), lambda z: z[1] * z[2])), 6) AS score FROM embeddings, q) SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 20")
 def knn_exact_topk(spark: SparkSession, d: str) -> DataFrame:
-    pairs = retrieval.scored_pairs(t.query_vectors(spark, d), t.table(spark, d, "embeddings")).select("query_id", "vec_id", F.round("score", 6).alias("score"))
-    return retrieval.top_k(pairs, 20, ["query_id"], [F.desc("score"), F.asc("vec_id")], "rank")
+    found = pairs.best_pairs(t.query_vectors(spark, d), t.table(spark, d, "embeddings").select("vec_id", "embedding"), [pairs.Cut(20)], ["vec_id"])
+    return retrieval.top_k(found.select("query_id", "vec_id", F.round("score", 6).alias("score")), 20, ["query_id"], [F.desc("score"), F.asc("vec_id")], "rank")
 
 
 @registered("WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id, round(list_sum(list_transform(list_zip(v, CAST(embedding AS DOUBLE[])), lambda z: z[1] * z[2])), 6) AS score FROM embeddings, q) SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 20")
