@@ -1,6 +1,6 @@
 """Queries on rows that the given small tables lack: large ids, awkward words, many ties."""
 
-from hayloft.operators import ranking
+from hayloft.operators import blockmax, ranking
 from hayloft.plans import catalogue
 from hayloft.sources import tables as t
 
@@ -32,3 +32,11 @@ def test_tied_pieces_stay_together(spark):
     rows = spark.createDataFrame([(1, "f", 12, 8, "b"), (1, "f", 12, 8, "a"), (1, "f", 12, 9, "c"), (1, "f", 36, 1, "d")], "q long, path string, start_line int, num_lines int, content string")
     got = [(r.start_line, r.num_lines, r.pieces) for r in ranking.merge_adjacent(rows, ["q"], gap=4).orderBy("start_line").collect()]
     assert got == [(12, 9, 3), (36, 1, 1)]
+
+
+def test_files_of_blocks_follow_the_postings(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(blockmax, "FILE_POSTINGS", 500, raising=False)
+    docs = spark.createDataFrame([(k, f"alpha beta gamma delta w{k % 7}") for k in range(1000)], "doc_id long, text string")
+    index = blockmax.build_blocks(docs, str(tmp_path / "blocks"))  # 5000 postings of eleven words
+    size = {r.f: r.n for r in index.blocks.selectExpr("_metadata.file_name AS f", "size(postings) AS n").groupBy("f").sum("n").toDF("f", "n").collect()}
+    assert len(size) >= 8 and sum(size.values()) == 5000 and max(size.values()) < 1500
