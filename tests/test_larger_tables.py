@@ -1,6 +1,9 @@
 """Queries on rows that the given small tables lack: large ids, awkward words, many ties."""
 
-from hayloft.operators import blockmax, ranking
+import numpy as np
+import pyarrow as pa
+
+from hayloft.operators import blockmax, lexical, ranking
 from hayloft.plans import catalogue
 from hayloft.sources import tables as t
 
@@ -40,3 +43,12 @@ def test_files_of_blocks_follow_the_postings(spark, monkeypatch, tmp_path):
     index = blockmax.build_blocks(docs, str(tmp_path / "blocks"))  # 5000 postings of eleven words
     size = {r.f: r.n for r in index.blocks.selectExpr("_metadata.file_name AS f", "size(postings) AS n").groupBy("f").sum("n").toDF("f", "n").collect()}
     assert len(size) >= 8 and sum(size.values()) == 5000 and max(size.values()) < 1500
+
+
+def test_words_met_with_queries_are_bounded():
+    # every row has both words, one asked for by 90 queries, one by 10, and one that none asks for
+    batch = pa.RecordBatch.from_pydict({"terms": [["a", "b", "c"]] * 50 + [[]] * 5 + [["c"]] * 5, "row": list(range(60))})
+    parts = list(lexical._pieces(batch, pa.array(["a", "b"]), np.array([0, 90, 100]), 40, words=700))
+    assert [r for p in parts for r in p.column("row").to_pylist()] == list(range(60))
+    assert max(sum(len(t) > 1 for t in p.column("terms").to_pylist()) for p in parts) == 7
+    assert [len(p) for p in lexical._pieces(batch, pa.array(["a", "b"]), np.array([0, 90, 100]), 60, words=5)][:50] == [1] * 50
