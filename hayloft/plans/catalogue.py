@@ -229,10 +229,10 @@ def _token_groups(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"].cast("array<double>")).alias("tokens"))
 
 
-def _token_pairs(groups: DataFrame) -> DataFrame:
-    """Every group with the stated queries: the groups whose number is divisible by 100, each a bounded matrix."""
-    query = groups.where(F.col("doc") % 100 == 0).select(F.col("doc").alias("query_id"), F.col("tokens").alias("query"))
-    return retrieval.every_pair(query, groups, "doc")
+def _token_scores(groups: DataFrame, rows: DataFrame) -> DataFrame:
+    """Every row with the stated queries: the groups whose number is divisible by 100, each a bounded matrix."""
+    queries = groups.where(F.col("doc") % 100 == 0).select(F.col("doc").alias("query_id"), F.col("tokens").alias("query_vectors"))
+    return pairs.every_max_sim(queries, rows)
 
 
 _TOKENS = "tok AS (SELECT vec_id // 8 AS doc, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), qt AS (SELECT doc AS query_id, vec_id, v FROM tok WHERE doc % 100 = 0)"
@@ -240,7 +240,8 @@ _TOKENS = "tok AS (SELECT vec_id // 8 AS doc, vec_id, CAST(embedding AS DOUBLE[]
 
 @registered(f"WITH {_TOKENS}, m AS (SELECT query_id, tok.doc, qt.vec_id, max(list_sum(list_transform(list_zip(qt.v, tok.v), lambda z: z[1] * z[2]))) AS best FROM tok, qt GROUP BY 1, 2, 3) SELECT query_id, doc, round(sum(best), 6) AS maxsim FROM m GROUP BY 1, 2")
 def maxsim_float(spark: SparkSession, d: str) -> DataFrame:
-    return _token_pairs(_token_groups(spark, d)).select("query_id", "doc", F.round(vectors.max_sim(F.col("query"), F.col("tokens")), 6).alias("maxsim"))
+    groups = _token_groups(spark, d)
+    return _token_scores(groups, groups).select("query_id", "doc", F.round("score", 6).alias("maxsim"))
 
 
 @registered(f"WITH {_TOKENS}, sc AS (SELECT doc, max(list_max(list_transform(v, lambda x: abs(x)))) / 127 AS scale FROM tok GROUP BY doc), q AS (SELECT tok.doc, list_transform(v, lambda x: CAST(trunc(x / scale) AS DOUBLE)) AS q, scale FROM tok JOIN sc ON tok.doc = sc.doc), m AS (SELECT query_id, q.doc, any_value(scale) AS scale, qt.vec_id, max(list_sum(list_transform(list_zip(qt.v, q.q), lambda z: z[1] * z[2]))) AS best FROM q, qt GROUP BY 1, 2, 4) SELECT query_id, doc, round(sum(best) * any_value(scale), 6) AS maxsim FROM m GROUP BY 1, 2")
@@ -248,7 +249,9 @@ def maxsim_quantized(spark: SparkSession, d: str) -> DataFrame:
     groups = _token_groups(spark, d)
     scale = vectors.quantisation_scale(F.flatten("tokens"))
     rows = groups.withColumn("scale", scale).withColumn("q", F.transform("tokens", lambda r: F.transform(r, lambda x: F.greatest(F.lit(-127.0), F.least(F.lit(127.0), x / F.col("scale"))).cast("int").cast("tinyint"))))
-    return _token_pairs(rows).select("query_id", "doc", F.round(vectors.max_sim_quantised(F.col("query"), F.col("q"), F.col("scale")), 6).alias("maxsim"))
+    # tokens of zeros alone are skipped, and the scale is applied once, as in vectors.max_sim_quantised
+    live = F.filter(F.col("q").cast("array<array<double>>"), lambda v: F.exists(v, lambda x: x != 0))
+    return _token_scores(groups, rows.select("doc", "scale", live.alias("tokens"))).select("query_id", "doc", F.round(F.col("score") * F.col("scale"), 6).alias("maxsim"))
 
 
 _MATRIX = "list_transform(range(0, 8), lambda i: list_slice({}, i * 8 + 1, i * 8 + 8))"

@@ -93,3 +93,16 @@ def test_pairs_are_made_in_blocks(spark, name):
     plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan
     assert name == "rerank_top50" or "query_vector" not in plan  # no join with them
+
+
+def test_max_sim_in_blocks(spark):
+    tokens = [[ODD[6][:3], [0.0, 1.0, 2.0]], [], None, [[1.0, None, 2.0]], [None, [0.25, 0.5, 1.0]], [[float("nan"), 0.0, 0.0], [1.0, 1.0, 1.0]], [[0.5]], [[-1.0, -1.0, -1.0]]]
+    rows = spark.createDataFrame(list(enumerate(tokens)), "doc long, tokens array<array<double>>")
+    asked = spark.createDataFrame([(0, [[1.0, 2.0, 3.0], [0.5, 0.0, -1.0]]), (1, []), (2, [[1.0, 0.0, 0.5], None])], "query_id long, query_vectors array<array<double>>")
+    want = rows.where("tokens is not null").crossJoin(asked).withColumn("score", vectors.max_sim(F.col("query_vectors"), F.col("tokens")))
+    same(pairs.every_max_sim(asked, rows.where("tokens is not null")), want, "query_id", "doc", "score")
+
+
+@pytest.mark.parametrize("name", ["maxsim_float", "maxsim_quantized"])
+def test_late_interaction_is_made_in_blocks(spark, name):
+    assert "MapInArrow" in catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
