@@ -112,9 +112,7 @@ def structural_boost_modes(spark: SparkSession, d: str) -> DataFrame:
     chunks, weights = t.chunk_rows(spark, d).select("doc_id", "path", "chunk_type", "embedding"), {}
     for m in ranking.WEIGHTS:
         chunks, weights[m] = _with_factors(chunks, m)
-    scores = pairs.every_score(t.query_vectors(spark, d), chunks.drop("path", "chunk_type"), weights, digits=True)
-    each = F.array(*(F.struct(F.lit(m).alias("mode"), F.col(m).alias("score")) for m in weights))
-    return scores.select("query_id", "doc_id", F.inline(each))
+    return pairs.every_product(t.query_vectors(spark, d), chunks.drop("path", "chunk_type"), weights, "mode", digits=True)
 
 
 @registered(f"WITH {_CHUNKS}, r AS (SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, path, start_line, row_id, num_lines) AS INTEGER) AS rank FROM pairs) SELECT * FROM r")

@@ -103,6 +103,23 @@ def test_max_sim_in_blocks(spark):
     same(pairs.every_max_sim(asked, rows.where("tokens is not null")), want, "query_id", "doc", "score")
 
 
+def test_every_product_is_that_of_the_rows(spark, monkeypatch):
+    rows = chunks(spark).withColumns({"a": F.lit(1.25), "b": F.col("start_line") + 0.5})
+    want = crossed(spark).withColumn("n", F.explode(F.array(F.lit("one"), F.lit("two"))))
+    want = want.withColumn("score", F.round(F.when(F.col("n") == "one", F.col("score") * 1.25).otherwise(F.col("score") * 1.25 * (F.col("start_line") + 0.5)), 6) + 0.0)
+    for stack in (1 << 20, 64):  # one tile, and several queries at a time
+        monkeypatch.setattr(pairs, "STACK_PAIRS", stack)
+        monkeypatch.setattr(pairs, "BLOCK_QUERIES", 2)
+        found = pairs.every_product(queries(spark), rows, {"one": ("a",), "two": ("a", "b")}, "n", digits=True)
+        same(found, want, "query_id", "row_id", "n", "score")
+
+
+def test_equal_scores_of_a_block_are_side_by_side(spark):
+    rows = catalogue.structural_boost_modes(spark, SF).select(F.spark_partition_id().alias("task"), "score").toPandas()
+    of = [part.score for _, part in rows.groupby("task", sort=False)]
+    assert len(rows) > 1000 and all(part.is_monotonic_increasing for part in of)
+
+
 @pytest.mark.parametrize("name", ["maxsim_float", "maxsim_quantized"])
 def test_late_interaction_is_made_in_blocks(spark, name):
     assert "MapInArrow" in catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
