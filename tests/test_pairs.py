@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hayloft.functions import vectors
-from hayloft.operators import pairs, ranking
+from hayloft.operators import pairs, ranking, ranks
 from hayloft.plans import catalogue
 
 from .conftest import SF
@@ -114,6 +114,34 @@ def test_every_product_is_that_of_the_rows(spark, monkeypatch):
         same(found, want, "query_id", "row_id", "n", "score")
 
 
+@pytest.mark.parametrize("size", [40, 1 << 15])
+def test_every_rank_is_that_of_the_window(spark, monkeypatch, size):
+    monkeypatch.setattr(ranks, "BLOCK_ROWS", size)
+    monkeypatch.setattr(ranks, "TILE", 4)
+    rows = chunks(spark).unionByName(chunks(spark, 30).withColumn("row_id", F.concat(F.lit("x"), "row_id")))
+    large = spark.createDataFrame([(9, [1e12, 3e14, 2.0]), (10, [-1e12, 1e9, 1e9]), (11, [1e-7, 1e-7, 1e-7])], "query_id long, query_vector array<float>")
+    asked = queries(spark).unionByName(large)
+    score = F.round(vectors.dot(F.col("query_vector"), F.col("embedding")), 6) + 0.0
+    order = Window.partitionBy("query_id").orderBy(score.desc(), "path", "start_line", "row_id")
+    want = rows.crossJoin(asked).withColumn("rank", F.row_number().over(order))
+    found = ranks.every_rank(asked, rows, [F.col("path"), F.col("start_line"), F.col("row_id")], ["row_id", "path"])
+    same(found, want, "query_id", "row_id", "path", "rank")
+
+
+def test_numbers_keep_the_order_of_scores():
+    score = np.array([[-np.inf, -1e300, -1e9, -999999999.5, -1.000001, -1.0, 0.0, 1e-6, 0.5, 999999999.999999, 1e9, 1e16, np.inf, np.nan]])
+    number = ranks.numbers(score, None)
+    assert (np.diff(number[0]) > 0).all() and number.min() > ranks.NULL and number[0, 6] == 0
+    assert (np.diff(ranks.buckets(number)[0]) <= 0).all()
+    data, size = ranks.to_bytes(np.array([0, 127, 128, 1 << 62, (1 << 64) - 1], np.uint64))
+    assert size.tolist() == [1, 1, 2, 9, 10] and ranks.from_bytes(data).tolist() == [0, 127, 128, 1 << 62, (1 << 64) - 1]
+
+
+def test_ranks_move_no_pairs(spark):
+    plan = catalogue.deterministic_order(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "score" not in plan
+
+
 def test_equal_scores_of_a_block_are_side_by_side(spark):
     rows = catalogue.structural_boost_modes(spark, SF).select(F.spark_partition_id().alias("task"), "score").toPandas()
     of = [part.score for _, part in rows.groupby("task", sort=False)]
