@@ -45,6 +45,38 @@ def test_files_of_blocks_follow_the_postings(spark, monkeypatch, tmp_path):
     assert len(size) >= 8 and sum(size.values()) == 5000 and max(size.values()) < 1500
 
 
+def test_blocks_of_a_stream():
+    # a term goes on over batches; rows come by term and falling weight
+    rows = [("a", 9 - k / 100, k) for k in range(23)] + [("b", 5.0, 90)] + [("c", 4.0 - k, k) for k in range(10)] + [("d", 1.0, 7)] * 4
+    for step in (1, 3, 7, 100):
+        batches = []
+        for a in range(0, len(rows), step):
+            term, weight, row = zip(*rows[a : a + step], strict=True)
+            batches.append(pa.RecordBatch.from_pydict({"row_id": row, "dl": pa.array([2] * len(row), pa.int32()), "term": term, "tf": [1] * len(row), "weight": weight}))
+        got = [r for b in blockmax._cut(iter(batches), 4, 6) for r in b.to_pylist()]
+        assert [(r["term"], r["n"]) for r in got] == [("a", 4)] * 5 + [("a", 3), ("b", 1), ("c", 4), ("c", 4), ("c", 2), ("d", 4)]
+        assert [(r["term"], p["row_id"]) for r in got for p in r["postings"]] == [(t, k) for t, _, k in rows]
+        assert [r["is_head"] for r in got] == [True, True, *[False] * 4, True, True, True, False, True]
+        assert [r["top"] for r in got][:3] == [9.0, 8.96, 8.92]
+
+
+def test_postings_are_moved_once(spark, tmp_path):
+    docs = spark.createDataFrame([(k, " ".join(f"w{(k * j) % 997}" for j in range(60))) for k in range(3000)], "doc_id long, text string")
+    tracker = spark.sparkContext._jsc.sc().statusStore()
+    before = {s.stageId() for s in _stages(spark, tracker)}
+    index = blockmax.build_blocks(docs, str(tmp_path / "blocks"))
+    postings = index.blocks.selectExpr("sum(size(postings)) AS n").first().n
+    moved = sum(s.shuffleWriteRecords() for s in _stages(spark, tracker) if s.stageId() not in before)
+    assert postings > 100_000 and moved < 1.2 * postings
+    assert index.terms.selectExpr("sum(df) AS n").first().n == postings
+
+
+def _stages(spark, store):
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    found = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return [found.apply(k) for k in range(found.size())]
+
+
 def test_words_met_with_queries_are_bounded():
     # every row has both words, one asked for by 90 queries, one by 10, and one that none asks for
     batch = pa.RecordBatch.from_pydict({"terms": [["a", "b", "c"]] * 50 + [[]] * 5 + [["c"]] * 5, "row": list(range(60))})
