@@ -46,18 +46,26 @@ def test_files_of_blocks_follow_the_postings(spark, monkeypatch, tmp_path):
 
 
 def test_blocks_of_a_stream():
-    # a term goes on over batches; rows come by term and falling weight
     rows = [("a", 9 - k / 100, k) for k in range(23)] + [("b", 5.0, 90)] + [("c", 4.0 - k, k) for k in range(10)] + [("d", 1.0, 7)] * 4
-    for step in (1, 3, 7, 100):
+    mixed = [rows[k] for k in np.random.default_rng(3).permutation(len(rows))]
+
+    def cut(step, most):
         batches = []
-        for a in range(0, len(rows), step):
-            term, weight, row = zip(*rows[a : a + step], strict=True)
+        for a in range(0, len(mixed), step):
+            term, weight, row = zip(*mixed[a : a + step], strict=True)
             batches.append(pa.RecordBatch.from_pydict({"row_id": row, "dl": pa.array([2] * len(row), pa.int32()), "term": term, "tf": [1] * len(row), "weight": weight}))
-        got = [r for b in blockmax._cut(iter(batches), 4, 6) for r in b.to_pylist()]
+        return [r for b in blockmax._cut(iter(batches), most, 4, 6) for r in b.to_pylist()]
+
+    for step in (1, 7, 100):
+        got = cut(step, 100)
         assert [(r["term"], r["n"]) for r in got] == [("a", 4)] * 5 + [("a", 3), ("b", 1), ("c", 4), ("c", 4), ("c", 2), ("d", 4)]
         assert [(r["term"], p["row_id"]) for r in got for p in r["postings"]] == [(t, k) for t, _, k in rows]
         assert [r["is_head"] for r in got] == [True, True, *[False] * 4, True, True, True, False, True]
         assert [r["top"] for r in got][:3] == [9.0, 8.96, 8.92]
+        # a file that comes in parts: more blocks of the same postings
+        got = cut(step, 9)
+        assert sorted((r["term"], p["row_id"]) for r in got for p in r["postings"]) == [(t, k) for t, _, k in rows]
+        assert all(r["n"] == len(r["postings"]) <= 4 and r["top"] == max(w for t, w, k in rows for p in r["postings"] if (t, k) == (r["term"], p["row_id"])) for r in got)
 
 
 def test_postings_are_moved_once(spark, tmp_path):
